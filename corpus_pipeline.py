@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.common import staged, table
+from sieveline.llm.decontaminate import clean
+from sieveline.llm.language_id import accepted
+from sieveline.llm.mixing import repeated
 from sieveline.llm.ngram_join import one_of_each
+from sieveline.llm.queries import tokenizer_path
+from sieveline.llm.token_file import token_index
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents go whose language is unknown or an even guess."""
+    return accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +23,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents go that hold an item of benchmark."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: every document as often as its source's target asks for."""
+    return repeated(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the mix as token ids in files; the index that is read back from them."""
+    return token_index(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mix),
+    ("token_output", token_output),
+]
 
 #: Language ID is learned, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -11,7 +11,9 @@ from sieveline.llm.common import table
 from sieveline.llm.decontaminate import leaks
 from sieveline.llm.language_id import identified
 from sieveline.llm.ngram_join import near_groups
+from sieveline.llm.pii import personal_data
 from sieveline.llm.quality import scored
+from sieveline.llm.secrets import findings
 from sieveline.llm.token_file import token_index
 
 #: The tokenizer file of op5; a parameter of the operator.
@@ -36,10 +38,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -59,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op5_token_output, op7_mixing, op8_decontamination, op9_chat_formatting, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_personal_data, op5_token_output, op6_secret_scan, op7_mixing, op8_decontamination, op9_chat_formatting, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
