@@ -12,6 +12,7 @@ WIDTH = 5
 _RNG = np.random.default_rng(20240117)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
+_EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,6 +40,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:end], letters as they are."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_EXACT[data] * _powers(_BASE, len(data)), out=total[1:])
+    return mix((total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word) for texts raw[offsets[i]:offsets[i+1]]; the index has one entry more."""
     low, high = int(offsets[0]), int(offsets[-1])

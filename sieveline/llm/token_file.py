@@ -26,46 +26,115 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import chunks, ints, staged
+from sieveline.llm.common import chunks, ints, staged, text_buffers
+from sieveline.llm.shingles import mix, stretch_hashes
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-#: Pre-tokens whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Bytes of text that are encoded at a time.
+ENCODED_BYTES = 1 << 21
+#: Stretches whose ids a Python worker remembers before it starts anew.
+REMEMBERED = 4_000_000
 BLOCKS = "part int, block int, first_id long, n_docs long, n_ids long, doc_ids binary, counts binary, ranks binary, control binary, data binary"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of a byte-level BPE file of the tokenizers library; equal pre-tokens are encoded once.
+    """Ids of a byte-level BPE file of the tokenizers library; equal stretches of text are encoded once.
 
-    The pre-tokenizer splits a text into pieces that BPE never merges across, so the ids of a text are those of
-    its pieces. A text that holds one of the file's special strings is encoded whole.
+    A space between two other signs always starts a piece of the pre-tokenizer, and BPE never merges across
+    pieces. So texts are cut at spaces, and the ids of each stretch are remembered under 64 bits of its content,
+    in sorted numpy arrays. Texts with further white space next to a space, or with one of the file's special
+    strings, are encoded whole.
     """
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.wide = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [None if any(s in t for s in self.special) else self.pieces(t) for t in texts]
-        new = list(set().union(*[p for p in split if p]) - self.known.keys())
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.known.update(zip(part, (np.array(e.ids, self.wide).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False))))
-        known = self.known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if p is None else np.frombuffer(b"".join(map(known, p)), self.wide).astype(np.uint32) for t, p in zip(texts, split)]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.wide = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, self.wide), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, keys: np.ndarray, stretches: list[str], heads: list[bool]) -> None:
+        """Remember the ids of stretches, with a space before those that are not a text's head; length -1 where white space is at an end."""
+        fit = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in stretches]
+        ids: list = [[]] * len(stretches)
+        inner = [k for k, (h, ok) in enumerate(zip(heads, fit)) if ok and not h]
+        for a in range(0, len(inner), 2048):
+            part = inner[a : a + 2048]
+            # Encoded in one go; the ids that begin with a space tell the stretches apart.
+            line = np.array(self.library.encode_batch_fast(["".join(" " + stretches[k] for k in part)], add_special_tokens=False)[0].ids, self.wide)
+            at = np.flatnonzero(self.spaced[line])
+            if len(at) == len(part) and at[0] == 0:
+                cut = np.split(line, at[1:])
+            else:
+                cut = [e.ids for e in self.library.encode_batch_fast([" " + stretches[k] for k in part], add_special_tokens=False)]
+            for k, x in zip(part, cut):
+                ids[k] = x
+        first = [k for k, (h, ok) in enumerate(zip(heads, fit)) if ok and h]
+        for k, e in zip(first, self.library.encode_batch_fast([stretches[k] for k in first], add_special_tokens=False)):
+            ids[k] = e.ids
+        length = np.array([len(x) if ok else -1 for x, ok in zip(ids, fit)], np.int64)
+        flat = np.concatenate([np.asarray(x, self.wide) for x in ids] or [np.zeros(0, self.wide)])
+        start = self.used + np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.length = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.length, at, length)
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text raw[offsets[i]:offsets[i+1]]."""
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        low = int(offsets[0])
+        data, at = raw[low : int(offsets[-1])], offsets - low
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * (len(at) - 1)
+        content = data.tobytes()
+        full = np.flatnonzero(np.diff(at))
+        space = np.flatnonzero(data == 32)
+        starts = np.sort(np.concatenate([at[full], space + 1]))
+        ends = np.sort(np.concatenate([space, at[full + 1]]))
+        n_of = np.diff(np.searchsorted(space, at)) + (np.diff(at) > 0)
+        first = np.cumsum(n_of) - n_of
+        head = np.zeros(len(starts), bool)
+        head[first[full]] = True
+        keys = stretch_hashes(data, starts, ends)
+        keys[head] = mix(keys[head] ^ np.uint64(0x68656164))
+        unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            spots = where[new]
+            self._learn(unique[new], [content[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[spots].tolist(), ends[spots].tolist())], head[spots].tolist())
+            place = np.searchsorted(self.keys, unique)
+        length = self.length[place][inverse]
+        torn = np.zeros(len(n_of), bool)
+        torn[np.repeat(np.arange(len(n_of)), n_of)[length < 0]] = True
+        for special in self.special:
+            if special in content:
+                torn |= [special in content[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        # All ids at once: each stretch's run of the remembered ids, one after another.
+        size = np.maximum(length, 0)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[place][inverse] - upto[:-1], size) + np.arange(upto[-1])].astype(np.uint32)
+        begin, end = upto[first], upto[first + n_of]
+        return [self.whole(content[a:b].decode("utf-8", "surrogatepass")) if t else ids[x:y] for t, x, y, a, b in zip(torn.tolist(), begin.tolist(), end.tolist(), at[:-1].tolist(), at[1:].tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -76,11 +145,16 @@ def encoder(path: str) -> Encoder:
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ranks, control, data) of ids."""
-    values, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < 1 << 20:
+        n = np.bincount(ids)
+        values = np.flatnonzero(n)
+        n, place = n[values], ids
+    else:
+        values, place, n = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -n))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranked = rank_of[inverse]
+    rank_of = np.empty(int(values.max(initial=0)) + 1 if place is ids else len(values), np.uint32)
+    rank_of[values[order] if place is ids else order] = np.arange(len(values), dtype=np.uint32)
+    ranked = rank_of[place]
     size = 1 + (ranked > 0xFF) + (ranked > 0xFFFF) + (ranked > 0xFFFFFF)
     codes = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     codes[: len(ids)] = size - 1
@@ -122,10 +196,9 @@ def _blocks(path: str):
 
         for batch in batches:
             doc = ints(batch.column(0))
-            texts = batch.column(1).fill_null("")
-            length = np.concatenate([[0], np.cumsum([len(t) for t in texts.to_pylist()])]) if len(texts) else np.zeros(1, np.int64)
-            for a, b in chunks(length):
-                for i, ids in zip(doc[a:b].tolist(), encode(texts.slice(a, b - a).to_pylist())):
+            raw, at = text_buffers(batch.column(1))
+            for a, b in chunks(at, ENCODED_BYTES):
+                for i, ids in zip(doc[a:b].tolist(), encode(raw, at[a : b + 1])):
                     if held and size + len(ids) + 1 > BLOCK_IDS:
                         yield cut()
                         block, first, docs, held, size = block + 1, first + size, [], [], 0

@@ -161,10 +161,16 @@ def test_token_file(spark):
     assert token_file.token_index(df.limit(0), tokenizer_path()).count() == 0
 
 
-def test_blocks_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(token_file, "BLOCK_IDS", 64)
-    encode = token_file.encoder(tokenizer_path())
-    assert [x.tolist() for x in encode(["a b", ""])] == [encode.library.encode("a b", add_special_tokens=False).ids, []]
+def test_ids_are_those_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_file, "REMEMBERED", 300)
+    encode, rng = token_file.Encoder(tokenizer_path()), random.Random(7)
+    signs = [" ", " ", "\n", "\t", "a", "B", "é", "日", "1", "12", "!", "'s", "'", "\xa0", "\u3000", "\r", "  ", "#", "\x1c", "\x85", "word", "\u200b", "😀", "\u0301", "<|endoftext|>", " the"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+        raw = [t.encode() for t in texts]
+        got = encode(np.frombuffer(b"xx" + b"".join(raw), np.uint8), np.cumsum([2, *map(len, raw)]))
+        for t, ids in zip(texts, got):
+            assert ids.tolist() == encode.whole(t).tolist(), repr(t)
 
 
 def test_secrets(spark):
