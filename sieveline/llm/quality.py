@@ -3,7 +3,7 @@
 A white-space token is read as terms: its lower-cased letters, its case, and the signs before and after
 them. Every term has a sparse random index vector; its context vector adds the index vectors of the terms
 around it over the training sample (random indexing) to its own. A token's vector is the sum of its terms',
-a document's is the mean over its tokens, next to the spread between tokens and the log of their number. A
+a document's is the mean over its tokens, next to the spread between tokens, the log of their number, their kinds for each token, and the share of the commonest. A
 two-layer numpy network scores it; a temperature fitted on a part of the training sample calibrates it.
 
 Words and network are fitted on a bounded sample: SAMPLE labelled rows (the first by hash of doc_id) that
@@ -69,12 +69,12 @@ class Words:
         return known
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
+        out = np.zeros((len(texts), 2 * DIM + 3), np.float32)
         if len(self.rows) > REMEMBERED:
             self.rows.clear()
         for i, text in enumerate(texts):
             tokens = text.split()
-            for t in set(tokens) - self.rows.keys():
+            for t in [t for t in set(tokens) if t not in self.rows]:
                 k = self.rows[t] = len(self.rows)
                 if k == len(self.matrix):
                     self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
@@ -84,28 +84,36 @@ class Words:
                 kinds, n = np.unique(own, return_counts=True)
                 of, share = self.matrix[kinds], (n / len(tokens)).astype(np.float32)
                 mean = share @ of
-                out[i] = np.concatenate([mean, np.sqrt(np.maximum(share @ of**2 - mean**2, 0)), [np.log1p(len(tokens))]])
+                out[i] = np.concatenate([mean, np.sqrt(np.maximum(share @ of**2 - mean**2, 0)), [np.log1p(len(tokens)), len(kinds) / len(tokens), share.max()]])
         return out
 
 
 def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     """Random indexing over the sample: term -> context vector of length 1."""
-    split = [[terms(t) for t in text.split()] for text in texts]
-    counts = Counter(t for doc in split for token in doc for t in token)
+    rows: dict[str, int] = {}
+    docs = [np.array([rows.setdefault(t, len(rows)) for t in text.split()], np.int64) for text in texts]
+    parts = [terms(t) for t in rows]
+    times = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]), minlength=len(rows)).tolist()
+    counts: Counter = Counter()
+    for part, n in zip(parts, times):
+        for t in part:
+            counts[t] += n
     kept = {t for t, n in counts.most_common(VOCABULARY) if n >= SEEN}
-    fold_ = lambda t: t if t in kept else f"w#{min(len(t) - 2, 30)}" if t[0] == "w" else t
+    folded = lambda t: t if t in kept else f"w#{min(len(t) - 2, 30)}" if t[0] == "w" else t
     names: dict[str, int] = {}
-    docs = [np.array([[names.setdefault(fold_(t), len(names)) for t in token] for token in doc], np.int64).reshape(-1, 4) for doc in split]
+    of = np.array([[names.setdefault(folded(t), len(names)) for t in part] for part in parts], np.int64).reshape(-1, 4)
     index = np.array([index_vector(t) for t in names], np.float32).reshape(-1, DIM)
-    total = index.copy()
+    token = index[of].sum(1)
+    around = np.zeros_like(token)
     for doc in docs:
-        token = index[doc].sum(1)
-        near = np.zeros_like(token)
+        own, near = token[doc], np.zeros((len(doc), DIM), np.float32)
         for d in range(1, AROUND + 1):
-            near[d:] += token[:-d]
-            near[:-d] += token[d:]
-        for j in range(doc.shape[1]):
-            np.add.at(total, doc[:, j], near)
+            near[d:] += own[:-d]
+            near[:-d] += own[d:]
+        np.add.at(around, doc, near)
+    total = index.copy()
+    for j in range(of.shape[1]):
+        np.add.at(total, of[:, j], around)
     # A term's own vector weighs as much as all its contexts.
     near = total - index
     total = index / np.sqrt(NONZERO) + near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-6)
