@@ -110,7 +110,12 @@ def domain_suffix_join(spark, sf_dir):
     return tails.join(dim, "domain").groupBy("domain").agg(F.count("*").alias("n"))
 
 
-PATH = F.regexp_replace(F.regexp_replace(F.col("url"), r"[?#].*$", ""), r"^[a-z]+://", "")
+
+
+def _path():
+    return F.regexp_replace(F.regexp_replace(F.col("url"), r"[?#].*$", ""), r"^[a-z]+://", "")
+
+
 PATH_SQL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '')"
 
 
@@ -119,7 +124,7 @@ WITH p AS (SELECT page_id, regexp_extract({PATH_SQL}, '[^/]*$') AS base FROM pag
 c AS (SELECT CASE WHEN ext = '' THEN '(none)' ELSE ext END AS ext, count(*) AS n, min(page_id) AS first_seq FROM e GROUP BY 1)
 SELECT ext, n, first_seq, row_number() OVER (ORDER BY n DESC, first_seq) AS place FROM c""")
 def path_extension_inventory(spark, sf_dir):
-    ext = T.extension_of(PATH)
+    ext = T.extension_of(_path())
     rows = table(spark, sf_dir, "pages").select("page_id", F.when(ext == "", "(none)").otherwise(ext).alias("ext"))
     return reports.most_common(rows, [], "ext", "page_id").select("ext", "n", "first_seq", "place")
 
@@ -128,7 +133,7 @@ def path_extension_inventory(spark, sf_dir):
 WITH p AS (SELECT string_split({PATH_SQL}, '/') AS p FROM pages)
 SELECT CASE WHEN len(p) = 1 THEN '(default package)' WHEN len(p) = 2 THEN p[1] ELSE p[1] || '/' || p[2] END AS package, count(*) AS n FROM p GROUP BY 1""")
 def path_top_package(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(T.top_package(PATH).alias("package")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "pages").groupBy(T.top_package(_path()).alias("package")).agg(F.count("*").alias("n"))
 
 
 @query(r"""
