@@ -11,6 +11,11 @@ from sieveline import refdata as R
 from sieveline.functions import text as T
 from sieveline.functions import urls as U
 from sieveline.operators import capping, lookup, reports, tagging
+from sieveline.plans import rules
+from sieveline.plans.evidence import class_evidence
+from sieveline.plans.triage import decoded
+from sieveline.sources import descriptors
+from sieveline.sources.build import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -418,3 +423,75 @@ def json_tolerant(spark, sf_dir):
     kind = F.schema_of_variant(F.try_variant_get(v, "$.k", "variant"))
     value = F.when(kind.rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get(v, "$.k", "string"))
     return table(spark, sf_dir, "events").select("event_id", value.alias("k"))
+
+
+# --- archives ---------------------------------------------------------------------------------------
+
+
+@query(IP_SQL)
+def archive_roundtrip(spark, sf_dir):
+    """Texts written into class files and archives, decoded again, and searched for addresses: as if searched directly."""
+    t = decoded(packed(table(spark, sf_dir, "documents")))
+    literals = t.classes.filter("status = 'parsed'").select(F.regexp_extract("name", "^d/(-?[0-9]+)_", 1).cast("long").alias("doc_id"), F.explode("strings").alias("value"))
+    return public_addresses(literals)
+
+
+@query("SELECT p_partkey, key, value, position FROM part, LATERAL (VALUES ('Manifest-Version', '1.0', 0), ('Name', p_brand || p_type, 1), ('Main-Class', 'x.' || p_size, 2)) t(key, value, position)")
+def manifest_parse(spark, sf_dir):
+    lines = F.concat(F.lit("Manifest-Version: 1.0\r\nName: "), "p_brand", F.lit("\r\n "), "p_type", F.lit("\r\nno attribute\r\nName2\r\nMain-Class: y\r\nMain-Class: x."), F.col("p_size").cast("string"), F.lit("\r\n\r\nLater: no\r\n"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit("entry").alias("kind"), F.lit("META-INF/MANIFEST.MF").alias("name"), F.lit(0).alias("entry_seq"), F.encode(lines, "UTF-8").alias("content"))
+    return descriptors.manifest(rows).select(F.col("archive_id").alias("p_partkey"), "key", "value", "position")
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Fabric' WHEN 1 THEN 'Quilt' ELSE 'Forge (legacy)' END AS loader, p_name AS mod_id, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS version FROM part""")
+def descriptor_parse(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    body = F.concat(F.lit('{"id": "'), "p_name", F.lit('", "modid": "'), "p_name", F.lit('", "version": '), F.when(k == 2, F.lit("[1]")).otherwise(F.col("p_size").cast("string")), F.lit("}"))
+    whole = F.when(k == 0, body).when(k == 1, F.concat(F.lit('{"quilt_loader": '), body, F.lit("}"))).otherwise(F.concat(F.lit('{"modList": ['), F.regexp_replace(body, '"id"', '"other"'), F.lit("]}")))
+    name = F.when(k == 0, "fabric.mod.json").when(k == 1, "quilt.mod.json").otherwise("mcmod.info")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit("entry").alias("kind"), name.alias("name"), F.lit(0).alias("entry_seq"), F.encode(whole, "UTF-8").alias("content"))
+    return descriptors.mods(rows).select(F.col("archive_id").alias("p_partkey"), "loader", "mod_id", "version")
+
+
+_ENTRY = [("run.exe", "Windows executable (PE)", "executables"), ("pic.png", "Windows executable (PE)", "disguised"), ("data.bin", "ZIP/JAR archive", "hidden_archive"), ("lib.so", "Linux executable (ELF)", "native_libraries"), ("inner.jar", "ZIP/JAR archive", "nested_jars"), ("LICENSE", "unknown", ""), ("odd.qqq", "unknown", "unusual_files"), ("../up.txt", "unknown", "unsafe_paths")]
+
+
+@query(f"""
+SELECT p_partkey, ([{_quoted(e[2] for e in _ENTRY)}])[CAST(p_partkey % {len(_ENTRY)} + 1 AS INTEGER)] || CASE WHEN p_size > 40 THEN CASE WHEN p_partkey % {len(_ENTRY)} = 5 THEN '' ELSE ',' END || 'large_files' ELSE '' END AS kinds FROM part""")
+def entry_inventory(spark, sf_dir):
+    pick = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in _ENTRY]), (F.col("p_partkey") % len(_ENTRY) + 1).cast("int"))
+    size = F.when(F.col("p_size") > 40, 6 << 20).otherwise(10).cast("long")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit(0).alias("entry_seq"), pick(0).alias("name"), F.lit(False).alias("is_dir"), size.alias("size_bytes"), size.alias("compressed_bytes"), F.lit(0).alias("flag_bits"), pick(1).alias("magic"))
+    return rules.inventory(rows).select(F.col("archive_id").alias("p_partkey"), F.array_join("kinds", ",").alias("kinds"))
+
+
+_CLASS = [
+    (["java/net/Socket"], [], ["https://pastebin.com/x"], "network"), (["okhttp3/Call"], ["java/lang/Runtime#exec"], ["run.exe"], "exec_content,network,process_execution"),
+    ([], ["x/Y#defineClass", "java/util/Base64#getDecoder"], [], "base64,dynamic_loading"), ([], ["net/minecraft/S#getAccessToken"], ["powershell -w hidden"], "hidden_exec,session_token,shell"),
+    (["java/io/FileWriter"], [], ["WALLET.dat"], "file_write,sensitive_high"), ([], [], ["plain words"], ""),
+]
+
+
+@query(f"SELECT c_custkey, ([{_quoted(c[3] for c in _CLASS)}])[CAST(c_custkey % {len(_CLASS)} + 1 AS INTEGER)] AS tags, CASE WHEN c_custkey % {len(_CLASS)} = 0 THEN 'REVIEW' END AS url_severity FROM customer")
+def class_tags(spark, sf_dir):
+    at = (F.col("c_custkey") % len(_CLASS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.array(*map(F.lit, c[i])).cast("array<string>") for c in _CLASS]), at)
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit(0).alias("entry_seq"), F.lit("A.class").alias("entry_name"), F.lit("parsed").alias("status"), F.lit("A").alias("name"),
+        F.lit("java/lang/Object").alias("super_name"), F.lit(61).alias("major_version"), pick(0).alias("class_refs"), pick(1).alias("member_refs"), pick(2).alias("strings"),
+    )
+    return class_evidence(rows).select(F.col("archive_id").alias("c_custkey"), F.array_join("tags", ",").alias("tags"), F.get("rated_urls", F.lit(0))["v"]["severity"].alias("url_severity"))
+
+
+@query("SELECT CASE WHEN p_size + 30 >= 49 THEN 'Java ' || (p_size + 30 - 44) ELSE 'Java 1.' || (p_size + 30 - 44) END AS version, count(*) AS n FROM part GROUP BY 1")
+def class_versions(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(T.java_version_label(F.col("p_size") + 30).alias("version")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cmd.exe' WHEN 1 THEN '/bin/sh' WHEN 2 THEN 'curl' ELSE lower(p_type) END AS command FROM part""")
+def command_names(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    token = F.when(k == 0, ' "C:\\Tools\\CMD.EXE" ').when(k == 1, "'/bin/sh'").when(k == 2, "/usr/bin/curl").otherwise(F.concat(F.lit("dir/"), F.col("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.command_name(token, R.SHELL_COMMANDS).alias("command"))
