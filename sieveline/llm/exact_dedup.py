@@ -1,11 +1,12 @@
 """Operator 10 [native]: exact deduplication by sorting content.
 
-Normalised texts (A-Z lower-cased, null as empty) are range-partitioned by sampled splitters and sorted
-within their partitions, so that equal texts are adjacent; neighbours are compared in full.
+Normalised texts (A-Z lower-cased, null as empty) are range-partitioned by sampled splitters (over their
+first characters and a hash, so that the sample is small) and sorted within their partitions by these and
+by their whole content, so that equal texts are adjacent; neighbours are compared in full.
 
 A text that many rows share would put all of them into one range. Rows are therefore counted by a hash of
 the text first, and a text with more than 1/HOT of all rows (there are at most HOT of these) is
-ranged by (text, salt): its rows sort into SALTS separate runs, which a second, small pass joins again
+ranged with a salt as well: its rows sort into SALTS separate runs, which a second, small pass joins again
 by comparing the texts.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 HOT = 1000
 #: Rows that a text has at least before it is hot.
 LEAST = 100
+#: Characters of a text that splitters are sampled from, next to its hash: what reaches the driver stays short.
+LEAD = 24
 #: Runs that a hot text's rows are dealt to.
 SALTS = 64
 
@@ -42,17 +45,17 @@ def marked(documents: DataFrame, stays: str = "largest") -> DataFrame:
     total = documents.count()
     hot = counts.filter(F.col("c") > max(LEAST, total // HOT)).select("h", F.lit(True).alias("is_hot"))
     salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
-    dealt = keyed.join(F.broadcast(hot), "h", "left").select("doc_id", "norm", F.coalesce("is_hot", F.lit(False)).alias("is_hot"), salt.cast("int").alias("salt"))
-    # Range partitions by (norm, salt) already hold each run together: the window sorts and compares in place.
-    run = Window.partitionBy("norm", "salt")
-    ranged = dealt.repartitionByRange("norm", "salt")
+    dealt = keyed.join(F.broadcast(hot), "h", "left").select("doc_id", "norm", "h", F.substring("norm", 1, LEAD).alias("lead"), F.coalesce("is_hot", F.lit(False)).alias("is_hot"), salt.cast("int").alias("salt"))
+    # Range partitions by these already hold each run together: the window sorts and compares whole texts in place.
+    run = Window.partitionBy("lead", "h", "norm", "salt")
+    ranged = dealt.repartitionByRange("lead", "h", "salt")
     runs = ranged.select(
         "doc_id", "is_hot", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "norm",
         best("doc_id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"),
     )
     # A row for each run of a hot text: at most HOT * SALTS.
     whole = (
-        ranged.filter("is_hot").groupBy("norm", "salt").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        ranged.filter("is_hot").groupBy("lead", "h", "norm", "salt").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .groupBy("norm").agg(best("keep_id").alias("hot_keep"), F.sum("group_size").alias("hot_size"))
         .select(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "hot_keep", "hot_size")
     )
