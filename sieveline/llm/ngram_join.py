@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import sketch
-from sieveline.llm.common import checkpointed, chunks, ints, keep_ids, staged, text_buffers
+from sieveline.llm.common import BROADCAST_IDS, checkpointed, chunks, ints, keep_ids, staged, text_buffers
 from sieveline.llm.components import components
 from sieveline.llm.shingles import mix, shingle_sets
 
@@ -35,6 +35,8 @@ MOST = 4
 VERIFY = 16.0
 #: Rounds of stars before the remaining pairs across components are compared.
 STARS = 2
+#: Bits of the map of a set that rules most pairs out before whole sets are moved.
+MAP_BITS = 8192
 
 
 def _needed(n):
@@ -113,23 +115,60 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, sets in _sets(batch):
             ends = np.cumsum([0] + [len(s) for s in sets])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(sets)]), *map(pa.array, _key(sets)), tokens], ["doc", "key_a", "key_b", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(sets)]), *map(pa.array, _key(sets)), tokens], ["doc_id", "key_a", "key_b", "set"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b, na, nb), those that link. Each pair carries b's set; a's is joined to all its pairs at once."""
-    wanted = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    found = keep_ids(texts, wanted, "doc_id").select("doc_id", "text").mapInArrow(_whole, "doc long, key_a long, key_b long, set array<long>")
-    sets = staged(found.groupBy("doc").agg(F.max_by("set", F.struct(F.size("set"), "key_a", "key_b")).alias("set")), "sets")
-    held = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
-    held = held.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
-    return held.filter("9 * size(array_intersect(set_a, set_b)) >= 4 * (na + nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper: a bit map of each document's set, and how many shingles are over its set bits."""
+    for batch in batches:
+        ids = ints(batch.column(0))
+        for first, sets in _sets(batch):
+            maps, over = np.zeros((len(sets), MAP_BITS // 8), np.uint8), []
+            for k, s in enumerate(sets):
+                bits = np.zeros(MAP_BITS, np.uint8)
+                bits[(s & np.uint64(MAP_BITS - 1)).astype(np.int64)] = 1
+                maps[k] = np.packbits(bits)
+                over.append(len(s) - int(bits.sum()))
+            ends = pa.array(np.arange(len(sets) + 1) * (MAP_BITS // 64), pa.int32())
+            bits = pa.ListArray.from_arrays(ends, pa.array(maps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(sets)]), *map(pa.array, _key(sets)), bits, pa.array(over, pa.int64())], ["doc_id", "key_a", "key_b", "bits", "over"])
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, spare: DataFrame) -> DataFrame:
+    """Pairs whose bit maps allow a link: common shingles are no more than common bits and the shingles that share a bit."""
+    docs = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    found = keep_ids(texts, docs, "doc_id").mapInArrow(_maps, "doc_id long, key_a long, key_b long, bits array<long>, over long")
+    maps = checkpointed(keep_ids(found, spare, ["doc_id", "key_a"], "left_anti").select("doc_id", "bits", "over"))
+    side = lambda x: maps.withColumnsRenamed({"doc_id": x, "bits": f"bits_{x}", "over": f"over_{x}"})
+    common = "aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x & y)), 0, (n, x) -> n + x) + least(over_a, over_b)"
+    return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").filter(f"9 * ({common}) >= 4 * (na + nb)").select("a", "b", "na", "nb"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, spare: DataFrame) -> DataFrame:
+    """Of pairs (a, b, na, nb), those that link.
+
+    b's set goes to where a's is, once for each pair. The short rows of pairs and ids are broadcast to the
+    texts while they are few; beyond that the texts are shuffled to them.
+    """
+    pairs = _possible(pairs, texts, spare)
+    n = pairs.count()
+
+    def sets(of: DataFrame) -> DataFrame:
+        found = keep_ids(texts, of.select("doc_id").distinct(), "doc_id", rows=n).mapInArrow(_whole, "doc_id long, key_a long, key_b long, set array<long>")
+        return keep_ids(found, spare, ["doc_id", "key_a"], "left_anti").join(F.broadcast(of) if n <= BROADCAST_IDS else of, "doc_id")
+
+    left = sets(pairs.select(F.col("a").alias("doc_id")).distinct()).select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
+    right = sets(pairs.withColumnRenamed("b", "doc_id")).select("a", F.col("doc_id").alias("b"), "na", "nb", F.col("set").alias("set_b"))
+    held = right.join(left, "a").filter("9 * size(array_intersect(set_a, set_b)) >= 4 * (na + nb)")
+    return held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 #: Of rows x and y on one shared prefix shingle: their sizes allow a link, and so do the shingles around
-#: it. Before it, only prefix shingles that some other document shares (r of them) can be common.
+#: it. Before it, only prefix shingles that some other document shares (r of them) can be common. A pair is
+#: counted on its first l common shingles alone, so for counting less than l of them lie before.
 _FEASIBLE = """5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
-  and 9 * (least(x.r, y.r) + 1 + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= 4 * (x.n + y.n)"""
+  and 9 * (least(x.r, y.r{counted}) + 1 + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= 4 * (x.n + y.n)"""
+_STAR, _COUNTED = _FEASIBLE.format(counted=""), _FEASIBLE.format(counted=", least(x.l, y.l) - 1")
 
 
 def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,36 +189,37 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = Window.partitionBy("token")
     shared = entries.withColumns({"low": F.min("doc").over(of), "high": F.max("doc").over(of)}).filter("low < high").drop("low", "high")
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1
-    shared = checkpointed(shared.dropDuplicates(["doc", "token"]).withColumn("r", rank).withColumn("level", F.expr("greatest(1, pos + 1 - (n - (4 * n + 4) div 5))")))
-
-    edges, open_rows = None, shared.withColumn("comp", F.col("doc"))
+    ranked = shared.dropDuplicates(["doc", "token"]).withColumn("r", rank).withColumn("level", F.expr("greatest(1, pos + 1 - (n - (4 * n + 4) div 5))"))
+    open_rows = checkpointed(ranked.withColumns({"comp": F.col("doc"), "tried": F.lit(False)}))
+    edges = checkpointed(open_rows.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0))
     for _ in range(STARS):
-        # The centre has the fewest prefix shingles of its own; of later rounds, one outside the largest centre's component.
-        central = F.struct((-(F.col("pos") - F.col("r")) / F.col("n")).alias("c"), (-F.col("doc")).alias("d"))
-        centres = open_rows.groupBy("token").agg(F.max_by(F.struct("doc", "n", "pos", "r", "comp"), central).alias("y"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token", "y.*")
-        star = open_rows.alias("x").join(centres.alias("y"), "token").filter("x.doc <> y.doc and x.comp <> y.comp").filter(_FEASIBLE)
+        # The centre has the fewest prefix shingles of its own, among components that had no centre at this shingle.
+        central = F.struct((~F.col("tried")).alias("new"), (-(F.col("pos") - F.col("r")) / F.col("n")).alias("c"), (-F.col("doc")).alias("d"))
+        centred = open_rows.withColumn("y", F.max_by(F.struct("doc", "n", "pos", "r", "comp", "tried"), central).over(of))
+        star = centred.select("y", F.struct("doc", "n", "pos", "r", "comp").alias("x")).filter("not y.tried and x.doc <> y.doc and x.comp <> y.comp").filter(_STAR)
         pairs = checkpointed(star.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb")).distinct())
-        edges, open_rows = _joined(edges, pairs, texts, open_rows)
+        if pairs.isEmpty():
+            break
+        edges = checkpointed(edges.union(_verified(pairs, texts, spare)))
+        open_rows = _still_open(centred, edges)
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, "token").filter("x.doc < y.doc and x.comp <> y.comp and greatest(x.level, y.level) <= least(x.l, y.l)").filter(_FEASIBLE)
+    cross = x.join(y, "token").filter("x.doc < y.doc and x.comp <> y.comp and greatest(x.level, y.level) <= least(x.l, y.l)").filter(_COUNTED)
     cross = cross.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.first(F.least("x.l", "y.l")).alias("asked"), F.count("*").alias("met"))
-    edges, _ = _joined(edges, checkpointed(cross.filter("met >= asked").drop("asked", "met")), texts, None)
+    pairs = checkpointed(cross.filter("met >= asked").drop("asked", "met"))
+    if not pairs.isEmpty():
+        edges = checkpointed(edges.union(_verified(pairs, texts, spare)))
     return named, edges
 
 
-def _joined(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, rows: DataFrame | None):
-    """edges with the links among pairs, and rows of shingles that still meet several components."""
-    if not pairs.isEmpty():
-        new = _verified(pairs, texts)
-        edges = checkpointed(new if edges is None else edges.union(new))
-    elif edges is None:
-        edges = pairs.select("a", "b")
-    if rows is None:
-        return edges, None
-    of = components(edges)
-    rows = rows.drop("comp").join(of.withColumnsRenamed({"node": "doc", "root": "comp"}), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    several = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token")
-    return edges, checkpointed(rows.join(several, "token", "left_semi"))
+def _still_open(centred: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with their new components, those of centres marked as tried, on shingles that still meet several components."""
+    placed = checkpointed(components(edges).withColumnsRenamed({"node": "doc", "root": "comp"}))
+    placed = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
+    rows = centred.withColumn("centre", F.col("y.doc")).drop("y", "comp").join(placed, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    of = Window.partitionBy("token")
+    own = F.max(F.when(F.col("doc") == F.col("centre"), F.col("comp"))).over(of)
+    rows = rows.withColumns({"tried": F.col("tried") | (F.col("comp") == own), "least": F.min("comp").over(of), "most": F.max("comp").over(of)})
+    return checkpointed(rows.filter("least < most").drop("least", "most", "centre"))
 
 
 def near_groups(documents: DataFrame) -> DataFrame:

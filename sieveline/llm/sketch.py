@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: log2 of the number of counters; as one byte each they are a broadcast of 2 MB.
-BITS = 21
+#: log2 of the number of counters; as one byte each they are a broadcast of 4 MB.
+BITS = 22
 _SLICES = 64
 
 
@@ -36,16 +36,19 @@ def counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
                 else:
                     total += np.bincount(slots(h, bits), minlength=1 << bits)
         if any_row:
-            for k in range(_SLICES):
-                part = total[k * size : (k + 1) * size]
-                if part.any():
-                    yield _row(k, np.minimum(part, 2**32 - 1).astype(np.uint32))
+            # Two bytes a counter: what is over goes into further rows of the same slice.
+            while total.any():
+                part = np.minimum(total, 2**16 - 1)
+                total -= part
+                for k in range(_SLICES):
+                    if part[k * size : (k + 1) * size].any():
+                        yield _row(k, part[k * size : (k + 1) * size].astype(np.uint16))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(part, np.uint32).astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(part, np.uint16 if len(part) == 2 * size else np.uint32).astype(np.int64)
         for k, part in total.items():
             yield _row(k, np.minimum(part, 2**32 - 1).astype(np.uint32))
 
