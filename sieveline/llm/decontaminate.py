@@ -2,7 +2,7 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders, other words are lower-cased
 without the signs around them. Windows of WIDTH template words are hashed and joined with those of the
-benchmark; an item of fewer words is one window. A match counts when its windows bind slots
+benchmark; an item of fewer words (LITERAL at least) is one window. A match counts when its windows bind slots
 consistently: through all windows a document shares with an item, one value of the item's slot may stand
 for only one value in the document. So a question with other numbers or names is found, and a chance meeting of
 placeholders is not. Windows of fewer than LITERAL plain words say too little and are not used.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import sketch
 from sieveline.llm.common import checkpointed, chunks, ints, keep_ids, text_buffers
-from sieveline.llm.shingles import mix
+from sieveline.llm.shingles import mix, stretch_hashes, word_spans
 
 WIDTH, LITERAL = 8, 5
 #: log2 of the bits that filter windows before the join: a broadcast of 512 KB.
@@ -37,48 +37,63 @@ SHARE, SEEN = 0.5, 3
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec secs min mins h hr hrs day days week weeks month months year years hour hours minute minutes second seconds mile miles meter meters metre metres inch inches foot feet dollar dollars cent cents euro euros percent mph kmh kph usd eur gbp watt watts volt volts".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
 _ENDS = re.compile(r"[.!?:]['\")\]]*$")
-REMEMBERED = 500_000
+_SIGNS = ".,;:!?\"'()[]{}<>*_#&|~`…“”‘’"
+#: Tokens that a Python worker remembers before it starts anew.
+REMEMBERED = 4_000_000
 _PLACE = np.random.default_rng(99).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 #: Kinds of template words.
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
-_KIND_HASH = {NUMBER: 0x6E756D, NAME: 0x6E616D65, UNIT: 0x756E6974}
+_KIND_HASH = {NUMBER: 0x6E756D, NAME: 0x6E616D65, UNIT: 0x756E6974, -1: 1}
 
 
 class Templates:
-    """Template words of texts as hashes, kinds and surface values; tokens met before are remembered."""
+    """Template words of texts as hashes and kinds. What a token gives is remembered under 64 bits of its content, in sorted arrays."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-        self.hash, self.name_hash, self.kind, self.ends, self.title, self.value = [], [], [], [], [], []
-
-    def _add(self, token: str) -> None:
-        core = token.strip(".,;:!?\"'()[]{}<>*_#&|~`…“”‘’")
-        low = core.lower()
-        kind = NUMBER if _NUMBER.match(core) else UNIT if low in UNITS else WORD
-        own = int.from_bytes(low.encode("utf-8", "surrogatepass")[-8:], "little") if len(low) <= 8 and low.isascii() else hash_text(low)
-        self.known[token] = len(self.hash)
-        self.hash.append(_KIND_HASH.get(kind, own * 2 + 1) & (2**64 - 1))
-        self.kind.append(kind if core else -1)
-        self.title.append(kind == WORD and len(core) > 1 and core[0].isupper() and core[1:].islower())
-        self.ends.append(bool(_ENDS.search(token)) or not core)
-        self.value.append(low)
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(hash, kind, value) of each template word. A title-case word is a name unless it opens a sentence."""
-        if len(self.known) > REMEMBERED:
+        self.keys = np.zeros(0, np.uint64)
+        self.hash, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.title, self.ends = np.zeros(0, bool), np.zeros(0, bool)
+
+    def _learn(self, keys: np.ndarray, tokens: list[str]) -> None:
+        cores = [t.strip(_SIGNS) for t in tokens]
+        kind = [(NUMBER if _NUMBER.match(c) else UNIT if c.lower() in UNITS else WORD) if c else -1 for c in cores]
+        own = [_KIND_HASH.get(k) or hash_text(c.lower()) for k, c in zip(kind, cores)]
+        title = [k == WORD and len(c) > 1 and c[0].isupper() and c[1:].islower() for k, c in zip(kind, cores)]
+        ends = [not c or bool(_ENDS.search(t)) for t, c in zip(tokens, cores)]
+        at = np.searchsorted(self.keys, keys)
+        put = lambda old, new: np.insert(old, at, np.array(new, old.dtype))
+        self.hash, self.kind, self.title, self.ends = put(self.hash, own), put(self.kind, kind), put(self.title, title), put(self.ends, ends)
+        self.keys = np.insert(self.keys, at, keys)
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray):
+        """(hashes, kinds, first template word of each text, text of a template word) for texts raw[offsets[i]:offsets[i+1]].
+
+        A title-case word is a name unless it opens a sentence.
+        """
+        if len(self.keys) > REMEMBERED:
             self.__init__()
-        tokens = text.split()
-        for t in set(tokens) - self.known.keys():
-            self._add(t)
-        rows = [self.known[t] for t in tokens]
-        kind = np.array([self.kind[r] for r in rows], np.int8)
-        full = np.flatnonzero(kind >= 0)
-        ends = np.array([True] + [self.ends[r] for r in rows], bool)[:-1]
-        name = np.array([self.title[r] for r in rows], bool) & ~ends
+        low = int(offsets[0])
+        data, at = raw[low : int(offsets[-1])], offsets - low
+        start, end = word_spans(data, at)
+        keys = stretch_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)
+        unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        token = lambda k: data[start[k] : end[k]].tobytes().decode("utf-8", "replace")
+        if len(new):
+            self._learn(unique[new], [token(k) for k in where[new].tolist()])
+            place = np.searchsorted(self.keys, unique)
+        row = place[inverse]
+        kind, first = self.kind[row], np.searchsorted(start, at)
+        opens = np.ones(len(row), bool)
+        opens[1:] = self.ends[row][:-1]
+        opens[first[:-1][first[:-1] < len(row)]] = True
+        name = self.title[row] & ~opens
         kind[name] = NAME
-        hashes = np.array([self.hash[r] for r in rows], np.uint64)
+        hashes = self.hash[row]
         hashes[name] = _KIND_HASH[NAME]
-        return mix(hashes[full]), kind[full], [self.value[rows[k]] for k in full.tolist()] if len(full) < len(rows) else [self.value[r] for r in rows]
+        full = np.flatnonzero(kind >= 0)
+        return mix(hashes[full]), kind[full], np.searchsorted(full, first), lambda k: token(full[k]).strip(_SIGNS).lower()
 
 
 def hash_text(text: str) -> int:
@@ -87,23 +102,18 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def template_windows(hashes: np.ndarray, kinds: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash, first word) of usable windows, and their width. whole: a shorter text is one window."""
-    width = min(WIDTH, len(hashes)) if whole else WIDTH
+def template_windows(hashes: np.ndarray, kinds: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, text) of the usable windows of `width` template words that lie within one text."""
     n = len(hashes) - width + 1
-    if n < 1 or not width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), width
-    rolled = np.zeros(n, np.uint64)
-    plain = np.zeros(n, np.int64)
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rolled, plain = np.zeros(n, np.uint64), np.zeros(n, np.int8)
     for j in range(width):
         rolled += hashes[j : j + n] * _PLACE[j]
         plain += kinds[j : j + n] == WORD
-    at = np.flatnonzero(plain >= min(LITERAL, width))
-    return mix(rolled[at] + np.uint64(width)), at, width
-
-
-def _slots(kinds: np.ndarray, values: list[str], at: int, width: int) -> str:
-    return "\x1f".join(f"{kinds[k]}{values[k]}" for k in range(at, at + width) if kinds[k] > 0)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+    at = np.flatnonzero((plain >= min(LITERAL, width)) & (np.arange(n) + width <= first[owner + 1]))
+    return mix(rolled[at] + np.uint64(width)), at, owner[at]
 
 
 def _windows(bits: np.ndarray | None, widths: list[int]):
@@ -113,51 +123,37 @@ def _windows(bits: np.ndarray | None, widths: list[int]):
         template = Templates()
         for batch in batches:
             ids = ints(batch.column(0))
-            _, offsets = text_buffers(batch.column(1))
-            column = batch.column(1).fill_null("")
+            raw, offsets = text_buffers(batch.column(1))
             for a, b in chunks(offsets):
-                out: tuple[list, list, list] = ([], [], [])
-                for i, text in zip(ids[a:b].tolist(), column.slice(a, b - a).to_pylist()):
-                    hashes, kinds, values = template(text)
-                    for short in [None, *widths] if bits is not None else [None]:
-                        h, at, width = template_windows(hashes, kinds, bits is None) if short is None else _short(hashes, kinds, short)
-                        if bits is not None and len(h):
-                            passed = np.flatnonzero(bits[sketch.slots(h, FILTER_BITS)])
-                            h, at = h[passed], at[passed]
-                        if len(h):
-                            out[0].extend([i] * len(h))
-                            out[1].extend(h.view(np.int64).tolist())
-                            out[2].extend(_slots(kinds, values, k, width) for k in at.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["id", "hash", "slots"])
+                hashes, kinds, first, value = template(raw, offsets[a : b + 1])
+                found: list[tuple] = []
+                for width in widths:
+                    h, at, text = template_windows(hashes, kinds, first, width)
+                    if bits is None:
+                        # An item of fewer words than WIDTH is one window of its own width.
+                        size = np.diff(first)[text]
+                        keep = np.flatnonzero((size >= WIDTH) if width == WIDTH else (size == width))
+                    else:
+                        keep = np.flatnonzero(bits[sketch.slots(h, FILTER_BITS)])
+                    slots = ["\x1f".join(f"{kinds[k]}{value(k)}" for k in range(x, x + width) if kinds[k] > 0) for x in at[keep].tolist()]
+                    found.append((h[keep].view(np.int64), ids[a:b][text[keep]], slots, np.full(len(keep), width, np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array([x for f in found for x in f[2]], pa.string()), pa.array(np.concatenate([f[3] for f in found]))], ["id", "hash", "slots", "width"]
+                )
 
     return run
 
 
-def _short(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Windows of fewer than WIDTH words: for items that are shorter themselves."""
-    n = len(hashes) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), width
-    rolled = np.zeros(n, np.uint64)
-    plain = np.zeros(n, np.int64)
-    for j in range(width):
-        rolled += hashes[j : j + n] * _PLACE[j]
-        plain += kinds[j : j + n] == WORD
-    at = np.flatnonzero(plain >= min(LITERAL, width))
-    return mix(rolled[at] + np.uint64(width)), at, width
-
-
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item found), share (of its usable windows) for each document that holds an item."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    own = checkpointed(items.mapInArrow(_windows(None, []), "id long, hash long, slots string").withColumnsRenamed({"id": "item_id", "slots": "item_slots"}).distinct())
+    own = checkpointed(items.mapInArrow(_windows(None, list(range(LITERAL, WIDTH + 1))), "id long, hash long, slots string, width int").withColumnsRenamed({"id": "item_id", "slots": "item_slots"}).distinct())
     counted = sketch.counted(own.select("hash"), lambda batch: iter([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), FILTER_BITS)
-    # Items shorter than WIDTH words are looked for by windows of their own width.
-    short = items.select(F.size(F.split(F.trim("text"), r"\s+")).alias("w")).filter(f"w < {WIDTH + 4}").agg(F.min("w")).first()[0]
-    widths = [] if short is None else list(range(LITERAL, WIDTH))
+    # Only widths that some item has are looked for.
+    widths = sorted(r["width"] for r in own.select("width").distinct().collect())
     docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(_windows(counted > 0, widths), "id long, hash long, slots string").withColumnsRenamed({"id": "doc_id", "slots": "doc_slots"}).distinct()
-    met = found.join(own, "hash")
+    found = docs.mapInArrow(_windows(counted > 0, widths), "id long, hash long, slots string, width int").withColumnsRenamed({"id": "doc_id", "slots": "doc_slots"}).drop("width").distinct()
+    met = checkpointed(found.join(own, "hash"))
     # One value of an item's slot stands for one value in the document, and the other way round.
     pairs = met.withColumn("bound", F.explode_outer(F.arrays_zip(F.split("item_slots", "\x1f").alias("i"), F.split("doc_slots", "\x1f").alias("d"))))
     by_window = pairs.groupBy("doc_id", "item_id", "hash").agg(F.collect_set("bound").alias("bound"))

@@ -47,13 +47,11 @@ def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each text's first word) for texts raw[offsets[i]:offsets[i+1]]; the index has one entry more."""
-    low, high = int(offsets[0]), int(offsets[-1])
-    data, at = raw[low:high], offsets - low
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of texts data[at[i]:at[i+1]]."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     full = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -61,10 +59,19 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first[1:] &= ~full[:-1] | edge[1:n]
     last = full.copy()
     last[:-1] &= ~full[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=total[1:])
-    hashes = mix((total[end] - total[start]) * _powers(_INVERSE, n)[start] + (end - start).astype(np.uint64))
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of each text's first word) for texts raw[offsets[i]:offsets[i+1]]; the index has one entry more."""
+    low, high = int(offsets[0]), int(offsets[-1])
+    data, at = raw[low:high], offsets - low
+    start, end = word_spans(data, at)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=total[1:])
+    hashes = mix((total[end] - total[start]) * _powers(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
     return hashes, np.searchsorted(start, at)
 
 
@@ -85,17 +92,3 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> li
         else:
             found.append(np.zeros(0, np.uint64))
     return found
-
-
-def windows(token: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text index) helper for fixed windows over token hashes: hashes of every position and which positions stay within one text."""
-    n = len(token)
-    if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rolled = np.zeros(n - width + 1, np.uint64)
-    for j in range(width):
-        rolled += token[j : n - width + 1 + j] * _PLACE[j]
-    owner = np.searchsorted(at, np.arange(n - width + 1), side="right") - 1
-    fits = np.arange(n - width + 1) + width <= at[owner + 1]
-    position = np.flatnonzero(fits)
-    return mix(rolled[position]), position
