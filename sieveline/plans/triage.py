@@ -42,7 +42,8 @@ def decoded(files: DataFrame, limits: Limits = Limits(), folder: str | None = No
     archives.read_archives(files, limits).write.parquet(f"{folder}/read")
     read = spark.read.parquet(f"{folder}/read")
     archives.classes(read).write.parquet(f"{folder}/classes")
-    return Tables(files, archives.nodes(read), archives.entries(read), spark.read.parquet(f"{folder}/classes"), descriptors.mods(read), descriptors.manifest(read), folder)
+    manifest = descriptors.manifest(read)
+    return Tables(files, archives.nodes(read), archives.entries(read), spark.read.parquet(f"{folder}/classes"), descriptors.with_versions(descriptors.mods(read), manifest), manifest, folder)
 
 
 def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:

@@ -87,3 +87,29 @@ def mods(read: DataFrame) -> DataFrame:
         F.filter(F.array(field("author")), lambda x: x.isNotNull()).alias("authors"), F.filter(F.array(field("main")), lambda x: x.isNotNull()).alias("entry_points"),
     )
     return declared.unionByName(yaml)
+
+
+def with_versions(mods: DataFrame, manifest_of: DataFrame) -> DataFrame:
+    """mods whose version names the build's placeholder take the manifest's Implementation-Version, where there is one."""
+    own = manifest_of.filter("key = 'Implementation-Version'").select(*NODE, F.col("value").alias("built"))
+    placed = F.contains("version", F.lit("${file.jarVersion}")) & F.col("built").isNotNull()
+    return mods.join(own, NODE, "left").withColumn("version", F.when(placed, F.col("built")).otherwise(F.col("version"))).drop("built")
+
+
+def loaders(nodes: DataFrame, mods: DataFrame, manifest_of: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, loader: the one that descriptors name, several of them, or what the manifest or the classes suggest."""
+    seen = mods.groupBy(*NODE, "loader").agg(F.min(F.struct("source_order", "mod_seq")).alias("first"))
+    named = seen.groupBy(*NODE).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "loader"))), lambda x: x["loader"]).alias("names"))
+    core = manifest_of.filter("key = 'FMLCorePlugin'").select(*NODE, F.lit(True).alias("core")).distinct()
+    game = F.exists("class_refs", lambda r: r.startswith("net/minecraft/") | r.startswith("com/mojang/"))
+    held = classes.groupBy(*NODE).agg(F.bool_or(F.coalesce(game, F.lit(False))).alias("game"))
+    rows = nodes.select(*NODE).join(named, NODE, "left").join(core, NODE, "left").join(held, NODE, "left")
+    loader = (
+        F.when(F.size("names") == 1, F.col("names")[0])
+        .when(F.size("names") > 1, F.concat(F.lit("Multi-loader ("), F.array_join("names", ", "), F.lit(")")))
+        .when(F.col("core"), "Forge")
+        .when(F.col("game"), "unknown (game code)")
+        .when(F.col("game").isNotNull(), "unknown (Java classes)")
+        .otherwise("unknown")
+    )
+    return rows.select(*NODE, loader.alias("loader"))

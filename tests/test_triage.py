@@ -11,6 +11,7 @@ from sieveline.limits import Limits
 from sieveline.plans.evidence import class_evidence
 from sieveline.plans.triage import decoded, findings_of, triage
 from sieveline.sources import archives
+from sieveline.sources.descriptors import loaders, with_versions
 from sieveline.sources.hash_list import as_document, read_hash_list, removed, upserted
 from sieveline.sources.reports import as_text, documents, write_report
 from sieveline.streaming.watch import watch
@@ -173,3 +174,16 @@ def test_folder_reports_and_stream(spark, tmp_path):
     q = watch(spark, str(drop), str(tmp_path / "stream"), str(tmp_path / "cp"), once=True)
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "stream")).filter(F.col("rule_id") == "combo.downloader").count() == 1
+
+
+def test_loaders_and_versions(spark):
+    named = {
+        "one": jar({"fabric.mod.json": FABRIC}), "two": jar({"quilt.mod.json": json.dumps({"quilt_loader": {"id": "q", "version": "2"}}), "fabric.mod.json": FABRIC}),
+        "core": jar({"META-INF/MANIFEST.MF": "FMLCorePlugin: x.Y\n"}), "game": jar({"A.class": class_bytes("A", refs=["net/minecraft/X"])}), "java": jar({"A.class": class_bytes("A")}), "none": jar({"x.txt": "y"}),
+        "built": jar({"META-INF/MANIFEST.MF": "Implementation-Version: 7.1\n", "META-INF/mods.toml": '[[mods]]\nmodId="m"\nversion="${file.jarVersion}"\n'}), "plug": jar({"plugin.yml": "name: 'P'\nversion: 3.0\nmain: a.B\nauthor: me\n"}),
+    }
+    t = decoded(files(spark, named))
+    got = {r.archive_id: r.loader for r in loaders(t.nodes, t.mods, t.manifest, t.classes).collect()}
+    assert got == {"one": "Fabric", "two": "Multi-loader (Fabric, Quilt)", "core": "Forge", "game": "unknown (game code)", "java": "unknown (Java classes)", "none": "unknown", "built": "Forge", "plug": "Bukkit"}
+    versions = {(r.archive_id, r.mod_id): r.version for r in with_versions(t.mods, t.manifest).collect()}
+    assert versions["built", "m"] == "7.1" and versions["plug", "P"] == "3.0" and versions["two", "q"] == "2"
