@@ -2,10 +2,10 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders, other words are lower-cased
 without the signs around them. Windows of WIDTH template words are hashed and joined with those of the
-benchmark; an item of fewer words (LITERAL at least) is one window. A match counts when its windows bind slots
-consistently: through all windows a document shares with an item, one value of the item's slot may stand
-for only one value in the document. So a question with other numbers or names is found, and a chance meeting of
-placeholders is not. Windows of fewer than LITERAL plain words say too little and are not used.
+benchmark; an item of fewer words (LITERAL at least) is one window. Windows carry their places in document and item,
+so that occurrences of an item are told apart, and windows count as far as they bind slots consistently within an
+occurrence: one value of the item's slots may stand for only one value there. So a question with other numbers or names
+is found, also beside further copies, and a chance meeting of placeholders is not. Windows of fewer than LITERAL plain words say too little and are not used.
 
 Before the join a bit table of fixed size, filled from the benchmark's hashes, drops windows that
 cannot match; it loses no match, and the join compares hashes in full and templates by slots.
@@ -117,52 +117,107 @@ def template_windows(hashes: np.ndarray, kinds: np.ndarray, first: np.ndarray, w
 
 
 def _windows(bits: np.ndarray | None, widths: list[int]):
-    """Mapper over (id, text): id, hash and slots of usable windows; of documents (bits given) those that the bit table lets pass."""
+    """Mapper over (id, row, text): usable windows with their place; of documents (bits given) those that the bit table lets pass, of items with the item's size and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Templates()
         for batch in batches:
-            ids = ints(batch.column(0))
-            raw, offsets = text_buffers(batch.column(1))
+            ids, keys = ints(batch.column(0)), ints(batch.column(1))
+            raw, offsets = text_buffers(batch.column(2))
             for a, b in chunks(offsets):
                 hashes, kinds, first, value = template(raw, offsets[a : b + 1])
                 found: list[tuple] = []
                 for width in widths:
                     h, at, text = template_windows(hashes, kinds, first, width)
+                    size = np.diff(first)[text]
                     if bits is None:
                         # An item of fewer words than WIDTH is one window of its own width.
-                        size = np.diff(first)[text]
                         keep = np.flatnonzero((size >= WIDTH) if width == WIDTH else (size == width))
                     else:
                         keep = np.flatnonzero(bits[sketch.slots(h, FILTER_BITS)])
                     slots = ["\x1f".join(f"{kinds[k]}{value(k)}" for k in range(x, x + width) if kinds[k] > 0) for x in at[keep].tolist()]
-                    found.append((h[keep].view(np.int64), ids[a:b][text[keep]], slots, np.full(len(keep), width, np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array([x for f in found for x in f[2]], pa.string()), pa.array(np.concatenate([f[3] for f in found]))], ["id", "hash", "slots", "width"]
-                )
+                    text = text[keep]
+                    found.append((ids[a:b][text], keys[a:b][text], h[keep].view(np.int64), at[keep] - first[text], slots, np.full(len(keep), width, np.int32), size[keep], np.bincount(text, minlength=b - a)[text]))
+                cells = [[x for f in found for x in f[4]] if k == 4 else np.concatenate([f[k] for f in found]) for k in range(8)]
+                cells = cells if bits is None else cells[:5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if k == 4 else pa.array(c) for k, c in enumerate(cells)], ["id", "row", "hash", "at", "slots", "width", "size", "usable"][: len(cells)])
 
     return run
 
 
+def _consistent(bound: list[tuple], place: np.ndarray, rows: np.ndarray, strict: bool) -> np.ndarray:
+    """The matches among rows that bind each value of an item to one value of the document: that with the most windows. strict: all of rows, or none."""
+    rows = np.array([r for r in rows.tolist() if len(dict(bound[r])) == len(set(bound[r]))] if not strict else rows, np.int64)
+    settled: set[str] = set()
+    while True:
+        means: dict[str, dict[str, set[int]]] = {}
+        for r in rows.tolist():
+            for i, d in bound[r]:
+                means.setdefault(i, {}).setdefault(d, set()).add(int(place[r]))
+        open_ = [i for i, ds in means.items() if len(ds) > 1 and i not in settled]
+        if not open_:
+            return rows
+        if strict:
+            return rows[:0]
+        i = max(open_, key=lambda i: (len(set().union(*means[i].values())), i))
+        d = max(means[i], key=lambda d: (len(means[i][d]), d))
+        settled.add(i)
+        rows = np.array([r for r in rows.tolist() if all(x != i or y == d for x, y in bound[r])], np.int64)
+
+
+def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots: list[str], size: int, usable: int) -> tuple[int, float] | None:
+    """(windows found, share) of one item in one text by its matching windows; None if the text does not hold it.
+
+    Document place minus item place tells occurrences apart. Matches are judged together over the whole text (where no
+    slot may clash), over stretches in which less than an item's size was put in or left out, and for each alignment.
+    """
+    pair = dict.fromkeys(zip(item_slots, doc_slots))
+    pair = {k: tuple(sorted({(i, d) for i, d in zip(k[0].split("\x1f"), k[1].split("\x1f")) if i})) for k in pair}
+    bound = [pair[k] for k in zip(item_slots, doc_slots)]
+
+    def held(rows: np.ndarray) -> tuple[float, int] | None:
+        n = len(np.unique(item_at[rows]))
+        return (n / usable, n) if n / usable >= SHARE and (n >= SEEN or n == usable) else None
+
+    every = np.arange(len(at))
+    if held(every) is None:
+        return None
+    best = held(_consistent(bound, item_at, every, True))
+    if best is None:
+        align = at - item_at
+        for key in (align // size, (align + size // 2) // size, align):
+            order = np.argsort(key, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                if held(rows) is not None and (own := held(_consistent(bound, item_at, rows, False))) is not None:
+                    best = max(best or own, own)
+    return best and (best[1], best[0])
+
+
+def _judge(met: pa.Table) -> pa.Table:
+    """judged() for the matches of one text and one item."""
+    cell = lambda name: met.column(name)[0].as_py()
+    numbers = lambda name: met.column(name).to_numpy()
+    got = judged(numbers("at"), numbers("item_at"), met.column("slots").to_pylist(), met.column("item_slots").to_pylist(), cell("size"), cell("usable"))
+    rows = [] if got is None else [{"doc_id": cell("doc_id"), "item_id": cell("item_id"), "n_windows": got[0], "share": got[1]}]
+    return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("share", pa.float64())]))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item found), share (of its usable windows) for each document that holds an item."""
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    own = checkpointed(items.mapInArrow(_windows(None, list(range(LITERAL, WIDTH + 1))), "id long, hash long, slots string, width int").withColumnsRenamed({"id": "item_id", "slots": "item_slots"}).distinct())
+    # Rows are told apart by a hash of their text, as places count within one text.
+    rows = lambda df, key: df.filter(f"{key} is not null").select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+    place = "id long, row long, hash long, at long, slots string"
+    items = rows(benchmark, "item_id").mapInArrow(_windows(None, list(range(LITERAL, WIDTH + 1))), f"{place}, width int, size long, usable long")
+    own = checkpointed(items.withColumnsRenamed({"id": "item_id", "row": "item_row", "at": "item_at", "slots": "item_slots"}).distinct())
     counted = sketch.counted(own.select("hash"), lambda batch: iter([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), FILTER_BITS)
     # Only widths that some item has are looked for.
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())
-    docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(_windows(counted > 0, widths), "id long, hash long, slots string, width int").withColumnsRenamed({"id": "doc_id", "slots": "doc_slots"}).drop("width").distinct()
-    met = checkpointed(found.join(own, "hash"))
-    # One value of an item's slot stands for one value in the document, and the other way round.
-    pairs = met.withColumn("bound", F.explode_outer(F.arrays_zip(F.split("item_slots", "\x1f").alias("i"), F.split("doc_slots", "\x1f").alias("d"))))
-    by_window = pairs.groupBy("doc_id", "item_id", "hash").agg(F.collect_set("bound").alias("bound"))
-    clash = pairs.filter("bound.i <> ''").groupBy("doc_id", "item_id", F.col("bound.i").alias("i")).agg(F.count_distinct("bound.d").alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.count("*").alias("slots"))
-    usable = own.groupBy("item_id").agg(F.count_distinct("hash").alias("usable"))
-    share = by_window.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows")).join(usable, "item_id")
-    held = share.join(clash, ["doc_id", "item_id"], "left").filter("coalesce(n, 1) <= 1")
-    enough = held.withColumn("share", F.col("n_windows") / F.col("usable")).filter(f"share >= {SHARE} and (n_windows >= {SEEN} or n_windows = usable)")
-    return enough.select("doc_id", "item_id", "n_windows", "share")
+    if not widths:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, share double")
+    found = rows(documents, "doc_id").mapInArrow(_windows(counted > 0, widths), place).withColumnRenamed("id", "doc_id").distinct()
+    met = found.join(own, "hash")
+    held = met.groupBy("doc_id", "row", "item_id", "item_row").applyInArrow(_judge, "doc_id long, item_id long, n_windows long, share double")
+    return held.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "n_windows")).alias("best")).select("doc_id", "item_id", "best.n_windows", "best.share")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -215,3 +215,24 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(1, same.format(5, 5, 5, 5), None, None, None), (2, same.format(5, 6, 7, 8), None, None, None)], SCHEMA)
     assert [r.doc_id for r in decontaminate.leaks(df, clash).collect()] == [1]
     assert decontaminate.leaks(df.limit(0), clash).count() == 0 == decontaminate.leaks(df, clash.limit(0)).count()
+
+
+def test_decontamination_of_several_occurrences(spark):
+    rng = random.Random(16)
+    item = "Ana buys 12 apples for 3 dollars each and then sells half of them to Bob on the market at noon today"
+    noise = words(rng, SYLLABLES["aa"], 20)
+    again = item.replace("12", "97").replace("Bob", "Zed")
+    put_in = " ".join([*item.split()[:11], noise.split()[0], *item.split()[11:]])
+    texts = {
+        1: f"{noise}. {item}. {again}",
+        2: f"{noise}. {item}. {noise}. {' '.join(again.split()[:9])}",
+        3: f"{noise}. {put_in}. {noise}. {put_in.replace('12', '31')}",
+        4: f"{noise}. {item.replace('12', '97')}",
+        5: f"{noise}. {' '.join(item.split()[:12])}",
+        6: noise,
+    }
+    bench = spark.createDataFrame([(1, item), (2, again)], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(i, k) for i in (1, 2, 3, 4) for k in (1, 2)]
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [5, 6]
