@@ -2,16 +2,18 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders, other words are lower-cased
 without the signs around them. Windows of WIDTH template words are hashed and joined with those of the
-benchmark; an item of fewer words (LITERAL at least) is one window. Windows carry their places in document and item,
+benchmark; an item of fewer words is one window. Windows carry their places in document and item,
 so that occurrences of an item are told apart, and windows count as far as they bind slots consistently within an
 occurrence: one value of the item's slots may stand for only one value there. So a question with other numbers or names
-is found, also beside further copies, and a chance meeting of placeholders is not. Windows of fewer than LITERAL plain words say too little and are not used.
+is found, also beside further copies, and a chance meeting of placeholders is not. Windows of fewer than LITERAL plain words say too little as
+templates; they are hashed with the values of their slots and found as exact copies. An item is held where half of its
+templates or of all its windows are found, or RUN windows in a row.
 
 Before the join a bit table of fixed size, filled from the benchmark's hashes, drops windows that
 cannot match; it loses no match, and the join compares hashes in full and templates by slots.
 
-Defined results: null and empty texts match nothing; items without a usable window match nothing; rows
-that repeat a doc_id count as one document. Extra columns are ignored.
+Defined results: null and empty texts match nothing; items of fewer than ALONE words are held by documents
+that consist of them; each letter of a script without spaces is a word; rows that repeat a doc_id count as one document. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +33,17 @@ from sieveline.llm.shingles import mix, stretch_hashes, word_spans
 WIDTH, LITERAL = 8, 5
 #: log2 of the bits that filter windows before the join: a broadcast of 512 KB.
 FILTER_BITS = 22
-#: An item is leaked when this share of its usable windows is found, and SEEN of them at least (or all).
-SHARE, SEEN = 0.5, 3
+#: An item is leaked when this share of its windows is found, and SEEN of them at least (or all); or RUN windows in a row.
+SHARE, SEEN, RUN = 0.5, 3, 18
+#: Items of fewer words are only held by texts that are nothing else.
+ALONE = 3
 #: Words that measure.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec secs min mins h hr hrs day days week weeks month months year years hour hours minute minutes second seconds mile miles meter meters metre metres inch inches foot feet dollar dollars cent cents euro euros percent mph kmh kph usd eur gbp watt watts volt volts".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
 _ENDS = re.compile(r"[.!?:]['\")\]]*$")
-_SIGNS = ".,;:!?\"'()[]{}<>*_#&|~`…“”‘’"
+_SIGNS = ".,;:!?\"'()[]{}<>*_#&|~`…“”‘’。、，．！？：；「」『』（）《》〈〉【】"
+#: Letters of scripts that write no spaces: each is a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\U00020000-\U0003fa1f])")
 #: Tokens that a Python worker remembers before it starts anew.
 REMEMBERED = 4_000_000
 _PLACE = np.random.default_rng(99).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -46,32 +52,49 @@ WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _KIND_HASH = {NUMBER: 0x6E756D, NAME: 0x6E616D65, UNIT: 0x756E6974, -1: 1}
 
 
+#: Forms of a window: its template, or all its words as they are.
+TEMPLATE, LITERALLY = 0, 2
+
+
+def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, offsets) of the texts with spaces around letters of scripts that write none."""
+    data = raw[int(offsets[0]) : int(offsets[-1])]
+    if not ((data >= 0xE0) & (data != 0xE2)).any():
+        return raw, offsets
+    texts = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    texts = [t if t.isascii() else _UNSPACED.sub(r" \1 ", t.decode("utf-8", "replace")).encode() for t in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 class Templates:
     """Template words of texts as hashes and kinds. What a token gives is remembered under 64 bits of its content, in sorted arrays."""
 
     def __init__(self):
         self.keys = np.zeros(0, np.uint64)
-        self.hash, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.hash, self.word, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
         self.title, self.ends = np.zeros(0, bool), np.zeros(0, bool)
 
     def _learn(self, keys: np.ndarray, tokens: list[str]) -> None:
         cores = [t.strip(_SIGNS) for t in tokens]
         kind = [(NUMBER if _NUMBER.match(c) else UNIT if c.lower() in UNITS else WORD) if c else -1 for c in cores]
-        own = [_KIND_HASH.get(k) or hash_text(c.lower()) for k, c in zip(kind, cores)]
+        word = [hash_text(c.lower()) for c in cores]
+        own = [_KIND_HASH.get(k) or w for k, w in zip(kind, word)]
         title = [k == WORD and len(c) > 1 and c[0].isupper() and c[1:].islower() for k, c in zip(kind, cores)]
         ends = [not c or bool(_ENDS.search(t)) for t, c in zip(tokens, cores)]
         at = np.searchsorted(self.keys, keys)
         put = lambda old, new: np.insert(old, at, np.array(new, old.dtype))
-        self.hash, self.kind, self.title, self.ends = put(self.hash, own), put(self.kind, kind), put(self.title, title), put(self.ends, ends)
+        self.hash, self.word, self.kind = put(self.hash, own), put(self.word, word), put(self.kind, kind)
+        self.title, self.ends = put(self.title, title), put(self.ends, ends)
         self.keys = np.insert(self.keys, at, keys)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray):
-        """(hashes, kinds, first template word of each text, text of a template word) for texts raw[offsets[i]:offsets[i+1]].
+        """(hashes, kinds, word hashes, first template word of each text, text of a template word) for texts raw[offsets[i]:offsets[i+1]].
 
         A title-case word is a name unless it opens a sentence.
         """
         if len(self.keys) > REMEMBERED:
             self.__init__()
+        raw, offsets = spaced(raw, offsets)
         low = int(offsets[0])
         data, at = raw[low : int(offsets[-1])], offsets - low
         start, end = word_spans(data, at)
@@ -85,6 +108,7 @@ class Templates:
             place = np.searchsorted(self.keys, unique)
         row = place[inverse]
         kind, first = self.kind[row], np.searchsorted(start, at)
+        word = self.word[row]
         opens = np.ones(len(row), bool)
         opens[1:] = self.ends[row][:-1]
         opens[first[:-1][first[:-1] < len(row)]] = True
@@ -93,7 +117,7 @@ class Templates:
         hashes = self.hash[row]
         hashes[name] = _KIND_HASH[NAME]
         full = np.flatnonzero(kind >= 0)
-        return mix(hashes[full]), kind[full], np.searchsorted(full, first), lambda k: token(full[k]).strip(_SIGNS).lower()
+        return mix(hashes[full]), kind[full], mix(word[full]), np.searchsorted(full, first), lambda k: token(full[k]).strip(_SIGNS).lower()
 
 
 def hash_text(text: str) -> int:
@@ -102,18 +126,32 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def template_windows(hashes: np.ndarray, kinds: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, text) of the usable windows of `width` template words that lie within one text."""
+def template_windows(hashes: np.ndarray, kinds: np.ndarray, words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, text, form) of the windows of `width` template words that lie within one text.
+
+    Windows with too few plain words, names among them, for a template are taken word by word.
+    """
     n = len(hashes) - width + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rolled, plain = np.zeros(n, np.uint64), np.zeros(n, np.int8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    rolled, plain, names = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.int8)
     for j in range(width):
         rolled += hashes[j : j + n] * _PLACE[j]
         plain += kinds[j : j + n] == WORD
+        names += kinds[j : j + n] == NAME
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
-    at = np.flatnonzero((plain >= min(LITERAL, width)) & (np.arange(n) + width <= first[owner + 1]))
-    return mix(rolled[at] + np.uint64(width)), at, owner[at]
+    inside = np.arange(n) + width <= first[owner + 1]
+    if width < ALONE:
+        inside &= np.diff(first)[owner] == width
+    least = min(LITERAL, width)
+
+    def taken(of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return sum((of[at + j] * _PLACE[j] for j in range(width)), np.zeros(len(at), np.uint64))
+
+    template, literal = np.flatnonzero(inside & (plain >= least)), np.flatnonzero(inside & (plain + names < least))
+    at = np.concatenate([template, literal])
+    form = np.repeat(np.array([TEMPLATE, LITERALLY], np.int8), [len(template), len(literal)])
+    return mix(np.concatenate([rolled[template], taken(words, literal)]) + np.uint64(width)), at, owner[at], form
 
 
 def _windows(bits: np.ndarray | None, widths: list[int]):
@@ -125,22 +163,23 @@ def _windows(bits: np.ndarray | None, widths: list[int]):
             ids, keys = ints(batch.column(0)), ints(batch.column(1))
             raw, offsets = text_buffers(batch.column(2))
             for a, b in chunks(offsets):
-                hashes, kinds, first, value = template(raw, offsets[a : b + 1])
+                hashes, kinds, words, first, value = template(raw, offsets[a : b + 1])
                 found: list[tuple] = []
                 for width in widths:
-                    h, at, text = template_windows(hashes, kinds, first, width)
+                    h, at, text, form = template_windows(hashes, kinds, words, first, width)
                     size = np.diff(first)[text]
                     if bits is None:
                         # An item of fewer words than WIDTH is one window of its own width.
                         keep = np.flatnonzero((size >= WIDTH) if width == WIDTH else (size == width))
                     else:
                         keep = np.flatnonzero(bits[sketch.slots(h, FILTER_BITS)])
-                    slots = ["\x1f".join(f"{kinds[k]}{value(k)}" for k in range(x, x + width) if kinds[k] > 0) for x in at[keep].tolist()]
-                    text = text[keep]
-                    found.append((ids[a:b][text], keys[a:b][text], h[keep].view(np.int64), at[keep] - first[text], slots, np.full(len(keep), width, np.int32), size[keep], np.bincount(text, minlength=b - a)[text]))
-                cells = [[x for f in found for x in f[4]] if k == 4 else np.concatenate([f[k] for f in found]) for k in range(8)]
+                    text, form = text[keep], form[keep]
+                    slots = ["\x1f".join(f"{kinds[k]}{value(k)}" for k in range(x, x + width) if kinds[k] > 0 and f != LITERALLY) for x, f in zip(at[keep].tolist(), form.tolist())]
+                    usable = lambda forms: np.bincount(text[np.isin(form, forms)], minlength=b - a)[text]  # noqa: B023, E731
+                    found.append((ids[a:b][text], keys[a:b][text], h[keep].view(np.int64), at[keep] - first[text], slots, np.full(len(keep), width, np.int32), size[keep], form, usable([TEMPLATE]), usable([TEMPLATE, LITERALLY])))
+                cells = [[x for f in found for x in f[4]] if k == 4 else np.concatenate([f[k] for f in found]) for k in range(10)]
                 cells = cells if bits is None else cells[:5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if k == 4 else pa.array(c) for k, c in enumerate(cells)], ["id", "row", "hash", "at", "slots", "width", "size", "usable"][: len(cells)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if k == 4 else pa.array(c) for k, c in enumerate(cells)], ["id", "row", "hash", "at", "slots", "width", "size", "form", "templates", "windows"][: len(cells)])
 
     return run
 
@@ -165,9 +204,11 @@ def _consistent(bound: list[tuple], place: np.ndarray, rows: np.ndarray, strict:
         rows = np.array([r for r in rows.tolist() if all(x != i or y == d for x, y in bound[r])], np.int64)
 
 
-def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots: list[str], size: int, usable: int) -> tuple[int, float] | None:
+def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots: list[str], form: np.ndarray, size: int, usable: list[int]) -> tuple[int, float] | None:
     """(windows found, share) of one item in one text by its matching windows; None if the text does not hold it.
 
+    usable: the item's windows that are templates, and all. The share counts against either.
+
     Document place minus item place tells occurrences apart. Matches are judged together over the whole text (where no
     slot may clash), over stretches in which less than an item's size was put in or left out, and for each alignment.
     """
@@ -176,11 +217,19 @@ def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots
     bound = [pair[k] for k in zip(item_slots, doc_slots)]
 
     def held(rows: np.ndarray) -> tuple[float, int] | None:
-        n = len(np.unique(item_at[rows]))
-        return (n / usable, n) if n / usable >= SHARE and (n >= SEEN or n == usable) else None
+        found = []
+        for of, forms in zip(usable, ((TEMPLATE,), (TEMPLATE, LITERALLY))):
+            n = len(np.unique(item_at[rows][np.isin(form[rows], forms)]))
+            if n and n / of >= SHARE and (n >= SEEN or n == of):
+                found.append((n / of, n))
+        return max(found, default=None)
+
+    def in_a_row(rows: np.ndarray) -> bool:
+        places = np.unique(item_at[rows])
+        return len(places) >= RUN and bool((places[RUN - 1 :] - places[: len(places) - RUN + 1] == RUN - 1).any())
 
     every = np.arange(len(at))
-    if held(every) is None:
+    if held(every) is None and not in_a_row(every):
         return None
     best = held(_consistent(bound, item_at, every, True))
     if best is None:
@@ -188,8 +237,14 @@ def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots
         for key in (align // size, (align + size // 2) // size, align):
             order = np.argsort(key, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                if held(rows) is not None and (own := held(_consistent(bound, item_at, rows, False))) is not None:
-                    best = max(best or own, own)
+                run = key is align and in_a_row(rows)
+                if held(rows) is not None or run:
+                    rows = _consistent(bound, item_at, rows, False)
+                    own = held(rows)
+                    if own is None and run and in_a_row(rows):
+                        n = len(np.unique(item_at[rows]))
+                        own = (n / usable[-1], n)
+                    best = max(best or own, own) if own else best
     return best and (best[1], best[0])
 
 
@@ -197,17 +252,17 @@ def _judge(met: pa.Table) -> pa.Table:
     """judged() for the matches of one text and one item."""
     cell = lambda name: met.column(name)[0].as_py()
     numbers = lambda name: met.column(name).to_numpy()
-    got = judged(numbers("at"), numbers("item_at"), met.column("slots").to_pylist(), met.column("item_slots").to_pylist(), cell("size"), cell("usable"))
+    got = judged(numbers("at"), numbers("item_at"), met.column("slots").to_pylist(), met.column("item_slots").to_pylist(), numbers("form"), cell("size"), [cell("templates"), cell("windows")])
     rows = [] if got is None else [{"doc_id": cell("doc_id"), "item_id": cell("item_id"), "n_windows": got[0], "share": got[1]}]
     return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("share", pa.float64())]))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item found), share (of its usable windows) for each document that holds an item."""
+    """doc_id, item_id, n_windows (of the item found), share (of its windows) for each document that holds an item."""
     # Rows are told apart by a hash of their text, as places count within one text.
     rows = lambda df, key: df.filter(f"{key} is not null").select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
     place = "id long, row long, hash long, at long, slots string"
-    items = rows(benchmark, "item_id").mapInArrow(_windows(None, list(range(LITERAL, WIDTH + 1))), f"{place}, width int, size long, usable long")
+    items = rows(benchmark, "item_id").mapInArrow(_windows(None, list(range(1, WIDTH + 1))), f"{place}, width int, size long, form byte, templates long, windows long")
     own = checkpointed(items.withColumnsRenamed({"id": "item_id", "row": "item_row", "at": "item_at", "slots": "item_slots"}).distinct())
     counted = sketch.counted(own.select("hash"), lambda batch: iter([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), FILTER_BITS)
     # Only widths that some item has are looked for.

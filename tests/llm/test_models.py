@@ -236,3 +236,26 @@ def test_decontamination_of_several_occurrences(spark):
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
     assert got == [(i, k) for i in (1, 2, 3, 4) for k in (1, 2)]
     assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [5, 6]
+
+
+def test_decontamination_of_short_and_numeric_items(spark):
+    rng = random.Random(26)
+    noise = lambda n: words(rng, SYLLABLES["aa"], n)
+    long = noise(400).split()
+    items = {1: "What is 37 times 48?", 2: "Solve 12 + 7 * 3 - 4 / 2", 3: " ".join(long), 4: "日本で一番高い山は何ですか。", 5: "Yes.", 6: "Add 1 2 3 4 5 6 7 8 9 and 10"}
+    texts = {
+        1: f"{noise(9)}. What is 37 times 48? {noise(9)}",
+        2: f"{noise(9)}. What is 36 times 48? {noise(9)}",
+        3: f"{noise(9)} solve 12 + 7 * 3 - 4 / 2 {noise(9)}",
+        4: f"{noise(9)} {' '.join(long[150:250])} {noise(9)}",
+        5: "これは本です。日本で一番高い山は何ですか。富士山です。",
+        6: f"{noise(4)} yes {noise(4)}",
+        7: "yes",
+        8: f"{noise(9)} {' '.join(long[150:165])} {noise(9)}",
+        9: f"{noise(5)} add 1 2 3 4 5 6 7 8 9 and 10",
+        10: f"{noise(5)} add 1 2 3 4 5 7 8 9 6 and 11",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (9, 6)]
