@@ -5,8 +5,8 @@ without the signs around them. Windows of WIDTH template words are hashed and jo
 benchmark; an item of fewer words is one window. Windows carry their places in document and item,
 so that occurrences of an item are told apart, and windows count as far as they bind slots consistently within an
 occurrence: one value of the item's slots may stand for only one value there. So a question with other numbers or names
-is found, also beside further copies, and a chance meeting of placeholders is not. Windows of fewer than LITERAL plain words say too little as
-templates; they are hashed with the values of their slots and found as exact copies. An item is held where half of its
+is found, also beside further copies, and a chance meeting of placeholders is not. A window with names is hashed with the names as plain words
+too, as case and the words before decide what is a name. Windows of fewer than LITERAL plain words say too little as templates; they are hashed with the values of their slots and found as exact copies. An item is held where half of its
 templates or of all its windows are found, or RUN windows in a row.
 
 Before the join a bit table of fixed size, filled from the benchmark's hashes, drops windows that
@@ -52,8 +52,8 @@ WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _KIND_HASH = {NUMBER: 0x6E756D, NAME: 0x6E616D65, UNIT: 0x756E6974, -1: 1}
 
 
-#: Forms of a window: its template, or all its words as they are.
-TEMPLATE, LITERALLY = 0, 2
+#: Forms of a window: its template, the template with names as plain words, or all its words as they are.
+TEMPLATE, NAMED, LITERALLY = 0, 1, 2
 
 
 def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +129,7 @@ def hash_text(text: str) -> int:
 def template_windows(hashes: np.ndarray, kinds: np.ndarray, words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word, text, form) of the windows of `width` template words that lie within one text.
 
+    A window with names is taken with them as plain words too, so that case and the sentence's start cannot hide a copy.
     Windows with too few plain words, names among them, for a template are taken word by word.
     """
     n = len(hashes) - width + 1
@@ -149,9 +150,11 @@ def template_windows(hashes: np.ndarray, kinds: np.ndarray, words: np.ndarray, f
         return sum((of[at + j] * _PLACE[j] for j in range(width)), np.zeros(len(at), np.uint64))
 
     template, literal = np.flatnonzero(inside & (plain >= least)), np.flatnonzero(inside & (plain + names < least))
-    at = np.concatenate([template, literal])
-    form = np.repeat(np.array([TEMPLATE, LITERALLY], np.int8), [len(template), len(literal)])
-    return mix(np.concatenate([rolled[template], taken(words, literal)]) + np.uint64(width)), at, owner[at], form
+    named = np.flatnonzero(inside & (plain + names >= least) & (names > 0))
+    at = np.concatenate([template, named, literal])
+    form = np.repeat(np.array([TEMPLATE, NAMED, LITERALLY], np.int8), [len(template), len(named), len(literal)])
+    caseless = np.where(kinds == NAME, words, hashes) if len(named) else hashes
+    return mix(np.concatenate([rolled[template], taken(caseless, named), taken(words, literal)]) + np.uint64(width)), at, owner[at], form
 
 
 def _windows(bits: np.ndarray | None, widths: list[int]):
@@ -174,12 +177,12 @@ def _windows(bits: np.ndarray | None, widths: list[int]):
                     else:
                         keep = np.flatnonzero(bits[sketch.slots(h, FILTER_BITS)])
                     text, form = text[keep], form[keep]
-                    slots = ["\x1f".join(f"{kinds[k]}{value(k)}" for k in range(x, x + width) if kinds[k] > 0 and f != LITERALLY) for x, f in zip(at[keep].tolist(), form.tolist())]
-                    usable = lambda forms: np.bincount(text[np.isin(form, forms)], minlength=b - a)[text]  # noqa: B023, E731
-                    found.append((ids[a:b][text], keys[a:b][text], h[keep].view(np.int64), at[keep] - first[text], slots, np.full(len(keep), width, np.int32), size[keep], form, usable([TEMPLATE]), usable([TEMPLATE, LITERALLY])))
-                cells = [[x for f in found for x in f[4]] if k == 4 else np.concatenate([f[k] for f in found]) for k in range(10)]
+                    slots = ["\x1f".join(f"{kinds[k]}{value(k)}" for k in range(x, x + width) if kinds[k] > 0 and f != LITERALLY and (f != NAMED or kinds[k] != NAME)) for x, f in zip(at[keep].tolist(), form.tolist())]
+                    usable = lambda forms: np.bincount(np.unique(np.stack([text, at[keep]])[:, np.isin(form, forms)], axis=1)[0], minlength=b - a)[text] if bits is None else text  # noqa: B023, E731
+                    found.append((ids[a:b][text], keys[a:b][text], h[keep].view(np.int64), at[keep] - first[text], slots, np.full(len(keep), width, np.int32), size[keep], form, usable([TEMPLATE]), usable([TEMPLATE, NAMED]), usable([TEMPLATE, NAMED, LITERALLY])))
+                cells = [[x for f in found for x in f[4]] if k == 4 else np.concatenate([f[k] for f in found]) for k in range(11)]
                 cells = cells if bits is None else cells[:5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if k == 4 else pa.array(c) for k, c in enumerate(cells)], ["id", "row", "hash", "at", "slots", "width", "size", "form", "templates", "windows"][: len(cells)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if k == 4 else pa.array(c) for k, c in enumerate(cells)], ["id", "row", "hash", "at", "slots", "width", "size", "form", "templates", "named", "windows"][: len(cells)])
 
     return run
 
@@ -207,7 +210,7 @@ def _consistent(bound: list[tuple], place: np.ndarray, rows: np.ndarray, strict:
 def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots: list[str], form: np.ndarray, size: int, usable: list[int]) -> tuple[int, float] | None:
     """(windows found, share) of one item in one text by its matching windows; None if the text does not hold it.
 
-    usable: the item's windows that are templates, and all. The share counts against either.
+    usable: the item's windows that are templates, templates at least with names as plain words, and all. The share counts against any.
 
     Document place minus item place tells occurrences apart. Matches are judged together over the whole text (where no
     slot may clash), over stretches in which less than an item's size was put in or left out, and for each alignment.
@@ -218,7 +221,7 @@ def judged(at: np.ndarray, item_at: np.ndarray, doc_slots: list[str], item_slots
 
     def held(rows: np.ndarray) -> tuple[float, int] | None:
         found = []
-        for of, forms in zip(usable, ((TEMPLATE,), (TEMPLATE, LITERALLY))):
+        for of, forms in zip(usable, ((TEMPLATE,), (TEMPLATE, NAMED), (TEMPLATE, NAMED, LITERALLY))):
             n = len(np.unique(item_at[rows][np.isin(form[rows], forms)]))
             if n and n / of >= SHARE and (n >= SEEN or n == of):
                 found.append((n / of, n))
@@ -252,7 +255,7 @@ def _judge(met: pa.Table) -> pa.Table:
     """judged() for the matches of one text and one item."""
     cell = lambda name: met.column(name)[0].as_py()
     numbers = lambda name: met.column(name).to_numpy()
-    got = judged(numbers("at"), numbers("item_at"), met.column("slots").to_pylist(), met.column("item_slots").to_pylist(), numbers("form"), cell("size"), [cell("templates"), cell("windows")])
+    got = judged(numbers("at"), numbers("item_at"), met.column("slots").to_pylist(), met.column("item_slots").to_pylist(), numbers("form"), cell("size"), [cell("templates"), cell("named"), cell("windows")])
     rows = [] if got is None else [{"doc_id": cell("doc_id"), "item_id": cell("item_id"), "n_windows": got[0], "share": got[1]}]
     return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("share", pa.float64())]))
 
@@ -262,7 +265,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Rows are told apart by a hash of their text, as places count within one text.
     rows = lambda df, key: df.filter(f"{key} is not null").select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
     place = "id long, row long, hash long, at long, slots string"
-    items = rows(benchmark, "item_id").mapInArrow(_windows(None, list(range(1, WIDTH + 1))), f"{place}, width int, size long, form byte, templates long, windows long")
+    items = rows(benchmark, "item_id").mapInArrow(_windows(None, list(range(1, WIDTH + 1))), f"{place}, width int, size long, form byte, templates long, named long, windows long")
     own = checkpointed(items.withColumnsRenamed({"id": "item_id", "row": "item_row", "at": "item_at", "slots": "item_slots"}).distinct())
     counted = sketch.counted(own.select("hash"), lambda batch: iter([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), FILTER_BITS)
     # Only widths that some item has are looked for.

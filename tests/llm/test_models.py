@@ -259,3 +259,22 @@ def test_decontamination_of_short_and_numeric_items(spark):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
     assert got == [(1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (9, 6)]
+
+
+def test_decontamination_whatever_the_case(spark):
+    rng = random.Random(36)
+    noise = lambda n: words(rng, SYLLABLES["aa"], n)
+    named = "On Monday the old Anna met Bruno near Vienna and then Clara took Dora from Essen over Fulda to see Gera before Hanna came with Ines"
+    items = {1: named, 2: "Which of these rivers is the longest one"}
+    texts = {
+        1: f"{noise(9)}. {named.lower()} {noise(9)}",
+        2: f"{noise(9)}. {named.upper()} {noise(9)}",
+        3: f"{noise(9)} {items[2]} {noise(9)}",
+        4: f"{noise(9)} x.&&& {items[2]} {noise(9)}",
+        5: f"{noise(9)}. {named.replace('Bruno', 'Boris')} {noise(9)}",
+        6: f"{noise(9)} {items[2].replace('rivers', 'trees')} {noise(9)}",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)]
