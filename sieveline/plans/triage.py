@@ -27,6 +27,11 @@ class Tables:
     manifest: DataFrame
     folder: str
 
+    @property
+    def loaders(self) -> DataFrame:
+        """node, loader of each archive."""
+        return descriptors.loaders(self.nodes, self.mods, self.manifest, self.classes)
+
 
 def staging_folder(spark: SparkSession) -> str:
     """A new folder where the cluster keeps shared data."""

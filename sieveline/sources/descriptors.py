@@ -60,10 +60,53 @@ def _entry_points(v: Column) -> Column:
     return F.flatten(F.transform(lists, lambda x: _list(x, "$")))
 
 
+def _texts(v: Column) -> Column:
+    """A text as a list of one, or the texts and numbers of a list."""
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.filter(F.transform(items, lambda x: _get(x, "$")), lambda x: x.isNotNull()))
+
+
+def _range(v: Column) -> Column:
+    """Alternatives of a version joined; * where there is none."""
+    return F.coalesce(F.nullif(F.array_join(_texts(v), " || "), F.lit("")), F.lit("*"))
+
+
+def _dependency(id_: Column, range_: Column, optional: Column) -> Column:
+    return F.struct(id_.alias("id"), range_.alias("range"), optional.alias("optional"))
+
+
+def _dependencies(name: Column, whole: Column, m: Column) -> Column:
+    """Array of (id, range, optional) that project m of a descriptor declares."""
+    map_ = lambda v, path: F.coalesce(F.try_variant_get(v, path, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    list_ = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    child = lambda x, path: F.try_variant_get(x, path, "variant")
+    no = F.lit(False)
+    fabric = F.transform(F.map_entries(map_(m, "$.depends")), lambda e: _dependency(e["key"], _range(e["value"]), no))
+    # Versions of a Quilt dependency may be an object {"any": […]}, whose first list counts.
+    versions = lambda x: F.coalesce(F.get(F.map_values(F.try_variant_get(x, "$.versions", "map<string,variant>")), F.lit(0)), child(x, "$.versions"))
+    quilt = F.transform(list_(m, "$.depends"), lambda x: _dependency(F.coalesce(_get(x, "$"), _get(x, "$.id")), _range(versions(x)), no))
+    kind = lambda x: F.coalesce(F.lower(_get(x, "$.type")) != "required", no)
+    mandatory = lambda x: F.coalesce((F.schema_of_variant(child(x, "$.mandatory")) == "BOOLEAN") & ~F.try_variant_get(x, "$.mandatory", "boolean"), no)
+    own = F.coalesce(F.try_element_at(map_(whole, "$.dependencies"), _get(m, "$.modId")), F.parse_json(F.lit("[]")))
+    toml = F.transform(list_(own, "$"), lambda x: _dependency(_get(x, "$.modId"), F.coalesce(F.nullif(_get(x, "$.versionRange"), F.lit("")), F.lit("*")), mandatory(x) | kind(x)))
+    required = _texts(child(m, "$.requiredMods"))
+    legacy = F.transform(F.when(F.size(required) > 0, required).otherwise(_texts(child(m, "$.dependencies"))), lambda x: _dependency(x, F.lit("*"), no))
+    found = F.when(name == "fabric.mod.json", fabric).when(name == "quilt.mod.json", quilt).when(name.endswith(".toml"), toml).otherwise(legacy)
+    return F.filter(found, lambda x: F.coalesce(x["id"], F.lit("")) != "")
+
+
+def _range_of(dependencies: Column, *ids: str) -> Column:
+    """The range of the first of ids that is a dependency."""
+    of = lambda i: F.get(F.filter(dependencies, lambda x: x["id"] == i), F.lit(0))["range"]
+    return F.coalesce(*map(of, ids))
+
+
 def mods(read: DataFrame) -> DataFrame:
-    """Declared projects: node, source_order, source_file, loader, mod_seq, mod_id, mod_name, version, authors, entry_points.
+    """Declared projects: node, source_order, source_file, loader, mod_seq, mod_id, mod_name, version, authors, entry_points,
+    description, dependencies (id, range, optional), environment, mixins, minecraft_version, loader_version.
 
-    A descriptor that cannot be parsed declares nothing; fields of an unexpected type are null.
+    A descriptor that cannot be parsed declares nothing; fields of an unexpected type are null. A project of
+    META-INF/mods.toml that depends on neoforge is one for NeoForge.
     """
     order = F.create_map(*[F.lit(x) for k, n in enumerate(R.DESCRIPTORS) for x in (n, k)])
     loader = F.create_map(*[F.lit(x) for pair in R.DESCRIPTORS.items() for x in pair])
@@ -74,19 +117,31 @@ def mods(read: DataFrame) -> DataFrame:
     several = F.when(F.col("name").endswith(".toml"), F.try_variant_get("v", "$.mods", "array<variant>")).when(
         F.col("name") == "mcmod.info", F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.modList", "array<variant>"))
     ).otherwise(F.array(F.when(F.col("name") == "quilt.mod.json", F.try_variant_get("v", "$.quilt_loader", "variant")).otherwise(F.col("v"))))
-    one = json_.filter("v is not null").select(*NODE, "name", "source_order", "loader", F.posexplode(several).alias("mod_seq", "m"))
+    one = json_.filter("v is not null").select(*NODE, "name", "source_order", "loader", "v", F.posexplode(several).alias("mod_seq", "m"))
     m = F.col("m")
-    declared = one.filter(m.isNotNull()).select(
+    # Exploded from a list of one, so that the many uses below do not each repeat the expression.
+    one = one.filter(m.isNotNull()).select("*", F.explode(F.array(_dependencies(F.col("name"), F.col("v"), m))).alias("dependencies"))
+    neoforge = (F.col("name") == "META-INF/mods.toml") & F.exists("dependencies", lambda x: x["id"] == "neoforge")
+    declared = one.withColumn("loader", F.when(neoforge, "NeoForge").otherwise(F.col("loader"))).select(
         *NODE, "source_order", F.col("name").alias("source_file"), "loader", F.col("mod_seq").cast("long").alias("mod_seq"), F.coalesce(_get(m, "$.id"), _get(m, "$.modId"), _get(m, "$.modid")).alias("mod_id"),
         F.coalesce(_get(m, "$.name"), _get(m, "$.displayName"), _get(m, "$.metadata.name")).alias("mod_name"), _get(m, "$.version").alias("version"),
         F.concat(_list(m, "$.authors"), _list(m, "$.authorList")).alias("authors"), _entry_points(m).alias("entry_points"),
+        F.trim(F.coalesce(_get(m, "$.description"), _get(m, "$.metadata.description"))).alias("description"), "dependencies", _get(m, "$.environment").alias("environment"),
+        F.transform(F.coalesce(F.try_variant_get(m, "$.mixins", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(_get(x, "$"), _get(x, "$.config"))).alias("mixins"),
+        F.coalesce(_get(m, "$.mcversion"), _range_of(F.col("dependencies"), "minecraft")).alias("minecraft_version"),
+        F.when(F.col("name").endswith(".toml"), F.coalesce(_range_of(F.col("dependencies"), "neoforge", "forge"), _get(F.col("v"), "$.loaderVersion"))).otherwise(_range_of(F.col("dependencies"), "fabricloader", "quilt_loader")).alias("loader_version"),
     )
     field = lambda key: F.nullif(F.regexp_extract("text", rf"(?m)^{key}:[ \t]*['\"]?(.*?)['\"]?[ \t]*$", 1), F.lit(""))
+    # A list in brackets, of lines with dashes, or a single name.
+    names = lambda key: F.filter(F.transform(F.split(F.regexp_extract("text", rf"(?m)^{key}:[ \t]*(\[[^\]]*\]|[^\n\[]+|\n(?:[ \t]*-[^\n]*\n?)+)", 1), "[,\n]"), lambda x: F.regexp_replace(x, r"^[\s\['\"]*(?:-[ \t])?[\s\['\"]*|[\s\]'\"]*$", "")), lambda x: x != "")
+    wanted = lambda key, optional: F.transform(names(key), lambda x: _dependency(x, F.lit("*"), F.lit(optional)))
     yaml = text.filter("endswith(name, '.yml')").select(
         *NODE, "source_order", F.col("name").alias("source_file"), "loader", F.lit(0).cast("long").alias("mod_seq"), field("name").alias("mod_id"), field("name").alias("mod_name"), field("version").alias("version"),
         F.filter(F.array(field("author")), lambda x: x.isNotNull()).alias("authors"), F.filter(F.array(field("main")), lambda x: x.isNotNull()).alias("entry_points"),
+        field("description").alias("description"), F.concat(wanted("depend", False), wanted("softdepend", True)).alias("dependencies"), F.lit(None).cast("string").alias("environment"), F.array().cast("array<string>").alias("mixins"),
+        field("api-version").alias("minecraft_version"), F.lit(None).cast("string").alias("loader_version"),
     )
-    return declared.unionByName(yaml)
+    return declared.withColumn("mixins", F.filter("mixins", lambda x: x.isNotNull())).unionByName(yaml)
 
 
 def with_versions(mods: DataFrame, manifest_of: DataFrame) -> DataFrame:

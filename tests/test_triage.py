@@ -11,7 +11,7 @@ from sieveline.limits import Limits
 from sieveline.plans.evidence import class_evidence
 from sieveline.plans.triage import decoded, findings_of, triage
 from sieveline.sources import archives
-from sieveline.sources.descriptors import loaders, with_versions
+from sieveline.sources.descriptors import loaders, mods, with_versions
 from sieveline.sources.hash_list import as_document, read_hash_list, removed, upserted
 from sieveline.sources.reports import as_text, documents, write_report
 from sieveline.streaming.watch import watch
@@ -187,3 +187,29 @@ def test_loaders_and_versions(spark):
     assert got == {"one": "Fabric", "two": "Multi-loader (Fabric, Quilt)", "core": "Forge", "game": "unknown (game code)", "java": "unknown (Java classes)", "none": "unknown", "built": "Forge", "plug": "Bukkit"}
     versions = {(r.archive_id, r.mod_id): r.version for r in with_versions(t.mods, t.manifest).collect()}
     assert versions["built", "m"] == "7.1" and versions["plug", "P"] == "3.0" and versions["two", "q"] == "2"
+
+
+def test_declared_dependencies(spark):
+    toml = '[[mods]]\nmodId="a"\nversion="1"\ndescription=" Does things "\n[[dependencies.a]]\nmodId="{}"\nversionRange="[1,)"\nmandatory=true\n[[dependencies.a]]\nmodId="minecraft"\nmandatory=false\n[[dependencies.a]]\nmodId="jei"\ntype="optional"\nversionRange="[2,)"\n'
+    texts = {
+        "1": ("fabric.mod.json", '{"id": "f", "description": "d", "environment": "client", "mixins": ["a.json", {"config": "b.json"}], "depends": {"minecraft": "~1.20", "x": ["1", "2"], "fabricloader": 5}}'),
+        "2": ("quilt.mod.json", '{"quilt_loader": {"id": "q", "metadata": {"description": "e"}, "depends": ["minecraft", {"id": "x", "versions": {"any": ["1", "2"]}}, {"id": "quilt_loader", "versions": ">=0.19"}]}}'),
+        "3": ("META-INF/mods.toml", toml.format("neoforge")),
+        "4": ("META-INF/mods.toml", toml.format("forge")),
+        "5": ("mcmod.info", '[{"modid": "m", "mcversion": "1.7", "requiredMods": ["x"], "dependencies": ["y"]}]'),
+        "6": ("plugin.yml", "name: P\nmain: a.B\ndepend: [Vault, 'X']\nsoftdepend:\n  - World-Edit\n  - Z\napi-version: 1.13\n"),
+    }
+    rows = [(i, "", "entry", name, 0, text.encode()) for i, (name, text) in texts.items()]
+    read = spark.createDataFrame(rows, "archive_id string, node_path string, kind string, name string, entry_seq int, content binary")
+    got = {r.archive_id: r for r in mods(read).collect()}
+    deps = {i: sorted(tuple(d) for d in r.dependencies) for i, r in got.items()}
+    assert deps["1"] == [("fabricloader", "*", False), ("minecraft", "~1.20", False), ("x", "1 || 2", False)]
+    assert deps["2"] == [("minecraft", "*", False), ("quilt_loader", ">=0.19", False), ("x", "1 || 2", False)]
+    assert deps["3"] == [("jei", "[2,)", True), ("minecraft", "*", True), ("neoforge", "[1,)", False)]
+    assert deps["5"] == [("x", "*", False)]
+    assert deps["6"] == [("Vault", "*", False), ("World-Edit", "*", True), ("X", "*", False), ("Z", "*", True)]
+    assert [got[i].loader for i in "34"] == ["NeoForge", "Forge"]
+    assert [got[i].description for i in "123"] == ["d", "e", "Does things"]
+    assert (got["1"].environment, got["1"].mixins) == ("client", ["a.json", "b.json"])
+    assert [got[i].minecraft_version for i in "1256"] == ["~1.20", "*", "1.7", "1.13"]
+    assert [got[i].loader_version for i in "1234"] == ["*", ">=0.19", "[1,)", "[1,)"]
