@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import sketch
 from sieveline.llm.common import checkpointed, chunks, ints, keep_ids, text_buffers
-from sieveline.llm.shingles import mix, stretch_hashes, word_spans
+from sieveline.llm.shingles import word_spans
+from sieveline.llm.stretches import Memory, distinct, mix
 
 WIDTH, LITERAL = 8, 5
 #: log2 of the bits that filter windows before the join: a broadcast of 512 KB.
@@ -45,7 +46,7 @@ _SIGNS = ".,;:!?\"'()[]{}<>*_#&|~`…“”‘’。、，．！？：；「」
 #: Letters of scripts that write no spaces: each is a word.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\U00020000-\U0003fa1f])")
 #: Tokens that a Python worker remembers before it starts anew.
-REMEMBERED = 4_000_000
+REMEMBERED = 500_000
 _PLACE = np.random.default_rng(99).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 #: Kinds of template words.
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -67,46 +68,46 @@ def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Templates:
-    """Template words of texts as hashes and kinds. What a token gives is remembered under 64 bits of its content, in sorted arrays."""
+    """Template words of texts as hashes and kinds. What a token gives is remembered, and found by its content."""
 
     def __init__(self):
-        self.keys = np.zeros(0, np.uint64)
+        self.memory = Memory()
         self.hash, self.word, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
         self.title, self.ends = np.zeros(0, bool), np.zeros(0, bool)
 
-    def _learn(self, keys: np.ndarray, tokens: list[str]) -> None:
+    def _learn(self, tokens: list[str]) -> None:
         cores = [t.strip(_SIGNS) for t in tokens]
         kind = [(NUMBER if _NUMBER.match(c) else UNIT if c.lower() in UNITS else WORD) if c else -1 for c in cores]
         word = [hash_text(c.lower()) for c in cores]
         own = [_KIND_HASH.get(k) or w for k, w in zip(kind, word)]
         title = [k == WORD and len(c) > 1 and c[0].isupper() and c[1:].islower() for k, c in zip(kind, cores)]
         ends = [not c or bool(_ENDS.search(t)) for t, c in zip(tokens, cores)]
-        at = np.searchsorted(self.keys, keys)
-        put = lambda old, new: np.insert(old, at, np.array(new, old.dtype))
+        put = lambda old, new: np.concatenate([old, np.array(new, old.dtype)])
         self.hash, self.word, self.kind = put(self.hash, own), put(self.word, word), put(self.kind, kind)
         self.title, self.ends = put(self.title, title), put(self.ends, ends)
-        self.keys = np.insert(self.keys, at, keys)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray):
         """(hashes, kinds, word hashes, first template word of each text, text of a template word) for texts raw[offsets[i]:offsets[i+1]].
 
         A title-case word is a name unless it opens a sentence.
         """
-        if len(self.keys) > REMEMBERED:
+        if len(self.memory) > REMEMBERED:
             self.__init__()
         raw, offsets = spaced(raw, offsets)
         low = int(offsets[0])
         data, at = raw[low : int(offsets[-1])], offsets - low
         start, end = word_spans(data, at)
-        keys = stretch_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)
-        unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        codes, contents, of = distinct(data, start, end)
         token = lambda k: data[start[k] : end[k]].tobytes().decode("utf-8", "replace")
+        rows, new = self.memory(contents, of)
         if len(new):
-            self._learn(unique[new], [token(k) for k in where[new].tolist()])
-            place = np.searchsorted(self.keys, unique)
-        row = place[inverse]
+            text = contents.tobytes()
+            self._learn([text[a:b].decode("utf-8", "replace") for a, b in zip(of[new].tolist(), of[new + 1].tolist())])
+        for k in np.flatnonzero(rows < 0).tolist():
+            # Another token holds its 64 bits: it is learned under a row that is not looked up again.
+            rows[k] = self.memory.apart()
+            self._learn([contents[of[k] : of[k + 1]].tobytes().decode("utf-8", "replace")])
+        row = rows[codes]
         kind, first = self.kind[row], np.searchsorted(start, at)
         word = self.word[row]
         opens = np.ones(len(row), bool)

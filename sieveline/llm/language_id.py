@@ -1,14 +1,16 @@
 """Operator 2: language identification with hyperdimensional profiles.
 
-Every letter has a random bipolar vector. A trigram's vector binds its letters' vectors after permuting
-(rolling) them by their place, a document's bundles those of all its trigrams, and a language's prototype
-bundles its training documents, each scaled to one length and rounded so that sums are exact integers
-whatever the order of tasks. The mean of all prototypes is taken from both sides before the cosine; the
-score is the share of the best language in a softmax of cosines.
+Every lower-cased letter has a random bipolar vector of its own, drawn from a seed and its code point. A trigram's vector
+binds its letters' vectors after permuting (rolling) them by their place, a document's bundles those of all its trigrams,
+and a language's prototype bundles its training documents, each scaled to one length and rounded so that
+sums are exact integers whatever the order of tasks. The mean of all prototypes is taken from both sides before the
+cosine; the score is the share of the best language in a softmax of cosines.
 
 Defined results: a text that is null or has no letter is `und` with score 0; letters are those that
 str.isalpha() knows, lower-cased; anything else ends a word; ties go to the language first by code point.
-Without training rows everything is `und`. lang, source and doc_id are never inputs of a prediction.
+Without training rows everything is `und`; an empty table gives an empty result. Rows that repeat a doc_id come back
+once each (and teach once each); texts of any length are read whole, extra columns are ignored. lang, source
+and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -22,59 +24,102 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import chunks, fold, ints, text_buffers
 
-#: Length of vectors; letter classes (words' edges are class 0, other letters share classes by code point); steepness of the softmax.
-DIM, LETTERS, SHARP = 256, 127, 24.0
+#: Length of vectors; steepness of the softmax.
+DIM, SHARP = 512, 24.0
 UNKNOWN = "und"
-#: Languages that prototypes are kept for at most: a table of MOST * DIM numbers reaches the driver.
-MOST = 4096
+#: A document of FEWEST trigrams or more is rejected when its profile is no nearer to any prototype than chance: cosines of unrelated vectors have a deviation of DIM ** -0.5.
+CHANCE, FEWEST = 2.0, 40
+#: Bytes of text and texts that are bundled together.
+TOGETHER_BYTES, TOGETHER = 1 << 18, 256
 _SCALE = 1000
-_CACHE: dict[str, np.ndarray] = {}
+_EDGE = 0
 
 
-def _letter_vectors() -> np.ndarray:
-    """Vectors by (place, class): a class's vector rolled by the place."""
-    if "letters" not in _CACHE:
-        base = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (LETTERS + 1, DIM))
-        _CACHE["letters"] = np.stack([np.roll(base, place, axis=1) for place in range(3)])
-    return _CACHE["letters"]
+class Letters:
+    """Dense numbers and vectors of the letters met so far; number 0 is a word's edge."""
 
-
-def _letter_classes() -> np.ndarray:
-    """Class of each code point, upper case like lower case; 0 for what is no letter."""
-    if "classes" not in _CACHE:
-        table = np.zeros(0x110000, np.uint8)
+    def __init__(self):
+        self.lower = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
-                table[c] = 1 + ord(x.lower()[0]) % LETTERS
-        _CACHE["classes"] = table
-    return _CACHE["classes"]
-
-
-def _trigrams(text: str) -> np.ndarray:
-    """Codes of the trigrams over ` word word `, edges included; none without a letter."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = _letter_classes()[points]
-    letter = found > 0
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one edge after each word
-    line = np.concatenate([[0], found[keep], [0]]).astype(np.int64)
-    codes = (line[:-2] << 14) | (line[1:-1] << 7) | line[2:]
-    return codes[(line[1:-1] > 0)]
-
-
-def _bundles(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, bundle of length 1) for each text that has a letter."""
-    counted = [np.unique(_trigrams(t), return_counts=True) for t in texts]
-    codes = np.unique(np.concatenate([c for c, _ in counted])) if counted else np.zeros(0, np.int64)
-    place = _letter_vectors()
-    vectors = (place[0][codes >> 14] * place[1][codes >> 7 & 127] * place[2][codes & 127]).astype(np.float32)
-    for row, (code, n) in enumerate(counted):
-        if len(code):
-            bundle = n.astype(np.float32) @ vectors[np.searchsorted(codes, code)]
-            yield row, bundle / max(float(np.sqrt(bundle @ bundle)), 1e-9)
+                self.lower[c] = ord(x.lower()[0])
+        self.number = np.full(0x110000, -1, np.int32)
+        self.number[0] = _EDGE
+        self.vectors = self._drawn(0)[None]
+
+    @staticmethod
+    def _drawn(point: int) -> np.ndarray:
+        return np.random.default_rng([7, point]).choice(np.array([-1, 1], np.int8), DIM)
+
+    def numbered(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of code points; 0 for what is no letter."""
+        low = self.lower[points]
+        found = self.number[low]
+        if len(found) and found.min() < 0:
+            new = np.unique(low[found < 0])
+            self.number[new] = len(self.vectors) + np.arange(len(new))
+            self.vectors = np.concatenate([self.vectors, [self._drawn(int(c)) for c in new]])
+            found = self.number[low]
+        return found
+
+
+_LETTERS: list[Letters] = []
+
+
+def _letters() -> Letters:
+    if not _LETTERS:
+        _LETTERS.append(Letters())
+    return _LETTERS[0]
+
+
+def _counted(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each value among them) of values below top."""
+    if top > 1 << 22:
+        return np.unique(values, return_inverse=True)
+    present = np.zeros(top, bool)
+    present[values] = True
+    return np.flatnonzero(present), (np.cumsum(present) - 1)[values]
+
+
+def _bundles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(row, bundle of length 1, number of trigrams) for each text that has a letter, over a few texts at a time."""
+    size = np.array([len(t) for t in texts], np.int64)
+    first = 0
+    while first < len(texts):
+        last = int(np.searchsorted(np.cumsum(size[first : first + TOGETHER]), TOGETHER_BYTES)) + 1
+        last = min(len(texts), first + min(last, TOGETHER))
+        yield from ((first + row, bundle, n) for row, bundle, n in _bundled(texts[first:last]))
+        first = last
+
+
+def _bundled(texts: list[str]) -> Iterator[tuple[int, np.ndarray, int]]:
+    of = _letters()
+    # A sign that is no letter stands between texts.
+    points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = of.numbered(points)
+    keep = found > 0
+    keep[1:] |= keep[:-1]  # one edge after each word
+    keep[0] = True
+    at = np.flatnonzero(keep)
+    known, line = _counted(found[at], len(of.vectors))
+    centre = np.flatnonzero(known[line] > 0)
+    if not len(centre):
+        return
+    n = len(known)
+    codes, place = _counted((line[centre - 1].astype(np.int64) * n + line[centre]) * n + line[centre + 1], n**3)
+    near = of.vectors[known]
+    vectors = near[codes // n**2] * np.roll(near, 1, axis=1)[codes // n % n] * np.roll(near, 2, axis=1)[codes % n]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    text = np.searchsorted(ends, at[centre], side="left")
+    counts = np.bincount(text * len(codes) + place, minlength=len(texts) * len(codes)).reshape(len(texts), len(codes))
+    # Sums stay exact: whole numbers below 2**24, or in double precision.
+    kind = np.float32 if len(centre) < 1 << 23 else np.float64
+    bundles = (counts.astype(kind) @ vectors.astype(kind)).astype(np.float64)
+    norm = np.sqrt((bundles**2).sum(1))
+    size = counts.sum(1)
+    for row in np.flatnonzero(size).tolist():
+        yield row, bundles[row] / max(norm[row], 1e-9), int(size[row])
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -90,51 +135,56 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for first, texts in _pieces(batch.column(1)):
-            for row, bundle in _bundles(texts):
+            for row, bundle, _ in _bundles(texts):
                 lang = langs[first + row]
                 total[lang] = total.get(lang, 0) + np.rint(bundle * _SCALE).astype(np.int64)
     for lang, vector in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(vector)], ["lang", "i", "v"])
 
 
-def trained(documents: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in order of code points, prototypes of length 1, their mean as the last row) from all documents that are not held out and have a language."""
+class Prototypes:
+    """Languages in order of code points, their summed profiles of length 1, the mean of these, and the profiles without it."""
+
+    def __init__(self, sums: dict[str, np.ndarray]):
+        self.langs = sorted(sums, key=lambda x: x.encode())
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+        self.whole = unit(np.array([sums[x] for x in self.langs], np.float64).reshape(-1, DIM))
+        self.mean = self.whole.mean(0) if len(self.langs) > 1 else np.zeros(DIM)
+        self.centred = unit(self.whole - self.mean)
+
+
+def trained(documents: DataFrame) -> Prototypes:
+    """Prototypes from all documents that are not held out and have a language."""
     learn = documents.filter((fold() != 1) & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sums = learn.mapInArrow(_summed, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vector")).limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"over {MOST} values of lang; prototypes are meant for languages")
-    found = {r["lang"]: np.array([x["v"] for x in r["vector"]], np.float64) for r in rows}
-    langs = sorted(found, key=lambda x: x.encode())
-    unit = np.array([found[x] / max(np.linalg.norm(found[x]), 1e-9) for x in langs]).reshape(-1, DIM)
-    mean = unit.mean(0) if langs else np.zeros(DIM)
-    unit = unit - mean if len(langs) > 1 else unit
-    mean = mean if len(langs) > 1 else np.zeros(DIM)
-    return langs, np.vstack([unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9), mean]).astype(np.float32)
-
-
-def predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(language, score) of each text."""
-    out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if langs:
-        for row, bundle in _bundles(texts):
-            bundle = bundle - prototypes[-1]
-            cosine = prototypes[:-1] @ bundle / max(float(np.sqrt(bundle @ bundle)), 1e-9)
-            share = np.exp(SHARP * (cosine - cosine.max()).astype(np.float64))
+    # A row of DIM numbers for each language, however many documents there are.
+    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vector")).collect()
+    return Prototypes({r["lang"]: np.array([x["v"] for x in r["vector"]], np.float64) for r in rows})
+
+
+def predict(texts: list[str], of: Prototypes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, whether it is like any language) of each text."""
+    out, score, like = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    if of.langs:
+        for row, bundle, n in _bundles(texts):
+            apart = bundle - of.mean
+            cosine = of.centred @ apart / max(float(np.sqrt(apart @ apart)), 1e-9)
+            share = np.exp(SHARP * (cosine - cosine.max()))
             best = int(np.argmax(share))
-            out[row], score[row] = langs[best], share[best] / share.sum()
-    return out, score
+            out[row], score[row] = of.langs[best], share[best] / share.sum()
+            like[row] = n < FEWEST or (of.whole @ bundle).max() >= CHANCE / np.sqrt(DIM)
+    return out, score, like
 
 
 def identified(documents: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, held_out, lang_pred, score."""
-    langs, prototypes = trained(documents)
+    prototypes = trained(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = ints(batch.column(0))
             for first, texts in _pieces(batch.column(2)):
-                lang, score = predict(texts, langs, prototypes)
+                lang, score, _ = predict(texts, prototypes)
                 part = slice(first, first + len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[part], mask=ids[part] == -(2**63)), batch.column(1).slice(first, len(texts)), pa.array(lang), pa.array(score)],
@@ -145,16 +195,18 @@ def identified(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(documents: DataFrame, least: float = 0.3) -> DataFrame:
-    """documents (their own columns) whose language is known: not `und`, and a score that is not near an even split."""
-    langs, prototypes = trained(documents)
+def accepted(documents: DataFrame) -> DataFrame:
+    """documents (their own columns) whose language is known: not `und`, and (from FEWEST trigrams on) nearer to some prototype than chance, however many languages there are.
+
+    Rows keep their own columns and repeats; null and empty texts go; of an empty table or one without training rows nothing is left.
+    """
+    prototypes = trained(documents)
 
     def known(series: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in series:
             keep = [np.zeros(0, bool)]
             for _, texts in _pieces(column):
-                lang, score = predict(texts, langs, prototypes)
-                keep.append((np.array(lang, object) != UNKNOWN) & (score >= least))
+                keep.append(predict(texts, prototypes)[2])
             yield pa.array(np.concatenate(keep).astype(bool))
 
     return documents.filter(F.arrow_udf(known, "boolean")(F.col("text").cast("string")))

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from sieveline.llm import sketch
 from sieveline.llm.common import BROADCAST_IDS, checkpointed, chunks, ints, keep_ids, staged, text_buffers
 from sieveline.llm.components import components
-from sieveline.llm.shingles import mix, shingle_sets
+from sieveline.llm.shingles import shingle_sets
+from sieveline.llm.stretches import mix
 
 #: Longest extension of a prefix: at most so many shared prefix shingles are asked for.
 MOST = 4

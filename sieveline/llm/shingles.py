@@ -1,50 +1,21 @@
 """Hashed words and word shingles of UTF-8 text, computed with numpy on Arrow buffers.
 
-Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A word's hash is a polynomial in random odd
-byte values modulo 2**64, finished with a mixing step; a shingle's hash mixes the hashes of its words.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A word has 64 bits of its content, and a shingle's hash mixes
+those of its words with a random odd number for each place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from sieveline.llm.stretches import hashes, mix
+
 WIDTH = 5
-_RNG = np.random.default_rng(20240117)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
-_EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """The splitmix64 finisher."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 21)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
-            _POWERS[base] = have
-    return have[:n]
-
-
-def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each data[start:end], letters as they are."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_EXACT[data] * _powers(_BASE, len(data)), out=total[1:])
-    return mix((total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+_PLACE = np.random.default_rng(20240117).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,14 +36,9 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word) for texts raw[offsets[i]:offsets[i+1]]; the index has one entry more."""
     low, high = int(offsets[0]), int(offsets[-1])
-    data, at = raw[low:high], offsets - low
+    data, at = _LOWER[raw[low:high]], offsets - low
     start, end = word_spans(data, at)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=total[1:])
-    hashes = mix((total[end] - total[start]) * _powers(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, at)
+    return hashes(data, start, end), np.searchsorted(start, at)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:

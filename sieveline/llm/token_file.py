@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import chunks, ints, staged, text_buffers
-from sieveline.llm.shingles import mix, stretch_hashes
+from sieveline.llm.stretches import Memory, distinct
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Bytes of text that are encoded at a time.
 ENCODED_BYTES = 1 << 21
 #: Stretches whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_000_000
 BLOCKS = "part int, block int, first_id long, n_docs long, n_ids long, doc_ids binary, counts binary, ranks binary, control binary, data binary"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _ENCODERS: dict[str, Encoder] = {}
@@ -44,9 +44,8 @@ class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library; equal stretches of text are encoded once.
 
     A space between two other signs always starts a piece of the pre-tokenizer, and BPE never merges across
-    pieces. So texts are cut at spaces, and the ids of each stretch are remembered under 64 bits of its content,
-    in sorted numpy arrays. Texts with further white space next to a space, or with one of the file's special
-    strings, are encoded whole.
+    pieces. So texts are cut at spaces, and the ids of each stretch are remembered (and found by its content). Texts
+    with further white space next to a space, or with one of the file's special strings, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -62,14 +61,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memory, self.start, self.length = Memory(), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.wide), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: np.ndarray, stretches: list[str], heads: list[bool]) -> None:
-        """Remember the ids of stretches, with a space before those that are not a text's head; length -1 where white space is at an end."""
+    def _learn(self, stretches: list[str], heads: list[bool]) -> None:
+        """Remember the ids of further stretches, with a space before those that are not a text's head; length -1 where white space is at an end."""
         fit = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in stretches]
         ids: list = [[]] * len(stretches)
         inner = [k for k, (h, ok) in enumerate(zip(heads, fit)) if ok and not h]
@@ -87,19 +86,18 @@ class Encoder:
         first = [k for k, (h, ok) in enumerate(zip(heads, fit)) if ok and h]
         for k, e in zip(first, self.library.encode_batch_fast([stretches[k] for k in first], add_special_tokens=False)):
             ids[k] = e.ids
-        length = np.array([len(x) if ok else -1 for x, ok in zip(ids, fit)], np.int64)
+        length = np.array([len(x) if ok else -1 for x, ok in zip(ids, fit)], np.int32)
         flat = np.concatenate([np.asarray(x, self.wide) for x in ids] or [np.zeros(0, self.wide)])
-        start = self.used + np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+        start = self.used + np.cumsum(np.maximum(length, 0), dtype=np.int64) - np.maximum(length, 0)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.length = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.length, at, length)
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text raw[offsets[i]:offsets[i+1]]."""
-        if len(self.keys) > REMEMBERED:
+        if len(self.memory) > REMEMBERED:
             self._forget()
         low = int(offsets[0])
         data, at = raw[low : int(offsets[-1])], offsets - low
@@ -114,16 +112,22 @@ class Encoder:
         first = np.cumsum(n_of) - n_of
         head = np.zeros(len(starts), bool)
         head[first[full]] = True
-        keys = stretch_hashes(data, starts, ends)
-        keys[head] = mix(keys[head] ^ np.uint64(0x68656164))
-        unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        codes, contents, of = distinct(data, starts, ends)
+        # A text's head has no space before it: it is another stretch than the same signs elsewhere.
+        codes = 2 * codes + head
+        present = np.zeros(2 * len(of), bool)
+        present[codes] = True
+        codes, inverse = np.flatnonzero(present), (np.cumsum(present) - 1)[codes]
+        size = np.diff(of)[codes >> 1]
+        upto = np.cumsum(size)
+        contents = contents[np.repeat(of[codes >> 1] - (upto - size), size) + np.arange(upto[-1])]
+        of, heads = np.concatenate([[0], upto]), codes & 1
+        row, new = self.memory(contents, of, heads)
         if len(new):
-            spots = where[new]
-            self._learn(unique[new], [content[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[spots].tolist(), ends[spots].tolist())], head[spots].tolist())
-            place = np.searchsorted(self.keys, unique)
-        length = self.length[place][inverse]
+            text = contents.tobytes()
+            self._learn([text[a:b].decode("utf-8", "surrogatepass") for a, b in zip(of[new].tolist(), of[new + 1].tolist())], heads[new].astype(bool).tolist())
+        # Texts with a stretch that cannot be remembered are encoded whole.
+        length, begins = np.where(row < 0, -1, self.length[row])[inverse], self.start[row][inverse]
         torn = np.zeros(len(n_of), bool)
         torn[np.repeat(np.arange(len(n_of)), n_of)[length < 0]] = True
         for special in self.special:
@@ -132,7 +136,7 @@ class Encoder:
         # All ids at once: each stretch's run of the remembered ids, one after another.
         size = np.maximum(length, 0)
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[place][inverse] - upto[:-1], size) + np.arange(upto[-1])].astype(np.uint32)
+        ids = self.flat[np.repeat(begins - upto[:-1], size) + np.arange(upto[-1])].astype(np.uint32)
         begin, end = upto[first], upto[first + n_of]
         return [self.whole(content[a:b].decode("utf-8", "surrogatepass")) if t else ids[x:y] for t, x, y, a, b in zip(torn.tolist(), begin.tolist(), end.tolist(), at[:-1].tolist(), at[1:].tolist())]
 

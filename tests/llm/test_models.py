@@ -38,12 +38,48 @@ def test_language_id(spark):
     assert odd == {900: ("und", 0.0), 901: ("und", 0.0), 902: ("und", 0.0)}
     kept = {r.doc_id for r in language_id.accepted(df).collect()}
     assert set(truth) <= kept and not kept & {900, 901, 902}
-    langs, prototypes = language_id.trained(df)
-    again, same = language_id.trained(df.repartition(9))
-    assert langs == again == ["aa", "bb", "cc"] and np.array_equal(prototypes, same)
+    one, same = language_id.trained(df), language_id.trained(df.repartition(9))
+    assert one.langs == same.langs == ["aa", "bb", "cc"] and np.array_equal(one.whole, same.whole)
     assert language_id.identified(df.limit(0)).count() == 0
 
 
+def brute_language_id(texts, of):
+    """(language, score) by the method's definition: one trigram after another, a vector for each letter."""
+    draw = lambda point: np.random.default_rng([7, point]).choice([-1, 1], language_id.DIM)
+    out = []
+    for text in texts:
+        line = re.sub("_+", "_", "_" + "".join(c.lower()[0] if c.isalpha() else "_" for c in text or "") + "_")
+        vector = {c: draw(0 if c == "_" else ord(c)) for c in set(line)}
+        bundle = sum((vector[a] * np.roll(vector[b], 1) * np.roll(vector[c], 2) for a, b, c in zip(line, line[1:], line[2:]) if b != "_"), np.zeros(language_id.DIM))
+        if not bundle.any():
+            out.append(("und", 0.0))
+            continue
+        apart = bundle / np.sqrt(bundle @ bundle) - of.mean
+        share = np.exp(language_id.SHARP * (of.centred @ apart) / np.sqrt(apart @ apart))
+        out.append((of.langs[int(share.argmax())], share.max() / share.sum()))
+    return out
+
+
+def test_language_id_equals_brute_force_with_twenty_languages(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñßøåæçабвгдежзиклмнопрстуфхцч日本語中文字ΑΒΓΔαβγδ"
+    kinds = {f"l{k:02}": ["".join(rng.choice(letters) for _ in range(rng.randint(1, 3))) for _ in range(8)] for k in range(20)}
+    rows = []
+    for i in range(400):
+        lang = f"l{i % 20:02}"
+        text = words(rng, kinds[lang], rng.randint(20, 60))
+        rows.append((i, text.upper() if i % 7 == 0 else text.replace(" ", "\n1") if i % 5 == 0 else text, lang))
+    junk = {1000: "日" * 3 + " ".join(chr(0x1200 + rng.randrange(300)) * 2 for _ in range(80)), 1001: "12 !! 34"}
+    df = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows] + [(i, t, None, None, None) for i, t in junk.items()], SCHEMA)
+    got = {r.doc_id: r for r in language_id.identified(df).collect()}
+    of = language_id.trained(df)
+    want = brute_language_id([t for _, t, _ in rows], of)
+    assert [got[i].lang_pred for i, _, _ in rows] == [x for x, _ in want]
+    assert np.allclose([got[i].score for i, _, _ in rows], [p for _, p in want], atol=1e-6)
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows if held_out(i)]) > 0.98
+    assert {r.doc_id for r in language_id.accepted(df).collect()} == {i for i, _, _ in rows}
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
