@@ -1,7 +1,7 @@
 """Operator 1: quality classifier on random-indexing word vectors.
 
 A white-space token is read as terms: its lower-cased letters, its case, and the signs before and after
-them. Every term has a sparse random index vector; its context vector adds the index vectors of the terms
+them (runs of one sign as three). A token of over LONGEST characters counts as its successive pieces of that length. Every term has a sparse random index vector; its context vector adds the index vectors of the terms
 around it over the training sample (random indexing) to its own. A token's vector is the sum of its terms',
 a document's is the mean over its tokens, next to the spread between tokens, the log of their number, their kinds for each token, and the share of the commonest. A
 two-layer numpy network scores it; a temperature fitted on a part of the training sample calibrates it.
@@ -10,7 +10,9 @@ Words and network are fitted on a bounded sample: SAMPLE labelled rows (the firs
 are not held out, of SAMPLE_CHARS characters at most each. Scoring reads every text whole.
 
 Defined results: null and empty texts are scored as documents without tokens; rows with a null or other
-label than 0 and 1 teach nothing; without any of both labels the score is the share of label 1 (or 0.5).
+label than 0 and 1 teach nothing, nor do ids with both; without any of both labels the score is the share of label 1
+(or 0.5). A score of exactly 0.5 is predicted 1. Rows that repeat a doc_id come back once each; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +36,25 @@ SEEN, VOCABULARY = 3, 40_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 64, 4e-3, 1e-4
 #: Tokens that a Python worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Characters of a token that are read as one.
+LONGEST = 40
 _PARTS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+
+
+def tokens_of(text: str) -> list[str]:
+    """White-space tokens, longer ones in pieces: nothing of a text is left out."""
+    found = text.split()
+    if max(map(len, found), default=0) > LONGEST:
+        found = [t[k : k + LONGEST] for t in found for k in range(0, len(t), LONGEST)]
+    return found
 
 
 def terms(token: str) -> tuple[str, ...]:
     before, core, after = _PARTS.match(token).groups()
     case = "digits" if core.isdigit() else "lower" if core.islower() else "title" if core.istitle() else "upper" if core.isupper() else "mixed" if core else "signs"
-    return ("w " + core.lower()[:40], f"c {case}", "b " + before[:4], "a " + after[:4])
+    signs = lambda x: _RUN.sub(r"\1\1\1", x)
+    return ("w " + core.lower(), f"c {case}", "b " + signs(before), "a " + signs(after))
 
 
 def index_vector(term: str) -> np.ndarray:
@@ -73,7 +87,7 @@ class Words:
         if len(self.rows) > REMEMBERED:
             self.rows.clear()
         for i, text in enumerate(texts):
-            tokens = text.split()
+            tokens = tokens_of(text)
             for t in [t for t in set(tokens) if t not in self.rows]:
                 k = self.rows[t] = len(self.rows)
                 if k == len(self.matrix):
@@ -91,7 +105,7 @@ class Words:
 def context_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     """Random indexing over the sample: term -> context vector of length 1."""
     rows: dict[str, int] = {}
-    docs = [np.array([rows.setdefault(t, len(rows)) for t in text.split()], np.int64) for text in texts]
+    docs = [np.array([rows.setdefault(t, len(rows)) for t in tokens_of(text)], np.int64) for text in texts]
     parts = [terms(t) for t in rows]
     times = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]), minlength=len(rows)).tolist()
     counts: Counter = Counter()

@@ -7,10 +7,12 @@ of checksums), and its path where there is one. A random forest, grown in numpy
 a seeded generator writes, scores it; a candidate is a finding from THRESHOLD on.
 
 The dictionary is bounded and learned: the letter pairs and the words of the generator's prose, and of
-each document the words that it uses more than once.
+each document the words that it uses more than once outside of candidates.
 
-Defined results: null and empty texts have no findings; a document without findings has no row; offsets are
-code points, end exclusive; rows that repeat a doc_id are scanned each for itself. Extra columns are ignored.
+Defined results: null and empty texts have no findings, nor has an empty table; a document without findings has no row;
+names and values of any length are taken whole; offsets are code points, end exclusive; where candidates overlap,
+assignments go before prefixes, these before runs, and earlier ones first; rows that repeat a doc_id are scanned each
+for itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ THRESHOLD = 0.5
 TREES, DEPTH, LEAF, TRAIN = 40, 9, 4, 4000
 
 _VALUE = r"[A-Za-z0-9+/_=.~-]"
-#: A key name, a sign of assignment, and the value with or without quotes.
-_ASSIGNED = re.compile(rf"(?i)\b([a-z0-9_.-]{{0,24}}(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth)[a-z0-9_.-]{{0,16}})[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?({_VALUE}{{8,512}})")
+#: Signs of key names, and a sign of assignment with the value, with or without quotes.
+_NAME = re.compile(r"[A-Za-z0-9_.-]*")
+_NAME_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_KEY = re.compile(r"(?i)token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth")
+_VALUED = re.compile(rf"[\"']?\s*(?:=>|:=|=|:)\s*[\"']?({_VALUE}{{8,}})")
 _PREFIXED = re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bsk-[A-Za-z0-9]{20,}|\bAIza[A-Za-z0-9_-]{35}|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _CUE = re.compile(r"(?i)token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth")
@@ -46,6 +51,19 @@ _TESTS = re.compile(r"(?i)(?:^|/)(?:tests?|fixtures?|examples?|docs?|samples?)/"
 FEATURES = ["length", "digits", "upper", "lower", "signs", "hex", "entropy", "transition", "covered", "switches", "cue", "sum", "example", "assigned", "prefixed", "quoted", "path", "test_path", "distinct"]
 
 
+def assignments(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, key name) of the values of names that hold a key word; each run of name signs is looked at once."""
+    at = 0
+    while key := _KEY.search(text, at):
+        first, last = key.start(), _NAME.match(text, key.end()).end()
+        while first > at and text[first - 1] in _NAME_SIGNS:
+            first -= 1
+        value = _VALUED.match(text, last)
+        if value:
+            yield value.start(1), value.end(1), text[first:last].lstrip(".-")
+        at = value.end(1) if value else last
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, key name), without overlap: assignments first, then prefixes, then runs."""
     found: list[tuple[int, int, str, str]] = []  # kept in order of start
@@ -55,9 +73,8 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         if (k == 0 or found[k - 1][1] <= a) and (k == len(found) or found[k][0] >= b):
             found.insert(k, (a, b, kind, name))
 
-    if _CUE.search(text):
-        for m in _ASSIGNED.finditer(text):
-            add(m.start(2), m.end(2), "assigned", m[1])
+    for a, b, name in assignments(text):
+        add(a, b, "assigned", name)
     for m in _PREFIXED.finditer(text):
         add(m.start(), m.end(), "prefixed", "")
     for m in _RUN.finditer(text):
@@ -219,7 +236,9 @@ def scan(text: str, of: Dictionary, forest: Forest) -> list[tuple[int, int, str,
     found = candidates(text)
     if not found:
         return []
-    uses = Counter(w.lower() for w in re.findall(r"[^\W\d_]{4,24}", text))
+    # Words of the text around the candidates, so that a repeated secret is not its own dictionary.
+    around = " ".join(text[a:b] for a, b in zip([0, *(c[1] for c in found)], [*(c[0] for c in found), len(text)]))
+    uses = Counter(w.lower() for w in re.findall(r"[^\W\d_]{4,}", around))
     own = {w[i : i + 4] for w, n in uses.items() if n > 1 for i in range(len(w) - 3)}
     p = forest(np.array([features(text, *c, of, own) for c in found]))
     return [(*c, float(s)) for c, s in zip(found, p)]

@@ -103,6 +103,42 @@ def test_quality(spark):
     assert quality.scored(df.limit(0), lab).count() == 0
 
 
+def test_quality_scores_equal_plain_python_on_whole_texts(spark):
+    rng = random.Random(22)
+    rows = [(i, words(rng, SYLLABLES["aa" if i % 2 else "bb"], rng.randint(5, 60))) for i in range(200)]
+    more = [(500, "漢字" * 3000 + "。" * 9), (501, "!" * 500), (502, "x" * 100_000), (503, "a b a b !!!!!!!! c")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows + more + ODD], SCHEMA)
+    lab = spark.createDataFrame([(i, i % 2, None) for i, _ in rows], "doc_id long, quality int, toxic int")
+    context, network = quality.trained(df, lab)
+
+    def vector(term):
+        if term in context:
+            return context[term]
+        term = f"w#{min(len(term) - 2, 30)}" if term[0] == "w" else term
+        return context.get(term, quality.index_vector(term) / np.sqrt(quality.NONZERO))
+
+    def score(text):
+        tokens = [t[k : k + quality.LONGEST] for t in (text or "").split() for k in range(0, len(t), quality.LONGEST)]
+        x = np.zeros(2 * quality.DIM + 3)
+        if tokens:
+            m = np.array([sum(vector(t) for t in quality.terms(token)) for token in tokens], np.float64)
+            share = max(tokens.count(t) for t in set(tokens)) / len(tokens) if len(tokens) < 3000 else max(np.unique(tokens, return_counts=True)[1]) / len(tokens)
+            x = np.concatenate([m.mean(0), m.std(0), [np.log1p(len(tokens)), len(set(tokens)) / len(tokens), share]])
+        z = np.clip((x - network.mean) / network.std, -8, 8)
+        logit = np.maximum(z @ network.p[0] + network.p[1], 0) @ network.p[2] + network.p[3]
+        return 1 / (1 + np.exp(-np.clip(logit / network.temperature, -30, 30)))
+
+    got = sorted((r.doc_id or -1, r.score) for r in quality.scored(df, lab).collect())
+    want = sorted((i or -1, score(t)) for i, t in rows + more + ODD)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([p for _, p in got], [p for _, p in want], atol=2e-3)
+    # A text without white space is not judged by its first characters.
+    lead = "漢字" * 20
+    words_ = quality.Words(context)
+    a, b = words_.pooled([lead + "かな" * 200, lead + "!?" * 200])
+    assert not np.allclose(a, b)
+
+
 def brute_base(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
@@ -224,6 +260,70 @@ def test_secrets(spark):
     assert secrets.findings(df.limit(0)).count() == 0
 
 
+def brute_candidates(text):
+    """Spans by plain patterns without bounds, quadratic in the worst case."""
+    name = r"[A-Za-z0-9_.-]*"
+    assigned = re.compile(rf"(?i)({name}(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth){name})[\"']?\s*(?:=>|:=|=|:)\s*[\"']?([A-Za-z0-9+/_=.~-]{{8,}})")
+    found = [(*m.span(2), "assigned") for m in assigned.finditer(text)]
+    for kind, pattern in (("prefixed", secrets._PREFIXED), ("run", re.compile(r"[A-Za-z0-9+/_=-]{20,}"))):
+        for m in pattern.finditer(text):
+            fits = kind == "prefixed" or (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]))
+            if fits and all(m.end() <= a or b <= m.start() for a, b, _ in found):
+                found.append((*m.span(), kind))
+    return sorted(found)
+
+
+def test_secret_candidates_equal_brute_force():
+    rng = random.Random(11)
+    parts = ["token", "api_key", "PASSWORD", "auth", " ", "=", ": ", " => ", '"', "'", ".", "-", "_", "a1B2", "0f9e8d7c", "word", "\n", "é", "ghp_" + "a1" * 18, "x" * 9, "{", "my."]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert [c[:3] for c in secrets.candidates(text)] == brute_candidates(text), text
+
+
+def test_secrets_of_any_length_and_repeated_ones():
+    of, forest = secrets.trained()
+    rng = random.Random(12)
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    long = "".join(rng.choice(wide) for _ in range(10_000))
+    text = f"{'x' * 5000}_token = \"{long}\" and so on"
+    (a, b, kind, name, score), = secrets.scan(text, of, forest)
+    assert text[a:b] == long and kind == "assigned" and name == "x" * 5000 + "_token" and score >= 0.5
+    for seed in range(20):
+        rng = random.Random(seed)
+        value = "".join(rng.choice(wide) for _ in range(40))
+        line = f'some words here token = "{value}" more words there\n'
+        one, two = secrets.scan(line, of, forest), secrets.scan(line + line, of, forest)
+        assert [f[4] >= 0.5 for f in two] == [one[0][4] >= 0.5] * 2 == [True, True]
+
+
+def test_secret_scores_equal_a_walk_through_the_trees(spark):
+    of, forest = secrets.trained()
+
+    def walk(tree, x, at=0):
+        f, cut, low, high, share = tree[at]
+        return share if f < 0 else walk(tree, x, int(low if x[int(f)] <= cut else high))
+
+    rows, _ = secrets.labelled(7, 60)
+    texts = [r[0] for r in rows] + [None, ""]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.start, r.end): r.score for r in secrets.findings(df).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        found = secrets.candidates(t or "")
+        around = t or ""
+        for a, b, *_ in reversed(found):
+            around = around[:a] + " " + around[b:]
+        low = re.findall(r"[^\W\d_]{4,}", around.lower())
+        own = {w[k : k + 4] for w in low if low.count(w) > 1 for k in range(len(w) - 3)}
+        for c in found:
+            x = secrets.features(t, *c, of, own)
+            p = sum(walk(tree, x) for tree in forest.trees) / len(forest.trees)
+            if p >= 0.5:
+                want[(i, *c[:2])] = round(p, 6)
+    assert got == want and want
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     item = "Ana buys 12 apples for 3 dollars each and then sells half of them to Bob on the market at noon today"
