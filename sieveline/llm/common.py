@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that a Python task works on at a time.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch (one row at least).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,25 +29,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only in local mode, where none need be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sieveline-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, its lineage cut."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
+def staged(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df written as Parquet in the shared folder and read again: its lineage is cut, and columns that are not asked for are not read.
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: columns that are not asked for are not read."""
+    Unlike a checkpoint's, the new plan's size is that of its files: joins in a loop neither multiply estimates nor miss a
+    broadcast. The files go with discard(), or when the driver ends.
+    """
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(removed, df.sparkSession, path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.staged_at = path
+    return read
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for df in dfs:
+        removed(df.sparkSession, df.staged_at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """The files under path deleted, if they and the session's JVM are still there."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except (Py4JError, OSError):
+        pass  # the JVM has ended first
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", rows: int | None = None) -> DataFrame:
@@ -49,6 +74,34 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "le
     return df.join(F.broadcast(ids) if rows <= BROADCAST_IDS else ids, key, how)
 
 
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with what executors hold for it bounded: Arrow batches of texts, and what a worker keeps between tasks."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(releasing(f), schema)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS and BATCH_BYTES for the session's Arrow batches, unless they are smaller: whole texts would make the usual 10,000 rows a large buffer on both sides."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(name, most)
+
+
+def releasing(f: Callable) -> Callable:
+    """f, giving freed memory back to the system when a task is over; workers are kept for further tasks."""
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc
+            trim(0)
+
+    return run
+
+
 def fold(column: str = "doc_id"):
     """crc32 of the id's decimal text modulo 3; rows where it is 1 are held out of every training."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

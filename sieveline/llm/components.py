@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import checkpointed
+from sieveline.llm.common import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,12 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a < b), root being the least node that it reaches. The number of rounds follows the logarithm of the longest path."""
-    now, before = checkpointed(edges.select("a", "b").distinct()), None
+    now, before = staged(edges.select("a", "b").distinct()), None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == before or not mark["n"]:
             break
-        before = mark
-        now = checkpointed(_star(_star(now, True), False))
+        before, last = mark, now
+        now = staged(_star(_star(now, True), False), "components")
+        discard(last)
     # Each node now has one edge, to its root.
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(now.select("a", F.col("a")).distinct())

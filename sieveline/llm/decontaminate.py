@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import sketch
-from sieveline.llm.common import checkpointed, chunks, ints, keep_ids, text_buffers
+from sieveline.llm.common import chunks, ints, keep_ids, mapped, staged, text_buffers
 from sieveline.llm.shingles import word_spans
 from sieveline.llm.stretches import Memory, distinct, mix
 
@@ -46,7 +46,7 @@ _SIGNS = ".,;:!?\"'()[]{}<>*_#&|~`…“”‘’。、，．！？：；「」
 #: Letters of scripts that write no spaces: each is a word.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\U00020000-\U0003fa1f])")
 #: Tokens that a Python worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _PLACE = np.random.default_rng(99).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 #: Kinds of template words.
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -266,14 +266,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Rows are told apart by a hash of their text, as places count within one text.
     rows = lambda df, key: df.filter(f"{key} is not null").select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
     place = "id long, row long, hash long, at long, slots string"
-    items = rows(benchmark, "item_id").mapInArrow(_windows(None, list(range(1, WIDTH + 1))), f"{place}, width int, size long, form byte, templates long, named long, windows long")
-    own = checkpointed(items.withColumnsRenamed({"id": "item_id", "row": "item_row", "at": "item_at", "slots": "item_slots"}).distinct())
+    items = mapped(rows(benchmark, "item_id"), _windows(None, list(range(1, WIDTH + 1))), f"{place}, width int, size long, form byte, templates long, named long, windows long")
+    own = staged(items.withColumnsRenamed({"id": "item_id", "row": "item_row", "at": "item_at", "slots": "item_slots"}).distinct())
     counted = sketch.counted(own.select("hash"), lambda batch: iter([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), FILTER_BITS)
     # Only widths that some item has are looked for.
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())
     if not widths:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, share double")
-    found = rows(documents, "doc_id").mapInArrow(_windows(counted > 0, widths), place).withColumnRenamed("id", "doc_id").distinct()
+        return documents.sparkSession.sql("SELECT 0L AS doc_id, 0L AS item_id, 0L AS n_windows, 0D AS share WHERE false")
+    found = mapped(rows(documents, "doc_id"), _windows(counted > 0, widths), place).withColumnRenamed("id", "doc_id").distinct()
     met = found.join(own, "hash")
     held = met.groupBy("doc_id", "row", "item_id", "item_row").applyInArrow(_judge, "doc_id long, item_id long, n_windows long, share double")
     return held.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "n_windows")).alias("best")).select("doc_id", "item_id", "best.n_windows", "best.share")
@@ -281,5 +281,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that hold a benchmark item; rows without an id stay."""
-    gone = checkpointed(leaks(documents, benchmark).select("doc_id").distinct())
+    gone = staged(leaks(documents, benchmark).select("doc_id").distinct())
     return keep_ids(documents, gone, "doc_id", "left_anti").select(*documents.columns)

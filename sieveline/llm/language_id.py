@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import chunks, fold, ints, text_buffers
+from sieveline.llm.common import bounded, chunks, fold, ints, mapped, releasing, text_buffers
 
 #: Length of vectors; steepness of the softmax.
 DIM, SHARP = 512, 24.0
@@ -156,7 +156,7 @@ class Prototypes:
 def trained(documents: DataFrame) -> Prototypes:
     """Prototypes from all documents that are not held out and have a language."""
     learn = documents.filter((fold() != 1) & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = learn.mapInArrow(_summed, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    sums = mapped(learn, _summed, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     # A row of DIM numbers for each language, however many documents there are.
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vector")).collect()
     return Prototypes({r["lang"]: np.array([x["v"] for x in r["vector"]], np.float64) for r in rows})
@@ -192,7 +192,7 @@ def identified(documents: DataFrame) -> DataFrame:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(documents: DataFrame) -> DataFrame:
@@ -209,4 +209,5 @@ def accepted(documents: DataFrame) -> DataFrame:
                 keep.append(predict(texts, prototypes)[2])
             yield pa.array(np.concatenate(keep).astype(bool))
 
-    return documents.filter(F.arrow_udf(known, "boolean")(F.col("text").cast("string")))
+    bounded(documents.sparkSession)
+    return documents.filter(F.arrow_udf(releasing(known), "boolean")(F.col("text").cast("string")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import chunks, ints, text_buffers
+from sieveline.llm.common import chunks, ints, mapped, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -436,4 +436,4 @@ def personal_data(documents: DataFrame) -> DataFrame:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return mapped(rows, run, SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import chunks, fold, ints, text_buffers
+from sieveline.llm.common import chunks, fold, ints, mapped, text_buffers
 
 SAMPLE, SAMPLE_CHARS = 4000, 40_000
 DIM, NONZERO, AROUND = 48, 6, 2
@@ -212,4 +212,4 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, run, "doc_id long, held_out boolean, score double, predicted int")

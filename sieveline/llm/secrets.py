@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import chunks, ints, text_buffers
+from sieveline.llm.common import chunks, ints, mapped, text_buffers
 
 LEAST = 16
 THRESHOLD = 0.5
@@ -263,4 +263,4 @@ def findings(documents: DataFrame) -> DataFrame:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, end long, kind string, key_name string, score double")
+    return mapped(rows, run, "doc_id long, start long, end long, kind string, key_name string, score double")

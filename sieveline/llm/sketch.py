@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sieveline.llm.common import mapped
+
 #: log2 of the number of counters; as one byte each they are a broadcast of 4 MB.
 BITS = 22
 _SLICES = 64
@@ -27,22 +29,19 @@ def counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
     size = (1 << bits) // _SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(1 << bits, np.int64), False
+        total, any_row = np.zeros(1 << bits, np.uint32), False
         for batch in batches:
             for h in hashes(batch):
                 any_row = True
-                if len(h) * 8 < 1 << bits:
-                    np.add.at(total, slots(h, bits), 1)
-                else:
-                    total += np.bincount(slots(h, bits), minlength=1 << bits)
+                np.add.at(total, slots(h, bits), np.uint32(1))
         if any_row:
             # Two bytes a counter: what is over goes into further rows of the same slice.
-            while total.any():
-                part = np.minimum(total, 2**16 - 1)
-                total -= part
-                for k in range(_SLICES):
-                    if part[k * size : (k + 1) * size].any():
-                        yield _row(k, part[k * size : (k + 1) * size].astype(np.uint16))
+            for k in range(_SLICES):
+                left = total[k * size : (k + 1) * size]
+                while left.any():
+                    part = np.minimum(left, 2**16 - 1)
+                    left = left - part
+                    yield _row(k, part.astype(np.uint16))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -53,7 +52,7 @@ def counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
             yield _row(k, np.minimum(part, 2**32 - 1).astype(np.uint32))
 
     schema = "slice int, counts binary"
-    rows = df.mapInArrow(count, schema).repartition(min(16, _SLICES), "slice").mapInArrow(add, schema)
+    rows = mapped(mapped(df, count, schema).repartition(min(16, _SLICES), "slice"), add, schema)
     table = np.zeros(1 << bits, np.int64)
     for r in rows.collect():  # at most 64 rows of a fixed size
         table[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.uint32)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import chunks, ints, staged, text_buffers
+from sieveline.llm.common import chunks, ints, mapped, staged, text_buffers
 from sieveline.llm.stretches import Memory, distinct
 
 END_ID = 2
@@ -235,7 +235,7 @@ def written(documents: DataFrame, tokenizer: str) -> DataFrame:
     """The table of blocks that encodes documents, written in the shared folder and read again."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return staged(ranged.mapInArrow(_blocks(tokenizer), BLOCKS), "token-blocks")
+    return staged(mapped(ranged, _blocks(tokenizer), BLOCKS), "token-blocks")
 
 
 def index(blocks: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def index(blocks: DataFrame) -> DataFrame:
     # A row for each part, of which there are no more than shuffle partitions.
     starts = F.broadcast(parts.select("part", F.coalesce(before, F.lit(0)).alias("base")))
     read = blocks.select("part", "first_id", "n_ids", "doc_ids", "counts", "ranks", "control", "data")
-    docs = read.mapInArrow(_decoded, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    docs = mapped(read, _decoded, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     return docs.join(starts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
