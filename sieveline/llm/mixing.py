@@ -10,7 +10,12 @@ CAP * size / weight.
 
 One seed would leave a source whose few long documents fall on one side far off its target. So each
 document has SEEDS draws from one hash, every source's total is known for each seed from the same
-aggregation, and the source uses the seed that comes nearest.
+aggregation, and the source uses the seed that comes nearest. A draw under one seed has the stated probability; the
+choice of the seed by its total makes the draws of a source depend on each other.
+
+Texts are read once for their sizes, which are staged by id; everything else works on these short rows, and
+documents meet only the table of sources, which is broadcast while its counted rows are few and
+salted beyond that, as one source may hold a third of all rows.
 """
 
 from __future__ import annotations
@@ -18,16 +23,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import checkpointed
+from sieveline.llm.common import staged
 
 CAP = 3
 SEEDS = 32
+#: Sources that may be broadcast (some 10 MB); parts that a source's rows are dealt to beyond that.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 _SPAN = 2**32
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """documents with size: the number of words [^\\x20\\x09-\\x0D]+ of the whole text (null: 0)."""
-    return documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    """doc_id, source, size of documents, staged: size is the number of words [^\\x20\\x09-\\x0D]+ of the whole text (null: 0)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return staged(documents.select("doc_id", "source", size.alias("size")), "sizes")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -58,42 +66,34 @@ def _copies(rate, seed):
     return (F.floor(rate) + extra.cast("long")).cast("long")
 
 
-def plan(documents: DataFrame) -> DataFrame:
-    """source, source_size, target, rate, seed: a row per source."""
-    rows = documents.select("source", "size", *_key(documents))
-    sizes = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rated = checkpointed(sizes.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+def plan(sizes: DataFrame) -> DataFrame:
+    """source, source_size, target, rate, seed for rows of (doc_id, source, size): a row per source."""
+    own = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rated = staged(own.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     draws = [(F.col("size") * _copies(F.col("rate"), k)).alias(f"t{k}") for k in range(SEEDS)]
-    drawn = _with_source(rows, rated.select("source", "target", "rate")).select("source", "target", *draws)
+    drawn = _with_source(sizes.select("source", "size", "doc_id", *_key(sizes)), rated.select("source", "target", "rate")).select("source", "target", *draws)
     sums = drawn.groupBy("source", "target").agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(SEEDS)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)]))
-    return checkpointed(_with_source(rated, sums.select("source", nearest["seed"].alias("seed"))))
+    return staged(_with_source(rated.withColumn("doc_id", F.lit(0)), sums.select("source", nearest["seed"].alias("seed"))).drop("doc_id"))
 
 
 def _with_source(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """rows with the columns of their source in of; a null source matches itself."""
+    """rows (with doc_id) with the columns of their source in of (a row for each source); a null source matches itself."""
     of = of.withColumnRenamed("source", "of_source")
-    return rows.join(of, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-
-
-def mixed(documents: DataFrame) -> DataFrame:
-    """Every row of documents with size, source_size, target and copies (how often the mix takes it).
-
-    Null text has size 0; null source is a source of its own; sources without words have target 0. Rows
-    that repeat a doc_id draw alike, each for itself. An empty table gives an empty result.
-    """
-    rows = sized(documents)
-    joined = _with_source(rows.drop("source_size", "target", "rate", "seed", "copies", "a", "b"), plan(rows))
-    drawn = joined.select("*", *_key(joined))
-    return drawn.withColumn("copies", _copies(F.col("rate"), F.col("seed"))).drop("a", "b", "rate", "seed")
+    same = F.col("source").eqNullSafe(F.col("of_source"))
+    if of.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(of), same).drop("of_source")
+    dealt = rows.withColumn("of_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(of, same & (F.col("of_salt") == F.col("salt"))).drop("of_source", "of_salt", "salt")
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """The mix itself: documents' own columns, each row as often as it is taken."""
-    own = documents.columns
-    renamed = documents.select(F.struct("*").alias("row"), "doc_id", "text", "source")
-    taken = mixed(renamed).filter("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*").select(*own)
+    """The mix itself: documents' own columns (whatever their names), each row as often as it is taken."""
+    of = plan(sized(documents)).select("source", "rate", "seed")
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", "source")
+    drawn = _with_source(rows.select("*", *_key(rows)), of).select("row", _copies(F.col("rate"), F.col("seed")).cast("int").alias("copies")).filter("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*").select(*documents.columns)
 
 
 SQL = r"""
@@ -126,5 +126,12 @@ FROM drawn d JOIN seeds s ON d.source IS NOT DISTINCT FROM s.source AND d.seed =
 
 
 def taken(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each row, repeats counted."""
-    return mixed(documents.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each row, repeats counted.
+
+    Null text has size 0; null source is a source of its own; sources without words have target 0. Rows
+    that repeat a doc_id draw alike, each for itself; texts of any length count whole. An empty table gives an empty
+    result; extra columns are ignored.
+    """
+    sizes = sized(documents)
+    rows = _with_source(sizes.select("*", *_key(sizes)), plan(sizes))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("rate"), F.col("seed"))).alias("taken"))
