@@ -6,8 +6,11 @@ by their whole content, so that equal texts are adjacent; neighbours are compare
 
 A text that many rows share would put all of them into one range. Rows are therefore counted by a hash of
 the text first, and a text with more than 1/HOT of all rows (there are at most HOT of these) is
-ranged with a salt as well: its rows sort into SALTS separate runs, which a second, small pass joins again
-by comparing the texts.
+ranged with a salt as well: its rows sort into SALTS separate runs, whose short results (by SHA-256 of the text)
+are joined afterwards.
+
+Normalised texts are staged once with their hash, and so are the finished runs: counting, sampling and sorting
+read what they need of these.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.llm.common import staged
+
 #: A text is hot with over 1/HOT of all rows, so at most HOT texts are hot, whatever the input.
 HOT = 1000
 #: Rows that a text has at least before it is hot.
@@ -36,30 +41,29 @@ def marked(documents: DataFrame, stays: str = "largest") -> DataFrame:
 
     Of equal texts the row with the largest doc_id stays (stays="smallest": the smallest). Rows that tie
     on that doc_id all count as kept; a null doc_id loses to any other, and a group of nothing else has a
-    null keep_id and keeps its rows. Null and empty texts are one group. Extra columns are ignored.
+    null keep_id and keeps its rows. Null and empty texts are one group; texts of any length are compared whole. An
+    empty table gives an empty result; extra columns are ignored.
     """
     best = {"largest": F.max, "smallest": F.min}[stays]
-    rows = documents.select("doc_id", normalised(F.col("text")).alias("norm"))
-    keyed = rows.withColumn("h", F.xxhash64("norm"))
+    norm = normalised(F.col("text"))
+    keyed = staged(documents.select("doc_id", norm.alias("norm")).select("*", F.xxhash64("norm").alias("h"), F.substring("norm", 1, LEAD).alias("lead")), "normalised")
+    total = keyed.count()
     counts = keyed.groupBy("h").agg(F.count("*").alias("c"))
-    total = documents.count()
     hot = counts.filter(F.col("c") > max(LEAST, total // HOT)).select("h", F.lit(True).alias("is_hot"))
     salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
-    dealt = keyed.join(F.broadcast(hot), "h", "left").select("doc_id", "norm", "h", F.substring("norm", 1, LEAD).alias("lead"), F.coalesce("is_hot", F.lit(False)).alias("is_hot"), salt.cast("int").alias("salt"))
+    dealt = keyed.join(F.broadcast(hot), "h", "left").withColumns({"is_hot": F.coalesce("is_hot", F.lit(False)), "salt": salt.cast("int")})
     # Range partitions by these already hold each run together: the window sorts and compares whole texts in place.
     run = Window.partitionBy("lead", "h", "norm", "salt")
-    ranged = dealt.repartitionByRange("lead", "h", "salt")
-    runs = ranged.select(
-        "doc_id", "is_hot", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "norm",
-        best("doc_id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"),
+    runs = staged(
+        dealt.repartitionByRange("lead", "h", "salt").select(
+            "doc_id", "is_hot", "salt", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), best("doc_id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"),
+        ),
+        "runs",
     )
     # A row for each run of a hot text: at most HOT * SALTS.
-    whole = (
-        ranged.filter("is_hot").groupBy("lead", "h", "norm", "salt").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .groupBy("norm").agg(best("keep_id").alias("hot_keep"), F.sum("group_size").alias("hot_size"))
-        .select(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "hot_keep", "hot_size")
-    )
-    out = runs.drop("norm").join(F.broadcast(whole), "text_sha256", "left")
+    ends = runs.filter("is_hot").groupBy("text_sha256", "salt").agg(best("run_keep").alias("run_keep"), F.max("run_size").alias("run_size"))
+    whole = ends.groupBy("text_sha256").agg(best("run_keep").alias("hot_keep"), F.sum("run_size").alias("hot_size"))
+    out = runs.join(F.broadcast(whole), "text_sha256", "left")
     keep = F.when(F.col("is_hot"), F.col("hot_keep")).otherwise(F.col("run_keep"))
     size = F.when(F.col("is_hot"), F.col("hot_size")).otherwise(F.col("run_size"))
     return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
