@@ -226,7 +226,8 @@ def _still_open(rows: DataFrame, centres: DataFrame, edges: DataFrame) -> DataFr
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed
     now = rows.drop("comp").join(placed, "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
     own = centres.select("token", F.col("y.doc").alias("doc")).join(placed, "doc", "left").select("token", F.coalesce("root", "doc").alias("own"))
-    several = now.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token").join(own, "token", "left")
+    # A written table, so that the join below has nothing but shuffles under it, whose skewed partitions Spark splits.
+    several = staged(now.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token").join(own, "token", "left"))
     left = now.join(several, "token").withColumn("tried", F.col("tried") | F.coalesce(F.col("comp") == F.col("own"), F.lit(False))).drop("own")
     return staged(left.select(rows.columns))
 

@@ -30,11 +30,11 @@ from sieveline.llm.common import chunks, ints, mapped, staged, text_buffers
 from sieveline.llm.stretches import Memory, distinct
 
 END_ID = 2
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 #: Bytes of text that are encoded at a time.
-ENCODED_BYTES = 1 << 21
+ENCODED_BYTES = 1 << 20
 #: Stretches whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 BLOCKS = "part int, block int, first_id long, n_docs long, n_ids long, doc_ids binary, counts binary, ranks binary, control binary, data binary"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _ENCODERS: dict[str, Encoder] = {}
