@@ -48,6 +48,11 @@ def simple_name(name: Column) -> Column:
     return F.substring_index(F.substring_index(name, "/", -1), "$", 1)
 
 
+def first_word(text: Column) -> Column:
+    """The first run of signs without white space; empty where there is none."""
+    return F.regexp_extract(text, r"(?U)\S+", 0)
+
+
 def command_name(token: Column, shells: list[str]) -> Column:
     """A command without quotes and folder; shells stay as they are written."""
     bare = F.lower(F.trim(F.regexp_replace(F.trim(token), "^[\"']+|[\"']+$", "")))

@@ -42,16 +42,16 @@ def lookalike(name: Column, known: list[str], least: int = 3, shortest: int = 5)
     """struct(known, kind, distance) of the known name that a name imitates, or null.
 
     Names with fewer than `least` signs, known names shorter than `shortest`, and names that begin with the known one
-    are left alone. An equal skeleton counts before the least edit distance (1, from 8 signs on 2), ties go by name.
+    are left alone. Skeletons are compared: an equal one counts before the least edit distance (at most 1, and 2 for
+    known names from 8 signs on), ties go by name.
     """
     n = normalized_name(name)
     sk = skeleton(n)
     names = F.array(*[F.struct(F.lit(k).alias("known")) for k in sorted(known) if len(k) >= shortest])
-    most = F.when(F.length(n) < 8, 1).otherwise(2)
     rated = F.transform(names, lambda k: F.struct(
-        F.when(skeleton(k["known"]) == sk, 0).otherwise(1).alias("rank"), F.levenshtein(n, k["known"]).alias("distance"), k["known"].alias("known"),
+        F.when(skeleton(k["known"]) == sk, 0).otherwise(1).alias("rank"), F.levenshtein(sk, skeleton(k["known"])).alias("distance"), k["known"].alias("known"),
     ))
-    near = F.filter(rated, lambda r: ~n.startswith(r["known"]) & ((r["rank"] == 0) | (r["distance"] <= most)))
+    near = F.filter(rated, lambda r: ~n.startswith(r["known"]) & (r["distance"] <= F.when(F.length(r["known"]) < 8, 1).otherwise(2)))
     best = F.array_min(near)
     found = F.struct(best["known"].alias("known"), F.when(best["rank"] == 0, "skeleton").otherwise("distance").alias("kind"), best["distance"].alias("distance"))
     return F.when((F.length(n) >= least) & ~n.isin(known) & best.isNotNull(), found)

@@ -286,9 +286,9 @@ _SKEL = "translate(replace(replace({x}, 'rn', 'm'), 'vv', 'w'), '013547i', 'oles
 @query(f"""
 WITH named AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, 'lo', '10') WHEN 1 THEN p_name || 's' ELSE p_name END AS name FROM part),
 norm AS (SELECT p_partkey, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS n FROM named), dim(known) AS (VALUES {", ".join(f"('{k}')" for k in KNOWN_PARTS)}),
-near AS (SELECT p_partkey, name, known, CASE WHEN {_SKEL.format(x="known")} = {_SKEL.format(x="n")} THEN 0 ELSE 1 END AS rk, levenshtein(n, known) AS d, n FROM norm, dim
+near AS (SELECT p_partkey, name, known, CASE WHEN {_SKEL.format(x="known")} = {_SKEL.format(x="n")} THEN 0 ELSE 1 END AS rk, levenshtein({_SKEL.format(x="n")}, {_SKEL.format(x="known")}) AS d, n FROM norm, dim
   WHERE length(n) >= 3 AND n NOT IN (SELECT known FROM dim) AND NOT starts_with(n, known)),
-hit AS (SELECT * FROM near WHERE rk = 0 OR d <= CASE WHEN length(n) < 8 THEN 1 ELSE 2 END)
+hit AS (SELECT * FROM near WHERE d <= CASE WHEN length(known) < 8 THEN 1 ELSE 2 END)
 SELECT p_partkey, name, known, CASE WHEN rk = 0 THEN 'skeleton' ELSE 'distance' END AS kind, CAST(d AS BIGINT) AS distance FROM hit QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY rk, d, known) = 1""")
 def name_lookalike(spark, sf_dir):
     k = F.col("p_partkey") % 3
@@ -490,8 +490,8 @@ def class_versions(spark, sf_dir):
 
 
 @query(r"""
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cmd.exe' WHEN 1 THEN '/bin/sh' WHEN 2 THEN 'curl' ELSE lower(p_type) END AS command FROM part""")
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cmd.exe' WHEN 1 THEN '/bin/sh' WHEN 2 THEN 'curl' ELSE lower(regexp_extract(p_type, '\S+')) END AS command FROM part""")
 def command_names(spark, sf_dir):
     k = F.col("p_partkey") % 4
-    token = F.when(k == 0, ' "C:\\Tools\\CMD.EXE" ').when(k == 1, "'/bin/sh'").when(k == 2, "/usr/bin/curl").otherwise(F.concat(F.lit("dir/"), F.col("p_type")))
-    return table(spark, sf_dir, "part").select("p_partkey", T.command_name(token, R.SHELL_COMMANDS).alias("command"))
+    token = F.when(k == 0, ' "C:\\Tools\\CMD.EXE" /c dir').when(k == 1, "'/bin/sh' -c ls").when(k == 2, "/usr/bin/curl http://example.com/x/y").otherwise(F.concat(F.lit("dir/"), F.col("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.command_name(T.first_word(token), R.SHELL_COMMANDS).alias("command"))

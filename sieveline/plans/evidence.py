@@ -41,24 +41,30 @@ def _fragments(text: Column) -> Column:
 
 
 def class_evidence(classes: DataFrame) -> DataFrame:
-    """Parsed classes with tags, urls, hidden_urls, ip_ports, fragments, targets, cheats, encoded, payloads and commands."""
+    """Parsed classes with tags, urls, hidden_urls, ip_ports, fragments, targets, cheats, encoded, payloads, and the commands by kind (helpers, shells, risky, programs)."""
     c = classes.filter("status = 'parsed'")
     literals = F.col("strings")
     decoded = F.transform(F.filter(literals, lambda s: s.rlike(_BASE64)), lambda s: T.try_base64(s))
     c = c.withColumn("decoded", F.filter(decoded, lambda d: d.isNotNull()))
     payload = F.filter(F.transform("decoded", lambda d: T.magic_of(d, R.MAGIC)), lambda m: m.isin(_PAYLOADS))
-    as_text = F.transform("decoded", lambda d: F.call_function("make_valid_utf8", d.cast("string")))
+    # What begins like a program or archive is a payload, not text.
+    as_text = F.transform(F.filter("decoded", lambda d: ~F.coalesce(T.magic_of(d, R.MAGIC).isin(_PAYLOADS), F.lit(False))), lambda d: F.call_function("make_valid_utf8", d.cast("string")))
     legible = F.filter(as_text, lambda t: F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit(""))) < F.length(t) * 0.1)
     encoded = F.filter(literals, lambda s: s.rlike(_BASE64) & s.rlike("[a-z]") & s.rlike("[A-Z]") & s.rlike("[0-9]") & (T.shannon_entropy(s) >= F.when(F.length(s) < 100, 4.5).otherwise(5.0)))
     c = c.withColumns({"payloads": payload, "hidden": legible, "encoded": encoded})
     c = c.withColumns({
         "urls": _flat(F.transform(literals, U.urls_in)), "hidden_urls": _flat(F.transform("hidden", U.urls_in)),
-        "ip_ports": _flat(F.transform(literals, U.ip_ports_in)), "fragments": F.array_union(_flat(F.transform(literals, _fragments)), _flat(F.transform("hidden", _fragments))),
+        "ip_ports": _flat(F.transform(F.concat(literals, F.col("hidden")), U.ip_ports_in)), "fragments": F.array_union(_flat(F.transform(literals, _fragments)), _flat(F.transform("hidden", _fragments))),
         "targets": F.array_distinct(F.filter(F.concat(literals, F.col("hidden")), lambda s: s.isin(R.REFLECTION_TARGETS))),
-        "cheats": F.array_distinct(F.filter(F.transform(literals, lambda s: F.regexp_replace(F.lower(s), "[^a-z]", "")), lambda s: s.isin(R.CHEAT_WORDS))),
-        "commands": F.array_distinct(F.filter(F.transform(F.filter(literals, lambda s: F.length(s) <= 300), lambda s: T.command_name(s, R.SHELL_COMMANDS)), lambda s: s.isin(R.SHELL_COMMANDS + R.RISKY_COMMANDS + R.HELPER_COMMANDS))),
+        "cheats": F.array_distinct(F.filter(F.transform(F.concat(literals, F.col("hidden")), lambda s: F.regexp_replace(F.lower(s), "[^a-z]", "")), lambda s: s.isin(R.CHEAT_WORDS))),
+        "commands": F.array_sort(F.array_distinct(F.transform(F.filter(literals, lambda s: F.length(s) <= 300), lambda s: T.command_name(T.first_word(s), R.SHELL_COMMANDS)))),
         "flags": F.filter(_lits(R.HIDDEN_FLAGS), lambda f: F.exists(literals, lambda s: F.contains(F.lower(s), f))),
     })
+    kinds = {"helpers": R.HELPER_COMMANDS, "shells": R.SHELL_COMMANDS, "risky": R.RISKY_COMMANDS}
+    named = [x for names in kinds.values() for x in names]
+    other = F.filter("commands", lambda s: s.endswith(".exe") & (F.length(s) > 4) & (F.length(s) < 60) & ~s.isin(named))
+    among = lambda names: F.filter("commands", lambda s: s.isin(names))
+    c = c.withColumns({**{kind: F.slice(among(names), 1, 10) for kind, names in kinds.items()}, "programs": F.slice(other, 1, 10)}).drop("commands")
     refs, members = F.col("class_refs"), F.col("member_refs")
     owner, member = (lambda m: F.substring_index(m, "#", 1)), (lambda m: F.substring_index(m, "#", -1))
     category = F.create_map(*[F.lit(x) for x in chain(*FRAGMENTS.items())])

@@ -15,7 +15,7 @@ from sieveline import refdata as R
 from sieveline.functions import text as T
 from sieveline.functions import urls as U
 from sieveline.limits import Limits
-from sieveline.operators.capping import capped, where_list
+from sieveline.operators.capping import capped, where_list, where_of
 from sieveline.operators.lookup import lookalike
 from sieveline.operators.reports import confidence_rank, name_of, severity_rank
 from sieveline.operators.tagging import has_all_of_any, has_any
@@ -59,17 +59,19 @@ def class_rules(evidence: DataFrame, jars: DataFrame) -> DataFrame:
     rows = evidence.join(jar, NODE).withColumn("loc", F.col("entry_name"))
     loc, tags = F.col("loc"), F.col("tags")
     executes = has_any(tags, R.EXECUTION_TAGS)
-    commands = F.col("commands")
-    shells = F.arrays_overlap(commands, F.array(*map(F.lit, R.SHELL_COMMANDS)))
-    risky = F.arrays_overlap(commands, F.array(*map(F.lit, R.RISKY_COMMANDS)))
-    helpers_only = (F.size(commands) > 0) & ~shells & ~risky & ~_tags("hidden_exec", "exec_content")
-    suspicious = F.exists("rated_urls", lambda u: u["v"]["severity"] != INFO)
+    shells = F.size("shells") > 0
+    shown = F.concat("helpers", "shells", "risky", "programs")
+    helpers_only = (F.size("helpers") > 0) & (F.size(shown) == F.size("helpers")) & (F.size("flags") == 0)
+    said = lambda what, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{what}: "), F.array_join(names, ", ")))
+    ran = F.concat_ws("; ", said("helpers", "helpers"), said("shells", "shells"), said("often abused", "risky"), said("other programs", "programs"), said("out of sight", "flags"))
+    ran = F.when(ran == "", "no command is visible").otherwise(ran)
+    suspicious = F.exists(F.concat("rated_urls", "rated_hidden"), lambda u: u["v"]["severity"] != INFO)
     strong = _tags("exec_content", "hidden_exec", "shell", "base64", "crypto", "encoded_payload", "encoded_url") | shells | suspicious
     downloader = has_all_of_any(tags, ["network"], R.EXECUTION_TAGS)
     mild = downloader & helpers_only & ~strong & ~_tags("dynamic_loading", "native_file_load")
     context = F.concat(F.lit("also: "), F.array_join(tags, ", "))
     found = [
-        _finding("api.process_execution", _tags("process_execution"), REVIEW, "Starts other programs", loc, F.when(helpers_only, LOW).otherwise(MEDIUM), F.concat(F.lit("commands: "), F.array_join(F.slice(F.array_sort(commands), 1, 10), ", "))),
+        _finding("api.process_execution", _tags("process_execution"), REVIEW, F.concat(F.lit("Starts other programs ("), F.when(F.size(shown) > 0, F.array_join(F.slice(shown, 1, 3), ", ")).otherwise("command not visible"), F.lit(")")), loc, F.when(helpers_only, LOW).otherwise(MEDIUM), F.concat(ran, F.lit("; also: "), F.array_join(F.array_except(tags, F.array(F.lit("process_execution"))), ", "))),
         _finding("api.downloads", has_all_of_any(tags, ["network"], ["file_write"]) & ~executes, REVIEW, "Downloads to disk", loc, F.when(_tags("exec_content"), MEDIUM).otherwise(LOW), context),
         _finding("combo.downloader", downloader, F.when(mild, REVIEW).otherwise(WARNING), "Network access next to running code", loc, F.when(mild, MEDIUM).when(strong, HIGH).otherwise(MEDIUM), context),
         _finding("combo.hidden_execution", has_all_of_any(tags, ["process_execution"], ["hidden_exec"]), WARNING, "Starts programs out of sight", loc, F.when(_tags("network", "file_write", "base64", "encoded_payload", "encoded_url"), HIGH).otherwise(MEDIUM), context),
@@ -94,12 +96,18 @@ def class_rules(evidence: DataFrame, jars: DataFrame) -> DataFrame:
 def jar_evidence(evidence: DataFrame) -> DataFrame:
     """Classes' evidence by node: tags with their class counts and whether tags meet in one class."""
     tags = F.col("tags")
-    suspicious = F.exists("rated_urls", lambda u: u["v"]["severity"] != INFO)
-    warning = F.exists("rated_urls", lambda u: u["v"]["severity"] == WARNING)
+    addresses = F.concat("rated_urls", "rated_hidden")
+    suspicious = F.exists(addresses, lambda u: u["v"]["severity"] != INFO)
+    warning = F.exists(addresses, lambda u: u["v"]["severity"] == WARNING)
     token = has_all_of_any(tags, ["session_token"], ["network"])
     ip = F.exists("ip_ports", lambda x: ~U.is_private_ipv4(U.ipv4_number(F.substring_index(x, ":", 1))))
-    by_tag = evidence.select(*NODE, "entry_seq", "entry_name", F.explode("tags").alias("tag")).groupBy(*NODE, "tag").agg(F.count_distinct("entry_name").alias("n"), F.min_by("entry_name", F.struct("entry_seq", "entry_name")).alias("example"))
+    # The first places of each tag; a class that occurs twice counts once.
+    tagged = evidence.select(*NODE, "entry_seq", "entry_name", F.explode("tags").alias("tag")).groupBy(*NODE, "tag", "entry_name").agg(F.min("entry_seq").alias("entry_seq"))
+    by_tag = where_of(tagged, [*NODE, "tag"], ["entry_seq", "entry_name"], "entry_name").withColumnRenamed("where", "example")
     maps = by_tag.groupBy(*NODE).agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("n", "example")))).alias("by_tag"))
+    kept = ~F.col("name").rlike("(package|module)-info$")
+    loads = has_all_of_any(tags, ["native_loading"], ["native_file_load"])
+    external = has_any(tags, R.EXTERNAL_SOURCE_TAGS)
     pair = lambda a, b: F.bool_or(has_all_of_any(tags, a, b))
     sums = evidence.groupBy(*NODE).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("jar_tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"),
@@ -108,9 +116,9 @@ def jar_evidence(evidence: DataFrame) -> DataFrame:
         F.bool_or((F.size("targets") > 0)).alias("has_target"), F.bool_or((F.size("targets") > 0) & has_any(tags, ["reflection"])).alias("target_meets"),
         F.bool_or(ip).alias("has_ip"), F.bool_or(ip & has_any(tags, ["network"])).alias("ip_meets"), F.sum(F.size("encoded")).alias("n_encoded"),
         F.bool_or((F.size("encoded") > 0) & has_any(tags, R.EXECUTION_TAGS)).alias("encoded_meets"), F.bool_or(F.size("cheats") > 0).alias("has_cheat"),
-        F.bool_or(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("load_external"), F.bool_or(has_all_of_any(tags, ["native_loading"], [*R.EXTERNAL_SOURCE_TAGS, "file_write"])).alias("native_external"),
-        F.bool_or(has_any(tags, ["native_loading"]) & (F.size("bindings") == 0)).alias("native_own"),
-        F.count("*").alias("n"), F.count_if(F.length(T.simple_name(F.col("name"))) <= 2).alias("n_short"),
+        F.bool_or(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("load_external"), F.bool_or(loads & external).alias("native_external"), F.bool_or(loads & ~external).alias("native_own"),
+        F.count_if(has_any(tags, ["native_loading"]) & ~has_any(tags, ["native_file_load"])).alias("n_bound"), F.count_if(loads & external).alias("n_external"), F.count_if(loads & ~external).alias("n_own"),
+        F.count_if(kept).alias("n"), F.count_if(kept & (F.length(T.simple_name(F.col("name"))) <= 2)).alias("n_short"),
     )
     return sums.withColumnRenamed("jar_tags", "tags").join(maps, NODE, "left")
 
@@ -129,10 +137,12 @@ def jar_rules(jars: DataFrame, entries_of: DataFrame) -> DataFrame:
     found = [_finding(f"api.{g}", n(g) > 0, s, F.concat(F.lit(f"{title}: "), n(g).cast("string"), F.lit(" classes")), own[g]["example"], c) for g, (s, c, title) in API_RULES.items()]
     ratio = F.col("n_short") / F.col("n")
     native_known = F.coalesce(F.col("bundled_native"), F.lit(False))
+    part = lambda n, what: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {what}")))
+    native = F.concat_ws("; ", part("n_bound", "only call the system through bindings"), part("n_own", "load library files"), part("n_external", "load library files next to network, decoding or decryption"), F.when(native_known, "the archive has libraries of its own"))
     risky = F.filter("categories", lambda c: c.isin(R.HIGH_RISK_CATEGORIES))
     found += [
         _finding("api.reflective_sensitive", F.col("has_target"), REVIEW, "Powerful class named in a literal", None, F.when(F.col("target_meets"), MEDIUM).otherwise(LOW)),
-        _finding("api.native_loading", n("native_loading") > 0, REVIEW, "Native code", own["native_loading"]["example"], F.when(F.col("native_external") | (F.col("native_own") & ~native_known), MEDIUM).otherwise(LOW)),
+        _finding("api.native_loading", n("native_loading") > 0, REVIEW, "Native code", own["native_loading"]["example"], F.when(F.col("native_external") | (F.col("native_own") & ~native_known), MEDIUM).otherwise(LOW), native),
         _finding("api.dynamic_loading", n("dynamic_loading") > 0, REVIEW, "Classes loaded at run time", own["dynamic_loading"]["example"], F.when(F.col("load_external"), MEDIUM).otherwise(LOW)),
         _finding("combo.downloader_spread", ~F.col("any_downloader") & has_all_of_any(tags, ["network"], ["dynamic_loading", "process_execution"]), REVIEW, "Network access and running code in different classes", None, LOW),
         _finding("combo.data_theft", _tags("sensitive_high") & (_tags("network") | F.col("warning_url")), WARNING, "Private data next to network access", own["sensitive_high"]["example"], F.when(F.col("theft_meets"), HIGH).otherwise(MEDIUM)),
@@ -162,6 +172,9 @@ def class_name_rules(classes: DataFrame, entries: DataFrame) -> DataFrame:
         mark("classes.default_package", ~F.contains(name, F.lit("/"))), mark("classes.reserved_namespace", name.rlike("^(" + "|".join(R.RESERVED_PACKAGES) + ")")),
         mark("classes.cheat_feature_names", F.lower(simple).rlike("|".join(R.CHEAT_WORDS))), F.when(client.isNotNull(), F.concat(F.lit("classes.known_client|"), client)),
     ))
+    # Descriptions of packages and modules are no classes in what their names say.
+    info = name.rlike("(package|module)-info$")
+    marks = F.when(info, F.filter(marks, lambda m: m == "classes.name_mismatch")).otherwise(marks)
     of_class = classes.filter("status = 'parsed'").select(*NODE, "entry_seq", F.col("name").alias("item"), F.explode(marks).alias("mark"))
     bad = F.lower(T.base_name(F.col("name"))).rlike("|".join(R.MALWARE_WORDS))
     of_entry = entries.filter(~F.col("is_dir") & bad).select(*NODE, "entry_seq", F.col("name").alias("item"), F.lit("classes.malware_names").alias("mark"))
@@ -254,10 +267,16 @@ def metadata_rules(nodes: DataFrame, mods: DataFrame, entries: DataFrame, manife
     ])
     points = mods.select(*NODE, F.explode("entry_points").alias("point")).withColumn("name", F.concat(F.translate(F.substring_index("point", "::", 1), ".", "/"), F.lit(".class")))
     missing = _emit(points.join(entries.select(*NODE, "name").distinct(), [*NODE, "name"], "left_anti"), NODE, [_finding("metadata.missing_entrypoint", F.lit(True), REVIEW, "Declared class is not there", F.col("point"), MEDIUM)])
-    named = mods.join(known.select(*NODE, "classification"), NODE).withColumn("like", lookalike(F.coalesce("mod_id", "mod_name"), R.POPULAR_NAMES))
-    claims = _emit(named, NODE, [
-        _finding("metadata.popular_mod_claim", T.normalized_name(F.col("mod_id")).isin(R.POPULAR_NAMES) & (F.col("classification") != "VERIFIED"), INFO, F.concat(F.lit("Says to be "), F.col("mod_id")), F.col("source_file")),
-        _finding("metadata.lookalike", F.col("like").isNotNull(), REVIEW, F.concat(F.lit("Name looks like "), F.col("like.known")), F.col("source_file"), MEDIUM),
+    # Ids and names are both looked at; one known name is told once a node, where it is met first.
+    value = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("ID").alias("label"), F.col("mod_id").alias("text")), F.struct(F.lit(1).alias("k"), F.lit("name").alias("label"), F.col("mod_name").alias("text"))))
+    values = mods.select(*NODE, "mod_seq", "source_file", value.alias("v")).filter("coalesce(v.text, '') <> ''").withColumn("like", lookalike(F.col("v.text"), R.POPULAR_NAMES)["known"])
+    norm = T.normalized_name(F.col("v.text"))
+    values = values.withColumn("popular", F.coalesce("like", F.when((F.length(norm) >= 3) & norm.isin(R.POPULAR_NAMES), norm))).filter("popular is not null")
+    told = values.groupBy(*NODE, "popular", F.col("like").isNotNull().alias("alike")).agg(F.min_by(F.struct("mod_seq", "source_file", "v"), F.struct("mod_seq", "v.k", "source_file")).alias("r")).select(*NODE, "popular", "alike", "r.*")
+    place = F.concat(F.col("source_file"), F.lit(" "), F.col("v.label"), F.lit(": "), F.col("v.text"))
+    claims = _emit(told.join(known.select(*NODE, "classification"), NODE), NODE, [
+        _finding("metadata.popular_mod_claim", ~F.col("alike") & (F.col("classification") != "VERIFIED"), INFO, F.concat(F.lit("Says to be "), F.col("popular")), place),
+        _finding("metadata.lookalike", F.col("alike"), REVIEW, F.concat(F.col("v.label"), F.lit(" looks like "), F.col("popular")), place, MEDIUM),
     ], F.col("mod_seq"))
     attributes = _emit(manifest, NODE, [
         _finding("manifest.main_class", F.col("key") == "Main-Class", INFO, F.concat(F.lit("Can be started: "), F.col("value")), F.col("key")),
