@@ -1,10 +1,15 @@
-"""The corpus pipeline: stages that each read what the one before has kept."""
+"""The corpus pipeline: stages that each read what the one before has kept.
+
+Rows keep their own columns, whatever their names, up to the last stage. Texts that are null or have no letter go with the
+first stage; rows that repeat a doc_id go or stay together; a row without a doc_id is never a near copy nor a leak and stays. Texts
+are read whole. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import staged, table
+from sieveline.llm.common import discard, staged, table
 from sieveline.llm.decontaminate import clean
 from sieveline.llm.language_id import accepted
 from sieveline.llm.mixing import repeated
@@ -14,7 +19,7 @@ from sieveline.llm.token_file import token_index
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents go whose language is unknown or an even guess."""
+    """Operator 2: documents go that have no letter or are no nearer to any learned language than chance."""
     return accepted(docs)
 
 
@@ -51,9 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next; what a written stage has read is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if k == len(STAGES) - 1 else staged(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = staged(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
