@@ -3,13 +3,16 @@
 Base spans are exact patterns over whole texts, leftmost and without overlap within a kind. The model adds
 spans that the patterns miss (phones without `+`, spelled-out addresses, cards with other separators). It is
 trained in numpy from labelled spans that a seeded generator writes; windows of WINDOW characters, half
-overlapping, are laid over the places that hold a digit, `@` or a spelled-out sign; each is decoded
-with Viterbi, every character takes its tag from the window in whose middle it is most, and the spans of the
-whole text are read from the joined tags. A model span counts if its content is well-formed for its
-kind (digits, Luhn, parts) and it meets no base span; base spans always stay.
+overlapping, are laid over the places that hold a digit, `@` or a spelled-out sign. Where windows overlap their
+scores are averaged, the more the nearer the character is to a window's middle, and the joined scores of
+windows that touch are decoded once with the CRF: a span is a whole path over all of them, wherever windows
+meet. A model span counts if its content is well-formed for its kind (digits, Luhn, parts) and it meets no
+base span; base spans always stay.
 
 Defined results: null counts as empty; a text without spans has empty `spans`; offsets are code points, end
-exclusive; rows that repeat a doc_id come back once each. Extra columns are ignored.
+exclusive; rows that repeat a doc_id come back once each; an empty table gives none. Texts of any length are
+read whole, with some 40 bytes a character of windows. Two model spans never meet; of paths with equal scores
+the lower tags win. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 #: Where windows are laid.
-_ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]| at [A-Za-z0-9-]+ dot [A-Za-z]")
 
 
 def luhn(digits: str) -> bool:
@@ -102,13 +105,13 @@ def _labelled(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]
 
     def email() -> str:
         user, host, top = pick(word(), f"{word()}.{word()}", word() + digits(2)), word(), pick("com", "org", "net", "de", "fr")
-        return pick(f"{user}@{host}.{top}", f"{user}@mail{digits(1)}.{host}.{top}", f"{user} (at) {host}.{top}", f"{user}[at]{host}.{top}", f"{user} (at) {host} (dot) {top}")
+        return pick(f"{user}@{host}.{top}", f"{user}@mail{digits(1)}.{host}.{top}", f"{user} (at) {host}.{top}", f"{user}[at]{host}.{top}", f"{user} (at) {host} (dot) {top}", f"{user} at {host} dot {top}")
 
     def ip() -> str:
         return ".".join(str(x) for x in rng.integers(1, 255, 4))
 
     def other() -> str:
-        return pick(digits(int(rng.integers(1, 8))), f"{digits(2)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"version {digits(1)}.{digits(1)}", f'token = "{"".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 40))}"', f"{digits(1)},{digits(3)},{digits(3)}", f"@{word()}", f"{word()}{digits(2)}")
+        return pick(digits(int(rng.integers(1, 8))), f"{digits(2)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"version {digits(1)}.{digits(1)}", f'token = "{"".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 40))}"', f"{digits(1)},{digits(3)},{digits(3)}", f"@{word()}", f"{word()}{digits(2)}", f"{word()} at {word()} dot {word()}", f"{word()} at {word()} {word()}")
 
     text, spans = "", []
     for _ in range(int(rng.integers(4, 9))):
@@ -211,22 +214,64 @@ class Tagger:
         both = np.concatenate([forward, backward], axis=2)
         return x, both, kf, kb, both @ self.p["o"] + self.p["c"]
 
+    def emissions(self, chars: np.ndarray) -> np.ndarray:
+        """Scores (rows, time, TAGS) of windows of classes (rows, time)."""
+        return self._emit(chars)[-1].transpose(1, 0, 2)
+
     def decode(self, chars: np.ndarray) -> np.ndarray:
-        """Best tags of windows of classes (rows, time), by Viterbi."""
-        emit = self._emit(chars)[-1]
-        step = self.p["t"] + self.allowed
-        best = emit[0] + self.p["s"] + np.where(np.arange(TAGS) % 2 == 0, np.where(np.arange(TAGS) > 0, -2.0, 0.0), 0.0)
-        back = np.zeros((len(emit), len(chars), TAGS), np.int8)
-        for t in range(1, len(emit)):
-            score = best[:, :, None] + step
-            back[t] = score.argmax(1)
-            best = score.max(1) + emit[t]
-        tags = np.zeros((len(emit), len(chars)), np.int8)
-        tags[-1] = best.argmax(1)
-        rows = np.arange(len(chars))
-        for t in range(len(emit) - 1, 0, -1):
-            tags[t - 1] = back[t, rows, tags[t]]
-        return tags.T
+        """Best tags of windows of classes (rows, WINDOW), each on its own."""
+        rows = len(chars)
+        blocks = self.emissions(chars).reshape(-1, STRIDE, TAGS)
+        first = np.arange(len(blocks)) % (WINDOW // STRIDE) == 0
+        return self.best_path(blocks, first, np.zeros(len(blocks), bool)).reshape(rows, WINDOW)
+
+    def best_path(self, emit: np.ndarray, first: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Best tags (blocks, STRIDE) of sequences of blocks of scores (blocks, STRIDE, TAGS), by Viterbi.
+
+        `first` marks the blocks that begin a sequence, `whole` those of them before which there is no text, so
+        that no span can reach over their start. Scores of the best paths through each block, by the tags before it and
+        at its end, come for many blocks at once; only these are chained along a sequence.
+        """
+        step = (self.p["t"] + self.allowed).astype(np.float32)
+        begin = np.where(whole[:, None] & (np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), -1e4, self.p["s"]).astype(np.float32)
+        n = len(emit)
+        through = np.empty((n, TAGS, TAGS), np.float32)
+        for a in range(0, n, TOGETHER):
+            e, new = emit[a : a + TOGETHER], first[a : a + TOGETHER]
+            m = np.where(new[:, None, None], begin[a : a + TOGETHER, None, :], step) + e[:, None, 0]
+            for t in range(1, STRIDE):
+                m = (m[:, :, :, None] + step).max(2) + e[:, None, t]
+            through[a : a + TOGETHER] = m
+        start = np.flatnonzero(first)
+        length = np.diff(np.append(start, n))
+        start, length = start[np.argsort(-length)], np.sort(length)[::-1]
+        before, entry = np.zeros((n, TAGS), np.int8), np.zeros((len(start), TAGS), np.float32)
+        runs = [int(np.searchsorted(-length, -d)) for d in range(int(length[0]) if n else 0)]  # how many reach block d
+        score = np.empty((n, TAGS), np.float32)
+        for d, k in enumerate(runs):
+            at = start[:k] + d
+            paths = entry[:k, :, None] + through[at]
+            before[at], best = paths.argmax(1), paths.max(1)
+            score[at] = entry[:k] = best - best.max(1, keepdims=True)
+        last = np.zeros(n, np.int8)
+        ends = start + length - 1
+        last[ends] = score[ends].argmax(1)
+        for d in range(len(runs) - 1, 0, -1):
+            at = start[: runs[d]] + d
+            last[at - 1] = before[at, last[at]]
+        tags = np.zeros((n, STRIDE), np.int8)
+        for a in range(0, n, TOGETHER):
+            e, at = emit[a : a + TOGETHER], np.arange(a, min(n, a + TOGETHER))
+            best = np.where(first[at, None], begin[at], step[last[at - 1]]) + e[:, 0]
+            back = np.zeros((STRIDE, len(at), TAGS), np.int8)
+            for t in range(1, STRIDE):
+                paths = best[:, :, None] + step
+                back[t] = paths.argmax(1)
+                best = paths.max(1) + e[:, t]
+            tags[at, -1] = last[at]
+            for t in range(STRIDE - 1, 0, -1):
+                tags[at, t - 1] = back[t, at - a, tags[at, t]]
+        return tags
 
     def _gradients(self, chars: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         x, both, kf, kb, emit = self._emit(chars, keep=True)
@@ -318,30 +363,62 @@ def trained() -> Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Multiples of STRIDE whose windows hold an anchor."""
+    """Multiples of STRIDE whose windows hold the first or last character of an anchor."""
     starts: set[int] = set()
     for m in _ANCHOR.finditer(text):
-        k = m.start() // STRIDE
-        starts.update(x for x in (k - 1, k) if x >= 0)
+        for k in {m.start() // STRIDE, (m.end() - 1) // STRIDE}:
+            starts.update(x for x in (k - 1, k) if x >= 0)
     return [k * STRIDE for k in sorted(starts)]
 
 
-def reconciled(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[str, int, int]]:
-    """Spans of the whole text: every character takes the tag of the window whose middle is nearest; a span runs while its kind's tags do."""
+#: How much a window counts for its characters.
+_WEIGHT = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
+
+
+def joined_tags(texts: list[str], plan: list[tuple[int, list[int]]], tagger: Tagger) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """(text, starts of its blocks, their tags) for the windows that plan lays over texts."""
+    at, numbers, jobs, firsts, wholes = 0, [], [], [], []
+    for i, starts in plan:
+        blocks = sorted({s // STRIDE + d for s in starts for d in range(WINDOW // STRIDE)})
+        place = {b: at + k for k, b in enumerate(blocks)}
+        jobs += [(i, s, place[s // STRIDE]) for s in starts]
+        firsts += [b - 1 not in place for b in blocks]
+        wholes += [b == 0 for b in blocks]
+        numbers.append((i, at, blocks))
+        at += len(blocks)
+    scores, weight = np.zeros((at, STRIDE, TAGS), np.float32), np.zeros((at, STRIDE, 1), np.float32)
+    known: dict[int, np.ndarray] = {}
+    for a in range(0, len(jobs), TOGETHER):
+        part = jobs[a : a + TOGETHER]
+        chars = np.full((len(part), WINDOW), PAD, np.int64)
+        for k, (i, s, _) in enumerate(part):
+            if i not in known:
+                known = {i: classes(texts[i])}  # jobs are in order of texts
+            c = known[i][s : s + WINDOW]
+            chars[k, : len(c)] = c
+        emit, into = tagger.emissions(chars), np.array([b for *_, b in part])
+        for d in range(WINDOW // STRIDE):
+            half = slice(d * STRIDE, (d + 1) * STRIDE)
+            scores[into + d] += emit[:, half] * _WEIGHT[half, None]
+            weight[into + d] += _WEIGHT[half, None]
+    tags = tagger.best_path(scores / weight, np.array(firsts, bool), np.array(wholes, bool))
+    for i, first, blocks in numbers:
+        yield i, [b * STRIDE for b in blocks], tags[first : first + len(blocks)]
+
+
+def spans_of(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Spans that tags (blocks, STRIDE) from starts on mark: a begin and what is inside after it."""
     spans: list[tuple[str, int, int]] = []
-    quarter = (WINDOW - STRIDE) // 2
+    of, offset = np.nonzero(tags)
     kind, begin, end = 0, 0, -1
-    for k, s in enumerate(starts):
-        low = s + quarter if k and starts[k - 1] == s - STRIDE else s
-        high = min(length, s + quarter + STRIDE if k + 1 < len(starts) and starts[k + 1] == s + STRIDE else s + WINDOW)
-        for at, tag in zip(range(low, high), tags[k, low - s : high - s].tolist()):
-            of = (tag + 1) // 2
-            if kind and (at != end or of != kind or tag % 2 == 1):
-                spans.append((KINDS[kind - 1], begin, end))
-                kind = 0
-            if of:
-                kind, begin = (kind, begin) if kind else (of, at)
-                end = at + 1
+    for at, tag in zip((np.array(starts, np.int64)[of] + offset).tolist(), tags[of, offset].tolist()):
+        if at >= length:
+            break
+        if kind and (at != end or (tag + 1) // 2 != kind or tag % 2 == 1):
+            spans.append((KINDS[kind - 1], begin, end))
+            kind = 0
+        kind, begin = (kind, begin) if kind else ((tag + 1) // 2, at)
+        end = at + 1
     if kind:
         spans.append((KINDS[kind - 1], begin, end))
     return spans
@@ -351,7 +428,7 @@ def well_formed(kind: str, piece: str) -> bool:
     """Whether a span that the model proposes can be what it says."""
     digits = re.sub(r"[^0-9]", "", piece)
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[(\[]dot[)\]])\s?[A-Za-z0-9-]+)+", piece))
+        return bool(re.fullmatch(r"[^\s@]+\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[(\[]dot[)\]])\s?[A-Za-z0-9-]+)+", piece)) or bool(re.fullmatch(r"[^\s@]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", piece))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", piece)) and all(int(p) <= 255 for p in piece.split("."))
     if kind == "card":
@@ -382,23 +459,10 @@ def found_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     plan = [(i, window_starts(t)) for i, t in enumerate(texts) if _ANCHOR.search(t)]
     base = {i: base_spans(texts[i]) for i, _ in plan}
     out: list[tuple[list, list]] = [([], []) for _ in texts]
-    jobs = [(i, s) for i, starts in plan for s in starts]
-    tags = np.zeros((len(jobs), WINDOW), np.int8)
-    known: dict[int, np.ndarray] = {}
-    for a in range(0, len(jobs), TOGETHER):
-        part = jobs[a : a + TOGETHER]
-        chars = np.full((len(part), WINDOW), PAD, np.int64)
-        for k, (i, s) in enumerate(part):
-            if i not in known:
-                known = {i: classes(texts[i])}  # jobs are in order of texts
-            c = known[i][s : s + WINDOW]
-            chars[k, : len(c)] = c
-        tags[a : a + len(part)] = tagger.decode(chars)
-    at = 0
-    for i, starts in plan:
+    for i, starts, tags in joined_tags(texts, plan, tagger):
         text, covered = texts[i], _covered(base[i])
         more = []
-        for kind, a, b in reconciled(len(text), starts, tags[at : at + len(starts)]):
+        for kind, a, b in spans_of(len(text), starts, tags):
             while b > a and text[b - 1] in " \n.,;:!#*|":
                 b -= 1
             while a < b and text[a] in " \n|":
@@ -406,7 +470,6 @@ def found_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
             if well_formed(kind, text[a:b]) and not _meets(covered, a, b) and not (a and text[a - 1].isdigit()) and not text[b : b + 1].isdigit():
                 more.append((kind, a, b))
         out[i] = (base[i], more)
-        at += len(starts)
     return out
 
 

@@ -181,10 +181,32 @@ def test_pii(spark):
         assert [by[i].n_email, by[i].n_ip, by[i].n_card, by[i].n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
     assert by[900].spans == by[903].spans == "" and pii.personal_data(df.limit(0)).count() == 0
     long = "word " * 20_000 + "(415) 555-2671 " + "word " * 500
+    (_, more), = pii.found_spans(["mail john.smith at example dot com or look at polka dot dresses"], model)
+    assert more == [("email", 5, 34)]
     (_, more), = pii.found_spans([long], model)
     assert more == [("phone", 100_000, 100_014)]
 
 
+def test_windows_are_decoded_as_one_sequence():
+    tagger, rng = pii.Tagger(seed=2), np.random.default_rng(3)
+    tagger.p["t"], tagger.p["s"] = rng.normal(0, 1, (pii.TAGS, pii.TAGS)), rng.normal(0, 1, pii.TAGS)
+    scores = rng.normal(0, 2, (8, pii.STRIDE, pii.TAGS)).astype(np.float32)
+    first, whole = np.array([1, 0, 0, 1, 1, 0, 0, 0], bool), np.array([1, 0, 0, 0, 0, 0, 0, 0], bool)
+    got = tagger.best_path(scores, first, whole)
+    for a, b in ((0, 3), (3, 4), (4, 8)):
+        rows = scores[a:b].reshape(-1, pii.TAGS).astype(float)
+        best, back = rows[0] + tagger.p["s"] + np.where(whole[a] & np.isin(np.arange(pii.TAGS), [2, 4, 6, 8]), -1e4, 0), []
+        for row in rows[1:]:
+            paths = best[:, None] + tagger.p["t"] + pii._allowed()
+            back.append(paths.argmax(0))
+            best = paths.max(0) + row
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        assert got[a:b].ravel().tolist() == path[::-1]
+    assert tagger.best_path(scores[:0], first[:0], whole[:0]).shape == (0, pii.STRIDE)
+
+
 def test_tagger_gradients():
     tagger = pii.Tagger(seed=8)
     chars, gold = pii.training_windows(3, seed=5)
