@@ -7,8 +7,11 @@ escaped in texts and roles, so no text can forge a turn, and unescaping gives ev
 rendered text goes the loss mask: spans of code points, one for each assistant text.
 
 Defined results: null text and null role count as empty; turns that tie on their number are in order of
-role and text; a record of unknown layout, or one that is no JSON object, has null layout and turns (it is
-returned, not dropped); a conversation is one value, so its turns are gathered in one row.
+role and text, repeated ones stay; rows without a conv_id are one conversation; a record of unknown layout,
+or one that is no JSON object, has null layout and turns (it is returned, not dropped); a conversation is one
+value, so its turns are gathered in one row, however long their texts. An empty table gives an empty result.
+Extra columns are ignored by records_of and carried by canonical and formatted, but for `layout`, `turns`,
+`formatted` and `loss`, which are written anew.
 """
 
 from __future__ import annotations
@@ -30,15 +33,15 @@ ENVELOPE = ["id", "conv_id", "source", "lang", "created", "model"]
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant", "model": "assistant"}
 
 
-def _listed(field: str, role: str, text: str) -> dict:
-    return {"paths": [field, f"{field}[].{role}", f"{field}[].{text}"], "schema": f"{field} array<struct<{role} string, {text} string>>", "each": (field, role, text)}
+def _listed(field: str, role: str, text: str, aliases: bool) -> dict:
+    return {"aliases": aliases, "paths": [field, f"{field}[].{role}", f"{field}[].{text}"], "schema": f"{field} array<struct<{role} string, {text} string>>", "each": (field, role, text)}
 
 
-#: name: (paths, schema for from_json, and either the list that holds the turns or the fields of each role in order).
+#: name: (paths, schema for from_json, and either the list that holds the turns and whether its roles have aliases, or the fields of each role in order).
 LAYOUTS: dict[str, dict] = {
-    "messages": _listed("messages", "role", "content"),
-    "conversations": _listed("conversations", "from", "value"),
-    "turns": _listed("turns", "role", "text"),
+    "messages": _listed("messages", "role", "content", True),
+    "conversations": _listed("conversations", "from", "value", True),
+    "turns": _listed("turns", "role", "text", False),
     "prompt_completion": {"paths": ["prompt", "completion"], "schema": "prompt string, completion string", "fields": [("user", ["prompt"]), ("assistant", ["completion"])]},
     "prompt_response": {"paths": ["prompt", "response"], "schema": "prompt string, response string", "fields": [("user", ["prompt"]), ("assistant", ["response"])]},
     "instruction": {"paths": ["instruction", "output"], "schema": "instruction string, output string", "fields": [("user", ["instruction"]), ("assistant", ["output"])]},
@@ -53,13 +56,16 @@ def fingerprint_of(paths: list[str]) -> str:
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted paths: `key`, `key.sub` of objects, `key[].sub` of lists of objects (by their first element); the envelope's are left out."""
+    """Sorted paths: `key`, `key.sub` of objects, `key[].sub` of lists of objects (of any of their elements); the envelope's are left out."""
     none = F.array().cast("array<string>")
+    keys_of = lambda json: F.coalesce(F.json_object_keys(json), none)
 
     def inner(k: Column) -> Column:
-        at = F.concat(F.lit("$['"), k, F.lit("']"))
-        sub = lambda path, join: F.transform(F.coalesce(F.json_object_keys(F.call_function("get_json_object", record, path)), none), lambda s: F.concat(k, F.lit(join), s))
-        return F.concat(F.array(k), sub(at, "."), sub(F.concat(at, F.lit("[0]")), "[]."))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
+        elements = F.from_json(F.when(value.startswith("["), value), "array<string>")
+        of_lists = F.array_distinct(F.flatten(F.transform(F.coalesce(elements, none), keys_of)))
+        under = lambda subs, join: F.transform(subs, lambda s: F.concat(k, F.lit(join), s))
+        return F.concat(F.array(k), under(keys_of(value), "."), under(of_lists, "[]."))
 
     keys = F.filter(F.coalesce(F.json_object_keys(record), none), lambda k: ~k.isin(ENVELOPE))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(keys, inner))))
@@ -79,7 +85,7 @@ def _mapped(record: Column, name: str) -> Column:
     if "each" in of:
         field, role, text = of["each"]
         rename = F.create_map(*[F.lit(x) for x in chain(*ALIASES.items())])
-        said = lambda m: F.coalesce(rename[m[role]], m[role]) if role == "from" else m[role]
+        said = lambda m: F.coalesce(rename[m[role]], m[role]) if of["aliases"] else m[role]
         return F.transform(read[field], lambda m: _turn(said(m), m[text]))
     return F.array(*[_turn(F.lit(role), F.concat_ws("\n\n", *[read[x] for x in fields])) for role, fields in of["fields"]])
 
@@ -134,11 +140,43 @@ def read_back(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"read_turns": turns, "loss_text": F.array_join(masked, "")})
 
 
+def _fields_of(said: Column) -> dict[str, tuple[Column, Column]]:
+    """name: (whether a conversation's turns fit the layout without loss, the record's struct) of every layout."""
+    roles = F.transform(said, lambda t: t["role"])
+    no_alias = ~F.arrays_overlap(roles, F.array(*map(F.lit, ALIASES)))
+    out = {}
+    for name, of in LAYOUTS.items():
+        if "each" in of:
+            field, role, text = of["each"]
+            # The names that such a layout uses itself are written, so that reading undoes them.
+            spoken = (lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)) if role == "from" else (lambda r: r)
+            turns = F.transform(said, lambda t: F.struct(spoken(t["role"]).alias(role), t["text"].alias(text)))
+            out[name] = (no_alias if of["aliases"] else F.lit(True), F.struct(turns.alias(field)))
+            continue
+        fits, parts = F.coalesce(roles == F.array(*[F.lit(r) for r, _ in of["fields"]]), F.lit(False)), []
+        for k, (_, fields) in enumerate(of["fields"]):
+            text = F.get(said, k)["text"]
+            if len(fields) == 2:
+                fits = fits & F.coalesce(F.contains(text, F.lit("\n\n")), F.lit(False))
+                head = F.substring_index(text, "\n\n", 1)
+                parts += [head.alias(fields[0]), F.substring(text, F.length(head) + 3, F.length(text)).alias(fields[1])]
+            else:
+                parts.append(text.alias(fields[0]))
+        out[name] = (fits, F.struct(*parts))
+    return out
+
+
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): the conversations of a table of (conv_id, turn, role, text) as JSON of the turns layout."""
+    """(conv_id, record): the conversations of a table of (conv_id, turn, role, text) as JSON, dealt by conv_id over the layouts that hold them without loss."""
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
-    return gathered.select("conv_id", F.to_json(F.struct(F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))).alias("record"))
+    of = _fields_of(F.col("said"))
+    fitting = F.filter(F.array(*[F.when(fits, name) for name, (fits, _) in of.items()]), lambda n: n.isNotNull())
+    dealt = gathered.withColumn("fitting", fitting).withColumn("dealt", F.get("fitting", F.pmod(F.xxhash64("conv_id"), F.size("fitting")).cast("int")))
+    record = F.lit(None).cast("string")
+    for name, (_, fields) in of.items():
+        record = F.when(F.col("dealt") == name, F.to_json(fields)).otherwise(record)
+    return dealt.select("conv_id", record.alias("record"))
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -81,6 +81,12 @@ def test_layouts_become_canonical_turns(spark):
         {"prompt": "a", "completion": "b"},
         {"instruction": "a", "input": "more", "output": "b"},
         {"question": "a", "answer": None},
+        {"prompt": "a", "response": "b"},
+        {"instruction": "a", "output": "b", "lang": "en"},
+        {"system": "s", "instruction": "a", "output": "b"},
+        {"turns": [{"role": "human", "text": "a"}, {"text": "b", "role": "assistant"}]},
+        {"messages": [{"role": "human"}, {"role": "bot", "content": "b"}]},
+        {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b", "tool_calls": "x"}]},
         {"unknown": {"deep": [1]}},
         [],
     ]
@@ -88,7 +94,10 @@ def test_layouts_become_canonical_turns(spark):
     got = [(r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat.canonical(df).collect()]
     assert got[:4] == [("messages", [("user", "a"), ("assistant", "b")]), ("conversations", [("user", "a"), ("assistant", "b")]), ("prompt_completion", [("user", "a"), ("assistant", "b")]), ("instruction_input", [("user", "a\n\nmore"), ("assistant", "b")])]
     assert got[4] == ("question_answer", [("user", "a"), ("assistant", "")])
-    assert all(g == (None, None) for g in got[5:])
+    assert got[5:7] == [("prompt_response", [("user", "a"), ("assistant", "b")]), ("instruction", [("user", "a"), ("assistant", "b")])]
+    assert got[7] == ("system_instruction", [("system", "s"), ("user", "a"), ("assistant", "b")])
+    assert got[8:10] == [("turns", [("human", "a"), ("assistant", "b")]), ("messages", [("user", ""), ("assistant", "b")])]
+    assert all(g == (None, None) for g in got[10:])
     paths = spark.createDataFrame([('{"b":[{"y":1,"x":2}],"a":{"c":1},"id":3}',)], "record string").select(chat.field_paths(F.col("record")).alias("p"), chat.fingerprint(F.col("record")).alias("f")).first()
     assert paths.p == ["a", "a.c", "b", "b[].x", "b[].y"] and paths.f == chat.fingerprint_of(paths.p)
 
@@ -107,3 +116,17 @@ def test_chat_round_trip(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     out = chat.formatted(chat.canonical(chat.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).filter("conv_id = 1").first()
     assert out.formatted.count(chat.TURN) == len(said) and "[INST]" not in out.formatted and "</s>" not in out.formatted
+
+
+def test_conversations_are_dealt_over_all_layouts(spark):
+    shapes = [
+        [("user", "q"), ("assistant", "a")], [("user", "q\n\nmore\n\n"), ("assistant", "")], [("system", "s"), ("user", "\n\n"), ("assistant", "a")],
+        [("user", "only")], [("human", "a"), ("gpt", "b")], [("assistant", "a"), ("user", "b"), ("tool", "[1]")],
+    ]
+    want = {c: shapes[c % len(shapes)] for c in range(300)}
+    rows = [(c, k, role, text, "x", "y") for c, said in want.items() for k, (role, text) in enumerate(said)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string, layout string")
+    got = chat.canonical(chat.records_of(df)).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in got} == want
+    assert {r.layout for r in got} == set(chat.LAYOUTS)
+    assert chat.digests(df.limit(0)).count() == 0
