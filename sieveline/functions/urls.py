@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,25 +57,44 @@ def is_private_ipv4(number: Column) -> Column:
     return out
 
 
-def classify_url(url: Column) -> Column:
-    """struct(severity, confidence, label): the first case that fits."""
-    low, host = F.lower(url), host_of(url)
-    ip = ipv4_number(host)
-    v6 = host.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$") & F.contains(low, F.lit("["))
-    verdict = lambda s, c, label: F.struct(F.lit(s).alias("severity"), F.lit(c).alias("confidence"), F.lit(label).alias("label"))
-    case = F.when(low.rlike(R.WEBHOOK_WHOLE), verdict(R.WARNING, R.HIGH, "Discord webhook"))
-    case = case.when(low.rlike(R.WEBHOOK), verdict(R.REVIEW, R.MEDIUM, "webhook address without its token"))
+#: What the domain of a URL says, first matching list first: (domains, severity, confidence, label).
+DOMAIN_LISTS = [
+    (R.PASTE_DOMAINS, R.REVIEW, R.MEDIUM, "paste site"), (R.TUNNEL_DOMAINS, R.REVIEW, R.MEDIUM, "tunnel or dynamic DNS"), (R.FILE_HOST_DOMAINS, R.REVIEW, R.MEDIUM, "anonymous file host"),
+    (R.IP_LOOKUP_DOMAINS, R.REVIEW, R.MEDIUM, "public IP lookup"), (R.SHORTENER_DOMAINS, R.REVIEW, R.LOW, "URL shortener"), (R.FREE_TLDS, R.REVIEW, R.LOW, "free top-level domain"),
+    (R.KNOWN_DOMAINS, R.INFO, R.HIGH, "well-known domain"),
+]
+
+
+def domain_place(host: Column) -> Column:
+    """The least place in DOMAIN_LISTS of a domain that the host lies in, or null; the host's domains are looked up in one table."""
+    places = {f".{d}" if domains is R.FREE_TLDS else d: k for k, (domains, *_) in reversed(list(enumerate(DOMAIN_LISTS))) for d in domains}
+    table = F.create_map(*[F.lit(x) for x in chain(*places.items())])
+    top = F.when(F.contains(host, F.lit(".")), F.array(F.concat(F.lit("."), F.substring_index(host, ".", -1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_min(F.transform(F.concat(suffixes(host), top), lambda d: table[d]))
+
+
+def _verdict(severity: str, confidence: str, label: str) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(label).alias("label"))
+
+
+def _first_case(u: Column) -> Column:
+    """The verdict on struct(low, host, ip): the first case that fits."""
+    low, host, ip = u["low"], u["host"], u["ip"]
+    v6 = F.contains(low, F.lit("[")) & host.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$")
+    case = F.when(low.rlike(R.WEBHOOK_WHOLE), _verdict(R.WARNING, R.HIGH, "Discord webhook"))
+    case = case.when(low.rlike(R.WEBHOOK), _verdict(R.REVIEW, R.MEDIUM, "webhook address without its token"))
     for fragment, label in R.EXFIL_FRAGMENTS.items():
-        case = case.when(F.contains(low, F.lit(fragment)), verdict(R.WARNING, R.HIGH, label))
-    case = case.when(low.rlike(r"://[^/?#]*\[[^\]]*$"), verdict(R.INFO, R.LOW, "unparseable URL"))
-    case = case.when(is_private_ipv4(ip) | (v6 & host.rlike("^(::1?|f[cd].*|fe[89ab].*)$")), verdict(R.INFO, R.HIGH, "local or private address"))
-    case = case.when(ip.isNotNull() | v6, verdict(R.REVIEW, R.MEDIUM, "bare IP address"))
-    case = case.when(host.isin("cdn.discordapp.com", "media.discordapp.net") & F.contains(low, F.lit("/attachments/")), verdict(R.REVIEW, R.MEDIUM, "chat attachment"))
-    lists = [
-        (R.PASTE_DOMAINS, R.MEDIUM, "paste site"), (R.TUNNEL_DOMAINS, R.MEDIUM, "tunnel or dynamic DNS"), (R.FILE_HOST_DOMAINS, R.MEDIUM, "anonymous file host"),
-        (R.IP_LOOKUP_DOMAINS, R.MEDIUM, "public IP lookup"), (R.SHORTENER_DOMAINS, R.LOW, "URL shortener"), (R.FREE_TLDS, R.LOW, "free top-level domain"),
-    ]
-    for domains, confidence, label in lists:
-        fits = F.contains(host, F.lit(".")) & F.substring_index(host, ".", -1).isin(domains) if domains is R.FREE_TLDS else within(host, domains)
-        case = case.when(fits, verdict(R.REVIEW, confidence, label))
-    return case.when(within(host, R.KNOWN_DOMAINS), verdict(R.INFO, R.HIGH, "well-known domain")).otherwise(verdict(R.INFO, R.MEDIUM, "other domain"))
+        case = case.when(F.contains(low, F.lit(fragment)), _verdict(R.WARNING, R.HIGH, label))
+    case = case.when(F.contains(low, F.lit("[")) & low.rlike(r"://[^/?#]*\[[^\]]*$"), _verdict(R.INFO, R.LOW, "unparseable URL"))
+    case = case.when(is_private_ipv4(ip) | (v6 & host.rlike("^(::1?|f[cd].*|fe[89ab].*)$")), _verdict(R.INFO, R.HIGH, "local or private address"))
+    case = case.when(ip.isNotNull() | v6, _verdict(R.REVIEW, R.MEDIUM, "bare IP address"))
+    case = case.when(host.isin("cdn.discordapp.com", "media.discordapp.net") & F.contains(low, F.lit("/attachments/")), _verdict(R.REVIEW, R.MEDIUM, "chat attachment"))
+    by_place = F.array(*[_verdict(*said) for _, *said in DOMAIN_LISTS])
+    return case.otherwise(F.coalesce(F.get(by_place, domain_place(host)), _verdict(R.INFO, R.MEDIUM, "other domain")))
+
+
+def classify_url(url: Column) -> Column:
+    """struct(severity, confidence, label): the first case that fits. Host and address are taken once a URL."""
+    host = host_of(url)
+    parts = F.transform(F.array(F.struct(F.lower(url).alias("low"), host.alias("host"))), lambda u: F.struct(u["low"], u["host"], ipv4_number(u["host"]).alias("ip")))
+    return F.transform(parts, _first_case)[0]
