@@ -44,17 +44,33 @@ def severity_rollup(findings: DataFrame, group: list[str]) -> DataFrame:
     return counts.select(*group, "n_info", "n_review", "n_warning", name_of(F.col("worst"), SEVERITIES).alias("highest"), said.alias("summary"))
 
 
+def placed(rows: DataFrame, group: list[str], seq: str, place: str, lead: list[str] = [], width: int = 1 << 20) -> DataFrame:
+    """rows with their number within group (any size, empty too): greatest lead first, then least seq, which is a whole number.
+
+    Rows are numbered within ranges of `width` of seq, so that no group lands in one task. Only the ranges' counts are added up in
+    one window a group. Ranges depend on values alone: a task that runs again numbers as before.
+    """
+    of = [*group, *lead]
+    ranged = rows.withColumn("_range", F.floor(F.col(seq) / F.lit(width)))
+    sizes = ranged.groupBy(*of, "_range").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in lead], "_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).select(*[F.col(c).alias(f"_of{k}") for k, c in enumerate([*of, "_range"])], "_before")
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(*of, "_range").orderBy(seq)))
+    same = F.lit(True)
+    for k, c in enumerate([*of, "_range"]):
+        same = same & own[c].eqNullSafe(sizes[f"_of{k}"])
+    return own.join(sizes, same).select(*[own[c] for c in rows.columns], (F.col("_before") + F.col("_own")).cast("long").alias(place))
+
+
 def most_common(rows: DataFrame, group: list[str], value: str, seq: str) -> DataFrame:
     """Counts of values within group, with their place: most frequent first, ties as first seen."""
     counts = rows.groupBy(*group, value).agg(F.count("*").alias("n"), F.min(seq).alias("first_seq"))
-    order = Window.partitionBy(*group).orderBy(F.desc("n"), "first_seq")
-    return counts.withColumn("place", F.row_number().over(order).cast("long"))
+    return placed(counts, group, "first_seq", "place", ["n"])
 
 
 def repeated_names(rows: DataFrame, group: list[str], name: str, seq: str) -> DataFrame:
     """Second and later rows of a name, in order of seq."""
-    copy = F.row_number().over(Window.partitionBy(*group, name).orderBy(seq)).cast("long")
-    return rows.withColumn("copy", copy).filter("copy > 1")
+    return placed(rows, [*group, name], seq, "copy").filter("copy > 1")
 
 
 def inconsistent(rows: DataFrame, key: str, value: str) -> DataFrame:
