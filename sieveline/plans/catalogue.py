@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from sieveline import refdata as R
 from sieveline.functions import text as T
 from sieveline.functions import urls as U
+from sieveline.limits import Limits
 from sieveline.operators import capping, lookup, reports, tagging
 from sieveline.plans import rules
 from sieveline.plans.evidence import class_evidence
-from sieveline.plans.triage import decoded
+from sieveline.plans.triage import decoded, findings_of
 from sieveline.sources import descriptors
 from sieveline.sources.build import packed
 
@@ -436,6 +437,17 @@ def archive_roundtrip(spark, sf_dir):
     return public_addresses(literals)
 
 
+@query(f"""
+WITH urls AS ({URL_ROWS}), hosts AS (SELECT url, lower(url) AS low, {HOST_SQL} AS host FROM urls), v AS (SELECT DISTINCT url, {URL_CASE} AS verdict FROM hosts),
+w AS (SELECT url, split_part(verdict, '|', 1) AS severity, split_part(verdict, '|', 2) AS confidence, split_part(verdict, '|', 3) AS label FROM v)
+SELECT url, severity, CASE WHEN severity = 'REVIEW' THEN 'LOW' ELSE confidence END AS confidence, 'Address: ' || label AS title FROM w WHERE severity <> 'INFO'""")
+def address_findings(spark, sf_dir):
+    """Addresses written into archives and graded by all rules: each address with the rating of a class that does not reach the network."""
+    t = decoded(packed(_url_rows(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))))
+    found = findings_of(t, limits=Limits(max_findings_per_rule=1_000_000)).filter("rule_id = 'strings.url'")
+    return found.select(F.regexp_extract("location", "^(.*) in d/", 1).alias("url"), "severity", "confidence", "title").distinct()
+
+
 @query("SELECT p_partkey, key, value, position FROM part, LATERAL (VALUES ('Manifest-Version', '1.0', 0), ('Name', p_brand || p_type, 1), ('Main-Class', 'x.' || p_size, 2)) t(key, value, position)")
 def manifest_parse(spark, sf_dir):
     lines = F.concat(F.lit("Manifest-Version: 1.0\r\nName: "), "p_brand", F.lit("\r\n "), "p_type", F.lit("\r\nno attribute\r\nName2\r\nMain-Class: y\r\nMain-Class: x."), F.col("p_size").cast("string"), F.lit("\r\n\r\nLater: no\r\n"))

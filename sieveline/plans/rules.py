@@ -17,8 +17,10 @@ from sieveline.functions import urls as U
 from sieveline.limits import Limits
 from sieveline.operators.capping import capped, where_list, where_of
 from sieveline.operators.lookup import lookalike
-from sieveline.operators.reports import confidence_rank, name_of, severity_rank
+from sieveline.operators.reports import confidence_rank, name_of, severity_rank, shared_ids
 from sieveline.operators.tagging import has_all_of_any, has_any
+from sieveline.plans.evidence import FRAGMENTS
+from sieveline.plans.explanations import RATIONALES, explanation_of
 from sieveline.refdata import HIGH, INFO, LOW, MEDIUM, REVIEW, WARNING
 
 NODE = ["archive_id", "node_path"]
@@ -40,6 +42,12 @@ def _finding(rule: str, when: Column, severity, title, where=None, confidence=LO
     ))
 
 
+def _reasons() -> dict[str, Column]:
+    """explanation of the rule, and rationale of the rating that severity and confidence give."""
+    rating = F.create_map(*[F.lit(x) for pair in RATIONALES.items() for x in pair])
+    return {"explanation": explanation_of(F.col("rule_id")), "rationale": rating[F.concat_ws("/", "severity", "confidence")]}
+
+
 def _emit(rows: DataFrame, keys: list[str], found: list[Column], seq: Column | None = None) -> DataFrame:
     held = rows.select(*keys, (F.lit(0).cast("long") if seq is None else seq.cast("long")).alias("seq"), F.array_compact(F.array(*found)).alias("found"))
     return held.select(*keys, "seq", F.inline("found"))
@@ -88,8 +96,8 @@ def class_rules(evidence: DataFrame, jars: DataFrame) -> DataFrame:
     graded = first.filter(F.col("u.v.severity") != INFO)
     weak = (F.col("u.v.severity") == REVIEW) & ~_tags("network")
     listed = _emit(graded, NODE, [_finding("strings.url", F.lit(True), F.col("u.v.severity"), F.concat(F.lit("Address: "), F.col("u.v.label")), F.concat(F.col("url"), F.lit(" in "), F.col("loc")), F.when(weak, LOW).otherwise(F.col("u.v.confidence")))], F.col("entry_seq"))
-    plain = first.filter(F.col("u.v.severity") == INFO).groupBy(*NODE).agg(F.count("*").alias("n"), F.min_by("url", F.struct("entry_seq", "url")).alias("one"))
-    others = _emit(plain, NODE, [_finding("strings.urls_other", F.lit(True), INFO, F.concat(F.col("n").cast("string"), F.lit(" other addresses")), F.concat(F.lit("first: "), F.col("one")))])
+    plain = where_of(first.filter(F.col("u.v.severity") == INFO), NODE, ["entry_seq", "url"], "url", 10)
+    others = _emit(plain, NODE, [_finding("strings.urls_other", F.lit(True), INFO, F.concat(F.col("n").cast("string"), F.lit(" other addresses")), F.col("where"))])
     return single.unionByName(listed).unionByName(others)
 
 
@@ -102,8 +110,16 @@ def jar_evidence(evidence: DataFrame) -> DataFrame:
     token = has_all_of_any(tags, ["session_token"], ["network"])
     ip = F.exists("ip_ports", lambda x: ~U.is_private_ipv4(U.ipv4_number(F.substring_index(x, ":", 1))))
     # The first places of each tag; a class that occurs twice counts once.
-    tagged = evidence.select(*NODE, "entry_seq", "entry_name", F.explode("tags").alias("tag")).groupBy(*NODE, "tag", "entry_name").agg(F.min("entry_seq").alias("entry_seq"))
-    by_tag = where_of(tagged, [*NODE, "tag"], ["entry_seq", "entry_name"], "entry_name").withColumnRenamed("where", "example")
+    # What literals hold is listed under keys that begin with =, each item with the class that names it first.
+    public = F.filter("ip_ports", lambda x: ~U.is_private_ipv4(U.ipv4_number(F.substring_index(x, ":", 1))))
+    held = lambda key, items: F.transform(items, lambda x: F.struct(_c(key).alias("tag"), x.alias("item")))
+    preview = lambda x: F.when(F.length(x) > 40, F.concat(F.substring(x, 1, 40), F.lit("…"))).otherwise(x)
+    category = F.create_map(*[F.lit(x) for f, c in FRAGMENTS.items() for x in (f, f"={c}")])
+    of_fragments = F.transform("fragments", lambda f: F.struct(category[f].alias("tag"), f.alias("item")))
+    items = F.concat(F.transform(tags, lambda t: F.struct(t.alias("tag"), F.col("entry_name").alias("item"))), held("=ip", public), held("=target", F.col("targets")), held("=cheat", F.col("cheats")), held("=encoded", F.transform("encoded", preview)), of_fragments)
+    named = evidence.select(*NODE, "entry_seq", "entry_name", F.explode(items).alias("i")).groupBy(*NODE, "i.tag", "i.item").agg(F.min(F.struct("entry_seq", "entry_name")).alias("first"))
+    shown = F.when(F.col("tag").startswith("="), F.concat("item", F.lit(" in "), "first.entry_name")).otherwise(F.col("item"))
+    by_tag = where_of(named.select(*NODE, "tag", "first.entry_seq", shown.alias("shown")), [*NODE, "tag"], ["entry_seq", "shown"], "shown").withColumnRenamed("where", "example")
     maps = by_tag.groupBy(*NODE).agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("n", "example")))).alias("by_tag"))
     kept = ~F.col("name").rlike("(package|module)-info$")
     loads = has_all_of_any(tags, ["native_loading"], ["native_file_load"])
@@ -116,7 +132,9 @@ def jar_evidence(evidence: DataFrame) -> DataFrame:
         F.bool_or((F.size("targets") > 0)).alias("has_target"), F.bool_or((F.size("targets") > 0) & has_any(tags, ["reflection"])).alias("target_meets"),
         F.bool_or(ip).alias("has_ip"), F.bool_or(ip & has_any(tags, ["network"])).alias("ip_meets"), F.sum(F.size("encoded")).alias("n_encoded"),
         F.bool_or((F.size("encoded") > 0) & has_any(tags, R.EXECUTION_TAGS)).alias("encoded_meets"), F.bool_or(F.size("cheats") > 0).alias("has_cheat"),
-        F.bool_or(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("load_external"), F.bool_or(loads & external).alias("native_external"), F.bool_or(loads & ~external).alias("native_own"),
+        F.bool_or(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("load_external"), F.count_if(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("n_load_external"),
+        F.count_if(has_any(tags, ["dynamic_loading"]) & ~external & has_any(tags, ["bytecode_gen"])).alias("n_load_generated"), F.count_if(has_any(tags, ["dynamic_loading"]) & ~external & ~has_any(tags, ["bytecode_gen"])).alias("n_load_plain"),
+        F.bool_or(loads & external).alias("native_external"), F.bool_or(loads & ~external).alias("native_own"),
         F.count_if(has_any(tags, ["native_loading"]) & ~has_any(tags, ["native_file_load"])).alias("n_bound"), F.count_if(loads & external).alias("n_external"), F.count_if(loads & ~external).alias("n_own"),
         F.count_if(kept).alias("n"), F.count_if(kept & (F.length(T.simple_name(F.col("name"))) <= 2)).alias("n_short"),
     )
@@ -139,23 +157,24 @@ def jar_rules(jars: DataFrame, entries_of: DataFrame) -> DataFrame:
     native_known = F.coalesce(F.col("bundled_native"), F.lit(False))
     part = lambda n, what: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {what}")))
     native = F.concat_ws("; ", part("n_bound", "only call the system through bindings"), part("n_own", "load library files"), part("n_external", "load library files next to network, decoding or decryption"), F.when(native_known, "the archive has libraries of its own"))
+    loading = F.concat_ws("; ", part("n_load_external", "next to network, decoding or decryption"), part("n_load_generated", "next to code that is written at run time"), part("n_load_plain", "from what the archive itself has"))
     risky = F.filter("categories", lambda c: c.isin(R.HIGH_RISK_CATEGORIES))
     found += [
-        _finding("api.reflective_sensitive", F.col("has_target"), REVIEW, "Powerful class named in a literal", None, F.when(F.col("target_meets"), MEDIUM).otherwise(LOW)),
+        _finding("api.reflective_sensitive", F.col("has_target"), REVIEW, "Powerful class named in a literal", own["=target"]["example"], F.when(F.col("target_meets"), MEDIUM).otherwise(LOW)),
         _finding("api.native_loading", n("native_loading") > 0, REVIEW, "Native code", own["native_loading"]["example"], F.when(F.col("native_external") | (F.col("native_own") & ~native_known), MEDIUM).otherwise(LOW), native),
-        _finding("api.dynamic_loading", n("dynamic_loading") > 0, REVIEW, "Classes loaded at run time", own["dynamic_loading"]["example"], F.when(F.col("load_external"), MEDIUM).otherwise(LOW)),
+        _finding("api.dynamic_loading", n("dynamic_loading") > 0, REVIEW, "Classes loaded at run time", own["dynamic_loading"]["example"], F.when(F.col("load_external"), MEDIUM).otherwise(LOW), loading),
         _finding("combo.downloader_spread", ~F.col("any_downloader") & has_all_of_any(tags, ["network"], ["dynamic_loading", "process_execution"]), REVIEW, "Network access and running code in different classes", None, LOW),
         _finding("combo.data_theft", _tags("sensitive_high") & (_tags("network") | F.col("warning_url")), WARNING, "Private data next to network access", own["sensitive_high"]["example"], F.when(F.col("theft_meets"), HIGH).otherwise(MEDIUM)),
         _finding("combo.packed_payload", has_all_of_any(tags, ["encoded_payload"], ["dynamic_loading", "base64"]), WARNING, "Encoded program that can be loaded", own["encoded_payload"]["example"], F.when(F.col("payload_meets"), HIGH).otherwise(MEDIUM)),
-        _finding("strings.ip_port", F.col("has_ip"), REVIEW, "Address with a port", None, F.when(F.col("ip_meets"), MEDIUM).otherwise(LOW)),
-        _finding("strings.encoded", F.col("n_encoded") > 0, F.when((F.col("n_encoded") >= 10) & F.col("encoded_meets"), REVIEW).otherwise(INFO), F.concat(F.col("n_encoded").cast("string"), F.lit(" encoded-looking literals"))),
-        _finding("classes.cheat_feature_strings", F.col("has_cheat"), REVIEW, "Literals name unfair game features", None, LOW),
+        _finding("strings.ip_port", F.col("has_ip"), REVIEW, "Address with a port", own["=ip"]["example"], F.when(F.col("ip_meets"), MEDIUM).otherwise(LOW)),
+        _finding("strings.encoded", F.col("n_encoded") > 0, F.when((F.col("n_encoded") >= 10) & F.col("encoded_meets"), REVIEW).otherwise(INFO), F.concat(F.col("n_encoded").cast("string"), F.lit(" encoded-looking literals")), own["=encoded"]["example"]),
+        _finding("classes.cheat_feature_strings", F.col("has_cheat"), REVIEW, "Literals name unfair game features", own["=cheat"]["example"], LOW),
         _finding("classes.obfuscated", (F.col("n") >= 10) & (ratio >= 0.5), REVIEW, "Most class names are one or two letters", None, MEDIUM),
         _finding("classes.partly_obfuscated", ~((F.col("n") >= 10) & (ratio >= 0.5)) & (ratio >= 0.2) & (F.col("n_short") >= 10), INFO, "Many class names are one or two letters"),
     ]
     for category in R.SENSITIVE:
         graded = WARNING if category in R.HIGH_RISK_CATEGORIES else REVIEW
-        found.append(_finding("strings.sensitive", F.array_contains("categories", category), graded, category, None, LOW if category == R.SHELL_CATEGORY else MEDIUM))
+        found.append(_finding("strings.sensitive", F.array_contains("categories", category), graded, category, own[f"={category}"]["example"], LOW if category == R.SHELL_CATEGORY else MEDIUM))
     return _emit(jars.join(entries_of, NODE, "left").withColumn("risky", risky), NODE, found)
 
 
@@ -303,7 +322,7 @@ def all_findings(nodes: DataFrame, entries: DataFrame, classes: DataFrame, evide
     return kept.select(
         *NODE, family.alias("rule_order"), "rule_id", F.coalesce("seq", F.lit(2**62)).alias("seq"), name_of(F.col("severity_rank"), R.SEVERITIES).alias("severity"), name_of(F.col("confidence_rank"), R.CONFIDENCES).alias("confidence"),
         F.when(F.col("is_rest"), rest).otherwise(F.col("title")).alias("title"), F.coalesce("location", F.lit("(archive)")).alias("location"), F.coalesce("context", F.lit("")).alias("context"), "is_rest",
-    )
+    ).withColumns(_reasons())
 
 
 def rolled_up_nodes(findings: DataFrame) -> DataFrame:
@@ -314,8 +333,8 @@ def rolled_up_nodes(findings: DataFrame) -> DataFrame:
 
 
 def batch_rules(mods: DataFrame) -> DataFrame:
-    """Files that declare an id which other files declare too."""
-    ids = mods.filter("node_path = ''").select("archive_id", F.lower("mod_id").alias("id")).filter("id <> ''").distinct()
-    of = Window.partitionBy("id")
-    shared = ids.withColumn("n", F.count("*").over(of)).filter("n > 1").withColumn("node_path", F.lit(""))
-    return _emit(shared, NODE, [_finding("batch.duplicate_mod_id", F.lit(True), REVIEW, F.concat(F.lit("Id of several files: "), F.col("id")), F.concat(F.col("n").cast("string"), F.lit(" files")), LOW)])
+    """Files that declare an id which other files declare too, with the names of the first five others."""
+    shared = shared_ids(mods.filter("node_path = ''"), "archive_id", "mod_id").select(F.col("owner").alias("archive_id"), F.lit("").alias("node_path"), "id", "n_owners", "others")
+    others = F.transform(F.split("others", ", "), T.base_name)
+    found = _finding("batch.duplicate_mod_id", F.lit(True), REVIEW, F.concat(F.lit("Id of several files: "), F.col("id")), F.concat(F.lit("also in "), where_list(others, F.col("n_owners") - 1)), LOW, F.concat(F.col("n_owners").cast("string"), F.lit(" files")))
+    return _emit(shared, NODE, [found]).withColumns(_reasons())

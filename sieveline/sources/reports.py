@@ -18,14 +18,14 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def documents(files: DataFrame, findings: DataFrame) -> DataFrame:
     """A row a file: its facts, counts by severity, summary and ordered findings. Findings are capped by rule, so a file's list is bounded."""
-    shown = ordered(findings).groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("place", "rule_id", "severity", "confidence", "title", "location", "context"))).alias("findings"))
+    shown = ordered(findings).groupBy("archive_id").agg(F.sort_array(F.collect_list(F.struct("place", "rule_id", "severity", "confidence", "title", "location", "context", "explanation", "rationale"))).alias("findings"))
     counts = severity_rollup(findings, ["archive_id"])
     return files.drop("content").join(counts, "archive_id", "left").join(shown, "archive_id", "left").withColumn("summary", F.coalesce("summary", F.lit("nothing to review"))).withColumn("disclaimer", F.lit(DISCLAIMER))
 
 
 def as_text(reports: DataFrame) -> DataFrame:
     """(archive_id, value): each report as plain text of at most 50 findings."""
-    line = lambda f: F.concat(F.lit("["), f["severity"], F.lit("/"), f["confidence"], F.lit("] "), f["title"], F.lit("\n    "), f["location"])
+    line = lambda f: F.concat(F.lit("["), f["severity"], F.lit("/"), f["confidence"], F.lit("] "), f["title"], F.lit("\n    "), f["location"], F.when(f["context"] != "", F.concat(F.lit("\n    "), f["context"])).otherwise(""), F.lit("\n    "), f["explanation"], F.lit(" "), f["rationale"])
     head = F.concat(F.lit("FILE "), F.col("file_name"), F.lit("\nSHA-256 "), F.coalesce("sha256", F.lit("-")), F.lit("\n"), F.col("summary"), F.lit("\n"))
     body = F.array_join(F.transform(F.slice(F.coalesce("findings", F.array()), 1, 50), line), "\n")
     return reports.select("archive_id", F.concat(head, body, F.lit("\n"), F.col("disclaimer")).alias("value"))

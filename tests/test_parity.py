@@ -6,6 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from sieveline.operators.lookup import lookalike
+from sieveline.operators.reports import most_common, repeated_names
+from sieveline.plans.explanations import EXPLANATIONS, RATIONALES
 from sieveline.plans.triage import decoded, findings_of
 from sieveline.refdata import POPULAR_NAMES
 from tests.archives import class_bytes, jar
@@ -46,3 +48,34 @@ def test_grades(spark):
     assert "strings.ip_port" in got["inside"]
     assert got["name"]["metadata.lookalike"].location == "fabric.mod.json name: S0dium" and "metadata.popular_mod_claim" not in got["name"]
     assert {"metadata.lookalike", "metadata.popular_mod_claim"} <= set(got["both"])
+
+
+def test_lists_and_reasons(spark):
+    encoded = base64.b64encode(bytes(range(60, 160))).decode()
+    named = {
+        "a": jar({"p/A.class": class_bytes("p/A", strings=["8.8.8.8:11", "10.0.0.1:22", "java.lang.Runtime", "Kill-Aura", "Local Storage/leveldb", encoded, *(f"https://github.com/{k:02}" for k in range(12))]), "p/B.class": class_bytes("p/B", strings=["8.8.8.8:11", "9.9.9.9:33"]), "fabric.mod.json": json.dumps({"id": "twin", "version": "1"})}),
+        "b": jar({"fabric.mod.json": json.dumps({"id": "Twin", "version": "1"}), "p/L.class": class_bytes("p/L", super_name="java/net/URLClassLoader")}),
+    }
+    rows = found(findings_of(decoded(files(spark, named))))
+    a, b = ({r.rule_id: r for r in rows[k]} for k in "ab")
+    assert a["strings.ip_port"].location == "8.8.8.8:11 in p/A.class, 9.9.9.9:33 in p/B.class"
+    assert a["api.reflective_sensitive"].location == "java.lang.Runtime in p/A.class" and a["classes.cheat_feature_strings"].location == "killaura in p/A.class"
+    assert a["strings.sensitive"].location.endswith(" in p/A.class") and a["strings.encoded"].location == f"{encoded[:40]}… in p/A.class"
+    assert a["strings.urls_other"].location == ", ".join(f"https://github.com/{k:02}" for k in range(10)) + " (+2 more)"
+    assert a["batch.duplicate_mod_id"].location == "also in b" and b["batch.duplicate_mod_id"].location == "also in a"
+    assert b["api.dynamic_loading"].context == "1 from what the archive itself has"
+    assert all(r.explanation == EXPLANATIONS[r.rule_id] and r.rationale in RATIONALES.values() for rs in rows.values() for r in rs)
+
+
+def test_places_of_any_group(spark):
+    """Numbers within a group that spans several ranges, null groups and gaps as plain sorting gives them."""
+    data = [(None if k % 5 == 0 else "x" if k % 3 else "y", k * 700_000 - 5_000_000) for k in range(40)]
+    rows = spark.createDataFrame(data, "name string, seq long")
+    want = {}
+    for name, seq in sorted(data, key=lambda r: r[1]):
+        want.setdefault(name, []).append(seq)
+    got = {(name, seq): copy for name, seq, copy in repeated_names(rows, [], "name", "seq").select("name", "seq", "copy").collect()}
+    assert got == {(name, seq): k for name, seqs in want.items() for k, seq in enumerate(seqs, 1) if k > 1}
+    places = [(r[0], r[1], r[2], r[3]) for r in most_common(rows, [], "name", "seq").select("place", "name", "n", "first_seq").orderBy("place").collect()]
+    best = sorted(((len(s), s[0], n) for n, s in want.items()), key=lambda r: (-r[0], r[1]))
+    assert places == [(k, n, c, first) for k, (c, first, n) in enumerate(best, 1)]
