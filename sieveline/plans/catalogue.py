@@ -186,6 +186,13 @@ def entropy_by_item(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(T.shannon_entropy(F.col("text")), 6).alias("bits"))
 
 
+@query("""
+WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), counts AS (SELECT doc_id, ch, CAST(count(*) AS DOUBLE) AS c FROM chars GROUP BY ALL), n AS (SELECT doc_id, sum(c) AS n FROM counts GROUP BY 1)
+SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS bits FROM counts JOIN n USING (doc_id) GROUP BY doc_id""")
+def entropy_by_document(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.round(T.shannon_entropy(F.col("text")), 6).alias("bits"))
+
+
 TOKEN = "[A-Za-z0-9+/_-]{40,}={0,2}"
 
 

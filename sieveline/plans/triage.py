@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -34,8 +35,12 @@ class Tables:
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps shared data."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sieveline-")
+    """A new folder where the cluster keeps shared data; a folder of our own only in local mode, where none need be named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sieveline-")
     return f"{root}/triage-{uuid.uuid4().hex}"
 
 
