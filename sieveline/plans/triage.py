@@ -8,6 +8,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieveline.limits import Limits
 from sieveline.plans import rules
@@ -33,6 +34,19 @@ class Tables:
         """node, loader of each archive."""
         return descriptors.loaders(self.nodes, self.mods, self.manifest, self.classes)
 
+    @property
+    def errors(self) -> DataFrame:
+        """node, stage, entry, message: what could not be opened, read or parsed."""
+        read = self.nodes.sparkSession.read.parquet(f"{self.folder}/read")
+        row = lambda stage, entry, message: [*rules.NODE, F.lit(stage).alias("stage"), entry.alias("entry"), message.alias("message")]
+        said = F.when(F.col("status") == "failed", "not a readable class").otherwise("not read")
+        return (
+            self.nodes.filter("not valid").select(*row("open", F.lit(""), F.col("message")))
+            .unionByName(self.entries.filter("message is not null").select(*row("contents", F.col("name"), F.col("message"))))
+            .unionByName(self.classes.filter("status <> 'parsed'").select(*row("classes", F.col("entry_name"), said)))
+            .unionByName(descriptors.unreadable(read).select(*row("metadata", F.col("name"), F.lit("cannot be parsed"))))
+        )
+
 
 def staging_folder(spark: SparkSession) -> str:
     """A new folder where the cluster keeps shared data; a folder of our own only in local mode, where none need be named."""

@@ -101,19 +101,34 @@ def _range_of(dependencies: Column, *ids: str) -> Column:
     return F.coalesce(*map(of, ids))
 
 
+def _found(read: DataFrame) -> DataFrame:
+    """The descriptors of each node: name, source_order, loader, text."""
+    order = F.create_map(*[F.lit(x) for k, n in enumerate(R.DESCRIPTORS) for x in (n, k)])
+    loader = F.create_map(*[F.lit(x) for pair in R.DESCRIPTORS.items() for x in pair])
+    found = read.filter(F.col("name").isin(list(R.DESCRIPTORS)) & F.col("content").isNotNull() & (F.col("kind") == "entry"))
+    text = found.groupBy(*NODE, "name").agg(F.min_by("content", "entry_seq").alias("content")).withColumn("text", _text(F.col("content")))
+    return text.select(*NODE, "name", order[F.col("name")].alias("source_order"), loader[F.col("name")].alias("loader"), "text")
+
+
+def _variants(text: DataFrame) -> DataFrame:
+    """Descriptors in JSON and TOML with v, null where they cannot be parsed."""
+    return text.filter("not endswith(name, '.yml')").withColumn("v", F.try_parse_json(F.when(F.col("name").endswith(".toml"), F.arrow_udf(_toml_as_json, "string")("text")).otherwise(F.col("text"))))
+
+
+def unreadable(read: DataFrame) -> DataFrame:
+    """Descriptors in JSON and TOML that cannot be parsed: node, name."""
+    return _variants(_found(read)).filter("v is null").select(*NODE, "name")
+
+
 def mods(read: DataFrame) -> DataFrame:
     """Declared projects: node, source_order, source_file, loader, mod_seq, mod_id, mod_name, version, authors, entry_points,
     description, dependencies (id, range, optional), environment, mixins, minecraft_version, loader_version.
 
-    A descriptor that cannot be parsed declares nothing; fields of an unexpected type are null. A project of
+    A descriptor that cannot be parsed declares nothing (unreadable() names it); fields of an unexpected type are null. A project of
     META-INF/mods.toml that depends on neoforge is one for NeoForge.
     """
-    order = F.create_map(*[F.lit(x) for k, n in enumerate(R.DESCRIPTORS) for x in (n, k)])
-    loader = F.create_map(*[F.lit(x) for pair in R.DESCRIPTORS.items() for x in pair])
-    found = read.filter(F.col("name").isin(list(R.DESCRIPTORS)) & F.col("content").isNotNull() & (F.col("kind") == "entry"))
-    text = found.groupBy(*NODE, "name").agg(F.min_by("content", "entry_seq").alias("content")).withColumn("text", _text(F.col("content")))
-    text = text.select(*NODE, "name", order[F.col("name")].alias("source_order"), loader[F.col("name")].alias("loader"), "text")
-    json_ = text.filter("not endswith(name, '.yml')").withColumn("v", F.try_parse_json(F.when(F.col("name").endswith(".toml"), F.arrow_udf(_toml_as_json, "string")("text")).otherwise(F.col("text"))))
+    text = _found(read)
+    json_ = _variants(text)
     several = F.when(F.col("name").endswith(".toml"), F.try_variant_get("v", "$.mods", "array<variant>")).when(
         F.col("name") == "mcmod.info", F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.modList", "array<variant>"))
     ).otherwise(F.array(F.when(F.col("name") == "quilt.mod.json", F.try_variant_get("v", "$.quilt_loader", "variant")).otherwise(F.col("v"))))

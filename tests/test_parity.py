@@ -79,3 +79,14 @@ def test_places_of_any_group(spark):
     places = [(r[0], r[1], r[2], r[3]) for r in most_common(rows, [], "name", "seq").select("place", "name", "n", "first_seq").orderBy("place").collect()]
     best = sorted(((len(s), s[0], n) for n, s in want.items()), key=lambda r: (-r[0], r[1]))
     assert places == [(k, n, c, first) for k, (c, first, n) in enumerate(best, 1)]
+
+
+def test_errors(spark):
+    named = {
+        "a": jar({"p/A.class": b"\xca\xfe\xba\xbe\x00", "fabric.mod.json": "{broken", "META-INF/mods.toml": "= no", "quilt.mod.json": json.dumps({"quilt_loader": {"id": "q"}}), "lib/x.jar": b"PK\x03\x04 no"}),
+        "b": b"no archive", "c": jar({"p/C.class": class_bytes("p/C"), "fabric.mod.json": json.dumps({"id": "c"})}),
+    }
+    t = decoded(files(spark, named))
+    got = {(r.archive_id, r.node_path, r.stage, r.entry) for r in t.errors.collect() if r.stage != "contents"}
+    assert got == {("a", "", "classes", "p/A.class"), ("a", "", "metadata", "fabric.mod.json"), ("a", "", "metadata", "META-INF/mods.toml"), ("a", "lib/x.jar", "open", ""), ("b", "", "open", "")}
+    assert [r.mod_id for r in t.mods.filter("archive_id = 'a'").collect()] == ["q"] and all(r.message for r in t.errors.collect())
