@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import chat, exact_dedup, line_dedup, mixing
+from sieveline.llm import chat, divergence, exact_dedup, line_dedup, mixing, prefix_trie
 from sieveline.llm.common import table
 from sieveline.llm.decontaminate import leaks
 from sieveline.llm.language_id import identified
@@ -71,9 +71,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_personal_data, op5_token_output, op6_secret_scan, op7_mixing, op8_decontamination, op9_chat_formatting, op10_exact_dedup, op11_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_personal_data, op5_token_output, op6_secret_scan, op7_mixing, op8_decontamination, op9_chat_formatting, op10_exact_dedup, op11_line_dedup, op12_prefix_trie, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL, "op9_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_line_dedup": line_dedup.SQL}
+    return {"op7_mixing": mixing.SQL, "op9_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_line_dedup": line_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_source_divergence": divergence.SQL}
