@@ -95,13 +95,13 @@ def trie(members: DataFrame, local: int = LOCAL) -> DataFrame:
 
     A node is a distinct prefix; its conv_id is the smallest member's, so (depth, conv_id) names it.
     """
-    members = staged(members, "members")
     least = members.agg(F.min("conv_id")).first()[0]
     if least is None:
         return members.sparkSession.createDataFrame([], NODE)
-    # A bucket is named by the node at which it begins: its depth s and its smallest conv_id c. All is one bucket at first.
+    # A bucket is named by the node at which it begins: its depth s and its smallest conv_id c. All is one bucket at first. It is staged with its
+    # name: as a constant, joins on it would become nested loops.
     name = F.struct(F.lit(0).cast("long").alias("s"), F.lit(least).cast("long").alias("c"))
-    open_ = members.select("*", name.alias("bucket"))
+    open_ = staged(members.select("*", name.alias("bucket")), "members")
     about = open_.limit(1).select("bucket", F.array("bucket").alias("path"), F.lit(None).cast("long").alias("parent"))
     rounds, seen = [], []
     while True:
