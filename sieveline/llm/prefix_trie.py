@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import BROADCAST_IDS, bounded, mapped, staged
 
 #: Conversations that one call of multikey quicksort finishes at most.
-LOCAL = 1000
+LOCAL = 250
 #: Turns that more than 1/HOT of all rows say are looked up in a broadcast table (of fewer than HOT rows).
 HOT = 1000
 #: Ids in a piece of a digest's input, and nodes in an Arrow batch.
