@@ -66,11 +66,10 @@ def normalized_sha256(text: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for empty text. One pass over the distinct characters."""
-    chars = F.split(text, "")
-    n = F.length(text).cast("double")
-    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n
-    bits = F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    """Bits per character; 0 for empty text. For literals: its work is length times distinct characters (functions.entropy reads texts of any length once)."""
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    shares = F.transform(chars, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text).cast("double"))
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(F.length(text) > 0, bits).otherwise(F.when(text.isNotNull(), 0.0))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.capping import first_rows
 from sieveline.refdata import CONFIDENCES, SEVERITIES
 
 
@@ -82,14 +83,15 @@ def inconsistent(rows: DataFrame, key: str, value: str) -> DataFrame:
 def shared_ids(rows: DataFrame, owner: str, ident: str, shown: int = 5) -> DataFrame:
     """Ids (in lower case) that several owners have: owner, id, n_owners, others.
 
-    others lists the first owners by name other than the row's own. Aggregated to the first shown + 1 names a group,
-    so a shared id of many owners does not gather them all.
+    others lists the first owners by name other than the row's own. An id's owners are counted by aggregation and cut to the first shown + 1 before
+    they are shuffled; only the last join brings an id's rows together, which Spark splits where there are many.
     """
     distinct = rows.select(F.col(owner).alias("owner"), F.lower(ident).alias("id")).filter("id <> ''").distinct()
-    numbered = distinct.withColumns({"rn": F.row_number().over(Window.partitionBy("id").orderBy("owner")), "n_owners": F.count("*").over(Window.partitionBy("id"))}).filter("n_owners > 1")
-    first = numbered.filter(F.col("rn") <= shown + 1).groupBy("id").agg(F.sort_array(F.collect_list("owner")).alias("names"))
+    counts = distinct.groupBy("id").agg(F.count("*").alias("n_owners"))
+    first = first_rows(distinct, ["id"], ["owner"], shown + 1, "_rn").select("id", F.col("owner").alias("_name"))
+    several = counts.unionByName(first, allowMissingColumns=True).groupBy("id").agg(F.max("n_owners").alias("n_owners"), F.sort_array(F.collect_list("_name")).alias("names")).filter("n_owners > 1")
     others = F.slice(F.filter("names", lambda x: x != F.col("owner")), 1, shown)
-    return numbered.join(first, "id").select("owner", "id", "n_owners", F.array_join(F.transform(others, lambda x: x.cast("string")), ", ").alias("others"))
+    return distinct.join(several, "id").select("owner", "id", "n_owners", F.array_join(F.transform(others, lambda x: x.cast("string")), ", ").alias("others"))
 
 
 def short_name_ratio(rows: DataFrame, group: list[str], name: str, short: int = 2) -> DataFrame:

@@ -16,7 +16,7 @@ from sieveline.functions import text as T
 from sieveline.functions import urls as U
 from sieveline.operators.lookup import exact_else_prefix, exact_else_wildcard
 
-_BASE64 = "^[A-Za-z0-9+/_-]{40,}={0,2}$"
+_BASE64 = r"\A[A-Za-z0-9+/_-]{40,}={0,2}\z"
 _PAYLOADS = ["Java class file (or Mach-O universal binary)", "Windows executable (PE)", "ZIP/JAR archive", "Linux executable (ELF)"]
 FRAGMENTS = {f: category for category, fragments in R.SENSITIVE.items() for f in fragments}
 _SENSITIVE = "(?iu)" + "|".join(re.escape(f).replace("/", "/") for f in FRAGMENTS)
@@ -40,23 +40,67 @@ def _fragments(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(folded, F.lit(_SENSITIVE), F.lit(0)), lambda x: F.lower(x))
 
 
+#: What follows a place when the literal was found inside an encoded one.
+DECODED = " (Base64-decoded string)"
+_NO_FACTS = "array<struct<kind:string,item:string,at:int,decoded:boolean>>"
+
+
+def _fact(kind: str, item: Column, at: Column, decoded: bool = False) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), item.alias("item"), at.alias("at"), F.lit(decoded).alias("decoded"))
+
+
+def _of_text(text: Column, at: Column, decoded: bool) -> Column:
+    """What one text holds, in this order: addresses, addresses with ports, sensitive fragments, class names that matter, game features."""
+    all_ = lambda kind, items: F.transform(items, lambda x: _fact(kind, x, at, decoded))
+    one = lambda kind, when, item: F.when(when, F.array(_fact(kind, item, at, decoded))).otherwise(F.array().cast(_NO_FACTS))
+    letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
+    parts = F.concat(
+        all_("url", U.urls_in(text)), all_("ip", U.ip_ports_in(text)), all_("fragment", _fragments(text)),
+        one("target", text.isin(R.REFLECTION_TARGETS), text), one("cheat", letters.isin(R.CHEAT_WORDS), T.safe_text(text, 100)),
+    )
+    return F.coalesce(parts, F.array().cast(_NO_FACTS))
+
+
+def _facts(literals: Column) -> Column:
+    """Facts of a class's literals, in the order in which they stand there: kind, item, the literal's number, and whether it was decoded from the literal.
+
+    A literal of base64 gives a payload if its bytes begin like a program or archive, else what the text in it holds.
+    """
+    none = F.array().cast(_NO_FACTS)
+    # Step by step, so that each is evaluated once a literal.
+    read = F.transform(literals, lambda s, k: F.struct(k.alias("at"), s.alias("text"), F.when(s.rlike(_BASE64), T.try_base64(s)).alias("data")))
+    told = F.transform(read, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), x["data"].alias("data"), F.when(x["data"].isNotNull(), T.magic_of(x["data"], R.MAGIC)).alias("magic")))
+    plain = F.transform(told, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), F.when(x["magic"].isin(_PAYLOADS), x["magic"]).alias("payload"), F.when(~x["magic"].isin(_PAYLOADS), F.call_function("make_valid_utf8", x["data"].cast("string"))).alias("inner")))
+    legible = lambda t: F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit(""))) < F.length(t) * 0.1
+
+    def facts(x: Column) -> Column:
+        text, at = x["text"], x["at"]
+        mixed = text.rlike(_BASE64) & text.rlike("[a-z]") & text.rlike("[A-Z]") & text.rlike("[0-9]")
+        bits = F.when(mixed, T.shannon_entropy(text))
+        preview = F.concat(F.substring(text, 1, 60), F.when(F.length(text) > 60, "…").otherwise(""), F.lit(" (entropy "), F.format_number(bits, 2), F.lit(")"))
+        encoded = F.when(bits >= F.when(F.length(text) < 100, 4.5).otherwise(5.0), F.array(_fact("encoded", preview, at))).otherwise(none)
+        payload = F.when(x["payload"].isNotNull(), F.array(_fact("payload", x["payload"], at))).otherwise(none)
+        return F.concat(_of_text(text, at, False), encoded, payload, F.when(legible(x["inner"]), _of_text(x["inner"], at, True)).otherwise(none))
+
+    return F.flatten(F.transform(plain, facts))
+
+
+def literal_facts(evidence: DataFrame) -> DataFrame:
+    """Facts as a table: node, class (entry_seq, entry_name, tags), place among the class's facts, literal, kind, item, decoded, and `where`: the class and how the literal was read."""
+    rows = evidence.select("archive_id", "node_path", "entry_seq", "entry_name", "tags", F.posexplode("facts").alias("place", "f"))
+    where = F.concat("entry_name", F.when(F.col("f.decoded"), DECODED).otherwise(""))
+    return rows.select("archive_id", "node_path", "entry_seq", "entry_name", "tags", "place", F.col("f.at").alias("literal"), "f.kind", "f.item", "f.decoded", where.alias("where"))
+
+
 def class_evidence(classes: DataFrame) -> DataFrame:
-    """Parsed classes with tags, urls, hidden_urls, ip_ports, fragments, targets, cheats, encoded, payloads, and the commands by kind (helpers, shells, risky, programs)."""
+    """Parsed classes with tags, facts of their literals, and of these urls, hidden_urls, ip_ports, fragments, targets, cheats, encoded, payloads, and the commands by kind (helpers, shells, risky, programs)."""
     c = classes.filter("status = 'parsed'")
     literals = F.col("strings")
-    decoded = F.transform(F.filter(literals, lambda s: s.rlike(_BASE64)), lambda s: T.try_base64(s))
-    c = c.withColumn("decoded", F.filter(decoded, lambda d: d.isNotNull()))
-    payload = F.filter(F.transform("decoded", lambda d: T.magic_of(d, R.MAGIC)), lambda m: m.isin(_PAYLOADS))
-    # What begins like a program or archive is a payload, not text.
-    as_text = F.transform(F.filter("decoded", lambda d: ~F.coalesce(T.magic_of(d, R.MAGIC).isin(_PAYLOADS), F.lit(False))), lambda d: F.call_function("make_valid_utf8", d.cast("string")))
-    legible = F.filter(as_text, lambda t: F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit(""))) < F.length(t) * 0.1)
-    encoded = F.filter(literals, lambda s: s.rlike(_BASE64) & s.rlike("[a-z]") & s.rlike("[A-Z]") & s.rlike("[0-9]") & (T.shannon_entropy(s) >= F.when(F.length(s) < 100, 4.5).otherwise(5.0)))
-    c = c.withColumns({"payloads": payload, "hidden": legible, "encoded": encoded})
+    c = c.withColumn("facts", _facts(literals))
+    of = lambda kind, decoded=None: F.transform(F.filter("facts", lambda x: (x["kind"] == kind) & (F.lit(True) if decoded is None else x["decoded"] == decoded)), lambda x: x["item"])
     c = c.withColumns({
-        "urls": _flat(F.transform(literals, U.urls_in)), "hidden_urls": _flat(F.transform("hidden", U.urls_in)),
-        "ip_ports": _flat(F.transform(F.concat(literals, F.col("hidden")), U.ip_ports_in)), "fragments": F.array_union(_flat(F.transform(literals, _fragments)), _flat(F.transform("hidden", _fragments))),
-        "targets": F.array_distinct(F.filter(F.concat(literals, F.col("hidden")), lambda s: s.isin(R.REFLECTION_TARGETS))),
-        "cheats": F.array_distinct(F.filter(F.transform(F.concat(literals, F.col("hidden")), lambda s: F.regexp_replace(F.lower(s), "[^a-z]", "")), lambda s: s.isin(R.CHEAT_WORDS))),
+        "payloads": of("payload"), "encoded": of("encoded"), "urls": F.array_distinct(of("url", False)), "hidden_urls": F.array_distinct(of("url", True)),
+        "ip_ports": F.array_distinct(of("ip")), "fragments": F.array_distinct(of("fragment")), "targets": F.array_distinct(of("target")), "cheats": F.array_distinct(of("cheat")),
         "commands": F.array_sort(F.array_distinct(F.transform(F.filter(literals, lambda s: F.length(s) <= 300), lambda s: T.command_name(T.first_word(s), R.SHELL_COMMANDS)))),
         "flags": F.filter(_lits(R.HIDDEN_FLAGS), lambda f: F.exists(literals, lambda s: F.contains(F.lower(s), f))),
     })
@@ -71,9 +115,9 @@ def class_evidence(classes: DataFrame) -> DataFrame:
     groups = F.array_compact(F.transform(refs, lambda r: exact_else_prefix(r, R.API_CLASSES, R.API_PACKAGE_PREFIXES)))
     calls = F.array_compact(F.transform(members, lambda m: exact_else_wildcard(owner(m), member(m), R.API_MEMBERS)))
     categories = F.transform("fragments", lambda f: category[f])
-    descriptors = F.size(F.filter(literals, lambda s: s.rlike("^" + R.DESCRIPTOR + "$")))
+    descriptors = F.size(F.filter(literals, lambda s: s.rlike(r"\A" + R.DESCRIPTOR + r"\z")))
     token = F.exists(members, lambda m: member(m).isin(R.SESSION_TOKEN_MEMBERS) & owner(m).rlike("^(" + "|".join(R.SESSION_TOKEN_OWNERS) + ")"))
-    programs = F.exists(literals, lambda s: (F.length(s) <= 300) & F.lower(F.trim(s)).rlike("(" + "|".join(re.escape(e) for e in R.PROGRAM_EXTENSIONS) + ")$"))
+    programs = F.exists(literals, lambda s: (F.length(s) <= 300) & F.lower(s).rlike("(" + "|".join(re.escape(e) for e in R.PROGRAM_EXTENSIONS) + r")(?U:\s*)\z"))
     tags = [
         groups, calls,
         _tag(F.col("super_name").isin(R.CLASSLOADER_SUPERCLASSES), "dynamic_loading"),
@@ -89,4 +133,4 @@ def class_evidence(classes: DataFrame) -> DataFrame:
     own = F.filter(refs, lambda r: r.startswith("com/sun/jna/"))
     out = out.withColumn("bindings", F.array_sort(own))
     rated = lambda name: F.transform(name, lambda u: F.struct(u.alias("url"), U.classify_url(u).alias("v")))
-    return out.withColumns({"rated_urls": rated("urls"), "rated_hidden": rated("hidden_urls")}).drop("strings", "decoded", "hidden")
+    return out.withColumns({"rated_urls": rated("urls"), "rated_hidden": rated("hidden_urls")}).drop("strings")

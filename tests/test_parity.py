@@ -5,8 +5,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from sieveline.operators.capping import capped, where_of
 from sieveline.operators.lookup import lookalike
-from sieveline.operators.reports import most_common, repeated_names
+from sieveline.operators.reports import most_common, repeated_names, shared_ids
+from sieveline.plans.evidence import class_evidence, literal_facts
 from sieveline.plans.explanations import EXPLANATIONS, RATIONALES
 from sieveline.plans.triage import decoded, findings_of
 from sieveline.refdata import POPULAR_NAMES
@@ -59,14 +61,76 @@ def test_lists_and_reasons(spark):
     rows = found(findings_of(decoded(files(spark, named))))
     a, b = ({r.rule_id: r for r in rows[k]} for k in "ab")
     assert a["strings.ip_port"].location == "8.8.8.8:11 in p/A.class, 9.9.9.9:33 in p/B.class"
-    assert a["api.reflective_sensitive"].location == "java.lang.Runtime in p/A.class" and a["classes.cheat_feature_strings"].location == "killaura in p/A.class"
-    assert a["strings.sensitive"].location.endswith(" in p/A.class") and a["strings.encoded"].location == f"{encoded[:40]}… in p/A.class"
+    assert a["api.reflective_sensitive"].location == "java.lang.Runtime in p/A.class" and a["classes.cheat_feature_strings"].location == "Kill-Aura in p/A.class"
+    assert a["strings.sensitive"].location.endswith("' in p/A.class") and a["strings.encoded"].location.startswith(f"p/A.class: {encoded[:60]}… (entropy ")
     assert a["strings.urls_other"].location == ", ".join(f"https://github.com/{k:02}" for k in range(10)) + " (+2 more)"
     assert a["batch.duplicate_mod_id"].location == "also in b" and b["batch.duplicate_mod_id"].location == "also in a"
     assert b["api.dynamic_loading"].context == "1 from what the archive itself has"
     assert all(r.explanation == EXPLANATIONS[r.rule_id] and r.rationale in RATIONALES.values() for rs in rows.values() for r in rs)
 
 
+def test_one_finding_an_archive_with_the_places_of_all_classes(spark):
+    """Rules 15 and 18 speak of the archive: one row, whatever the number of classes, and confidence over all of them."""
+    token, payload = [("net/minecraft/Session", "getAccessToken")], base64.b64encode(b"MZ" + bytes(60)).decode()
+    b64 = lambda text: base64.b64encode(text.encode()).decode()
+    hidden = b64("go on to https://pastebin.com/raw/abc now and wait there")
+    three = {f"p/C{k}.class": class_bytes(f"p/C{k}", calls=NET + token if k else token, strings=[payload, hidden, "https://example.org/x"]) for k in range(7)}
+    three["q/D.class"] = class_bytes("q/D", calls=[("java/util/Base64", "getDecoder")], strings=[payload])
+    plain = {"p/T.class": class_bytes("p/T", calls=NET + token), "p/U.class": class_bytes("p/U", strings=["https://pastebin.com/x"]), "p/H.class": class_bytes("p/H", strings=[b64("only https://example.org/page and nothing else in here")])}
+    rows = found(findings_of(decoded(files(spark, {"a": jar(three), "b": jar(plain), "c": jar({"p/T.class": class_bytes("p/T", calls=NET + token)})}))))
+    for rule in ("combo.session_token_network", "strings.encoded_executable", "strings.encoded_url"):
+        assert [r.rule_id for r in rows["a"]].count(rule) == 1
+    a, b, c = ({r.rule_id: r for r in rows[k]} for k in "abc")
+    at = lambda r: (r.severity, r.confidence, r.location)
+    assert at(a["combo.session_token_network"]) == ("WARNING", "MEDIUM", "p/C1.class, p/C2.class, p/C3.class, p/C4.class, p/C5.class (+1 more)")
+    assert a["combo.session_token_network"].context == "suspicious addresses elsewhere: https://pastebin.com/raw/abc"  # first seen in C0, which does not reach the network
+    exe = "Windows executable (PE) in p/C{}.class"
+    assert at(a["strings.encoded_executable"]) == ("WARNING", "HIGH", ", ".join(exe.format(k) for k in range(5)) + " (+3 more)")
+    assert at(a["strings.encoded_url"]) == ("REVIEW", "MEDIUM", ", ".join(f"p/C{k}.class: https://pastebin.com/raw/abc" for k in range(5)) + " (+2 more)")
+    assert a["strings.encoded_url"].title == "Addresses inside encoded literals: 7"
+    assert a["strings.url"].location == "https://pastebin.com/raw/abc in p/C0.class (Base64-decoded string)"
+    assert at(b["combo.session_token_network"])[:2] == ("WARNING", "MEDIUM") and at(c["combo.session_token_network"])[:2] == ("REVIEW", "MEDIUM")
+    assert at(b["strings.encoded_url"]) == ("REVIEW", "LOW", "p/H.class: https://example.org/page")
+
+
+def test_facts_say_where_a_literal_came_from(spark):
+    b64 = lambda text: base64.b64encode(text.encode()).decode()
+    inner = b64("Local Storage/leveldb at https://pastebin.com/raw/x with 8.8.8.8:99 in it")
+    data = jar({"p/A.class": class_bytes("p/A", strings=["wallet.dat", inner, "wallet.dat", "https://pastebin.com/raw/x", "A" * 40 + "\n"]), "p/B.class": class_bytes("p/B", strings=["WALLET.DAT"])})
+    t = decoded(files(spark, {"a": data}))
+    facts = [tuple(r) for r in literal_facts(class_evidence(t.classes)).orderBy("entry_seq", "place").select("entry_name", "literal", "kind", "item", "decoded").collect()]
+    assert facts[:5] == [("p/A.class", 0, "fragment", "wallet.dat", False), ("p/A.class", 1, "encoded", facts[1][3], False), ("p/A.class", 1, "url", "https://pastebin.com/raw/x", True), ("p/A.class", 1, "ip", "8.8.8.8:99", True), ("p/A.class", 1, "fragment", facts[4][3], True)]
+    assert facts[5:] == [("p/A.class", 2, "fragment", "wallet.dat", False), ("p/A.class", 3, "url", "https://pastebin.com/raw/x", False), ("p/B.class", 0, "fragment", "wallet.dat", False)]
+    told = {(r.rule_id, r.title): r.location for r in found(findings_of(t))["a"]}
+    assert [v for (rule, _), v in told.items() if rule == "strings.ip_port"] == ["8.8.8.8:99 in p/A.class (Base64-decoded string)"]
+    places = ", ".join(v for (rule, _), v in told.items() if rule == "strings.sensitive")
+    assert "'wallet.dat' in p/A.class, 'wallet.dat' in p/B.class" in places and "' in p/A.class (Base64-decoded string)" in places
+
+
+def test_groups_are_cut_before_they_are_shuffled(spark):
+    """No window over a whole group: rows are limited in each task, and counts come from aggregates."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(1000).selectExpr("id % 3 g", "id", "cast(id % 2 as int) severity_rank", "cast(id % 3 as int) confidence_rank", "cast(id as string) item")
+    for df in (capped(rows, ["g"], ["id"], 5), where_of(rows, ["g"], ["id"], "item"), shared_ids(rows.selectExpr("id owner", "cast(g as string) ident"), "owner", "ident")):
+        steps = [x.strip(" +-:*()0123456789").split(" ")[0] for x in plan(df).splitlines()]
+        windows = [k for k, x in enumerate(steps) if x == "Window"]
+        assert windows
+        for k in windows:  # limited behind the exchange and before it
+            below = [x for x in steps[k + 1 :] if x in ("WindowGroupLimit", "Exchange")]
+            assert below[:3] == ["WindowGroupLimit", "Exchange", "WindowGroupLimit"]
+
+
+def test_hot_groups(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) g", "id", "cast(id % 3 as int) severity_rank", "if(id = 3, null, cast(id % 2 as int)) confidence_rank")
+    rest = capped(rows, ["g"], ["id"], 4).filter("is_rest").collect()
+    assert [(r.g, r.id, r.rn, r.n_rest, r.severity_rank, r.confidence_rank) for r in rest] == [("hot", None, 5, n // 3 - 4, 0, 1)]
+    hot = where_of(rows, ["g"], ["id"], "id", 3).filter("g = 'hot'").first()
+    assert (hot.n, hot.where) == (n // 3, f"0, 3, 6 (+{n // 3 - 3} more)")
+    shared = shared_ids(rows, "id", "g")
+    assert shared.count() == n // 3 and {(r.n_owners, r.others) for r in shared.filter("owner > 15").collect()} == {(n // 3, "0, 3, 6, 9, 12")}
+
+
 def test_places_of_any_group(spark):
     """Numbers within a group that spans several ranges, null groups and gaps as plain sorting gives them."""
     data = [(None if k % 5 == 0 else "x" if k % 3 else "y", k * 700_000 - 5_000_000) for k in range(40)]
