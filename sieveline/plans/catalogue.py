@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from sieveline import refdata as R
 from sieveline.functions import text as T
 from sieveline.functions import urls as U
+from sieveline.functions.entropy import text_entropy
 from sieveline.limits import Limits
-from sieveline.operators import capping, lookup, reports, tagging
-from sieveline.plans import rules
+from sieveline.operators import capping, dimensions, lookup, reports, tagging
+from sieveline.operators import fragments as fragment_joins
+from sieveline.plans import inventory, rules
 from sieveline.plans.evidence import class_evidence
 from sieveline.plans.triage import decoded, findings_of
 from sieveline.sources import descriptors
-from sieveline.sources.build import packed
+from sieveline.sources.build import archives_of, packed
+from sieveline.sources.reports import documents as file_reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,7 +193,7 @@ def entropy_by_item(spark, sf_dir):
 WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), counts AS (SELECT doc_id, ch, CAST(count(*) AS DOUBLE) AS c FROM chars GROUP BY ALL), n AS (SELECT doc_id, sum(c) AS n FROM counts GROUP BY 1)
 SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS bits FROM counts JOIN n USING (doc_id) GROUP BY doc_id""")
 def entropy_by_document(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.round(T.shannon_entropy(F.col("text")), 6).alias("bits"))
+    return table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.round(text_entropy("text"), 6).alias("bits"))
 
 
 TOKEN = "[A-Za-z0-9+/_-]{40,}={0,2}"
@@ -305,6 +308,63 @@ def name_lookalike(spark, sf_dir):
     return rows.filter("like is not null").select("p_partkey", "name", "like.known", "like.kind", F.col("like.distance").cast("long").alias("distance"))
 
 
+#: Words of documents and of benchmark, the latter as a table of names, prefixes or fragments.
+WORD = "[A-Za-z0-9]+"
+WORDS_SQL = f"""
+words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}')) AS word FROM documents),
+dim AS (SELECT word, min(item_id) AS item_id FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM benchmark) GROUP BY word)"""
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).distinct()
+
+
+def _dim(spark, sf_dir) -> DataFrame:
+    """word, item_id: the words of benchmark with the first item that has each."""
+    said = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    return said.groupBy("word").agg(F.min("item_id").alias("item_id"))
+
+
+@query(f"""
+WITH {WORDS_SQL},
+named AS (SELECT word, lower(word) AS n FROM words WHERE length(word) >= 3), known AS (SELECT word AS known, {_SKEL.format(x="word")} AS ksk FROM dim WHERE length(word) >= 5),
+near AS (SELECT word, known, {_SKEL.format(x="n")} AS sk, ksk FROM named JOIN known ON length(n) BETWEEN length(known) - 12 AND length(known) + 12 AND NOT starts_with(n, known) WHERE n NOT IN (SELECT word FROM dim)),
+hit AS (SELECT word, known, CASE WHEN sk = ksk THEN 0 ELSE 1 END AS rk, levenshtein(sk, ksk) AS d FROM near WHERE abs(length(sk) - length(ksk)) <= 2)
+SELECT word, known, CASE WHEN rk = 0 THEN 'skeleton' ELSE 'distance' END AS kind, CAST(d AS BIGINT) AS distance FROM hit WHERE d <= CASE WHEN length(known) < 8 THEN 1 ELSE 2 END
+QUALIFY row_number() OVER (PARTITION BY word ORDER BY rk, d, known) = 1""")
+def name_lookalike_table(spark, sf_dir):
+    """Words of documents that imitate a word of benchmark: two tables, joined by an index of neighbourhoods."""
+    found = dimensions.lookalikes(_words(spark, sf_dir), "word", _dim(spark, sf_dir), "word")
+    return found.filter("like is not null").select("word", "like.known", "like.kind", F.col("like.distance").cast("long").alias("distance"))
+
+
+@query(f"""
+WITH {WORDS_SQL},
+whole AS (SELECT word AS name, 'item ' || item_id AS value FROM dim WHERE length(word) >= 8),
+prefixes AS (SELECT word AS prefix, 'prefix ' || word AS value, item_id FROM dim WHERE length(word) < 8),
+fits AS (SELECT word, prefix, value, row_number() OVER (PARTITION BY word ORDER BY item_id, prefix) AS k FROM words JOIN prefixes ON starts_with(word, prefix))
+SELECT word, coalesce(whole.value, fits.value) AS value FROM words LEFT JOIN whole ON word = name LEFT JOIN (SELECT * FROM fits WHERE k = 1) fits USING (word)""")
+def prefix_table_lookup(spark, sf_dir):
+    """Words of documents looked up in two tables: exact names first, then the first prefix by item."""
+    dim = _dim(spark, sf_dir)
+    whole = dim.filter(F.length("word") >= 8).select(F.col("word").alias("name"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("value"))
+    prefixes = dim.filter(F.length("word") < 8).select(F.col("word").alias("prefix"), F.concat(F.lit("prefix "), "word").alias("value"), "item_id")
+    return dimensions.with_prefix_of(_words(spark, sf_dir), "word", whole, prefixes, "item_id").select("word", "value")
+
+
+@query(f"""
+WITH {WORDS_SQL}, pattern AS (SELECT string_agg(word, '|' ORDER BY item_id, word) AS p FROM dim WHERE length(word) >= 4),
+found AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), (SELECT p FROM pattern))) AS fragment FROM documents)
+SELECT fragment, count(*) AS hits, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM found GROUP BY fragment""")
+def fragment_table_hits(spark, sf_dir):
+    """Fragments of a table found in whole documents from the left, the first in the table's order at each place."""
+    listed = fragment_joins.fragment_list(_dim(spark, sf_dir).filter(F.length("word") >= 4), "word", ["item_id", "word"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = fragment_joins.fragments_in(docs, "text", listed).select("doc_id", F.explode("found.place").alias("place"))
+    counts = found.groupBy("place").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return counts.join(listed.table, "place").select("fragment", "hits", "docs", "first_doc")
+
+
 # --- tags -------------------------------------------------------------------------------------------
 
 
@@ -451,10 +511,71 @@ SELECT url, severity, CASE WHEN severity = 'REVIEW' THEN 'LOW' ELSE confidence E
 def address_findings(spark, sf_dir):
     """Addresses written into archives and graded by all rules: each address with the rating of a class that does not reach the network."""
     t = decoded(packed(_url_rows(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))))
-    found = findings_of(t, limits=Limits(max_findings_per_rule=1_000_000)).filter("rule_id = 'strings.url'")
+    found = findings_of(t, limits=Limits(max_findings_per_rule=1_000_000), only=["addresses"]).filter("rule_id = 'strings.url'")
     return found.select(F.regexp_extract("location", "^(.*) in d/", 1).alias("url"), "severity", "confidence", "title").distinct()
 
 
+#: Texts of an archive that is built by id.
+GROUP = 16
+
+
+def _text_archives(spark, sf_dir) -> DataFrame:
+    """Archives of documents' whole texts, GROUP neighbours by id in each: as they are, cut in half, no archive at all, or with the first entry's data damaged."""
+    g = F.floor(F.col("doc_id") / GROUP)
+    rows = table(spark, sf_dir, "documents").select(g.cast("string").alias("archive_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("t/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files = archives_of(rows)
+    c, k = F.col("content"), F.col("archive_id").cast("long") % 4
+    # The first header has 30 bytes and the name; 0xFF begins no deflated data.
+    at = F.lit(30 + len("t/.txt")) + F.length((F.col("archive_id").cast("long") * GROUP).cast("string"))
+    damaged = F.concat(F.substring(c, F.lit(1), at), F.unhex(F.lit("FF")), F.substring(c, at + 2, F.length(c)))
+    none = F.encode(F.concat(F.lit("no archive "), "archive_id"), "UTF-8")
+    return files.withColumn("content", F.when(k == 1, F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))).when(k == 2, none).when(k == 3, damaged).otherwise(c))
+
+
+_GROUPS_SQL = f"""
+docs AS (SELECT doc_id // {GROUP} AS g, doc_id, strlen(coalesce(text, '')) AS bytes FROM documents),
+of_group AS (SELECT g, g % 4 AS k, count(*) AS n, sum(bytes) AS bytes, coalesce(max(bytes) FILTER (doc_id = g * {GROUP}), 0) AS first_bytes FROM docs GROUP BY g)"""
+
+
+@query(f"""
+WITH {_GROUPS_SQL}
+SELECT CAST(g AS VARCHAR) AS archive_id, k IN (0, 3) AS valid, CASE WHEN k IN (0, 3) THEN n ELSE 0 END AS entries, CASE WHEN k IN (0, 3) THEN CAST(bytes AS BIGINT) ELSE 0 END AS declared_bytes,
+  CASE WHEN k = 0 THEN 0 WHEN k < 3 THEN 1 ELSE CAST(first_bytes >= 4 AS BIGINT) END AS n_errors,
+  CASE k WHEN 1 THEN 'not analysed, the file could not be read as an archive: no end record' WHEN 2 THEN 'not analysed, the file could not be read as an archive: not an archive'
+    WHEN 3 THEN 'nothing to review' || CASE WHEN first_bytes >= 4 THEN '; 1 entries could not be read' ELSE '' END ELSE 'nothing to review' END AS summary
+FROM of_group""")
+def refused_archives(spark, sf_dir):
+    """Texts packed, broken and triaged: what reports say of files and entries that cannot be read."""
+    files = _text_archives(spark, sf_dir)
+    t = decoded(files)
+    r = file_reports(t.files, findings_of(t, only=["contents"]).filter("severity <> 'INFO'"), t)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return r.select("archive_id", "valid", zero("entries"), zero("declared_bytes"), zero("n_errors"), "summary")
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id // {GROUP} AS g, doc_id, lang, source FROM documents),
+classes AS (SELECT g, doc_id, coalesce(lang, 'x') || '/' || coalesce(source, 'y') AS package, 45 + doc_id % 20 AS major FROM docs),
+packages AS (SELECT g, 'package' AS kind, package AS value, count(*) AS n, min(doc_id) AS first FROM classes GROUP BY ALL),
+versions AS (SELECT g, 'java_version' AS kind, CASE WHEN major >= 49 THEN 'Java ' || (major - 44) ELSE 'Java 1.' || (major - 44) END AS value, count(*) AS n, min(doc_id) AS first FROM classes GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY n DESC, first) AS place FROM (SELECT * FROM packages UNION ALL SELECT * FROM versions))
+SELECT CAST(g AS VARCHAR) AS archive_id, kind, value, n, place FROM ranked WHERE place <= 10""")
+def archive_histograms(spark, sf_dir):
+    """Packages and Java versions of archives whose classes are named after documents: the ten most frequent of each archive."""
+    d = table(spark, sf_dir, "documents")
+    package = F.concat(F.coalesce("lang", F.lit("x")), F.lit("/"), F.coalesce("source", F.lit("y")))
+    name = F.concat(package, F.lit("/D"), F.col("doc_id").cast("string"))
+    # A class file with nothing but its name: constants 1 and 2 are the name and the class.
+    size = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    raw = F.encode(name, "UTF-8")
+    body = F.concat(F.unhex(F.lit("CAFEBABE0000")), size(F.lit(45) + F.col("doc_id") % 20, 4), F.unhex(F.lit("000301")), size(F.length(raw), 4), raw, F.unhex(F.lit("07000100210002")), F.unhex(F.lit("0" * 20)))
+    rows = d.select(F.floor(F.col("doc_id") / GROUP).cast("string").alias("archive_id"), F.col("doc_id").alias("seq"), F.concat(name, F.lit(".class")).alias("name"), body.alias("content"))
+    t = decoded(archives_of(rows))
+    parts = [(inventory.packages(t.classes), "package"), (inventory.java_versions(t.classes), "java_version")]
+    firsts = [capping.first_rows(x, ["archive_id"], [F.desc("n"), "first_seq"], 10, "place").select("archive_id", F.lit(kind).alias("kind"), F.col(kind).alias("value"), "n", F.col("place").cast("long").alias("place")) for x, kind in parts]
+    return firsts[0].unionByName(firsts[1])
+
+
 @query("SELECT p_partkey, key, value, position FROM part, LATERAL (VALUES ('Manifest-Version', '1.0', 0), ('Name', p_brand || p_type, 1), ('Main-Class', 'x.' || p_size, 2)) t(key, value, position)")
 def manifest_parse(spark, sf_dir):
     lines = F.concat(F.lit("Manifest-Version: 1.0\r\nName: "), "p_brand", F.lit("\r\n "), "p_type", F.lit("\r\nno attribute\r\nName2\r\nMain-Class: y\r\nMain-Class: x."), F.col("p_size").cast("string"), F.lit("\r\n\r\nLater: no\r\n"))

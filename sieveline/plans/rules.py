@@ -8,6 +8,10 @@ INFO is always of LOW confidence. Findings are evidence for a reader, not verdic
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property, reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ from sieveline.operators.capping import capped, where_list, where_of
 from sieveline.operators.lookup import lookalike
 from sieveline.operators.reports import confidence_rank, name_of, severity_rank, shared_ids
 from sieveline.operators.tagging import has_all_of_any, has_any
-from sieveline.plans.evidence import FRAGMENTS
+from sieveline.plans.evidence import FRAGMENTS, class_evidence, literal_facts
 from sieveline.plans.explanations import RATIONALES, explanation_of
 from sieveline.refdata import HIGH, INFO, LOW, MEDIUM, REVIEW, WARNING
 
@@ -61,10 +65,16 @@ def _list(items: Column, shown: int = 5) -> Column:
     return where_list(items, F.size(items), shown)
 
 
-def class_rules(evidence: DataFrame, jars: DataFrame) -> DataFrame:
-    """Findings on single classes: processes, downloads, combinations, addresses."""
-    jar = jars.select(*NODE, F.col("tags").alias("jar_tags"), "any_url", "any_token_url", "warning_url", "any_downloader")
-    rows = evidence.join(jar, NODE).withColumn("loc", F.col("entry_name"))
+def first_addresses(evidence: DataFrame) -> DataFrame:
+    """Each address once a node, where it is first seen: entry_seq, place, where, tags of that class, and u with its rating. Addresses are rated once, however many classes name them."""
+    urls = literal_facts(evidence).filter("kind = 'url'")
+    first = urls.groupBy(*NODE, F.col("item").alias("url")).agg(F.min_by(F.struct("entry_seq", "place", "where", "tags"), F.struct("entry_seq", "place")).alias("r")).select(*NODE, "url", "r.*")
+    return first.withColumn("u", F.struct("url", U.classify_url(F.col("url")).alias("v")))
+
+
+def class_rules(evidence: DataFrame) -> DataFrame:
+    """Findings on single classes: processes, downloads, combinations."""
+    rows = evidence.withColumn("loc", F.col("entry_name"))
     loc, tags = F.col("loc"), F.col("tags")
     executes = has_any(tags, R.EXECUTION_TAGS)
     shells = F.size("shells") > 0
@@ -85,41 +95,65 @@ def class_rules(evidence: DataFrame, jars: DataFrame) -> DataFrame:
         _finding("combo.hidden_execution", has_all_of_any(tags, ["process_execution"], ["hidden_exec"]), WARNING, "Starts programs out of sight", loc, F.when(_tags("network", "file_write", "base64", "encoded_payload", "encoded_url"), HIGH).otherwise(MEDIUM), context),
         _finding("combo.persistence_exec", has_all_of_any(tags, ["persistence"], ["process_execution"]), WARNING, "Starts programs and names start-up places", loc, HIGH, context),
         _finding("combo.decoded_exec", has_all_of_any(tags, ["base64", "crypto", "encoded_payload", "encoded_url"], R.EXECUTION_TAGS) & ~downloader, WARNING, "Decodes data next to running code", loc, F.when(_tags("encoded_payload", "encoded_url"), HIGH).otherwise(MEDIUM), context),
-        _finding("combo.session_token_network", has_all_of_any(tags, ["session_token"], ["network"]), F.when(F.col("any_url"), WARNING).otherwise(REVIEW), "Session token next to network access", loc, F.when(F.col("any_token_url"), HIGH).otherwise(MEDIUM), context),
-        _finding("strings.encoded_executable", F.size("payloads") > 0, WARNING, F.concat(F.lit("Encoded program: "), F.array_join("payloads", ", ")), loc, F.when(_tags("base64", "dynamic_loading"), HIGH).otherwise(MEDIUM)),
-        _finding("strings.encoded_url", F.size("hidden_urls") > 0, REVIEW, "Address inside an encoded literal", loc, F.when(F.exists("rated_hidden", lambda u: u["v"]["severity"] != INFO) | _tags("network"), MEDIUM).otherwise(LOW), F.array_join("hidden_urls", ", ")),
     ]
-    single = _emit(rows, NODE, found, F.col("entry_seq"))
-    # Addresses: each once a node, where it is first seen.
-    urls = rows.select(*NODE, "entry_seq", "loc", "tags", F.explode(F.concat("rated_urls", "rated_hidden")).alias("u"))
-    first = urls.groupBy(*NODE, F.col("u.url").alias("url")).agg(F.min_by(F.struct("entry_seq", "loc", "tags", "u"), F.struct("entry_seq", "loc")).alias("r")).select(*NODE, "url", "r.*")
+    return _emit(rows, NODE, found, F.col("entry_seq"))
+
+
+def address_rules(evidence: DataFrame) -> DataFrame:
+    """Findings on addresses, each once a node where it is first seen; harmless ones in one list."""
+    first = first_addresses(evidence)
     graded = first.filter(F.col("u.v.severity") != INFO)
     weak = (F.col("u.v.severity") == REVIEW) & ~_tags("network")
-    listed = _emit(graded, NODE, [_finding("strings.url", F.lit(True), F.col("u.v.severity"), F.concat(F.lit("Address: "), F.col("u.v.label")), F.concat(F.col("url"), F.lit(" in "), F.col("loc")), F.when(weak, LOW).otherwise(F.col("u.v.confidence")))], F.col("entry_seq"))
-    plain = where_of(first.filter(F.col("u.v.severity") == INFO), NODE, ["entry_seq", "url"], "url", 10)
+    listed = _emit(graded, NODE, [_finding("strings.url", F.lit(True), F.col("u.v.severity"), F.concat(F.lit("Address: "), F.col("u.v.label")), F.concat(F.col("url"), F.lit(" in "), F.col("where")), F.when(weak, LOW).otherwise(F.col("u.v.confidence")))], F.col("entry_seq"))
+    plain = where_of(first.filter(F.col("u.v.severity") == INFO), NODE, ["entry_seq", "place"], "url", 10)
     others = _emit(plain, NODE, [_finding("strings.urls_other", F.lit(True), INFO, F.concat(F.col("n").cast("string"), F.lit(" other addresses")), F.col("where"))])
-    return single.unionByName(listed).unionByName(others)
+    return listed.unionByName(others)
+
+
+#: Hits of a kind that a node's lists count at most.
+MAX_HITS = 200
+
+
+def _fact_lists(evidence: DataFrame) -> DataFrame:
+    """Facts for the lists of a node: tag, shown, and what makes one of its own (empty where equal ones count once)."""
+    f = literal_facts(evidence)
+    kind, item, where = F.col("kind"), F.col("item"), F.col("where")
+    public = ~U.is_private_ipv4(U.ipv4_number(F.substring_index("item", ":", 1)))
+    category = F.create_map(*[F.lit(x) for f_, c in FRAGMENTS.items() for x in (f_, f"={c}")])
+    each = F.concat_ws(":", "entry_seq", "place")
+    said = F.concat(item, F.lit(" in "), where)
+    # An address with a port counts where it is first seen: its place is no part of what tells it apart.
+    first = f.filter((kind == "ip") & public).groupBy(*NODE, "item").agg(F.min_by(F.struct("entry_seq", "place", "where"), F.struct("entry_seq", "place")).alias("r"))
+    ips = first.select(*NODE, "r.entry_seq", "r.place", F.lit("=ip").alias("tag"), F.concat("item", F.lit(" in "), "r.where").alias("shown"), F.lit("").alias("one"))
+    tag = F.when(kind == "fragment", category[item]).when((kind == "url") & F.col("decoded"), "=hidden_url").otherwise(F.concat(F.lit("="), kind))
+    shown = F.when(kind == "fragment", F.concat(F.lit("'"), item, F.lit("' in "), where)).when(kind == "url", F.concat("entry_name", F.lit(": "), item)).when(kind == "encoded", F.concat(where, F.lit(": "), item)).when(kind == "payload", F.concat(item, F.lit(" in "), "entry_name")).otherwise(said)
+    listed = f.filter((kind != "ip") & ((kind != "url") | F.col("decoded")))
+    return listed.select(*NODE, "entry_seq", "place", tag.alias("tag"), shown.alias("shown"), F.when(kind == "fragment", "").otherwise(each).alias("one")).unionByName(ips)
+
+
+def suspicious_addresses(evidence: DataFrame) -> DataFrame:
+    """By node: any_url, any_token_url, and lists of the addresses that are not harmless: near_urls (first seen in a class that reads the session token and reaches the network) and other_urls (all)."""
+    bad = first_addresses(evidence).filter(F.col("u.v.severity") != INFO)
+    near = has_all_of_any(F.col("tags"), ["session_token"], ["network"])
+    of = lambda rows, name: where_of(rows, NODE, ["entry_seq", "place"], "url", 3).select(*NODE, F.col("where").alias(name))
+    return of(bad, "other_urls").join(of(bad.filter(near), "near_urls"), NODE, "left").withColumns({"any_url": F.lit(True), "any_token_url": F.col("near_urls").isNotNull()})
 
 
 def jar_evidence(evidence: DataFrame) -> DataFrame:
     """Classes' evidence by node: tags with their class counts and whether tags meet in one class."""
     tags = F.col("tags")
     addresses = F.concat("rated_urls", "rated_hidden")
-    suspicious = F.exists(addresses, lambda u: u["v"]["severity"] != INFO)
     warning = F.exists(addresses, lambda u: u["v"]["severity"] == WARNING)
     token = has_all_of_any(tags, ["session_token"], ["network"])
     ip = F.exists("ip_ports", lambda x: ~U.is_private_ipv4(U.ipv4_number(F.substring_index(x, ":", 1))))
-    # The first places of each tag; a class that occurs twice counts once.
-    # What literals hold is listed under keys that begin with =, each item with the class that names it first.
-    public = F.filter("ip_ports", lambda x: ~U.is_private_ipv4(U.ipv4_number(F.substring_index(x, ":", 1))))
-    held = lambda key, items: F.transform(items, lambda x: F.struct(_c(key).alias("tag"), x.alias("item")))
-    preview = lambda x: F.when(F.length(x) > 40, F.concat(F.substring(x, 1, 40), F.lit("…"))).otherwise(x)
-    category = F.create_map(*[F.lit(x) for f, c in FRAGMENTS.items() for x in (f, f"={c}")])
-    of_fragments = F.transform("fragments", lambda f: F.struct(category[f].alias("tag"), f.alias("item")))
-    items = F.concat(F.transform(tags, lambda t: F.struct(t.alias("tag"), F.col("entry_name").alias("item"))), held("=ip", public), held("=target", F.col("targets")), held("=cheat", F.col("cheats")), held("=encoded", F.transform("encoded", preview)), of_fragments)
-    named = evidence.select(*NODE, "entry_seq", "entry_name", F.explode(items).alias("i")).groupBy(*NODE, "i.tag", "i.item").agg(F.min(F.struct("entry_seq", "entry_name")).alias("first"))
-    shown = F.when(F.col("tag").startswith("="), F.concat("item", F.lit(" in "), "first.entry_name")).otherwise(F.col("item"))
-    by_tag = where_of(named.select(*NODE, "tag", "first.entry_seq", shown.alias("shown")), [*NODE, "tag"], ["entry_seq", "shown"], "shown").withColumnRenamed("where", "example")
+    # The first places of each tag; a class that occurs twice counts once. Lists of what literals hold stand under keys that begin with =.
+    of_class = lambda key, when: F.when(when, F.array(F.struct(_c(key).alias("tag"), F.col("entry_name").alias("shown")))).otherwise(F.array().cast("array<struct<tag:string,shown:string>>"))
+    items = F.concat(F.transform(tags, lambda t: F.struct(t.alias("tag"), F.col("entry_name").alias("shown"))), of_class("=token", token), F.flatten(F.transform("categories", lambda c: F.concat(of_class(F.concat(F.lit("=in "), c), F.lit(True)), of_class(F.concat(F.lit("=runs "), c), has_any(tags, R.EXECUTION_TAGS)), of_class(F.concat(F.lit("=net "), c), has_any(tags, ["network"]))))))
+    classes = evidence.select(*NODE, "entry_seq", F.lit(0).alias("place"), F.explode(items).alias("i")).select(*NODE, "entry_seq", "place", "i.tag", "i.shown", F.lit("").alias("one"))
+    named = classes.unionByName(_fact_lists(evidence)).groupBy(*NODE, "tag", "shown", "one").agg(F.min(F.struct("entry_seq", "place")).alias("first"))
+    by_tag = where_of(named.select(*NODE, "tag", "first.entry_seq", "first.place", "shown"), [*NODE, "tag"], ["entry_seq", "place", "shown"], "shown")
+    by_tag = by_tag.select(*NODE, "tag", F.when(F.col("tag").startswith("="), F.least("n", F.lit(MAX_HITS))).otherwise(F.col("n")).alias("n"), F.col("where").alias("example"))
+    near = suspicious_addresses(evidence)
     maps = by_tag.groupBy(*NODE).agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("n", "example")))).alias("by_tag"))
     kept = ~F.col("name").rlike("(package|module)-info$")
     loads = has_all_of_any(tags, ["native_loading"], ["native_file_load"])
@@ -127,18 +161,19 @@ def jar_evidence(evidence: DataFrame) -> DataFrame:
     pair = lambda a, b: F.bool_or(has_all_of_any(tags, a, b))
     sums = evidence.groupBy(*NODE).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("jar_tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"),
-        F.bool_or(suspicious).alias("any_url"), F.bool_or(suspicious & token).alias("any_token_url"), F.bool_or(warning).alias("warning_url"), pair(["network"], R.EXECUTION_TAGS).alias("any_downloader"),
+        F.bool_or(warning).alias("warning_url"), pair(["network"], R.EXECUTION_TAGS).alias("any_downloader"),
         pair(["sensitive_high"], ["network"]).alias("theft_meets"), pair(["encoded_payload"], ["dynamic_loading", "base64"]).alias("payload_meets"),
         F.bool_or((F.size("targets") > 0)).alias("has_target"), F.bool_or((F.size("targets") > 0) & has_any(tags, ["reflection"])).alias("target_meets"),
         F.bool_or(ip).alias("has_ip"), F.bool_or(ip & has_any(tags, ["network"])).alias("ip_meets"), F.sum(F.size("encoded")).alias("n_encoded"),
         F.bool_or((F.size("encoded") > 0) & has_any(tags, R.EXECUTION_TAGS)).alias("encoded_meets"), F.bool_or(F.size("cheats") > 0).alias("has_cheat"),
+        F.bool_or(F.exists("rated_hidden", lambda u: u["v"]["severity"] != INFO)).alias("hidden_suspicious"), F.bool_or((F.size("hidden_urls") > 0) & has_any(tags, ["network"])).alias("hidden_meets"),
         F.bool_or(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("load_external"), F.count_if(has_all_of_any(tags, ["dynamic_loading"], R.EXTERNAL_SOURCE_TAGS)).alias("n_load_external"),
         F.count_if(has_any(tags, ["dynamic_loading"]) & ~external & has_any(tags, ["bytecode_gen"])).alias("n_load_generated"), F.count_if(has_any(tags, ["dynamic_loading"]) & ~external & ~has_any(tags, ["bytecode_gen"])).alias("n_load_plain"),
         F.bool_or(loads & external).alias("native_external"), F.bool_or(loads & ~external).alias("native_own"),
         F.count_if(has_any(tags, ["native_loading"]) & ~has_any(tags, ["native_file_load"])).alias("n_bound"), F.count_if(loads & external).alias("n_external"), F.count_if(loads & ~external).alias("n_own"),
         F.count_if(kept).alias("n"), F.count_if(kept & (F.length(T.simple_name(F.col("name"))) <= 2)).alias("n_short"),
     )
-    return sums.withColumnRenamed("jar_tags", "tags").join(maps, NODE, "left")
+    return sums.withColumnRenamed("jar_tags", "tags").join(maps, NODE, "left").join(near, NODE, "left")
 
 
 #: Rules on one API group alone: severity, confidence, title.
@@ -166,6 +201,11 @@ def jar_rules(jars: DataFrame, entries_of: DataFrame) -> DataFrame:
         _finding("combo.downloader_spread", ~F.col("any_downloader") & has_all_of_any(tags, ["network"], ["dynamic_loading", "process_execution"]), REVIEW, "Network access and running code in different classes", None, LOW),
         _finding("combo.data_theft", _tags("sensitive_high") & (_tags("network") | F.col("warning_url")), WARNING, "Private data next to network access", own["sensitive_high"]["example"], F.when(F.col("theft_meets"), HIGH).otherwise(MEDIUM)),
         _finding("combo.packed_payload", has_all_of_any(tags, ["encoded_payload"], ["dynamic_loading", "base64"]), WARNING, "Encoded program that can be loaded", own["encoded_payload"]["example"], F.when(F.col("payload_meets"), HIGH).otherwise(MEDIUM)),
+        _finding("combo.session_token_network", n("=token") > 0, F.when(F.col("any_url"), WARNING).otherwise(REVIEW), "Session token next to network access", own["=token"]["example"], F.when(F.col("any_token_url"), HIGH).otherwise(MEDIUM),
+                 F.when(F.col("any_token_url"), F.concat(F.lit("suspicious addresses in the same class: "), F.col("near_urls"))).when(F.col("any_url"), F.concat(F.lit("suspicious addresses elsewhere: "), F.col("other_urls"))).otherwise("no suspicious address was found")),
+        _finding("strings.encoded_executable", n("=payload") > 0, WARNING, "Encoded program", own["=payload"]["example"], F.when(F.col("payload_meets"), HIGH).otherwise(MEDIUM), F.when(F.col("payload_meets"), "the same class decodes or loads").otherwise("nothing in the same class decodes or loads")),
+        _finding("strings.encoded_url", n("=hidden_url") > 0, REVIEW, F.concat(F.lit("Addresses inside encoded literals: "), n("=hidden_url").cast("string")), own["=hidden_url"]["example"], F.when(F.col("hidden_suspicious") | F.col("hidden_meets"), MEDIUM).otherwise(LOW),
+                 F.concat_ws("; ", F.when(F.col("hidden_suspicious"), "among them suspicious ones"), F.when(F.col("hidden_meets"), "the same class reaches the network").otherwise("nothing in the same class reaches the network"))),
         _finding("strings.ip_port", F.col("has_ip"), REVIEW, "Address with a port", own["=ip"]["example"], F.when(F.col("ip_meets"), MEDIUM).otherwise(LOW)),
         _finding("strings.encoded", F.col("n_encoded") > 0, F.when((F.col("n_encoded") >= 10) & F.col("encoded_meets"), REVIEW).otherwise(INFO), F.concat(F.col("n_encoded").cast("string"), F.lit(" encoded-looking literals")), own["=encoded"]["example"]),
         _finding("classes.cheat_feature_strings", F.col("has_cheat"), REVIEW, "Literals name unfair game features", own["=cheat"]["example"], LOW),
@@ -174,7 +214,9 @@ def jar_rules(jars: DataFrame, entries_of: DataFrame) -> DataFrame:
     ]
     for category in R.SENSITIVE:
         graded = WARNING if category in R.HIGH_RISK_CATEGORIES else REVIEW
-        found.append(_finding("strings.sensitive", F.array_contains("categories", category), graded, category, own[f"={category}"]["example"], LOW if category == R.SHELL_CATEGORY else MEDIUM))
+        of = lambda key: F.when(n(f"={key} {category}") > 0, F.concat(n(f"={key} {category}").cast("string"), F.lit(f" {'run code' if key == 'runs' else 'reach the network'}: "), own[f"={key} {category}"]["example"]))  # noqa: B023, E731
+        context = F.concat_ws("; ", F.concat(n(f"=in {category}").cast("string"), F.lit(" classes")), of("runs"), of("net"))
+        found.append(_finding("strings.sensitive", F.array_contains("categories", category), graded, category, own[f"={category}"]["example"], LOW if category == R.SHELL_CATEGORY else MEDIUM, context))
     return _emit(jars.join(entries_of, NODE, "left").withColumn("risky", risky), NODE, found)
 
 
@@ -198,9 +240,7 @@ def class_name_rules(classes: DataFrame, entries: DataFrame) -> DataFrame:
     bad = F.lower(T.base_name(F.col("name"))).rlike("|".join(R.MALWARE_WORDS))
     of_entry = entries.filter(~F.col("is_dir") & bad).select(*NODE, "entry_seq", F.col("name").alias("item"), F.lit("classes.malware_names").alias("mark"))
     rows = of_class.unionByName(of_entry)
-    of = Window.partitionBy(*NODE, "mark")
-    numbered = rows.withColumns({"rn": F.row_number().over(of.orderBy("entry_seq", "item")), "n": F.count("*").over(of), "webhook": F.min(F.contains(F.lower("item"), F.lit("webhook"))).over(of)})
-    first = numbered.filter("rn <= 5").groupBy(*NODE, "mark", "n", "webhook").agg(F.sort_array(F.collect_list(F.struct("rn", "item"))).alias("items"))
+    first = where_of(rows, [*NODE, "mark"], ["entry_seq", "item"], "item", sums={"webhook": F.min(F.contains(F.lower("item"), F.lit("webhook")))})
     rule = F.substring_index("mark", "|", 1)
     low = rule.isin("classes.default_package", "classes.reserved_namespace") | ((rule == "classes.malware_names") & F.col("webhook"))
     titles = {
@@ -209,7 +249,7 @@ def class_name_rules(classes: DataFrame, entries: DataFrame) -> DataFrame:
     }
     title = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])[rule]
     title = F.concat_ws(": ", title, F.when(F.contains("mark", F.lit("|")), F.substring_index("mark", "|", -1)))
-    one = first.select(*NODE, F.lit(0).cast("long").alias("seq"), rule.alias("rule_id"), F.lit(REVIEW).alias("severity"), F.when(low, LOW).otherwise(MEDIUM).alias("confidence"), title.alias("title"), T.safe_text(where_list(F.col("items.item"), F.col("n")), 2000).alias("location"), F.lit("").alias("context"))
+    one = first.select(*NODE, F.lit(0).cast("long").alias("seq"), rule.alias("rule_id"), F.lit(REVIEW).alias("severity"), F.when(low, LOW).otherwise(MEDIUM).alias("confidence"), title.alias("title"), T.safe_text(F.col("where"), 2000).alias("location"), F.lit("").alias("context"))
     parsing = classes.groupBy(*NODE).agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"))
     counts = _emit(parsing, NODE, [
         _finding("classes.invalid", F.col("failed") > 0, REVIEW, F.concat(F.col("failed").cast("string"), F.lit(" classes cannot be parsed")), None, MEDIUM),
@@ -249,11 +289,9 @@ CONTENT_RULES = {
 def content_rules(notable: DataFrame, jars: DataFrame) -> DataFrame:
     """One finding a node and kind of notable entries, with the first places; running code in the node raises some."""
     rows = notable.select(*NODE, "entry_seq", "name", F.explode("kinds").alias("kind"))
-    of = Window.partitionBy(*NODE, "kind")
-    numbered = rows.withColumns({"rn": F.row_number().over(of.orderBy("entry_seq")), "n": F.count("*").over(of)}).filter("rn <= 5")
-    first = numbered.groupBy(*NODE, "kind", "n").agg(F.sort_array(F.collect_list(F.struct("rn", "name"))).alias("items"))
+    first = where_of(rows, [*NODE, "kind"], ["entry_seq"], "name")
     held = first.join(jars.select(*NODE, "tags"), NODE, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    where = where_list(F.col("items.name"), F.col("n"))
+    where = F.col("where")
     found = []
     for kind, (severity, confidence, title) in CONTENT_RULES.items():
         s, c = F.lit(severity), F.lit(confidence)
@@ -308,13 +346,78 @@ def metadata_rules(nodes: DataFrame, mods: DataFrame, entries: DataFrame, manife
     return out
 
 
-def all_findings(nodes: DataFrame, entries: DataFrame, classes: DataFrame, evidence: DataFrame, jars: DataFrame, mods: DataFrame, manifest: DataFrame, hashes: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Findings of each node, at most limits.max_findings_per_rule a rule and one row for the rest of a rule."""
-    notable = inventory(entries, limits)
-    bundled = notable.groupBy(*NODE).agg(F.bool_or(F.array_contains("kinds", "native_libraries")).alias("bundled_native"))
-    found = metadata_rules(nodes, mods, entries, manifest, hashes)
-    for part in (content_rules(notable, jars), class_name_rules(classes, entries), jar_rules(jars, bundled), class_rules(evidence, jars)):
-        found = found.unionByName(part)
+@dataclass
+class Subjects:
+    """What rules read: the tables of a triage, and evidence, which is computed for the first rule that asks for it."""
+
+    nodes: DataFrame
+    entries: DataFrame
+    classes: DataFrame
+    mods: DataFrame
+    manifest: DataFrame
+    hashes: DataFrame
+    limits: Limits = Limits()
+    #: once(df, name) keeps what is read several times, and runs it.
+    once: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return self.once(class_evidence(self.classes), "evidence")
+
+    @cached_property
+    def jars(self) -> DataFrame:
+        return self.once(jar_evidence(self.evidence), "jars")
+
+    @cached_property
+    def notable(self) -> DataFrame:
+        return inventory(self.entries, self.limits)
+
+    @cached_property
+    def bundled(self) -> DataFrame:
+        return self.notable.groupBy(*NODE).agg(F.bool_or(F.array_contains("kinds", "native_libraries")).alias("bundled_native"))
+
+
+#: Families of rules by name, in order of planning: from Subjects to rows of FINDING. Programs add their own with `registered`.
+RULES: dict[str, Callable[[Subjects], DataFrame]] = {
+    "metadata": lambda s: metadata_rules(s.nodes, s.mods, s.entries, s.manifest, s.hashes),
+    "contents": lambda s: content_rules(s.notable, s.jars),
+    "class_names": lambda s: class_name_rules(s.classes, s.entries),
+    "archives": lambda s: jar_rules(s.jars, s.bundled),
+    "classes": lambda s: class_rules(s.evidence),
+    "addresses": lambda s: address_rules(s.evidence),
+}
+#: Columns of a rule's rows, by which a family of another program is checked as well.
+FINDING = ["archive_id", "node_path", "seq", "rule_id", "severity", "confidence", "title", "location", "context"]
+
+
+def registered(name: str) -> Callable:
+    """Decorator: a function from Subjects to rows of FINDING as a further family of rules (or in place of one of that name)."""
+
+    def add(plan: Callable[[Subjects], DataFrame]) -> Callable:
+        RULES[name] = plan
+        return plan
+
+    return add
+
+
+def all_findings(subjects: Subjects, only: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Findings of each node, at most limits.max_findings_per_rule a rule and one row for the rest of a rule; and (family, message) of the families that failed.
+
+    Families are planned and run one by one, those in `only` alone if it is given: one that cannot be planned or fails while it runs is told and left out, the
+    others' findings stay.
+    """
+    parts, errors = [], []
+    for name in RULES if only is None else only:
+        try:
+            parts.append(subjects.once(RULES[name](subjects).select(*FINDING), f"rules-{name}"))
+        except Exception as e:  # a rule's own fault must not cost the other rules' findings
+            errors.append((name, f"rules {name}: {type(e).__name__}: {str(e).splitlines()[0][:300] if str(e) else ''}"))
+    none = "archive_id string, node_path string, seq long, rule_id string, severity string, confidence string, title string, location string, context string"
+    found = reduce(DataFrame.unionByName, parts) if parts else subjects.nodes.sparkSession.createDataFrame([], none)
+    return _capped(found, subjects.limits), errors
+
+
+def _capped(found: DataFrame, limits: Limits) -> DataFrame:
     ranked = found.withColumns({"severity_rank": severity_rank(F.col("severity")), "confidence_rank": confidence_rank(F.col("confidence"))})
     kept = capped(ranked, [*NODE, "rule_id"], ["seq", "location", "title"], limits.max_findings_per_rule)
     rest = F.concat(F.col("n_rest").cast("string"), F.lit(" more"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.limits import Limits
+from sieveline.operators.capping import first_rows
 from sieveline.plans import rules
-from sieveline.plans.evidence import class_evidence
 from sieveline.sources import archives, descriptors
 from sieveline.sources.hash_list import SCHEMA
 
+#: Entries of a node that cannot be read and are named one by one.
+SHOWN_ERRORS = 20
 NO_HASHES = "sha256 string, classification string"
 
 
@@ -28,6 +30,8 @@ class Tables:
     mods: DataFrame
     manifest: DataFrame
     folder: str
+    #: (family, message) of the rules that failed when findings_of ran.
+    rule_errors: list[tuple[str, str]] = field(default_factory=list)
 
     @property
     def loaders(self) -> DataFrame:
@@ -36,13 +40,14 @@ class Tables:
 
     @property
     def errors(self) -> DataFrame:
-        """node, stage, entry, message: what could not be opened, read or parsed."""
+        """node, stage, entry, message: what could not be opened, read or parsed; of a node's entries the first SHOWN_ERRORS that could not be read."""
         read = self.nodes.sparkSession.read.parquet(f"{self.folder}/read")
         row = lambda stage, entry, message: [*rules.NODE, F.lit(stage).alias("stage"), entry.alias("entry"), message.alias("message")]
         said = F.when(F.col("status") == "failed", "not a readable class").otherwise("not read")
         return (
             self.nodes.filter("not valid").select(*row("open", F.lit(""), F.col("message")))
-            .unionByName(self.entries.filter("message is not null").select(*row("contents", F.col("name"), F.col("message"))))
+            .unionByName(first_rows(self.entries.filter("message is not null"), rules.NODE, ["entry_seq"], SHOWN_ERRORS).select(*row("contents", F.col("name"), F.col("message"))))
+            .unionByName(read.filter("kind = 'error'").select(*row("open", F.lit(""), F.col("message"))))
             .unionByName(self.classes.filter("status <> 'parsed'").select(*row("classes", F.col("entry_name"), said)))
             .unionByName(descriptors.unreadable(read).select(*row("metadata", F.col("name"), F.lit("cannot be parsed"))))
         )
@@ -70,8 +75,11 @@ def decoded(files: DataFrame, limits: Limits = Limits(), folder: str | None = No
     return Tables(files, archives.nodes(read), archives.entries(read), spark.read.parquet(f"{folder}/classes"), descriptors.with_versions(descriptors.mods(read), manifest), manifest, folder)
 
 
-def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
-    """Findings of all files, those of archives inside at their file, and those between files."""
+def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Limits(), only: list[str] | None = None) -> DataFrame:
+    """Findings of all files, those of archives inside at their file, and those between files. only: families of rules (plans.rules.RULES, "batch") to plan, all if it is not given.
+
+    A family that fails is told in t.rule_errors, and in reports.
+    """
     spark = t.nodes.sparkSession
     hashes = spark.createDataFrame([], SCHEMA) if hashes is None else hashes
     step = f"{t.folder}/{uuid.uuid4().hex}"
@@ -81,12 +89,15 @@ def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Lim
         df.write.parquet(f"{step}/{name}")
         return spark.read.schema(df.schema).parquet(f"{step}/{name}")
 
-    evidence = once(class_evidence(t.classes), "evidence")
-    jars, mods = once(rules.jar_evidence(evidence), "jars"), once(t.mods, "mods")
-    own = rules.all_findings(t.nodes, t.entries, t.classes, evidence, jars, mods, t.manifest, hashes.select("sha256", "classification"), limits)
-    return rules.rolled_up_nodes(own).unionByName(rules.batch_rules(mods), allowMissingColumns=True)
+    mods = once(t.mods, "mods")
+    subjects = rules.Subjects(t.nodes, t.entries, t.classes, mods, t.manifest, hashes.select("sha256", "classification"), limits, once)
+    own, t.rule_errors = rules.all_findings(subjects, None if only is None else [x for x in only if x != "batch"])
+    found = rules.rolled_up_nodes(own)
+    return found.unionByName(rules.batch_rules(mods), allowMissingColumns=True) if only is None or "batch" in only else found
 
 
-def triage(spark: SparkSession, folder: str, hashes: DataFrame | None = None, recursive: bool = True, limits: Limits = Limits()) -> tuple[Tables, DataFrame]:
-    t = decoded(archives.scan(spark, folder, recursive), limits)
+def triage(spark: SparkSession, paths: str | list[str], hashes: DataFrame | None = None, recursive: bool = True, limits: Limits = Limits()) -> tuple[Tables, DataFrame]:
+    """Tables and findings of a folder, or of several files and folders."""
+    files = archives.scan(spark, paths, recursive) if isinstance(paths, str) else archives.scan_paths(spark, paths, recursive)
+    t = decoded(files, limits)
     return t, findings_of(t, hashes, limits)

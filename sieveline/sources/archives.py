@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
+import re
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +36,7 @@ _ARROW = pa.schema([
 _WANTED = {n.lower() for n in R.DESCRIPTORS} | {"meta-inf/manifest.mf"}
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Archive files of a folder: archive_id (file name and a hash of its path), size_bytes, modified, content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][aA][rR]").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+def _named(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         F.concat_ws("@", name, F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 8)).alias("archive_id"), name.alias("file_name"),
@@ -44,6 +44,40 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     )
 
 
+def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """Archive files of a folder: archive_id (file name and a hash of its path), size_bytes, modified, content."""
+    return _named(spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][aA][rR]").option("recursiveFileLookup", str(recursive).lower()).load(folder))
+
+
+def real_path(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(qualified path with links resolved where the file system is local, whether it is a folder); FileNotFoundError if there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    full = fs.makeQualified(at)
+    if full.toUri().getScheme() == "file":
+        full = spark._jvm.org.apache.hadoop.fs.Path("file://" + os.path.realpath(full.toUri().getPath()))
+    return full.toString(), fs.getFileStatus(full).isDirectory()
+
+
+def scan_paths(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """Files of several paths as scan gives them: named files whatever their extension, and the archives of folders. A file that is reached twice, by links too, is read once.
+
+    FileNotFoundError names a path that is not there. Paths are those that a caller lists, so they are sorted out on the driver; files of folders never are.
+    """
+    found = dict(real_path(spark, p) for p in paths)
+    folders = [p for p, is_folder in found.items() if is_folder]
+    within = lambda p, f: p.startswith(f.rstrip("/") + "/") and (recursive or "/" not in p[len(f.rstrip("/")) + 1 :])
+    files = [p for p, is_folder in found.items() if not is_folder and not (p.lower().endswith(".jar") and any(within(p, f) for f in folders))]
+    apart = [f for f in folders if not (recursive and any(f != g and within(f, g) for g in folders))]
+    literal = lambda p: re.sub(r"([\\\[\]{}*?])", r"\\\1", p)  # noqa: E731  a name may hold signs that a path pattern gives a meaning to
+    parts = [scan(spark, literal(f), recursive) for f in apart]
+    if files:
+        parts.append(_named(spark.read.format("binaryFile").load([literal(p) for p in files])))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def described(files: DataFrame) -> DataFrame:
     """files with their type by first bytes and their SHA-256, also of files that are refused later."""
     kind = magic_of(F.col("content"), R.MAGIC)
@@ -88,7 +122,7 @@ def _opened(data: bytes, limits: Limits) -> zipfile.ZipFile:
         raise _Refused("too many entries")
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
-    except (zipfile.BadZipFile, ValueError, NotImplementedError, struct.error, OSError, EOFError) as e:
+    except Exception as e:  # untrusted bytes: whatever the reader raises is a reason to refuse them
         raise _Refused(f"damaged archive: {type(e).__name__}") from None
     if len(archive.infolist()) > limits.max_entries:
         raise _Refused("too many entries")
@@ -110,7 +144,9 @@ def _inflated(archive: zipfile.ZipFile, info: zipfile.ZipInfo, budget: _Budget,
                 parts.append(part)
                 if not whole and size >= 8:
                     break
-    except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, OSError, ValueError, RuntimeError, struct.error) as e:
+    except _Refused:
+        raise
+    except Exception as e:  # any decompressor's own errors too
         raise _Refused(f"unreadable entry: {type(e).__name__}") from None
     return b"".join(parts)
 
@@ -146,7 +182,6 @@ def _node(archive_id: str, path: str, depth: int, data: bytes, budget: _Budget,
         if (data_ := read(k, limits.max_descriptor_size)) is not None:
             content[k] = data_
     heads = {k: read(k, 8, whole=False) for k, i in enumerate(infos) if not i.is_dir() and not i.filename.lower().endswith(".class") and i.file_size >= 4 and budget.used < budget.most}
-    failed = {k: m for k, m in failed.items() if k in content or infos[k].filename.lower() in _WANTED}
     for k, info in enumerate(infos):
         if not info.is_dir() and info.filename.endswith(".class"):
             if budget.used >= budget.most:
@@ -169,6 +204,14 @@ def _node(archive_id: str, path: str, depth: int, data: bytes, budget: _Budget,
                 yield from _node(archive_id, inner, depth + 1, data_, budget, limits)
 
 
+def _guarded(archive_id: str, data: bytes, limits: Limits) -> Iterator[dict]:
+    """Rows of a file. Should anything get past the checks, reading ends with a row of kind error: one file never fails the job."""
+    try:
+        yield from _node(archive_id, "", 0, data, _Budget(limits.max_total_decompressed), limits)
+    except Exception as e:
+        yield {"archive_id": archive_id, "node_path": "", "depth": 0, "kind": "error", "message": f"reading broke off: {type(e).__name__}"}
+
+
 def read_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Rows of nodes and entries (READ) of files (archive_id, content). Use it staged: every view below filters it."""
 
@@ -177,7 +220,7 @@ def read_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for archive_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows: list[dict] = []
                 held = 0
-                for row in _node(archive_id, "", 0, data.as_py() or b"", _Budget(limits.max_total_decompressed), limits):
+                for row in _guarded(archive_id, data.as_py() or b"", limits):
                     rows.append(row)
                     held += len(row.get("content") or b"") + 200
                     if held > 8 << 20:
@@ -261,7 +304,7 @@ def classes(read: DataFrame) -> DataFrame:
                 if r["content"] is not None:
                     try:
                         row |= class_file(r["content"]) | {"status": "parsed"}
-                    except ValueError:
+                    except Exception:  # untrusted bytes
                         pass
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema)

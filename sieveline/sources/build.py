@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import struct
+import warnings
 import zipfile
 from collections.abc import Iterator
 
@@ -29,6 +30,22 @@ def literal_class(name: str, literals: list[str]) -> bytes:
     return b"\xca\xfe\xba\xbe" + struct.pack(">HHH", 0, 61, len(pool) + 1) + b"".join(pool) + struct.pack(">HHH", 33, 2, 0) + bytes(8)
 
 
+def archives_of(entries: DataFrame) -> DataFrame:
+    """FILES: an archive for each archive_id of rows (archive_id, seq, name, content binary), its entries deflated in order of seq. An archive is built in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*[table.column(c).to_pylist() for c in ("seq", "name", "content")]), key=lambda r: r[:2])
+        out = io.BytesIO()
+        with warnings.catch_warnings(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            warnings.simplefilter("ignore")  # names may repeat
+            for _, name, content in rows:
+                z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), content or b"", zipfile.ZIP_DEFLATED)
+        name, data = table.column("archive_id")[0].as_py(), out.getvalue()
+        return pa.table({"archive_id": [name], "file_name": [name], "size_bytes": pa.array([len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    return entries.select("archive_id", F.col("seq").cast("long").alias("seq"), "name", "content").groupBy("archive_id").applyInArrow(run, FILES)
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """FILES: archives of documents' (doc_id, text) distinct words, at most TEXTS documents each. Classes are named d/<doc_id>_<part>."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import refdata as R
+from sieveline.sources.yaml_lines import plugins
 
 NODE = ["archive_id", "node_path"]
 
@@ -116,8 +117,9 @@ def _variants(text: DataFrame) -> DataFrame:
 
 
 def unreadable(read: DataFrame) -> DataFrame:
-    """Descriptors in JSON and TOML that cannot be parsed: node, name."""
-    return _variants(_found(read)).filter("v is null").select(*NODE, "name")
+    """Descriptors that declare nothing, as they cannot be parsed or have another shape: node, name."""
+    declared = mods(read).select(*NODE, F.col("source_file").alias("name")).distinct()
+    return _found(read).select(*NODE, "name").join(declared, [*NODE, "name"], "left_anti")
 
 
 def mods(read: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def mods(read: DataFrame) -> DataFrame:
     one = json_.filter("v is not null").select(*NODE, "name", "source_order", "loader", "v", F.posexplode(several).alias("mod_seq", "m"))
     m = F.col("m")
     # Exploded from a list of one, so that the many uses below do not each repeat the expression.
-    one = one.filter(m.isNotNull()).select("*", F.explode(F.array(_dependencies(F.col("name"), F.col("v"), m))).alias("dependencies"))
+    one = one.filter(F.schema_of_variant(m).startswith("OBJECT")).select("*", F.explode(F.array(_dependencies(F.col("name"), F.col("v"), m))).alias("dependencies"))
     neoforge = (F.col("name") == "META-INF/mods.toml") & F.exists("dependencies", lambda x: x["id"] == "neoforge")
     declared = one.withColumn("loader", F.when(neoforge, "NeoForge").otherwise(F.col("loader"))).select(
         *NODE, "source_order", F.col("name").alias("source_file"), "loader", F.col("mod_seq").cast("long").alias("mod_seq"), F.coalesce(_get(m, "$.id"), _get(m, "$.modId"), _get(m, "$.modid")).alias("mod_id"),
@@ -146,15 +148,12 @@ def mods(read: DataFrame) -> DataFrame:
         F.coalesce(_get(m, "$.mcversion"), _range_of(F.col("dependencies"), "minecraft")).alias("minecraft_version"),
         F.when(F.col("name").endswith(".toml"), F.coalesce(_range_of(F.col("dependencies"), "neoforge", "forge"), _get(F.col("v"), "$.loaderVersion"))).otherwise(_range_of(F.col("dependencies"), "fabricloader", "quilt_loader")).alias("loader_version"),
     )
-    field = lambda key: F.nullif(F.regexp_extract("text", rf"(?m)^{key}:[ \t]*['\"]?(.*?)['\"]?[ \t]*$", 1), F.lit(""))
-    # A list in brackets, of lines with dashes, or a single name.
-    names = lambda key: F.filter(F.transform(F.split(F.regexp_extract("text", rf"(?m)^{key}:[ \t]*(\[[^\]]*\]|[^\n\[]+|\n(?:[ \t]*-[^\n]*\n?)+)", 1), "[,\n]"), lambda x: F.regexp_replace(x, r"^[\s\['\"]*(?:-[ \t])?[\s\['\"]*|[\s\]'\"]*$", "")), lambda x: x != "")
-    wanted = lambda key, optional: F.transform(names(key), lambda x: _dependency(x, F.lit("*"), F.lit(optional)))
-    yaml = text.filter("endswith(name, '.yml')").select(
-        *NODE, "source_order", F.col("name").alias("source_file"), "loader", F.lit(0).cast("long").alias("mod_seq"), field("name").alias("mod_id"), field("name").alias("mod_name"), field("version").alias("version"),
-        F.filter(F.array(field("author")), lambda x: x.isNotNull()).alias("authors"), F.filter(F.array(field("main")), lambda x: x.isNotNull()).alias("entry_points"),
-        field("description").alias("description"), F.concat(wanted("depend", False), wanted("softdepend", True)).alias("dependencies"), F.lit(None).cast("string").alias("environment"), F.array().cast("array<string>").alias("mixins"),
-        field("api-version").alias("minecraft_version"), F.lit(None).cast("string").alias("loader_version"),
+    plug = plugins(text.filter("endswith(name, '.yml')").withColumnRenamed("name", "source_file"), [*NODE, "source_order", "source_file", "loader"])
+    needed = lambda names, optional: F.transform(names, lambda x: _dependency(x, F.lit("*"), F.lit(optional)))
+    yaml = plug.select(
+        *NODE, "source_order", "source_file", "loader", F.lit(0).cast("long").alias("mod_seq"), F.col("name").alias("mod_id"), F.col("name").alias("mod_name"), "version", "authors",
+        F.array_compact(F.array("main")).alias("entry_points"), "description", F.concat(needed("needs", False), needed("wants", True)).alias("dependencies"), F.lit(None).cast("string").alias("environment"),
+        F.array().cast("array<string>").alias("mixins"), F.col("api_version").alias("minecraft_version"), F.lit(None).cast("string").alias("loader_version"),
     )
     return declared.withColumn("mixins", F.filter("mixins", lambda x: x.isNotNull())).unionByName(yaml)
 
