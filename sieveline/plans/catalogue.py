@@ -11,11 +11,12 @@ from sieveline import refdata as R
 from sieveline.functions import text as T
 from sieveline.functions import urls as U
 from sieveline.functions.entropy import text_entropy
+from sieveline.functions.sql import register
 from sieveline.limits import Limits
 from sieveline.operators import capping, dimensions, lookup, reports, tagging
 from sieveline.operators import fragments as fragment_joins
 from sieveline.plans import inventory, rules
-from sieveline.plans.evidence import class_evidence
+from sieveline.plans.evidence import class_evidence, literal_facts
 from sieveline.plans.triage import decoded, findings_of
 from sieveline.sources import descriptors
 from sieveline.sources.build import archives_of, packed
@@ -475,10 +476,16 @@ def repeated_names(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, n_chars >= 5000 AS large, n_chars >= 1000 AND CAST(n_chars AS DOUBLE) / greatest(len(list_distinct(string_split(text, ''))), 1) > 100 AS high_ratio FROM documents""")
+WITH d AS (SELECT doc_id, CAST(n_chars AS BIGINT) * 1000 AS size, CAST(len(list_distinct(string_split(text, ''))) AS BIGINT) * 300 AS packed FROM documents)
+SELECT doc_id, size >= 5242880 AS large, size >= 1048576 AND size > 100 * greatest(packed, 1) AS high_ratio FROM d""")
 def large_and_ratio(spark, sf_dir):
     kinds = F.size(F.array_distinct(F.filter(F.split("text", ""), lambda c: c != "")))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 5000).alias("large"), ((F.col("n_chars") >= 1000) & (F.col("n_chars") / F.greatest(kinds, F.lit(1)) > 100)).alias("high_ratio"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.lit("a").alias("archive_id"), F.lit("").alias("node_path"), F.col("doc_id").alias("entry_seq"), F.col("doc_id").cast("string").alias("name"), F.lit(False).alias("is_dir"),
+        (F.col("n_chars") * 1000).alias("size_bytes"), (kinds * 300).cast("long").alias("compressed_bytes"), F.lit(0).alias("flag_bits"), F.lit("unknown").alias("magic"),
+    )
+    has = lambda kind: F.array_contains("kinds", kind)
+    return rules.inventory(rows).select(F.col("entry_seq").alias("doc_id"), has("large_files").alias("large"), has("compression_ratio").alias("high_ratio"))
 
 
 @query("""
@@ -553,6 +560,18 @@ def refused_archives(spark, sf_dir):
     return r.select("archive_id", "valid", zero("entries"), zero("declared_bytes"), zero("n_errors"), "summary")
 
 
+@query(f"""
+WITH {_GROUPS_SQL}
+SELECT CAST(doc_id // {GROUP} AS VARCHAR) AS archive_id, doc_id - min(doc_id) OVER (PARTITION BY doc_id // {GROUP}) AS entry_seq, 't/' || doc_id || '.txt' AS name, CAST(bytes AS BIGINT) AS size_bytes,
+  (doc_id // {GROUP}) % 4 = 3 AND doc_id = (doc_id // {GROUP}) * {GROUP} AND bytes >= 4 AS unread
+FROM docs WHERE (doc_id // {GROUP}) % 4 IN (0, 3)""")
+def archive_entries_sql(spark, sf_dir):
+    """Entries of the archives that can be read, decoded by a table function in SQL."""
+    register(spark)
+    rows = _text_archives(spark, sf_dir).select("archive_id", "content")
+    return spark.sql("SELECT archive_id, entry_seq, name, size_bytes, message IS NOT NULL AS unread FROM {rows}, LATERAL jar_entries(content)", rows=rows)
+
+
 @query(f"""
 WITH docs AS (SELECT doc_id // {GROUP} AS g, doc_id, lang, source FROM documents),
 classes AS (SELECT g, doc_id, coalesce(lang, 'x') || '/' || coalesce(source, 'y') AS package, 45 + doc_id % 20 AS major FROM docs),
@@ -594,34 +613,110 @@ def descriptor_parse(spark, sf_dir):
     return descriptors.mods(rows).select(F.col("archive_id").alias("p_partkey"), "loader", "mod_id", "version")
 
 
-_ENTRY = [("run.exe", "Windows executable (PE)", "executables"), ("pic.png", "Windows executable (PE)", "disguised"), ("data.bin", "ZIP/JAR archive", "hidden_archive"), ("lib.so", "Linux executable (ELF)", "native_libraries"), ("inner.jar", "ZIP/JAR archive", "nested_jars"), ("LICENSE", "unknown", ""), ("odd.qqq", "unknown", "unusual_files"), ("../up.txt", "unknown", "unsafe_paths")]
+_ODD = [".qqq", "", ".tar"]
+_NAMES = [*R.COMMON_EXTENSIONS, *R.NATIVE_EXTENSIONS, *R.EXECUTABLE_EXTENSIONS, ".jar", *_ODD]
+_KINDS_OF_FILE = [*dict.fromkeys(R.MAGIC.values()), "unknown"]
+_ALLOWED = " OR ".join(f"(magic = '{m}' AND NOT list_contains([{_quoted(e)}], ext))" for m, e in R.MAGIC_EXTENSIONS.items())
 
 
 @query(f"""
-SELECT p_partkey, ([{_quoted(e[2] for e in _ENTRY)}])[CAST(p_partkey % {len(_ENTRY)} + 1 AS INTEGER)] || CASE WHEN p_size > 40 THEN CASE WHEN p_partkey % {len(_ENTRY)} = 5 THEN '' ELSE ',' END || 'large_files' ELSE '' END AS kinds FROM part""")
+WITH p AS (SELECT page_id, page_id // 40 AS g, CASE WHEN page_id % 11 = 0 THEN '../' WHEN page_id % 13 = 0 THEN 'a' || chr(8238) ELSE '' END || 'f' || regexp_extract(url, '[^/?#]*$') AS base, page_id % {len(_NAMES)} AS e, page_id % {len(_KINDS_OF_FILE)} AS m, CAST(length(html) AS BIGINT) AS n FROM pages),
+e AS (SELECT page_id, g, replace(base, '.', '_') || ([{_quoted(_NAMES)}])[CAST(e + 1 AS INTEGER)] AS name, ([{_quoted(_NAMES)}])[CAST(e + 1 AS INTEGER)] AS ext, ([{_quoted(_KINDS_OF_FILE)}])[CAST(m + 1 AS INTEGER)] AS magic, n * 2000 AS size, n * (1 + page_id % 40) AS packed, page_id % 4 AS flags FROM p),
+k AS (SELECT *, regexp_matches(lower(regexp_extract(name, '[^/]*$')), '^({"|".join(R.BARE_NAMES)})') AS bare, {_ALLOWED} AS odd, row_number() OVER (PARTITION BY g, name ORDER BY page_id) > 1 AS again FROM e),
+named AS (SELECT page_id, unnest([
+  CASE WHEN list_contains([{_quoted(R.NATIVE_EXTENSIONS)}], ext) THEN 'native_libraries' WHEN list_contains([{_quoted(R.EXECUTABLE_EXTENSIONS)}], ext) THEN 'executables' WHEN ext = '.jar' THEN 'nested_jars' WHEN ext = '' AND bare THEN NULL WHEN NOT list_contains([{_quoted(R.COMMON_EXTENSIONS)}], ext) THEN 'unusual_files' END,
+  CASE WHEN odd AND magic <> 'ZIP/JAR archive' THEN 'disguised' END, CASE WHEN odd AND magic = 'ZIP/JAR archive' THEN 'hidden_archive' END, CASE WHEN flags % 2 = 1 THEN 'encrypted' END, CASE WHEN again THEN 'duplicates' END,
+  CASE WHEN list_contains(string_split(name, '/'), '..') THEN 'unsafe_paths' END, CASE WHEN contains(name, chr(8238)) THEN 'deceptive_names' END,
+  CASE WHEN size >= 1048576 AND size > 100 * greatest(packed, 1) THEN 'compression_ratio' END, CASE WHEN size >= 5242880 THEN 'large_files' END]) AS kind FROM k)
+SELECT p.page_id, coalesce(string_agg(kind, ',' ORDER BY kind), '') AS kinds FROM pages p LEFT JOIN named n ON n.page_id = p.page_id AND kind IS NOT NULL GROUP BY p.page_id""")
 def entry_inventory(spark, sf_dir):
-    pick = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in _ENTRY]), (F.col("p_partkey") % len(_ENTRY) + 1).cast("int"))
-    size = F.when(F.col("p_size") > 40, 6 << 20).otherwise(10).cast("long")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit(0).alias("entry_seq"), pick(0).alias("name"), F.lit(False).alias("is_dir"), size.alias("size_bytes"), size.alias("compressed_bytes"), F.lit(0).alias("flag_bits"), pick(1).alias("magic"))
-    return rules.inventory(rows).select(F.col("archive_id").alias("p_partkey"), F.array_join("kinds", ",").alias("kinds"))
+    """Entries named after pages, of every extension and kind of first bytes: what is notable of each."""
+    k = F.col("page_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    base = F.concat(F.when(k % 11 == 0, "../").when(k % 13 == 0, "a‮").otherwise(""), F.lit("f"), F.regexp_extract("url", "[^/?#]*$", 0))
+    n = F.length("html").cast("long")
+    rows = table(spark, sf_dir, "pages").select(
+        F.floor(k / 40).cast("string").alias("archive_id"), F.lit("").alias("node_path"), k.alias("entry_seq"), F.concat(F.replace(base, F.lit("."), F.lit("_")), pick(_NAMES)).alias("name"), F.lit(False).alias("is_dir"),
+        (n * 2000).alias("size_bytes"), (n * (1 + k % 40)).alias("compressed_bytes"), (k % 4).cast("int").alias("flag_bits"), pick(_KINDS_OF_FILE).alias("magic"),
+    )
+    return rules.inventory(rows).select(F.col("entry_seq").alias("page_id"), F.array_join(F.array_sort("kinds"), ",").alias("kinds"))
 
 
-_CLASS = [
-    (["java/net/Socket"], [], ["https://pastebin.com/x"], "network"), (["okhttp3/Call"], ["java/lang/Runtime#exec"], ["run.exe"], "exec_content,network,process_execution"),
-    ([], ["x/Y#defineClass", "java/util/Base64#getDecoder"], [], "base64,dynamic_loading"), ([], ["net/minecraft/S#getAccessToken"], ["powershell -w hidden"], "hidden_exec,session_token,shell"),
-    (["java/io/FileWriter"], [], ["WALLET.dat"], "file_write,sensitive_high"), ([], [], ["plain words"], ""),
-]
+_BOUND = ["com/sun/jna/Native", "net/bytebuddy/Agent", "q/Own"]
+_REFS = [*R.API_CLASSES, *[p + "Of" for p in R.API_PACKAGE_PREFIXES], *R.FILE_WRITE_CLASSES, *_BOUND]
+_MEMBERS = [m.replace("*#", "q/Own#") for m in R.API_MEMBERS] + R.FILE_WRITE_MEMBERS + R.NATIVE_FILE_LOAD_MEMBERS + [f"{o}Some#{m}" for o in R.SESSION_TOKEN_OWNERS for m in R.SESSION_TOKEN_MEMBERS]
+_values = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)
 
 
-@query(f"SELECT c_custkey, ([{_quoted(c[3] for c in _CLASS)}])[CAST(c_custkey % {len(_CLASS)} + 1 AS INTEGER)] AS tags, CASE WHEN c_custkey % {len(_CLASS)} = 0 THEN 'REVIEW' END AS url_severity FROM customer")
+@query(f"""
+WITH refs AS (SELECT o_custkey, ([{_quoted(_REFS)}])[CAST(o_orderkey % {len(_REFS)} + 1 AS INTEGER)] AS ref FROM orders), calls AS (SELECT o_custkey, ([{_quoted(_MEMBERS)}])[CAST(o_orderkey // 3 % {len(_MEMBERS)} + 1 AS INTEGER)] AS member FROM orders),
+exact(name, grp) AS (VALUES {_values(R.API_CLASSES.items())}), prefixes(prefix, grp) AS (VALUES {_values(R.API_PACKAGE_PREFIXES.items())}), members(name, grp) AS (VALUES {_values(R.API_MEMBERS.items())}),
+tags AS (
+  SELECT o_custkey, coalesce(e.grp, p.grp) AS tag FROM refs LEFT JOIN exact e ON ref = name LEFT JOIN prefixes p ON starts_with(ref, prefix)
+  UNION SELECT o_custkey, coalesce(m.grp, w.grp) FROM calls LEFT JOIN members m ON member = m.name LEFT JOIN members w ON w.name = '*#' || split_part(member, '#', 2)
+  UNION SELECT o_custkey, 'file_write' FROM refs WHERE ref IN ({_quoted(R.FILE_WRITE_CLASSES)}) UNION SELECT o_custkey, 'file_write' FROM calls WHERE member IN ({_quoted(R.FILE_WRITE_MEMBERS)})
+  UNION SELECT o_custkey, 'native_file_load' FROM calls WHERE member IN ({_quoted(R.NATIVE_FILE_LOAD_MEMBERS)})
+  UNION SELECT o_custkey, 'session_token' FROM calls WHERE split_part(member, '#', 2) IN ({_quoted(R.SESSION_TOKEN_MEMBERS)}) AND ({" OR ".join(f"starts_with(member, '{o}')" for o in R.SESSION_TOKEN_OWNERS)})
+  UNION SELECT o_custkey, 'bytecode_gen' FROM refs WHERE regexp_matches(ref, '{R.BYTECODE_LIBRARY}'))
+SELECT o_custkey, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN tags USING (o_custkey) GROUP BY o_custkey""")
 def class_tags(spark, sf_dir):
-    at = (F.col("c_custkey") % len(_CLASS) + 1).cast("int")
-    pick = lambda i: F.element_at(F.array(*[F.array(*map(F.lit, c[i])).cast("array<string>") for c in _CLASS]), at)
-    rows = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit(0).alias("entry_seq"), F.lit("A.class").alias("entry_name"), F.lit("parsed").alias("status"), F.lit("A").alias("name"),
-        F.lit("java/lang/Object").alias("super_name"), F.lit(61).alias("major_version"), pick(0).alias("class_refs"), pick(1).alias("member_refs"), pick(2).alias("strings"),
+    """Classes that reference what their customers' orders stand for, over all API names: the tags of each."""
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    k = F.col("o_orderkey")
+    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(pick(_REFS, k)).alias("class_refs"), F.collect_set(pick(_MEMBERS, F.floor(k / 3))).alias("member_refs"))
+    rows = held.select(
+        F.col("o_custkey").alias("archive_id"), F.lit("").alias("node_path"), F.lit(0).alias("entry_seq"), F.lit("A.class").alias("entry_name"), F.lit("parsed").alias("status"), F.lit("A").alias("name"),
+        F.lit("java/lang/Object").alias("super_name"), F.lit(61).alias("major_version"), "class_refs", "member_refs", F.array().cast("array<string>").alias("strings"),
     )
-    return class_evidence(rows).select(F.col("archive_id").alias("c_custkey"), F.array_join("tags", ",").alias("tags"), F.get("rated_urls", F.lit(0))["v"]["severity"].alias("url_severity"))
+    return class_evidence(rows).select(F.col("archive_id").alias("o_custkey"), F.array_join("tags", ",").alias("tags"))
+
+
+_FOUND = f"""
+urls AS ({URL_ROWS}), hosts AS (SELECT page_id, url, lower(url) AS low, {HOST_SQL} AS host FROM urls), rated AS (SELECT page_id, url, split_part({URL_CASE}, '|', 1) AS severity FROM hosts)"""
+
+
+def _literal_archives(spark, sf_dir) -> DataFrame:
+    """FILES: classes of 20 pages an archive; a class holds its page's address, plain or encoded, and every third reaches the network and reads the session token."""
+    k = F.col("page_id")
+    coded = F.base64(F.concat(F.lit("look at "), "url", F.lit(" and stay there until all of it is done")).cast("binary"))
+    hidden = F.rtrim(F.translate(coded, "\r\n", ""), F.lit("="))  # the session may break such text into lines
+    text = F.when(k % 5 == 0, hidden).otherwise(F.col("url"))
+    rows = _url_rows(spark, sf_dir).select(F.floor(k / 20).cast("string").alias("archive_id"), k.alias("seq"), F.concat(F.lit("p/C"), k.cast("string")).alias("name"), text.alias("text"), (k % 3 == 0).alias("calls"))
+    size = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    utf8 = lambda c: F.concat(F.unhex(F.lit("01")), size(F.octet_length(c), 4), F.encode(c, "UTF-8"))
+    member = lambda at, owner, name: F.concat(utf8(F.lit(owner)), F.unhex(F.lit(f"07{at:04x}")), utf8(F.lit(name)), utf8(F.lit("()V")), F.unhex(F.lit(f"0c{at + 2:04x}{at + 3:04x}0a{at + 1:04x}{at + 4:04x}")))
+    pool = F.concat(utf8(F.col("name")), F.unhex(F.lit("070001")), utf8(F.col("text")), F.unhex(F.lit("080003")))
+    calls = F.concat(member(5, "java/net/URL", "openStream"), member(11, "net/minecraft/Session", "getAccessToken"))
+    body = F.concat(F.unhex(F.lit("CAFEBABE0000003D")), F.unhex(F.when(F.col("calls"), "0011").otherwise("0005")), pool, F.when(F.col("calls"), calls).otherwise(F.unhex(F.lit(""))), F.unhex(F.lit("002100020000" + "0" * 16)))
+    return archives_of(rows.select("archive_id", "seq", F.concat("name", F.lit(".class")).alias("name"), body.alias("content")))
+
+
+_SHOWN = "string_agg(place, ', ' ORDER BY page_id) FILTER (k <= 5) || CASE WHEN max(k) > 5 THEN ' (+' || (max(k) - 5) || ' more)' ELSE '' END"
+
+
+@query(f"""
+WITH {_FOUND},
+firsts AS (SELECT *, page_id // 20 AS g, row_number() OVER (PARTITION BY page_id // 20, url ORDER BY page_id) = 1 AS first FROM rated),
+token AS (SELECT page_id // 20 AS g, page_id, 'p/C' || page_id || '.class' AS place, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS k FROM pages WHERE page_id % 3 = 0),
+hidden AS (SELECT page_id // 20 AS g, page_id, severity, 'p/C' || page_id || '.class: ' || url AS place, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS k FROM rated WHERE page_id % 5 = 0),
+bad AS (SELECT g, bool_or(page_id % 3 = 0) AS near FROM firsts WHERE first AND severity <> 'INFO' GROUP BY g)
+SELECT CAST(t.g AS VARCHAR) AS archive_id, 'combo.session_token_network' AS rule_id, CASE WHEN any_value(b.g) IS NOT NULL THEN 'WARNING' ELSE 'REVIEW' END AS severity, CASE WHEN bool_or(near) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, {_SHOWN} AS location FROM token t LEFT JOIN bad b USING (g) GROUP BY t.g
+UNION ALL SELECT CAST(g AS VARCHAR), 'strings.encoded_url', 'REVIEW', CASE WHEN bool_or(severity <> 'INFO' OR page_id % 3 = 0) THEN 'MEDIUM' ELSE 'LOW' END, {_SHOWN} FROM hidden GROUP BY g""")
+def archive_findings(spark, sf_dir):
+    """Pages' addresses written into classes, plain and encoded: the findings that speak of a whole archive, with the places of all its classes."""
+    t = decoded(_literal_archives(spark, sf_dir))
+    found = findings_of(t, only=["archives"]).filter("rule_id in ('combo.session_token_network', 'strings.encoded_url')")
+    return found.select("archive_id", "rule_id", "severity", "confidence", "location")
+
+
+@query(f"""
+WITH {_FOUND}
+SELECT page_id // 20 AS archive, page_id, 'url' AS kind, url AS item, page_id % 5 = 0 AS decoded, 'p/C' || page_id || '.class' || CASE WHEN page_id % 5 = 0 THEN ' (Base64-decoded string)' ELSE '' END AS place FROM rated""")
+def literal_places(spark, sf_dir):
+    """Where each address stands: in a class as it is, or within an encoded literal."""
+    t = decoded(_literal_archives(spark, sf_dir))
+    facts = literal_facts(class_evidence(t.classes)).filter("kind = 'url'")
+    return facts.select(F.col("archive_id").cast("long").alias("archive"), F.col("entry_seq"), F.regexp_extract("entry_name", "C([0-9]+)", 1).cast("long").alias("page_id"), "kind", "item", "decoded", F.col("where").alias("place")).drop("entry_seq")
 
 
 @query("SELECT CASE WHEN p_size + 30 >= 49 THEN 'Java ' || (p_size + 30 - 44) ELSE 'Java 1.' || (p_size + 30 - 44) END AS version, count(*) AS n FROM part GROUP BY 1")

@@ -24,6 +24,7 @@ from sieveline.operators.lookup import lookalike
 from sieveline.operators.reports import confidence_rank, name_of, severity_rank, shared_ids
 from sieveline.operators.tagging import has_all_of_any, has_any
 from sieveline.plans.evidence import FRAGMENTS, class_evidence, literal_facts
+from sieveline.plans.job import Cancelled
 from sieveline.plans.explanations import RATIONALES, explanation_of
 from sieveline.refdata import HIGH, INFO, LOW, MEDIUM, REVIEW, WARNING
 
@@ -410,6 +411,8 @@ def all_findings(subjects: Subjects, only: list[str] | None = None) -> tuple[Dat
     for name in RULES if only is None else only:
         try:
             parts.append(subjects.once(RULES[name](subjects).select(*FINDING), f"rules-{name}"))
+        except Cancelled:
+            raise
         except Exception as e:  # a rule's own fault must not cost the other rules' findings
             errors.append((name, f"rules {name}: {type(e).__name__}: {str(e).splitlines()[0][:300] if str(e) else ''}"))
     none = "archive_id string, node_path string, seq long, rule_id string, severity string, confidence string, title string, location string, context string"

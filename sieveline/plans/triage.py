@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from sieveline.limits import Limits
 from sieveline.operators.capping import first_rows
 from sieveline.plans import rules
+from sieveline.plans.job import Cancelled, Job
 from sieveline.sources import archives, descriptors
 from sieveline.sources.hash_list import SCHEMA
 
 #: Entries of a node that cannot be read and are named one by one.
 SHOWN_ERRORS = 20
-NO_HASHES = "sha256 string, classification string"
+FINDINGS = "archive_id string, node_path string, rule_order int, rule_id string, seq long, severity string, confidence string, title string, location string, context string, is_rest boolean, explanation string, rationale string"
 
 
 @dataclass
@@ -63,30 +64,33 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{root}/triage-{uuid.uuid4().hex}"
 
 
-def decoded(files: DataFrame, limits: Limits = Limits(), folder: str | None = None) -> Tables:
-    """Tables of files (archive_id, file_name, content, …). Reading runs once, into Parquet that all tables are views of."""
+def decoded(files: DataFrame, limits: Limits = Limits(), folder: str | None = None, job: Job | None = None) -> Tables:
+    """Tables of files (archive_id, file_name, content, …). Reading runs once, into Parquet that all tables are views of. job: to watch and stop it."""
     spark = files.sparkSession
+    job = job or Job(spark)
     folder = folder or staging_folder(spark)
     files = archives.described(files)
-    archives.read_archives(files, limits).write.parquet(f"{folder}/read")
+    kind = F.col("kind")
+    job.written(archives.read_archives(files, limits), f"{folder}/read", "read", files=F.count_if((kind == "node") & (F.col("node_path") == "")), nodes=F.count_if(kind == "node"), entries=F.count_if(kind == "entry"), refused=F.count_if((kind == "node") & F.col("message").isNotNull()))
     read = spark.read.parquet(f"{folder}/read")
-    archives.classes(read).write.parquet(f"{folder}/classes")
+    job.written(archives.classes(read), f"{folder}/classes", "classes", parsed=F.count_if(F.col("status") == "parsed"))
     manifest = descriptors.manifest(read)
     return Tables(files, archives.nodes(read), archives.entries(read), spark.read.parquet(f"{folder}/classes"), descriptors.with_versions(descriptors.mods(read), manifest), manifest, folder)
 
 
-def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Limits(), only: list[str] | None = None) -> DataFrame:
+def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Limits(), only: list[str] | None = None, job: Job | None = None) -> DataFrame:
     """Findings of all files, those of archives inside at their file, and those between files. only: families of rules (plans.rules.RULES, "batch") to plan, all if it is not given.
 
-    A family that fails is told in t.rule_errors, and in reports.
+    A family that fails is told in t.rule_errors, and in reports. A job that is cancelled raises Cancelled: there are all findings or none.
     """
     spark = t.nodes.sparkSession
+    job = job or Job(spark)
     hashes = spark.createDataFrame([], SCHEMA) if hashes is None else hashes
     step = f"{t.folder}/{uuid.uuid4().hex}"
 
     def once(df: DataFrame, name: str) -> DataFrame:
         """df computed once for the many rules that read it."""
-        df.write.parquet(f"{step}/{name}")
+        job.written(df, f"{step}/{name}", name)
         return spark.read.schema(df.schema).parquet(f"{step}/{name}")
 
     mods = once(t.mods, "mods")
@@ -96,8 +100,15 @@ def findings_of(t: Tables, hashes: DataFrame | None = None, limits: Limits = Lim
     return found.unionByName(rules.batch_rules(mods), allowMissingColumns=True) if only is None or "batch" in only else found
 
 
-def triage(spark: SparkSession, paths: str | list[str], hashes: DataFrame | None = None, recursive: bool = True, limits: Limits = Limits()) -> tuple[Tables, DataFrame]:
-    """Tables and findings of a folder, or of several files and folders."""
+def triage(spark: SparkSession, paths: str | list[str], hashes: DataFrame | None = None, recursive: bool = True, limits: Limits = Limits(), job: Job | None = None) -> tuple[Tables, DataFrame]:
+    """Tables and findings of a folder, or of several files and folders.
+
+    If job is cancelled once the files are read, there are tables, no finding, and an error that says so; before, Cancelled is raised.
+    """
     files = archives.scan(spark, paths, recursive) if isinstance(paths, str) else archives.scan_paths(spark, paths, recursive)
-    t = decoded(files, limits)
-    return t, findings_of(t, hashes, limits)
+    t = decoded(files, limits, job=job)
+    try:
+        return t, findings_of(t, hashes, limits, job=job)
+    except Cancelled as e:
+        t.rule_errors = [("cancelled", str(e))]
+        return t, spark.createDataFrame([], FINDINGS)

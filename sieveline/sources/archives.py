@@ -204,7 +204,7 @@ def _node(archive_id: str, path: str, depth: int, data: bytes, budget: _Budget,
                 yield from _node(archive_id, inner, depth + 1, data_, budget, limits)
 
 
-def _guarded(archive_id: str, data: bytes, limits: Limits) -> Iterator[dict]:
+def guarded(archive_id: str, data: bytes, limits: Limits) -> Iterator[dict]:
     """Rows of a file. Should anything get past the checks, reading ends with a row of kind error: one file never fails the job."""
     try:
         yield from _node(archive_id, "", 0, data, _Budget(limits.max_total_decompressed), limits)
@@ -220,7 +220,7 @@ def read_archives(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for archive_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows: list[dict] = []
                 held = 0
-                for row in _guarded(archive_id, data.as_py() or b"", limits):
+                for row in guarded(archive_id, data.as_py() or b"", limits):
                     rows.append(row)
                     held += len(row.get("content") or b"") + 200
                     if held > 8 << 20:

@@ -5,6 +5,7 @@ The counterpart of reading, for round trips: what the decoded tables say must eq
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import warnings
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Literals of a class (its pool holds 65,534 constants, two for each literal), and texts of an archive.
 LITERALS, TEXTS = 30_000, 64
+#: Characters of a literal, which holds 65,535 bytes.
+PIECE = 16_000
+_OF_NUMBERS = frozenset("0123456789.")
 FILES = "archive_id string, file_name string, size_bytes long, content binary"
 
 
@@ -30,6 +34,19 @@ def literal_class(name: str, literals: list[str]) -> bytes:
     return b"\xca\xfe\xba\xbe" + struct.pack(">HHH", 0, 61, len(pool) + 1) + b"".join(pool) + struct.pack(">HHH", 33, 2, 0) + bytes(8)
 
 
+def pieces(word: str) -> list[str]:
+    """A word as literals of at most PIECE characters. It is cut between two signs that no number with dots has, so that addresses stay whole and none comes into being; only a longer run of digits and dots is cut within."""
+    out, start = [], 0
+    while len(word) - start > PIECE:
+        end = start + PIECE
+        while end > start + 1 and (word[end] in _OF_NUMBERS or word[end - 1] in _OF_NUMBERS):
+            end -= 1
+        end = end if end > start + 1 else start + PIECE
+        out.append(word[start:end])
+        start = end
+    return [*out, word[start:]]
+
+
 def archives_of(entries: DataFrame) -> DataFrame:
     """FILES: an archive for each archive_id of rows (archive_id, seq, name, content binary), its entries deflated in order of seq. An archive is built in one task."""
 
@@ -56,11 +73,13 @@ def packed(documents: DataFrame) -> DataFrame:
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
                     for doc_id, text in rows[k : k + TEXTS]:
-                        words = [w for w in dict.fromkeys((text or "").split()) if len(w.encode("utf-8", "replace")) < 65_536]
+                        words = [p for w in dict.fromkeys((text or "").split()) for p in pieces(w)]
                         for part in range(0, max(1, len(words)), LITERALS):
                             name = f"d/{doc_id}_{part}"
                             z.writestr(zipfile.ZipInfo(f"{name}.class", (2024, 1, 1, 0, 0, 0)), literal_class(name, words[part : part + LITERALS]), zipfile.ZIP_DEFLATED)
-                data, name = out.getvalue(), f"texts-{rows[k][0]}.jar"
+                # Batches that begin with the same doc_id are told apart by what they hold.
+                data = out.getvalue()
+                name = f"texts-{rows[k][0]}-{hashlib.sha256(data).hexdigest()[:16]}.jar"
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], ["archive_id", "file_name", "size_bytes", "content"])
 
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, FILES)

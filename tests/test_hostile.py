@@ -13,6 +13,7 @@ from sieveline.plans import inventory, rules
 from sieveline.plans.evidence import class_evidence
 from sieveline.plans.triage import decoded, findings_of
 from sieveline.sources import archives
+from sieveline.sources.build import packed, pieces
 from sieveline.sources.reports import as_text, documents, write_report
 from tests.archives import class_bytes, jar
 from tests.test_triage import EXEC, FABRIC, LOAD, NET, files
@@ -150,6 +151,16 @@ def test_inventory_tables(spark):
     assert [(r.entry_name, r.bindings) for r in inventory.bindings(class_evidence(t.classes)).collect()] == [("a/b/C.class", ["Kernel32", "User32"])]
 
 
+def test_words_of_any_length_are_packed(spark):
+    long = "x" * 15_998 + "110.20.30.40" + "é" * 40_000 + "8.8.8.8-" + "y" * 70_000
+    assert "".join(pieces(long)) == long and all(len(p.encode()) < 65_536 for p in pieces(long)) and len(pieces("1." * 20_000)) == 3
+    rows = spark.createDataFrame([(1, "short words " + long), (2, None), (3, "z" * 100_000), (3, "w")], "doc_id long, text string").coalesce(1)
+    t = decoded(packed(rows).union(packed(rows.filter("doc_id = 3"))).union(packed(rows.filter("text = 'w'"))))
+    literals = [x for r in t.classes.filter("name = 'd/1_0'").collect() for x in r.strings]
+    assert "".join(literals) == "shortwords" + long and any("110.20.30.40" in x for x in literals)
+    assert t.files.select("archive_id").distinct().count() == 3
+
+
 def test_command_line(spark, tmp_path, capsys):
     folder = tmp_path / "in [1]"
     (folder / "deep").mkdir(parents=True)
