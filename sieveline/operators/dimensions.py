@@ -56,21 +56,32 @@ def neighbourhood(text: Column, edits: Column, whole_to: int = WHOLE, ends_from:
     return F.array_distinct(F.transform(F.flatten(F.transform(cores, with_)), lambda x: F.xxhash64(x)))
 
 
-def name_index(known: DataFrame, column: str, shortest: int = 5) -> DataFrame:
-    """key, known, sk, edits: the index of a table of names. Names are normalised; those shorter than `shortest` are none that others imitate.
+def known_names(known: DataFrame, column: str, shortest: int = 5) -> DataFrame:
+    """known, sk, edits: normalised names of a table, with their skeletons and how far another name may be. Those shorter than `shortest` are none that others imitate."""
+    names = known.select(normalized_name(F.col(column)).alias("known")).filter(F.length("known") >= shortest).distinct()
+    return names.select("known", skeleton(F.col("known")).alias("sk"), F.when(F.length("known") < 8, 1).otherwise(2).alias("edits"))
+
+
+def name_index(rated: DataFrame) -> DataFrame:
+    """key, known, sk, edits: the index of known_names.
 
     Near the length at which ends stand for the whole, names are in the index both ways: either side of a pair may be the longer one.
     """
-    names = known.select(normalized_name(F.col(column)).alias("known")).filter(F.length("known") >= shortest).distinct()
-    rated = names.select("known", skeleton(F.col("known")).alias("sk"), F.when(F.length("known") < 8, 1).otherwise(2).alias("edits"))
     return rated.select(F.explode(neighbourhood(F.col("sk"), F.col("edits"), WHOLE + 2, WHOLE - 2)).alias("key"), "known", "sk", "edits")
 
 
-def candidates(names: DataFrame, index: DataFrame) -> DataFrame:
-    """n, sk, known, known_sk, edits for names (n): what is measured, a row for each key that a name and a known one share."""
-    keyed = names.select("n", skeleton(F.col("n")).alias("sk")).select("n", "sk", F.explode(neighbourhood(F.col("sk"), F.lit(2))).alias("key"))
-    near = F.abs(F.length("sk") - F.length("known_sk")) <= F.col("edits")
-    return keyed.join(sized(index.withColumnRenamed("sk", "known_sk")), "key").filter(near).drop("key")
+def candidates(names: DataFrame, rated: DataFrame) -> DataFrame:
+    """n, sk, known, known_sk, edits for names (n) and known_names: what is measured, a row for each key that a name and a known one share.
+
+    Names of a length that no known name is near have no keys, and only those near one that allows two edits have keys of two.
+    """
+    size = F.length("sk")
+    least, most, two = rated.agg(F.min(size), F.max(size), F.min(F.when(F.col("edits") == 2, size))).first()
+    near = F.lit(False) if least is None else size.between(least - 2, most + 2)
+    edits = F.lit(1) if two is None else F.when(size >= two - 2, 2).otherwise(1)
+    keyed = names.select("n", skeleton(F.col("n")).alias("sk")).filter(near).select("n", "sk", F.explode(neighbourhood(F.col("sk"), edits)).alias("key"))
+    close = F.abs(size - F.length("known_sk")) <= F.col("edits")
+    return keyed.join(sized(name_index(rated).withColumnRenamed("sk", "known_sk")), "key").filter(close).drop("key")
 
 
 def lookalikes(rows: DataFrame, name: str, known: DataFrame, column: str, least: int = 3, shortest: int = 5) -> DataFrame:
@@ -87,7 +98,7 @@ def lookalikes(rows: DataFrame, name: str, known: DataFrame, column: str, least:
     present = known.select(normalized_name(F.col(column)).alias("n")).distinct()
     names = names.join(sized(present), "n", "left_anti")
     distance = F.levenshtein("sk", "known_sk", 2)
-    met = candidates(names, name_index(known, column, shortest)).filter(~F.col("n").startswith(F.col("known"))).withColumn("distance", distance)
+    met = candidates(names, known_names(known, column, shortest)).filter(~F.col("n").startswith(F.col("known"))).withColumn("distance", distance)
     near = met.filter((F.col("distance") >= 0) & (F.col("distance") <= F.col("edits")))
     rank = F.when(F.col("sk") == F.col("known_sk"), 0).otherwise(1)
     best = near.groupBy("n").agg(F.min(F.struct(rank.alias("rank"), "distance", "known")).alias("best"))

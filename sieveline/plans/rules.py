@@ -19,7 +19,7 @@ from sieveline import refdata as R
 from sieveline.functions import text as T
 from sieveline.functions import urls as U
 from sieveline.limits import Limits
-from sieveline.operators.capping import capped, where_list, where_of
+from sieveline.operators.capping import capped, first_rows, where_list, where_of
 from sieveline.operators.lookup import lookalike
 from sieveline.operators.reports import confidence_rank, name_of, severity_rank, shared_ids
 from sieveline.operators.tagging import has_all_of_any, has_any
@@ -66,10 +66,15 @@ def _list(items: Column, shown: int = 5) -> Column:
     return where_list(items, F.size(items), shown)
 
 
+#: Different addresses of a node that are looked at, in the order in which they are met.
+MAX_URLS = 2000
+
+
 def first_addresses(evidence: DataFrame) -> DataFrame:
     """Each address once a node, where it is first seen: entry_seq, place, where, tags of that class, and u with its rating. Addresses are rated once, however many classes name them."""
     urls = literal_facts(evidence).filter("kind = 'url'")
     first = urls.groupBy(*NODE, F.col("item").alias("url")).agg(F.min_by(F.struct("entry_seq", "place", "where", "tags"), F.struct("entry_seq", "place")).alias("r")).select(*NODE, "url", "r.*")
+    first = first_rows(first, NODE, ["entry_seq", "place"], MAX_URLS).drop("rn")
     return first.withColumn("u", F.struct("url", U.classify_url(F.col("url")).alias("v")))
 
 

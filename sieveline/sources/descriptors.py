@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import refdata as R
-from sieveline.sources.yaml_lines import plugins
+from sieveline.sources.yaml_lines import ITEMS, plugins
 
 NODE = ["archive_id", "node_path"]
 
@@ -52,7 +52,7 @@ def _get(v: Column, path: str) -> Column:
 def _list(v: Column, path: str) -> Column:
     """Texts of a list at a path: its strings, or a field of its objects."""
     items = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    named = F.transform(items, lambda x: F.coalesce(_get(x, "$"), _get(x, "$.value"), _get(x, "$.name"), _get(x, "$.id")))
+    named = F.transform(F.slice(items, 1, ITEMS), lambda x: F.coalesce(_get(x, "$"), _get(x, "$.value"), _get(x, "$.name"), _get(x, "$.id")))
     return F.filter(named, lambda x: x.isNotNull())
 
 
@@ -142,7 +142,7 @@ def mods(read: DataFrame) -> DataFrame:
     declared = one.withColumn("loader", F.when(neoforge, "NeoForge").otherwise(F.col("loader"))).select(
         *NODE, "source_order", F.col("name").alias("source_file"), "loader", F.col("mod_seq").cast("long").alias("mod_seq"), F.coalesce(_get(m, "$.id"), _get(m, "$.modId"), _get(m, "$.modid")).alias("mod_id"),
         F.coalesce(_get(m, "$.name"), _get(m, "$.displayName"), _get(m, "$.metadata.name")).alias("mod_name"), _get(m, "$.version").alias("version"),
-        F.concat(_list(m, "$.authors"), _list(m, "$.authorList")).alias("authors"), _entry_points(m).alias("entry_points"),
+        F.concat(_list(m, "$.authors"), _list(m, "$.authorList"), F.slice(F.map_keys(F.coalesce(F.try_variant_get(m, "$.metadata.contributors", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), 1, ITEMS)).alias("authors"), _entry_points(m).alias("entry_points"),
         F.trim(F.coalesce(_get(m, "$.description"), _get(m, "$.metadata.description"))).alias("description"), "dependencies", _get(m, "$.environment").alias("environment"),
         F.transform(F.coalesce(F.try_variant_get(m, "$.mixins", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(_get(x, "$"), _get(x, "$.config"))).alias("mixins"),
         F.coalesce(_get(m, "$.mcversion"), _range_of(F.col("dependencies"), "minecraft")).alias("minecraft_version"),

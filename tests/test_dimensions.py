@@ -79,10 +79,17 @@ def test_few_candidates_are_measured(spark):
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
     known = [word() for _ in range(3000)]
     names = spark.createDataFrame([(changed(rng, k),) for k in known], "n string").distinct()
-    met = D.candidates(names, D.name_index(spark.createDataFrame([(k,) for k in known], "known string"), "known")).select("n", "known").distinct().count()
+    met = D.candidates(names, D.known_names(spark.createDataFrame([(k,) for k in known], "known string"), "known")).select("n", "known").distinct().count()
     assert met < 2 * len(known)  # of 9,000,000 pairs
 
 
+def test_tables_of_short_names_and_none(spark):
+    rows = spark.createDataFrame([("sod1um",), ("spdium",), ("sodi",), ("x" * 40,)], "name string")
+    known = spark.createDataFrame([("sodium",), ("abcde",)], "k string")
+    assert {r.name: r.like and r.like.known for r in D.lookalikes(rows, "name", known, "k").collect()} == {"sod1um": "sodium", "spdium": "sodium", "sodi": None, "x" * 40: None}
+    assert D.lookalikes(rows, "name", known.limit(0), "k").filter("like is null").count() == 4
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

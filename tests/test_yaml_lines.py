@@ -62,3 +62,12 @@ def test_plugin(spark):
 def test_descriptors_that_declare_nothing(spark, name, text):
     rows = read(spark, [(name, text)])
     assert mods(rows).count() == 0 and [r.name for r in unreadable(rows).collect()] == [name]
+
+
+def test_lists_are_bounded_and_contributors_are_authors(spark):
+    import json
+
+    quilt = json.dumps({"quilt_loader": {"id": "q", "version": "1", "metadata": {"contributors": {"Ann": "Owner", "Bob": "Artist"}}}})
+    fabric = json.dumps({"id": "f", "authors": [f"a{k}" for k in range(150)]})
+    got = {r.mod_id: r.authors for r in mods(read(spark, [("quilt.mod.json", quilt), ("fabric.mod.json", fabric)])).collect()}
+    assert sorted(got["q"]) == ["Ann", "Bob"] and got["f"] == [f"a{k}" for k in range(100)]
