@@ -22,38 +22,27 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def _positions(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-
-
-def _without_one(text: Column) -> Column:
-    """text with each of its characters left out."""
-    return F.transform(_positions(text), lambda k: F.concat(F.substring(text, F.lit(1), k - 1), F.substring(text, k + 1, F.length(text))))
-
-
-def _without_two(text: Column) -> Column:
-    """text with each two of its characters left out: the first of them moves on only behind the second."""
-    places = _positions(text)
-    pairs = F.flatten(F.transform(places, lambda a: F.transform(F.filter(places, lambda b: b > a), lambda b: F.concat(F.substring(text, F.lit(1), a - 1), F.substring(text, a + 1, b - a - 1), F.substring(text, b + 1, F.length(text))))))
-    return pairs
-
-
 def _cores(text: Column, whole_to: int, ends_from: int) -> Column:
     """What stands for a skeleton in the index: itself up to a length, from another on its two ends."""
     ends = F.concat(F.substring(text, 1, END), F.lit(" "), F.substring(text, -END, END))
     return F.array_compact(F.array(F.when(F.length(text) <= whole_to, text), F.when(F.length(text) >= ends_from, ends)))
 
 
-def neighbourhood(text: Column, edits: Column, whole_to: int = WHOLE, ends_from: int = WHOLE + 1) -> Column:
-    """64-bit keys of text with up to `edits` (0 to 2) characters left out.
+def with_keys(rows: DataFrame, text: Column, edits: Column, whole_to: int = WHOLE, ends_from: int = WHOLE + 1) -> DataFrame:
+    """rows with `key`, once for each 64-bit key: text with up to `edits` (0 to 2) characters left out.
 
     Strings within that many edits of each other have such a rest in common. A string longer than WHOLE is represented by its ends, which do not overlap and share the
-    edits between them, so there are at most 301 keys, whatever its length.
+    edits between them, so there are at most 301 keys, whatever its length. Places are exploded, not folded over, so that the pieces are cut in generated code.
     """
-    cores = _cores(text, whole_to, ends_from)
-    none = F.array().cast("array<string>")
-    with_ = lambda c: F.concat(F.array(c), F.when(edits >= 1, _without_one(c)).otherwise(none), F.when(edits >= 2, _without_two(c)).otherwise(none))
-    return F.array_distinct(F.transform(F.flatten(F.transform(cores, with_)), lambda x: F.xxhash64(x)))
+    cores = rows.withColumns({"_edits": edits, "_core": F.explode(_cores(text, whole_to, ends_from))})
+    n, a, b, core = F.length("_core"), F.col("_a"), F.col("_b"), F.col("_core")
+    # Left out are the characters at a and b, a < b; 0 stands for none.
+    first = cores.withColumn("_a", F.explode(F.sequence(F.lit(0), F.when(F.col("_edits") >= 2, F.greatest(n - 1, F.lit(0))).otherwise(0))))
+    both = first.withColumn("_b", F.explode(F.sequence(F.when(a == 0, 0).otherwise(a + 1), F.when(F.col("_edits") >= 1, n).otherwise(0))))
+    behind = F.substring(core, b + 1, n)
+    one = F.concat(F.substring(core, F.lit(1), b - 1), behind)
+    two = F.concat(F.substring(core, F.lit(1), a - 1), F.substring(core, a + 1, b - a - 1), behind)
+    return both.withColumn("key", F.xxhash64(F.when(b == 0, core).when(a == 0, one).otherwise(two))).drop("_edits", "_core", "_a", "_b")
 
 
 def known_names(known: DataFrame, column: str, shortest: int = 5) -> DataFrame:
@@ -67,7 +56,7 @@ def name_index(rated: DataFrame) -> DataFrame:
 
     Near the length at which ends stand for the whole, names are in the index both ways: either side of a pair may be the longer one.
     """
-    return rated.select(F.explode(neighbourhood(F.col("sk"), F.col("edits"), WHOLE + 2, WHOLE - 2)).alias("key"), "known", "sk", "edits")
+    return with_keys(rated, F.col("sk"), F.col("edits"), WHOLE + 2, WHOLE - 2).select("key", "known", "sk", "edits").distinct()
 
 
 def candidates(names: DataFrame, rated: DataFrame) -> DataFrame:
@@ -79,7 +68,7 @@ def candidates(names: DataFrame, rated: DataFrame) -> DataFrame:
     least, most, two = rated.agg(F.min(size), F.max(size), F.min(F.when(F.col("edits") == 2, size))).first()
     near = F.lit(False) if least is None else size.between(least - 2, most + 2)
     edits = F.lit(1) if two is None else F.when(size >= two - 2, 2).otherwise(1)
-    keyed = names.select("n", skeleton(F.col("n")).alias("sk")).filter(near).select("n", "sk", F.explode(neighbourhood(F.col("sk"), edits)).alias("key"))
+    keyed = with_keys(names.select("n", skeleton(F.col("n")).alias("sk")).filter(near), F.col("sk"), edits)
     close = F.abs(size - F.length("known_sk")) <= F.col("edits")
     return keyed.join(sized(name_index(rated).withColumnRenamed("sk", "known_sk")), "key").filter(close).drop("key")
 
