@@ -29,8 +29,8 @@ DIM, SHARP = 512, 24.0
 UNKNOWN = "und"
 #: A document of FEWEST trigrams or more is rejected when its profile is no nearer to any prototype than chance: cosines of unrelated vectors have a deviation of DIM ** -0.5.
 CHANCE, FEWEST = 2.0, 40
-#: Bytes of text and texts that are bundled together.
-TOGETHER_BYTES, TOGETHER = 1 << 18, 256
+#: Letters of text and texts that are bundled together; distinct trigrams whose vectors are made at a time.
+TOGETHER_LETTERS, TOGETHER, SLICE = 1 << 18, 256, 2048
 _SCALE = 1000
 _EDGE = 0
 
@@ -83,43 +83,58 @@ def _counted(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bundles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(row, bundle of length 1, number of trigrams) for each text that has a letter, over a few texts at a time."""
+    """(row, bundle of length 1, number of trigrams) for each text that has a letter, over a few texts at a time, or over the segments of a longer text."""
     size = np.array([len(t) for t in texts], np.int64)
     first = 0
     while first < len(texts):
-        last = int(np.searchsorted(np.cumsum(size[first : first + TOGETHER]), TOGETHER_BYTES)) + 1
-        last = min(len(texts), first + min(last, TOGETHER))
-        yield from ((first + row, bundle, n) for row, bundle, n in _bundled(texts[first:last]))
+        last = int(np.searchsorted(np.cumsum(size[first : first + TOGETHER]), TOGETHER_LETTERS, side="right"))
+        last = min(len(texts), first + max(last, 1))
+        if size[first] > TOGETHER_LETTERS:
+            text, sums, count = texts[first], 0.0, 0
+            for at in range(0, len(text), TOGETHER_LETTERS):
+                part = text[at : at + TOGETHER_LETTERS]
+                own, n = _totals([part], text[at - 1] if at else "\n", text[at + len(part) : at + len(part) + 1] or "\n")
+                sums, count = sums + own, count + n
+        else:
+            sums, count = _totals(texts[first:last], "\n", "\n")
+        for row in np.flatnonzero(count).tolist():
+            yield first + row, sums[row] / max(float(np.sqrt(sums[row] @ sums[row])), 1e-9), int(count[row])
         first = last
 
 
-def _bundled(texts: list[str]) -> Iterator[tuple[int, np.ndarray, int]]:
+def _totals(texts: list[str], before: str, after: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of its trigrams' vectors, number of trigrams) of each text; before and after stand beside the first and the last one.
+
+    Distinct trigrams are taken SLICE at a time, so that memory follows neither their number nor the alphabet.
+    """
     of = _letters()
+    sums, size = np.zeros((len(texts), DIM)), np.zeros(len(texts), np.int64)
     # A sign that is no letter stands between texts.
-    points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer((before + "\n".join(texts) + after).encode("utf-32-le", "surrogatepass"), np.uint32)
     found = of.numbered(points)
-    keep = found > 0
-    keep[1:] |= keep[:-1]  # one edge after each word
-    keep[0] = True
-    at = np.flatnonzero(keep)
-    known, line = _counted(found[at], len(of.vectors))
-    centre = np.flatnonzero(known[line] > 0)
+    centre = np.flatnonzero(found[1:-1] > 0) + 1
     if not len(centre):
-        return
+        return sums, size
+    known, line = _counted(found, len(of.vectors))
     n = len(known)
+    # What stands beside a word is number 0, whatever it is.
     codes, place = _counted((line[centre - 1].astype(np.int64) * n + line[centre]) * n + line[centre + 1], n**3)
-    near = of.vectors[known]
-    vectors = near[codes // n**2] * np.roll(near, 1, axis=1)[codes // n % n] * np.roll(near, 2, axis=1)[codes % n]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    text = np.searchsorted(ends, at[centre], side="left")
-    counts = np.bincount(text * len(codes) + place, minlength=len(texts) * len(codes)).reshape(len(texts), len(codes))
-    # Sums stay exact: whole numbers below 2**24, or in double precision.
-    kind = np.float32 if len(centre) < 1 << 23 else np.float64
-    bundles = (counts.astype(kind) @ vectors.astype(kind)).astype(np.float64)
-    norm = np.sqrt((bundles**2).sum(1))
-    size = counts.sum(1)
-    for row in np.flatnonzero(size).tolist():
-        yield row, bundles[row] / max(norm[row], 1e-9), int(size[row])
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), centre, side="left")
+    size += np.bincount(text, minlength=len(texts))
+    met = np.sort(place * len(texts) + text)
+    starts = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+    times = np.diff(np.append(starts, len(met)))
+    place, text = np.divmod(met[starts], len(texts))
+    vectors = lambda k: of.vectors[known[k]]
+    for a in range(0, len(codes), SLICE):
+        part = codes[a : a + SLICE]
+        bound = vectors(part // n**2) * np.roll(vectors(part // n % n), 1, axis=1) * np.roll(vectors(part % n), 2, axis=1)
+        low, high = np.searchsorted(place, [a, a + SLICE])
+        counts = np.zeros((len(texts), len(part)), np.float32)
+        counts[text[low:high], place[low:high] - a] = times[low:high]
+        # Exact: whole numbers below 2**24.
+        sums += counts @ bound.astype(np.float32)
+    return sums, size
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, list[str]]]:

@@ -1,8 +1,11 @@
 """Operators 1, 2, 4, 5, 6 and 8: held-out accuracy, brute force and round trips."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -436,3 +439,30 @@ def test_decontamination_whatever_the_case(spark):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
     assert got == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)]
+
+
+def test_language_id_takes_long_texts_and_large_alphabets_in_bounded_memory():
+    rng = random.Random(46)
+    line = lambda n: "".join(rng.choice("ab cd日本 語éß") for _ in range(n))
+    texts = [line(700), "", line(90), None, "..", line(9), line(333)]
+    size = language_id.TOGETHER_LETTERS, language_id.SLICE
+    whole = {row: (bundle, n) for row, bundle, n in language_id._bundles([t or "" for t in texts])}
+    try:
+        language_id.TOGETHER_LETTERS, language_id.SLICE = 64, 7
+        pieces = {row: (bundle, n) for row, bundle, n in language_id._bundles([t or "" for t in texts])}
+    finally:
+        language_id.TOGETHER_LETTERS, language_id.SLICE = size
+    assert set(whole) == set(pieces) == {0, 2, 5, 6}
+    assert all(np.array_equal(whole[k][0], pieces[k][0]) and whole[k][1] == pieces[k][1] for k in whole)
+    code = """
+import random, resource
+from sieveline.llm import language_id
+rng = random.Random(1)
+cjk = lambda n: "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(n))
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for texts in ([cjk(1000) for _ in range(256)], [cjk(1_000_000)]):
+    assert sum(1 for _ in language_id._bundles(texts)) == len(texts)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout)
+    assert peak < 400, peak
