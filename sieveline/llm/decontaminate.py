@@ -1,12 +1,13 @@
 """Operator 8: benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names and units turn into typed placeholders, other words are lower-cased
-without the signs around them. Windows of WIDTH template words are hashed and joined with those of the
+Texts become templates: numbers (also English number words and those glued to a unit or to signs of arithmetic), names, and units
+beside a number turn into typed placeholders, other words are lower-cased without the signs around them. Windows of WIDTH template words are hashed and joined with those of the
 benchmark; an item of fewer words is one window. Windows carry their places in document and item,
 so that occurrences of an item are told apart, and windows count as far as they bind slots consistently within an
 occurrence: one value of the item's slots may stand for only one value there. So a question with other numbers or names
 is found, also beside further copies, and a chance meeting of placeholders is not. A window with names is hashed with the names as plain words
-too, as case and the words before decide what is a name. Windows of fewer than LITERAL plain words say too little as templates; they are hashed with the values of their slots and found as exact copies. An item is held where half of its
+too, as case and the words before decide what is a name. A window with names needs PROSE plain words to count as a template, one of numbers and units only FEW, signs of arithmetic among them; an enumeration
+with fewer asks nothing by itself: it is hashed with the values of its slots and found as an exact copy. An item is held where half of its
 templates or of all its windows are found, or RUN windows in a row.
 
 Before the join a bit table of fixed size, filled from the benchmark's hashes, drops windows that
@@ -31,7 +32,7 @@ from sieveline.llm.common import chunks, ints, keep_ids, mapped, staged, text_bu
 from sieveline.llm.shingles import word_spans
 from sieveline.llm.stretches import Memory, distinct, mix
 
-WIDTH, LITERAL = 8, 5
+WIDTH, PROSE, FEW = 8, 5, 2
 #: log2 of the bits that filter windows before the join: a broadcast of 512 KB.
 FILTER_BITS = 22
 #: An item is leaked when this share of its windows is found, and SEEN of them at least (or all); or RUN windows in a row.
@@ -40,7 +41,12 @@ SHARE, SEEN, RUN = 0.5, 3, 18
 ALONE = 3
 #: Words that measure.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec secs min mins h hr hrs day days week weeks month months year years hour hours minute minutes second seconds mile miles meter meters metre metres inch inches foot feet dollar dollars cent cents euro euros percent mph kmh kph usd eur gbp watt watts volt volts".split())
+#: Number words with their digits.
+NUMBER_WORDS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+NUMBER_WORDS |= {w: str(10 * n) for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety hundred".split(), 2)} | {"thousand": "1000", "million": "1000000"}
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
+#: Numbers, letters and signs of a token that may be glued together.
+_GLUED = re.compile(r"\d[\d.,:]*|[^\W\d_]+|[^\d]")
 _ENDS = re.compile(r"[.!?:]['\")\]]*$")
 _SIGNS = ".,;:!?\"'()[]{}<>*_#&|~`…“”‘’。、，．！？：；「」『』（）《》〈〉【】"
 #: Letters of scripts that write no spaces: each is a word.
@@ -49,8 +55,8 @@ _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u
 REMEMBERED = 250_000
 _PLACE = np.random.default_rng(99).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 #: Kinds of template words.
-WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
-_KIND_HASH = {NUMBER: 0x6E756D, NAME: 0x6E616D65, UNIT: 0x756E6974, -1: 1}
+SIGN, WORD, NUMBER, NAME, UNIT = -1, 0, 1, 2, 3
+_KIND_HASH = {NUMBER: 0x6E756D, NAME: 0x6E616D65, UNIT: 0x756E6974}
 
 
 #: Forms of a window: its template, the template with names as plain words, or all its words as they are.
@@ -67,31 +73,61 @@ def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
+def _typed(core: str) -> tuple[int, str]:
+    if _NUMBER.match(core):
+        return NUMBER, core
+    if core in NUMBER_WORDS:
+        return NUMBER, NUMBER_WORDS[core]
+    return (UNIT if core in UNITS else WORD if any(c.isalnum() for c in core) else SIGN), core
+
+
+def template_words(token: str) -> list[tuple[int, str]]:
+    """(kind, lower-cased content) of the template words of a token: none if it is signs only, several where numbers are glued to units, single letters or signs, or number words to each other."""
+    core = token.strip(_SIGNS).lower()
+    if not core:
+        return []
+    kind, content = _typed(core)
+    if kind != WORD:
+        return [(kind, content)]
+    if core[0].isdigit() or any(c.isdigit() for c in core):
+        parts = _GLUED.findall(core)
+        if all(len(x) == 1 or x[0].isdigit() or x in UNITS for x in parts):
+            return [_typed(x.rstrip(".,:") or x) for x in parts if x not in _SIGNS]
+    elif "-" in core:
+        parts = core.split("-")
+        if all(x in NUMBER_WORDS for x in parts):
+            return [_typed(x) for x in parts]
+    return [(WORD, core)]
+
+
 class Templates:
     """Template words of texts as hashes and kinds. What a token gives is remembered, and found by its content."""
 
     def __init__(self):
         self.memory = Memory()
+        # Template words of remembered tokens, where those of each token begin, and what holds for tokens.
         self.hash, self.word, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        self.title, self.ends = np.zeros(0, bool), np.zeros(0, bool)
+        self.at, self.title, self.ends = np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool)
 
     def _learn(self, tokens: list[str]) -> None:
+        parts = [template_words(t) for t in tokens]
+        flat = [x for p in parts for x in p]
+        word = [hash_text(w) for _, w in flat]
+        own = [_KIND_HASH.get(k) or w for (k, _), w in zip(flat, word)]
         cores = [t.strip(_SIGNS) for t in tokens]
-        kind = [(NUMBER if _NUMBER.match(c) else UNIT if c.lower() in UNITS else WORD) if c else -1 for c in cores]
-        word = [hash_text(c.lower()) for c in cores]
-        own = [_KIND_HASH.get(k) or w for k, w in zip(kind, word)]
-        title = [k == WORD and len(c) > 1 and c[0].isupper() and c[1:].islower() for k, c in zip(kind, cores)]
+        title = [len(p) == 1 and p[0][0] == WORD and len(c) > 1 and c[0].isupper() and c[1:].islower() for p, c in zip(parts, cores)]
         ends = [not c or bool(_ENDS.search(t)) for t, c in zip(tokens, cores)]
         put = lambda old, new: np.concatenate([old, np.array(new, old.dtype)])
-        self.hash, self.word, self.kind = put(self.hash, own), put(self.word, word), put(self.kind, kind)
+        self.hash, self.word, self.kind = put(self.hash, own), put(self.word, word), put(self.kind, [k for k, _ in flat])
+        self.at = put(self.at, self.at[-1] + np.cumsum([len(p) for p in parts], dtype=np.int64))
         self.title, self.ends = put(self.title, title), put(self.ends, ends)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray):
         """(hashes, kinds, word hashes, first template word of each text, text of a template word) for texts raw[offsets[i]:offsets[i+1]].
 
-        A title-case word is a name unless it opens a sentence.
+        A title-case word is a name unless it opens a sentence; a unit is one behind a number only.
         """
-        if len(self.memory) > REMEMBERED:
+        if max(len(self.memory), len(self.hash)) > REMEMBERED:
             self.__init__()
         raw, offsets = spaced(raw, offsets)
         low = int(offsets[0])
@@ -108,17 +144,25 @@ class Templates:
             rows[k] = self.memory.apart()
             self._learn([contents[of[k] : of[k + 1]].tobytes().decode("utf-8", "replace")])
         row = rows[codes]
-        kind, first = self.kind[row], np.searchsorted(start, at)
-        word = self.word[row]
+        first = np.searchsorted(start, at)
         opens = np.ones(len(row), bool)
         opens[1:] = self.ends[row][:-1]
         opens[first[:-1][first[:-1] < len(row)]] = True
-        name = self.title[row] & ~opens
-        kind[name] = NAME
-        hashes = self.hash[row]
-        hashes[name] = _KIND_HASH[NAME]
-        full = np.flatnonzero(kind >= 0)
-        return mix(hashes[full]), kind[full], mix(word[full]), np.searchsorted(full, first), lambda k: token(full[k]).strip(_SIGNS).lower()
+        # A token's template words in place of it.
+        upto = np.concatenate([[0], np.cumsum(self.at[row + 1] - self.at[row])])
+        owner = np.repeat(np.arange(len(row)), np.diff(upto))
+        part = np.arange(len(owner)) - upto[owner]
+        flat = self.at[row[owner]] + part
+        kind, hashes, word = self.kind[flat], self.hash[flat], self.word[flat]
+        first = upto[first]
+        name = (self.title[row] & ~opens)[owner]
+        beside = np.zeros(len(kind), bool)
+        beside[1:] = kind[:-1] == NUMBER
+        beside[first[:-1][first[:-1] < len(kind)]] = False
+        loose = (kind == UNIT) & ~beside
+        kind[name], hashes[name] = NAME, _KIND_HASH[NAME]
+        kind[loose], hashes[loose] = WORD, word[loose]
+        return mix(hashes), kind, mix(word), first, lambda k: template_words(token(owner[k]))[part[k]][1].replace("\x1f", " ")
 
 
 def hash_text(text: str) -> int:
@@ -136,22 +180,24 @@ def template_windows(hashes: np.ndarray, kinds: np.ndarray, words: np.ndarray, f
     n = len(hashes) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    rolled, plain, names = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.int8)
+    rolled, plain, names, signs = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.int8), np.zeros(n, np.int8)
     for j in range(width):
         rolled += hashes[j : j + n] * _PLACE[j]
         plain += kinds[j : j + n] == WORD
         names += kinds[j : j + n] == NAME
+        signs += kinds[j : j + n] == SIGN
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
     inside = np.arange(n) + width <= first[owner + 1]
     if width < ALONE:
         inside &= np.diff(first)[owner] == width
-    least = min(LITERAL, width)
+    few = min(FEW, width)
+    asks = np.where(names > 0, plain >= min(PROSE, width), (plain > 0) & (plain + signs >= few))
+    by_name = (names > 0) & (plain + names + signs >= few)
 
     def taken(of: np.ndarray, at: np.ndarray) -> np.ndarray:
         return sum((of[at + j] * _PLACE[j] for j in range(width)), np.zeros(len(at), np.uint64))
 
-    template, literal = np.flatnonzero(inside & (plain >= least)), np.flatnonzero(inside & (plain + names < least))
-    named = np.flatnonzero(inside & (plain + names >= least) & (names > 0))
+    template, named, literal = (np.flatnonzero(inside & x) for x in (asks, by_name, ~asks & ~by_name))
     at = np.concatenate([template, named, literal])
     form = np.repeat(np.array([TEMPLATE, NAMED, LITERALLY], np.int8), [len(template), len(named), len(literal)])
     caseless = np.where(kinds == NAME, words, hashes) if len(named) else hashes

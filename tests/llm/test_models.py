@@ -419,7 +419,8 @@ def test_decontamination_of_short_and_numeric_items(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
-    assert got == [(1, 1), (3, 2), (4, 3), (5, 4), (7, 5), (9, 6)]
+    # Text 2 asks item 1 with another number; text 10 is an enumeration of others.
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5), (9, 6)]
 
 
 def test_decontamination_whatever_the_case(spark):
@@ -466,3 +467,113 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
     peak = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout)
     assert peak < 400, peak
+
+
+def test_template_words():
+    of = lambda text: [w for t in text.split() for w in decontaminate.template_words(t)]
+    number, unit, word, sign = decontaminate.NUMBER, decontaminate.UNIT, decontaminate.WORD, decontaminate.SIGN
+    assert of("5km (12kg), seven -- Twenty-one") == [(number, "5"), (unit, "km"), (number, "12"), (unit, "kg"), (number, "7"), (sign, "--"), (number, "20"), (number, "1")]
+    assert of("3x+4=10") == [(number, "3"), (word, "x"), (sign, "+"), (number, "4"), (sign, "="), (number, "10")]
+    assert of("covid19 well-known 1,000.5 $40 ...") == [(word, "covid19"), (word, "well-known"), (number, "1,000.5"), (number, "$40")]
+    raw = "drives 5 km in 3 h and in s. m 7".encode()
+    kinds = decontaminate.Templates()(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+    assert kinds.tolist() == [word, number, unit, word, number, unit, word, word, word, word, number]
+
+
+def brute_templates(text):
+    """(kind, value, word) of each template word of a text, one token after another."""
+    out, opens = [], True
+    for token in (text or "").split():
+        core = token.strip(decontaminate._SIGNS)
+        parts = decontaminate.template_words(token)
+        for kind, value in parts:
+            if kind == decontaminate.WORD and len(parts) == 1 and not opens and len(core) > 1 and core[0].isupper() and core[1:].islower():
+                kind = decontaminate.NAME
+            if kind == decontaminate.UNIT and not (out and out[-1][0] == decontaminate.NUMBER):
+                kind = decontaminate.WORD
+            out.append((kind, value))
+        opens = not core or bool(decontaminate._ENDS.search(token))
+    return out
+
+
+def brute_windows(words, width):
+    """(form, content, place, slots) of the windows of one text."""
+    d = decontaminate
+    for at in range(len(words) - width + 1):
+        part = words[at : at + width]
+        count = lambda kind: sum(k == kind for k, _ in part)  # noqa: B023, E731
+        plain, names, signs = count(d.WORD), count(d.NAME), count(d.SIGN)
+        if width < d.ALONE and len(words) != width:
+            continue
+        shown = lambda kinds: tuple(str(k) if k in kinds else "=" + v for k, v in part)  # noqa: B023, E731
+        slots = lambda kinds: "\x1f".join(f"{k}{v}" for k, v in part if k in kinds)  # noqa: B023, E731
+        few = min(d.FEW, width)
+        asks = plain >= min(d.PROSE, width) if names else plain > 0 and plain + signs >= few
+        named = names > 0 and plain + names + signs >= few
+        if asks:
+            yield d.TEMPLATE, shown((d.NUMBER, d.NAME, d.UNIT)), at, slots((d.NUMBER, d.NAME, d.UNIT))
+        if named:
+            yield d.NAMED, shown((d.NUMBER, d.UNIT)), at, slots((d.NUMBER, d.UNIT))
+        if not asks and not named:
+            yield d.LITERALLY, shown(()), at, ""
+
+
+def brute_leaks(texts, items):
+    """Every text against every item: their windows by content, then judged()."""
+    out = {}
+    for item_id, item in items.items():
+        words_ = brute_templates(item)
+        width = min(len(words_), decontaminate.WIDTH)
+        own = list(brute_windows(words_, width)) if width else []
+        places = lambda forms: len({at for f, _, at, _ in own if f in forms})  # noqa: B023, E731
+        usable = [places((0,)), places((0, 1)), places((0, 1, 2))]
+        for doc_id, text in texts.items():
+            met = [(a, b) for a in brute_windows(brute_templates(text), width) for b in own if a[1] == b[1]] if width else []
+            if met:
+                column = lambda side, k: [m[side][k] for m in met]  # noqa: B023, E731
+                got = decontaminate.judged(np.array(column(0, 2)), np.array(column(1, 2)), column(0, 3), column(1, 3), np.array(column(1, 0)), len(words_), usable)
+                if got:
+                    out[doc_id, item_id] = got
+    return out
+
+
+ASKED = [
+    "If {A} walks {n} km in {m} hours, how many km does {B} walk in {k} hours at the same pace",
+    "What is {n} times {m}?",
+    "Solve for x: {n}x+{m}={k}",
+    "A box holds {n} red and {m} blue balls; {A} takes {k} of them without looking. How many are left?",
+    "Add {n}kg to {m}kg and give the sum",
+    "{A} has seven cats, buys {n} more and gives {m} of them to {B} before the end of the week",
+]
+
+
+def asked(rng, template):
+    names = rng.sample(["Anna", "Bruno", "Clara", "Dora", "Emil", "Fritz", "Gustav"], 2)
+    n, m, k = rng.sample(range(11, 99), 3)
+    return template.format(A=names[0], B=names[1], n=n, m=m, k=k).replace("seven", rng.choice(["seven", "nine", "four"]))
+
+
+def test_decontamination_equals_brute_force_and_recalls_other_parameters(spark):
+    rng = random.Random(56)
+    noise = lambda n: words(rng, SYLLABLES["aa"], n)
+    items = {i: asked(rng, t) for i, t in enumerate(ASKED)} | {50: noise(30), 51: "Yes.", 52: "1 2 3 4 5 6 7 8 9 10 11", 53: None, 54: "x=3"}
+    texts, planted = {}, set()
+    for i in range(150):
+        k = rng.randrange(len(ASKED))
+        if i % 3 == 0:
+            planted.add((i, k))
+            texts[i] = f"{noise(rng.randint(0, 30))}. {asked(rng, ASKED[k])} {noise(rng.randint(0, 30))}"
+        elif i % 3 == 1:
+            texts[i] = noise(40)
+        else:
+            # Half of an item, its words turned round, and numbers by themselves.
+            own = asked(rng, ASKED[k]).split()
+            texts[i] = f"{noise(5)} {' '.join(own[::-1])} {noise(5)} {rng.randint(1, 9)} km in 4 h {rng.randint(1, 9)} {noise(3)}"
+    texts |= {200: items[50].upper(), 201: "yes", 202: f"so {items[52]}", 203: "so 2 3 4 5 6 7 8 9 10 11 12 13 14", 204: None, 205: "", 206: f"{items[50]} {items[0]}", 207: "x=4"}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, round(r.share, 9)) for r in decontaminate.leaks(df, bench).collect()}
+    want = {k: (n, round(share, 9)) for k, (n, share) in brute_leaks(texts, items).items()}
+    assert got == want
+    assert len(planted & set(got)) >= 0.9 * len(planted)
+    assert {i for i, _ in got if i < 200} <= {i for i, _ in planted}
