@@ -61,6 +61,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if path := getattr(a, kind):
             write_report(reports, path, kind)
             tell(f"wrote {kind}: {path}")
+    tables.discard()
     return 0
 
 

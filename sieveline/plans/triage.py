@@ -15,7 +15,7 @@ from sieveline.operators.capping import first_rows
 from sieveline.plans import rules
 from sieveline.plans.job import Cancelled, Job
 from sieveline.sources import archives, descriptors
-from sieveline.sources.hash_list import SCHEMA
+from sieveline.sources.hash_list import SCHEMA, file_system
 
 #: Entries of a node that cannot be read and are named one by one.
 SHOWN_ERRORS = 20
@@ -53,6 +53,11 @@ class Tables:
             .unionByName(descriptors.unreadable(read).select(*row("metadata", F.col("name"), F.lit("cannot be parsed"))))
         )
 
+    def discard(self) -> None:
+        """Deletes what was staged for these tables and their findings, when nothing reads them any more."""
+        fs, at = file_system(self.nodes.sparkSession, self.folder)
+        fs.delete(at, True)
+
 
 def staging_folder(spark: SparkSession) -> str:
     """A new folder where the cluster keeps shared data; a folder of our own only in local mode, where none need be named."""

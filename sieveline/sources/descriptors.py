@@ -124,7 +124,7 @@ def unreadable(read: DataFrame) -> DataFrame:
 
 def mods(read: DataFrame) -> DataFrame:
     """Declared projects: node, source_order, source_file, loader, mod_seq, mod_id, mod_name, version, authors, entry_points,
-    description, dependencies (id, range, optional), environment, mixins, minecraft_version, loader_version.
+    description, dependencies (id, range, optional), environment, mixins, minecraft_version, loader_version, mod_group (Quilt's).
 
     A descriptor that cannot be parsed declares nothing (unreadable() names it); fields of an unexpected type are null. A project of
     META-INF/mods.toml that depends on neoforge is one for NeoForge.
@@ -147,13 +147,14 @@ def mods(read: DataFrame) -> DataFrame:
         F.transform(F.coalesce(F.try_variant_get(m, "$.mixins", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(_get(x, "$"), _get(x, "$.config"))).alias("mixins"),
         F.coalesce(_get(m, "$.mcversion"), _range_of(F.col("dependencies"), "minecraft")).alias("minecraft_version"),
         F.when(F.col("name").endswith(".toml"), F.coalesce(_range_of(F.col("dependencies"), "neoforge", "forge"), _get(F.col("v"), "$.loaderVersion"))).otherwise(_range_of(F.col("dependencies"), "fabricloader", "quilt_loader")).alias("loader_version"),
+        F.when(F.col("name") == "quilt.mod.json", _get(m, "$.group")).alias("mod_group"),
     )
     plug = plugins(text.filter("endswith(name, '.yml')").withColumnRenamed("name", "source_file"), [*NODE, "source_order", "source_file", "loader"])
     needed = lambda names, optional: F.transform(names, lambda x: _dependency(x, F.lit("*"), F.lit(optional)))
     yaml = plug.select(
         *NODE, "source_order", "source_file", "loader", F.lit(0).cast("long").alias("mod_seq"), F.col("name").alias("mod_id"), F.col("name").alias("mod_name"), "version", "authors",
         F.array_compact(F.array("main")).alias("entry_points"), "description", F.concat(needed("needs", False), needed("wants", True)).alias("dependencies"), F.lit(None).cast("string").alias("environment"),
-        F.array().cast("array<string>").alias("mixins"), F.col("api_version").alias("minecraft_version"), F.lit(None).cast("string").alias("loader_version"),
+        F.array().cast("array<string>").alias("mixins"), F.col("api_version").alias("minecraft_version"), F.lit(None).cast("string").alias("loader_version"), F.lit(None).cast("string").alias("mod_group"),
     )
     return declared.withColumn("mixins", F.filter("mixins", lambda x: x.isNotNull())).unionByName(yaml)
 

@@ -55,14 +55,14 @@ def as_document(hashes: DataFrame) -> DataFrame:
 _VERSION = "v{:08d}"
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions at path, ascending."""
-    fs, at = _files(spark, path)
+    fs, at = file_system(spark, path)
     if not fs.exists(at):
         return []
     names = [f.getPath().getName() for f in fs.listStatus(at)]
@@ -72,7 +72,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def opened(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows) of a list at path: a .json document, or the newest of its versions, or the one asked for. A list that is not there is empty; ValueError for a document that is none."""
     none = spark.createDataFrame([], "key string, reason string")
-    fs, at = _files(spark, path)
+    fs, at = file_system(spark, path)
     if path.lower().endswith(".json"):
         if not fs.exists(at):
             return spark.createDataFrame([], SCHEMA), none
@@ -89,7 +89,7 @@ def opened(spark: SparkSession, path: str, version: int | None = None) -> tuple[
 def saved(hashes: DataFrame, path: str) -> str:
     """Writes the list: a further version of a folder, or a .json document in place of the one that is there. Gives the path of what was written; FileExistsError if another writer came first."""
     spark = hashes.sparkSession
-    fs, at = _files(spark, path)
+    fs, at = file_system(spark, path)
     beside = f"{path}.{uuid.uuid4().hex}.new" if path.lower().endswith(".json") else f"{path}/_new-{uuid.uuid4().hex}"
     temporary = spark._jvm.org.apache.hadoop.fs.Path(beside)
     rows = hashes.select(*[c.split()[0] for c in SCHEMA.split(", ")])

@@ -57,7 +57,7 @@ def sections(t, hashes: DataFrame | None = None) -> DataFrame:
     known = t.nodes.sparkSession.createDataFrame([], "sha256 string, classification string") if hashes is None else hashes.select("sha256", "classification")
     rated = lambda rows: rows.join(known.withColumnRenamed("sha256", "_sha"), F.col("sha256") == F.col("_sha"), "left").drop("_sha").withColumn("classification", F.coalesce("classification", F.lit("UNKNOWN")))
     loader = t.loaders.filter("node_path = ''").select("archive_id", "loader")
-    mods = _gathered(t.mods, ["node_path", "source_order", "mod_seq"], ["node_path", "source_file", "loader", "mod_id", "mod_name", "version", "authors", "minecraft_version", "loader_version", F.slice("dependencies", 1, SHOWN).alias("dependencies"), F.substring("description", 1, 5000).alias("description")], "mods")
+    mods = _gathered(t.mods, ["node_path", "source_order", "mod_seq"], ["node_path", "source_file", "loader", "mod_id", "mod_name", "version", "authors", "minecraft_version", "loader_version", "mod_group", F.slice("dependencies", 1, SHOWN).alias("dependencies"), F.substring("description", 1, 5000).alias("description")], "mods")
     manifest = _gathered(t.manifest.filter("node_path = ''"), ["position"], ["key", "value"], "manifest")
     own_entries, own_classes = t.entries.filter("node_path = ''"), t.classes.filter("node_path = ''")
     counts = inventory.counters(own_entries, own_classes).drop("node_path")
@@ -142,7 +142,7 @@ def as_text(reports: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in CLASSIFIED.items() for x in pair])
         modified = [_field("modified", c("modified"))] if "modified" in reports.columns else []
         mod = lambda m: F.concat_ws("\n", F.concat(F.lit("  * "), safe_text(F.coalesce(m["mod_name"], m["mod_id"], F.lit("(unnamed)"))), F.lit(" ["), m["loader"], F.lit(", "), m["source_file"], F.lit("]"), F.when(m["node_path"] != "", F.concat(F.lit(" inside "), safe_text(m["node_path"]))).otherwise("")),
-                                    _field("  id", m["mod_id"]), _field("  version", m["version"]), _field("  authors", F.array_join(m["authors"], ", ")), _field("  game", m["minecraft_version"]), _field("  loader version", m["loader_version"]),
+                                    _field("  id", m["mod_id"]), _field("  group", m["mod_group"]), _field("  version", m["version"]), _field("  authors", F.array_join(m["authors"], ", ")), _field("  game", m["minecraft_version"]), _field("  loader version", m["loader_version"]),
                                     _field("  needs", F.array_join(F.transform(m["dependencies"], lambda d: F.concat_ws(" ", d["id"], d["range"])), ", ")), _field("  description", m["description"]))
         entry = lambda e: F.concat(F.lit("      "), safe_text(e["name"]), F.lit(" ("), _number(e["size_bytes"]), F.lit(" bytes, "), _number(e["compressed_bytes"]), F.lit(" compressed)"))
         kind = lambda k: F.concat(F.lit("    "), F.replace(k["kind"], F.lit("_"), F.lit(" ")), F.lit(" ("), _number(k["n"]), F.lit(")\n"), F.array_join(F.transform(k["entries"], entry), "\n"))

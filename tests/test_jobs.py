@@ -1,6 +1,7 @@
 """Watching and stopping a triage, decoding in SQL, the maintained list of known files, ids that arrive in different batches."""
 
 import json
+import os
 import threading
 
 import pytest
@@ -128,3 +129,11 @@ def test_ids_of_files_that_arrive_later(spark, tmp_path):
     assert {name for _, name in first} == {"a.jar", "c.jar"} and len({b for b, _ in first}) == 1
     arrive(d=mod("third", "4"), e=mod("OTHER", "5"))
     assert {name for b, name, _ in told() if (b, name) not in first} == {"b.jar", "e.jar"}
+
+
+def test_callers_discard_what_was_staged(spark):
+    t = decoded(files(spark, {"a": jar({"fabric.mod.json": FABRIC})}))
+    assert t.mods.count() == 1 and os.path.isdir(t.folder)
+    t.discard()
+    assert not os.path.exists(t.folder)
+    t.discard()

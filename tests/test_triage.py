@@ -193,7 +193,7 @@ def test_declared_dependencies(spark):
     toml = '[[mods]]\nmodId="a"\nversion="1"\ndescription=" Does things "\n[[dependencies.a]]\nmodId="{}"\nversionRange="[1,)"\nmandatory=true\n[[dependencies.a]]\nmodId="minecraft"\nmandatory=false\n[[dependencies.a]]\nmodId="jei"\ntype="optional"\nversionRange="[2,)"\n'
     texts = {
         "1": ("fabric.mod.json", '{"id": "f", "description": "d", "environment": "client", "mixins": ["a.json", {"config": "b.json"}], "depends": {"minecraft": "~1.20", "x": ["1", "2"], "fabricloader": 5}}'),
-        "2": ("quilt.mod.json", '{"quilt_loader": {"id": "q", "metadata": {"description": "e"}, "depends": ["minecraft", {"id": "x", "versions": {"any": ["1", "2"]}}, {"id": "quilt_loader", "versions": ">=0.19"}]}}'),
+        "2": ("quilt.mod.json", '{"quilt_loader": {"id": "q", "group": "org.q", "metadata": {"description": "e"}, "depends": ["minecraft", {"id": "x", "versions": {"any": ["1", "2"]}}, {"id": "quilt_loader", "versions": ">=0.19"}]}}'),
         "3": ("META-INF/mods.toml", toml.format("neoforge")),
         "4": ("META-INF/mods.toml", toml.format("forge")),
         "5": ("mcmod.info", '[{"modid": "m", "mcversion": "1.7", "requiredMods": ["x"], "dependencies": ["y"]}]'),
@@ -213,3 +213,4 @@ def test_declared_dependencies(spark):
     assert (got["1"].environment, got["1"].mixins) == ("client", ["a.json", "b.json"])
     assert [got[i].minecraft_version for i in "1256"] == ["~1.20", "*", "1.7", "1.13"]
     assert [got[i].loader_version for i in "1234"] == ["*", ">=0.19", "[1,)", "[1,)"]
+    assert [got[i].mod_group for i in "1236"] == [None, "org.q", None, None]
