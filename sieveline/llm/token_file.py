@@ -33,13 +33,29 @@ END_ID = 2
 BLOCK_IDS = 1 << 19
 #: Bytes of text that are encoded at a time.
 ENCODED_BYTES = 1 << 20
-#: Stretches whose ids a Python worker remembers before it starts anew.
+#: Stretches whose ids a Python worker remembers before it forgets the rare ones.
 REMEMBERED = 500_000
 BLOCKS = "part int, block int, first_id long, n_docs long, n_ids long, doc_ids binary, counts binary, ranks binary, control binary, data binary"
+#: Stretches that are encoded as one line; the library takes longer over long lines.
+LINE = 128
+#: Bytes that are white space, that begin a longer sign of it, and that end one.
+_SPACE, _OPENS, _CLOSES = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\v\f\r\x1c\x1d\x1e\x1f ", b"\xc2\xe1\xe2\xe3", bytes({chr(c).encode()[-1] for c in range(128, 0x3001) if chr(c).isspace()})))
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _bare(contents: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether contents[start:end] is not empty and has no white space at its ends."""
+    bare = end > start
+    rows = np.flatnonzero(bare)
+    first, last = contents[start[rows]], contents[end[rows] - 1]
+    bare[rows[_SPACE[first] | _SPACE[last]]] = False
+    for k in rows[_OPENS[first] | _CLOSES[last]].tolist():
+        text = contents[start[k] : end[k]].tobytes().decode("utf-8", "surrogatepass")
+        bare[k] = not text[0].isspace() and not text[-1].isspace()
+    return bare
+
+
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library; equal stretches of text are encoded once.
 
@@ -53,6 +69,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
+        # What is encoded is new: the library's own memory of pieces would only cost.
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.wide = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
@@ -63,42 +82,64 @@ class Encoder:
     def _forget(self) -> None:
         self.memory, self.start, self.length = Memory(), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.wide), 0
+        # Of each remembered stretch: whether it is a text's head, and in how many calls it was met.
+        self.head, self.met = np.zeros(0, bool), np.zeros(0, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Only stretches that were met in several calls stay, unless they are more than half of REMEMBERED; they have to be met again to stay longer."""
+        old, rows = (self.memory, self.start, self.length, self.flat, self.head), np.flatnonzero(self.met > 1)
+        self._forget()
+        if not 0 < len(rows) <= REMEMBERED // 2:
+            return
+        memory, start, length, flat, head = old
+        gathered = lambda data, at, size: (data[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())], np.concatenate([[0], np.cumsum(size)]))
+        self.memory(*gathered(memory.data, memory.at[rows], memory.at[rows + 1] - memory.at[rows]), head[rows])
+        self.length, self.head, self.met = length[rows], head[rows], np.ones(len(rows), np.int32)
+        ids, at = gathered(flat, start[rows], np.maximum(self.length, 0).astype(np.int64))
+        self.flat, self.used, self.start = np.concatenate([ids, np.zeros(1 << 16, self.wide)]), len(ids), at[:-1]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, stretches: list[str], heads: list[bool]) -> None:
-        """Remember the ids of further stretches, with a space before those that are not a text's head; length -1 where white space is at an end."""
-        fit = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in stretches]
-        ids: list = [[]] * len(stretches)
-        inner = [k for k, (h, ok) in enumerate(zip(heads, fit)) if ok and not h]
-        for a in range(0, len(inner), 2048):
-            part = inner[a : a + 2048]
-            # Encoded in one go; the ids that begin with a space tell the stretches apart.
-            line = np.array(self.library.encode_batch_fast(["".join(" " + stretches[k] for k in part)], add_special_tokens=False)[0].ids, self.wide)
+    def _learn(self, contents: np.ndarray, start: np.ndarray, end: np.ndarray, heads: np.ndarray) -> None:
+        """Remember the ids of further stretches contents[start:end], with a space before those that are not a text's head; length -1 where white space is at an end."""
+        fit = _bare(contents, start, end)
+        begins, length = np.zeros(len(start), np.int64), np.where(fit, 0, -1).astype(np.int32)
+        inner, first = np.flatnonzero(fit & ~heads), np.flatnonzero(fit & heads)
+        # A space, then the stretch, one after another: lines of LINE stretches are encoded in one go, and the ids that begin with a space tell them apart.
+        size = end[inner] - start[inner] + 1
+        upto = np.concatenate([[0], np.cumsum(size)])
+        spaced = np.full(upto[-1], 32, np.uint8)
+        behind = np.ones(upto[-1], bool)
+        behind[upto[:-1]] = False
+        spaced[behind] = contents[np.repeat(start[inner] - upto[:-1] - 1, size)[behind] + np.flatnonzero(behind)]
+        text, flat, used = spaced.tobytes(), [], self.used
+        own = lambda k: contents[start[k] : end[k]].tobytes().decode("utf-8", "surrogatepass")
+        for a in range(0, len(inner), LINE):
+            part = inner[a : a + LINE]
+            line = np.array(self.library.encode_batch_fast([text[upto[a] : upto[a + len(part)]].decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, self.wide)
             at = np.flatnonzero(self.spaced[line])
-            if len(at) == len(part) and at[0] == 0:
-                cut = np.split(line, at[1:])
-            else:
-                cut = [e.ids for e in self.library.encode_batch_fast([" " + stretches[k] for k in part], add_special_tokens=False)]
-            for k, x in zip(part, cut):
-                ids[k] = x
-        first = [k for k, (h, ok) in enumerate(zip(heads, fit)) if ok and h]
-        for k, e in zip(first, self.library.encode_batch_fast([stretches[k] for k in first], add_special_tokens=False)):
-            ids[k] = e.ids
-        length = np.array([len(x) if ok else -1 for x, ok in zip(ids, fit)], np.int32)
-        flat = np.concatenate([np.asarray(x, self.wide) for x in ids] or [np.zeros(0, self.wide)])
-        start = self.used + np.cumsum(np.maximum(length, 0), dtype=np.int64) - np.maximum(length, 0)
-        while self.used + len(flat) > len(self.flat):
+            if len(at) != len(part) or at[0] != 0:
+                cut = [e.ids for e in self.library.encode_batch_fast([" " + own(k) for k in part.tolist()], add_special_tokens=False)]
+                at, line = np.cumsum([0, *map(len, cut[:-1])]), np.array([i for x in cut for i in x], self.wide)
+            begins[part], length[part] = used + at, np.diff(at, append=len(line))
+            flat.append(line)
+            used += len(line)
+        for k, e in zip(first.tolist(), self.library.encode_batch_fast([own(k) for k in first.tolist()], add_special_tokens=False)):
+            begins[k], length[k] = used, len(e.ids)
+            flat.append(np.array(e.ids, self.wide))
+            used += length[k]
+        while used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.flat[self.used : used] = np.concatenate([*flat, np.zeros(0, self.wide)])
+        self.used = int(used)
+        self.start, self.length = np.concatenate([self.start, begins]), np.concatenate([self.length, length])
+        self.head, self.met = np.concatenate([self.head, heads]), np.concatenate([self.met, np.zeros(len(heads), np.int32)])
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text raw[offsets[i]:offsets[i+1]]."""
         if len(self.memory) > REMEMBERED:
-            self._forget()
+            self._forget_rare()
         low = int(offsets[0])
         data, at = raw[low : int(offsets[-1])], offsets - low
         if not len(data):
@@ -124,8 +165,8 @@ class Encoder:
         of, heads = np.concatenate([[0], upto]), codes & 1
         row, new = self.memory(contents, of, heads)
         if len(new):
-            text = contents.tobytes()
-            self._learn([text[a:b].decode("utf-8", "surrogatepass") for a, b in zip(of[new].tolist(), of[new + 1].tolist())], heads[new].astype(bool).tolist())
+            self._learn(contents, of[new], of[new + 1], heads[new].astype(bool))
+        self.met[row[row >= 0]] += 1
         # Texts with a stretch that cannot be remembered are encoded whole.
         length, begins = np.where(row < 0, -1, self.length[row])[inverse], self.start[row][inverse]
         torn = np.zeros(len(n_of), bool)
