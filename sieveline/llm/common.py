@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +14,12 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.batches import BATCH_BYTES, BATCH_ROWS, bounded, mapped, releasing  # noqa: F401
+
 #: Rows of an id-only side that may be broadcast (16 MB of longs); above it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that a Python task works on at a time.
 CHUNK_BYTES = 1 << 20
-#: Rows and bytes of an Arrow batch (one row at least).
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,34 +72,6 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "le
     return df.join(F.broadcast(ids) if rows <= BROADCAST_IDS else ids, key, how)
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with what executors hold for it bounded: Arrow batches of texts, and what a worker keeps between tasks."""
-    bounded(df.sparkSession)
-    return df.mapInArrow(releasing(f), schema)
-
-
-def bounded(spark: SparkSession) -> None:
-    """Sets BATCH_ROWS and BATCH_BYTES for the session's Arrow batches, unless they are smaller: whole texts would make the usual 10,000 rows a large buffer on both sides."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
-        if now and not 0 < int(now[1]) <= most:
-            spark.conf.set(name, most)
-
-
-def releasing(f: Callable) -> Callable:
-    """f, giving freed memory back to the system when a task is over; workers are kept for further tasks."""
-
-    @functools.wraps(f)
-    def run(batches):
-        yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:  # glibc
-            trim(0)
-
-    return run
-
-
 def fold(column: str = "doc_id"):
     """crc32 of the id's decimal text modulo 3; rows where it is 1 are held out of every training."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.batches import KEPT
 from sieveline.llm.common import bounded, chunks, fold, ints, mapped, releasing, text_buffers
 
 #: Length of vectors; steepness of the softmax.
@@ -65,6 +66,7 @@ class Letters:
 
 
 _LETTERS: list[Letters] = []
+KEPT[__name__] = _LETTERS.clear
 
 
 def _letters() -> Letters:

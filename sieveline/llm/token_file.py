@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.batches import KEPT
 from sieveline.llm.common import chunks, ints, mapped, staged, text_buffers
 from sieveline.llm.stretches import Memory, distinct
 
@@ -42,6 +43,7 @@ LINE = 128
 _SPACE, _OPENS, _CLOSES = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\v\f\r\x1c\x1d\x1e\x1f ", b"\xc2\xe1\xe2\xe3", bytes({chr(c).encode()[-1] for c in range(128, 0x3001) if chr(c).isspace()})))
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _ENCODERS: dict[str, Encoder] = {}
+KEPT[__name__] = _ENCODERS.clear
 
 
 def _bare(contents: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
