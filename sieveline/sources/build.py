@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.batches import bounded, mapped
+
 #: Literals of a class (its pool holds 65,534 constants, two for each literal), and texts of an archive.
 LITERALS, TEXTS = 30_000, 64
 #: Characters of a literal, which holds 65,535 bytes.
@@ -60,6 +62,7 @@ def archives_of(entries: DataFrame) -> DataFrame:
         name, data = table.column("archive_id")[0].as_py(), out.getvalue()
         return pa.table({"archive_id": [name], "file_name": [name], "size_bytes": pa.array([len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
 
+    bounded(entries.sparkSession)
     return entries.select("archive_id", F.col("seq").cast("long").alias("seq"), "name", "content").groupBy("archive_id").applyInArrow(run, FILES)
 
 
@@ -68,18 +71,19 @@ def packed(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for k in range(0, len(rows), TEXTS):
+            for k in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(k, TEXTS)
+                rows = list(zip(some.column(0).to_pylist(), some.column(1).to_pylist()))
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    for doc_id, text in rows[k : k + TEXTS]:
+                    for doc_id, text in rows:
                         words = [p for w in dict.fromkeys((text or "").split()) for p in pieces(w)]
                         for part in range(0, max(1, len(words)), LITERALS):
                             name = f"d/{doc_id}_{part}"
                             z.writestr(zipfile.ZipInfo(f"{name}.class", (2024, 1, 1, 0, 0, 0)), literal_class(name, words[part : part + LITERALS]), zipfile.ZIP_DEFLATED)
                 # Batches that begin with the same doc_id are told apart by what they hold.
                 data = out.getvalue()
-                name = f"texts-{rows[k][0]}-{hashlib.sha256(data).hexdigest()[:16]}.jar"
+                name = f"texts-{rows[0][0]}-{hashlib.sha256(data).hexdigest()[:16]}.jar"
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], ["archive_id", "file_name", "size_bytes", "content"])
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, FILES)
+    return mapped(documents.select("doc_id", F.col("text").cast("string").alias("text")), run, FILES)
