@@ -73,17 +73,28 @@ def candidates(names: DataFrame, rated: DataFrame) -> DataFrame:
     return keyed.join(sized(name_index(rated).withColumnRenamed("sk", "known_sk")), "key").filter(close).drop("key")
 
 
+def normalized(names: DataFrame) -> DataFrame:
+    """_name, _n for distinct names (_name): _n is the normalised one.
+
+    Conditions on a projection are moved below distinct(), so that the pattern is evaluated several times for each row that it drops; on something exploded, here
+    an array of one, they are not.
+    """
+    return names.select("_name", F.explode(F.array(normalized_name(F.col("_name")))).alias("_n"))
+
+
 def lookalikes(rows: DataFrame, name: str, known: DataFrame, column: str, least: int = 3, shortest: int = 5) -> DataFrame:
     """rows with `like`: struct(known, kind, distance) of the known name that a row's name imitates, or null.
 
     As operators.lookup.lookalike: names of fewer than `least` signs, known names shorter than `shortest`, names that are known themselves and names that begin with the
     known one are left alone; an equal skeleton counts before the least edit distance (at most 1, and 2 for known names from 8
-    signs on), ties go by name. Each distinct name is measured once, against the names that share a key of the index only. Null names have none.
+    signs on), ties go by name. Each distinct name is normalised and measured once, against the names that share a key of the index only. Null names have none.
     """
     if "like" in rows.columns:
         rows = rows.drop("like")
-    of = rows.withColumn("_n", normalized_name(F.col(name)))
-    names = of.select(F.col("_n").alias("n")).filter(F.length("n") >= least).distinct()
+    own = normalized(rows.select(F.col(name)).distinct().toDF("_name").filter("_name is not null"))
+    names = own.select(F.col("_n").alias("n")).filter(F.length("n") >= least)
+    # A name has up to 301 keys, so that its bytes tell little of its work: the partitions are not coalesced by size.
+    names = names.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n").distinct()
     present = known.select(normalized_name(F.col(column)).alias("n")).distinct()
     names = names.join(sized(present), "n", "left_anti")
     distance = F.levenshtein("sk", "known_sk", 2)
@@ -92,8 +103,8 @@ def lookalikes(rows: DataFrame, name: str, known: DataFrame, column: str, least:
     rank = F.when(F.col("sk") == F.col("known_sk"), 0).otherwise(1)
     best = near.groupBy("n").agg(F.min(F.struct(rank.alias("rank"), "distance", "known")).alias("best"))
     like = F.struct(F.col("best.known").alias("known"), F.when(F.col("best.rank") == 0, "skeleton").otherwise("distance").alias("kind"), F.col("best.distance").alias("distance"))
-    found = best.select(F.col("n").alias("_n"), like.alias("like"))
-    return of.join(found, "_n", "left").select(*rows.columns, "like")
+    found = own.join(best.select(F.col("n").alias("_n"), like.alias("like")), "_n").select("_name", "like")
+    return rows.join(found, rows[name] == found["_name"], "left").select(*[rows[c] for c in rows.columns], found["like"])
 
 
 def with_prefix_of(rows: DataFrame, name: str, exact: DataFrame, prefixes: DataFrame, order: str) -> DataFrame:

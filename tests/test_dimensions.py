@@ -94,6 +94,27 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_are_normalised_when_they_are_distinct(spark):
+    texts = spark.range(300).select(F.concat_ws(" ", F.lit("sod1um sodium Spdium other"), F.concat(F.lit("w"), F.col("id") % 7)).alias("t"))
+    rows = texts.select(F.explode(F.split("t", " ")).alias("_name")).distinct()
+    found = D.lookalikes(rows, "_name", spark.createDataFrame([("sodium",), ("abcdefgh",)], "k string"), "k").filter("like is not null")
+    assert {r["_name"]: r.like.known for r in found.collect()} == {"sod1um": "sodium", "Spdium": "sodium"}
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    split = [i for i, line in enumerate(lines) if "explode(split(" in line]
+    for i in split:
+        k = max(k for k in range(i) if "Aggregate [" in lines[k])
+        assert not any("regexp_replace" in line for line in lines[k:i]), "\n".join(lines[k : i + 1])
+    ran = plan_of(found).split("Initial Plan")[0]
+    assert split and ran.count("explode(split(") == 1, ran  # the texts are read once
+
+
+def test_rows_of_repeated_names_keep_their_number(spark):
+    names = ["sod1um", "Sod1um", "SOD1UM!", "sod1um", None, None, "", "!!", "sodium", "other"]
+    rows = spark.createDataFrame([(i, n, n) for i, n in enumerate(names)], "_n long, name string, _name string")
+    got = {r["_n"]: (r.name, r["_name"], r.like and r.like.known) for r in D.lookalikes(rows, "name", spark.createDataFrame([("sodium",)], "k string"), "k").collect()}
+    assert got == {i: (n, n, "sodium" if n and "1" in n else None) for i, n in enumerate(names)}
+
+
 @pytest.mark.parametrize("broadcast", [D.BROADCAST_ROWS, 0])
 def test_prefix_tables(spark, monkeypatch, broadcast):
     monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
